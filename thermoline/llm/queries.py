@@ -4,23 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from thermoline.llm import quality_rules, sharding
+from thermoline.llm import pii, quality_rules, records, secrets, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_glob_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(spark.read.parquet(f"{sf_dir}/documents.parquet"), sharding.HashTree.even(8), sharding.HashTree.even(9))
 
 
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return records.read_records(records.write_records(docs, records.records_folder(spark), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_repetition_rules, op9_hash_tree)}
+    return {f.__name__: f for f in (op2_glob_automaton, op4_repetition_rules, op6_weak_labels, op8_secret_ownership, op9_hash_tree, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:

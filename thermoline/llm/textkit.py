@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
-_BYTE = np.random.default_rng(20240611).integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE_VALUE = np.random.default_rng(20240611).integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 
 #: The white space of the word rule, as bytes.
@@ -97,7 +97,7 @@ class Words:
 
     def sums(self) -> np.ndarray:
         if self._sums is None:
-            x = _BYTE[self.data]
+            x = BYTE_VALUE[self.data]
             x *= powers(len(self.data) + 1)[0][:-1]
             self._sums = np.zeros(len(self.data) + 1, U64)
             np.cumsum(x, out=self._sums[1:])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from thermoline.llm import textkit as tk
 
 #: Largest share, in percent, of word characters inside repeated n-grams, by n.
-NGRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+NGRAM_PERCENT = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
 #: Largest share, in percent, of characters in repeated lines, and of repeated lines.
 LINE_CHAR_PERCENT, LINE_PERCENT = 20, 30
 MIN_WORDS, REPEAT_PERCENT = 50, 50

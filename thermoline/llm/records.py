@@ -3,7 +3,8 @@
 A file holds records one after another, all numbers little-endian:
 
     length of the payload, 8 bytes | masked checksum of these 8 bytes, 4 bytes
-    payload: document id, 8 bytes, then the token ids, 4 bytes each
+    payload: document id, 8 bytes, bytes of a token id, 1 byte, then the token ids, 2 bytes
+             each where the vocabulary has at most 65,536, else 4
     masked checksum of the payload, 4 bytes
 
 The checksum is CRC-32, rotated right by 15 bits plus a constant, so that a checksum over
@@ -37,6 +38,8 @@ INDEX = np.dtype([("offset", "<i8"), ("n_tokens", "<i8"), ("doc_id", "<i8")])
 MANIFEST = "part int, path string, n_records long, n_tokens long, n_bytes long"
 ROWS_PER_FILE = 20_000
 NULL_ID = -(2**63)
+#: Known chunks of an encoder, about 40 bytes each.
+CHUNKS_KEPT = 1_500_000
 
 
 def masked(raw: bytes | memoryview) -> int:
@@ -44,8 +47,8 @@ def masked(raw: bytes | memoryview) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
-    payload = np.int64(doc_id).tobytes() + ids.astype("<u4").tobytes()
+def frame(doc_id: int, ids: np.ndarray, width: np.dtype) -> bytes:
+    payload = np.int64(doc_id).tobytes() + bytes([width.itemsize]) + ids.astype(width).tobytes()
     head = len(payload).to_bytes(8, "little")
     return b"".join((head, masked(head).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little")))
 
@@ -59,7 +62,7 @@ def unframe(raw: memoryview, at: int) -> tuple[int, np.ndarray, int]:
     end = at + HEAD + size + 4
     if len(payload) < size or masked(payload) != int.from_bytes(raw[end - 4 : end], "little"):
         raise ValueError(f"damaged payload at {at}")
-    return int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload[8:], "<u4"), end
+    return int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload[9:], f"<u{payload[8]}").astype("<u4"), end
 
 
 class ChunkEncoder:
@@ -67,7 +70,8 @@ class ChunkEncoder:
 
     A text is cut before a space between two characters that can be no white space: there
     the pre-tokenizer cuts as well, so the ids of the chunks are the ids of the text.
-    Distinct chunks of a slice are encoded together and their ids dealt back by byte lengths.
+    Distinct chunks of a slice are encoded together and their ids dealt back by byte lengths;
+    up to CHUNKS_KEPT chunks stay known for later slices.
     """
 
     def __init__(self, path: str):
@@ -84,7 +88,8 @@ class ChunkEncoder:
         self.before, self.after = plain.copy(), plain.copy()
         self.after[0xC3:] = True
         self.after[[0xE1, 0xE2, 0xE3]] = False  # first bytes of some white space, as C2 is
-        self.known, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.width = np.dtype("<u2") if len(self.bytes_of) <= 1 << 16 else np.dtype("<u4")
+        self.known, self.first, self.size, self.ids, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.int32), 0
 
     def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First place, number and ids of each chunk."""
@@ -132,8 +137,20 @@ class ChunkEncoder:
         words = tk.Words(data, off)
         h = words.span_hash(start, end)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        first, size, ids = self._new(data, start[where], end[where])
-        n = size[back]
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        new[at < len(self.known)] = self.known[at[at < len(self.known)]] != distinct[at < len(self.known)]
+        first, size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        first[~new], size[~new] = self.first[at[~new]], self.size[at[~new]]
+        places, sizes, ids = self._new(data, start[where[new]], end[where[new]])
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        first[new], size[new] = places + self.used, sizes
+        if len(self.known) < CHUNKS_KEPT:
+            self.known, self.first, self.size = (np.insert(x, at[new], y[new]) for x, y in ((self.known, distinct), (self.first, first), (self.size, size)))
+            self.used += len(ids)
+        ids, n = self.ids, size[back]
         total = int(n.sum())
         ends = np.cumsum(n)
         take = np.arange(total) - np.repeat(ends - n, n) + np.repeat(first[back], n)
@@ -141,6 +158,16 @@ class ChunkEncoder:
         return ids[take], np.bincount(doc, n, minlength=docs).astype(np.int64)
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder a Python worker: what it knows serves all tasks of the worker."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(path)
+    return _encoders[path]
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all texts in ascending id order; returns the manifest, one row for each file.
 
@@ -160,14 +187,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int
         for batch in batches:
             for some in tk.slices(batch, "text", 4 << 20):
                 if out is None:
-                    encoder = ChunkEncoder(tokenizer_path)
+                    encoder = encoder_of(tokenizer_path)
                     fs, path = pafs.FileSystem.from_uri(name)
                     fs.create_dir(os.path.dirname(path), recursive=True)
                     out = fs.open_output_stream(f"{path}.rec")
                 ids, sizes = encoder.encode(*tk.utf8(some.column("text")))
                 ends, frames = np.cumsum(sizes), []
                 for doc_id, end, size in zip(some.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
-                    frames.append(frame(doc_id, np.append(ids[end - size : end], END_ID)))
+                    frames.append(frame(doc_id, np.append(ids[end - size : end], END_ID), encoder.width))
                     index.append((at, size + 1, doc_id))
                     at += len(frames[-1])
                 out.write(b"".join(frames))
@@ -219,7 +246,7 @@ def shuffled_ids(spark: SparkSession, manifest: DataFrame, seed: int) -> DataFra
                 fs, at = pafs.FileSystem.from_uri(path)
                 with fs.open_input_stream(f"{at}.idx") as beside:
                     index = np.frombuffer(beside.read(), INDEX)
-                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(index), pa.string()), "at": index["offset"], "n": index["n_tokens"]})
+                yield pa.RecordBatch.from_pydict({"path": pa.array([path] * len(index), pa.string()), "at": index["offset"]})
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,11 +254,12 @@ def shuffled_ids(spark: SparkSession, manifest: DataFrame, seed: int) -> DataFra
             for row in batch.to_pylist():
                 fs, at = pafs.FileSystem.from_uri(row["path"])
                 with fs.open_input_file(f"{at}.rec") as file:
-                    doc_id, ids, _ = unframe(memoryview(file.read_at(HEAD + 8 + 4 * row["n"] + 4, row["at"])), 0)
+                    size = int.from_bytes(file.read_at(8, row["at"]), "little")
+                    doc_id, ids, _ = unframe(memoryview(file.read_at(HEAD + size + 4, row["at"])), 0)
                 got.append({"doc_id": None if doc_id == NULL_ID else doc_id, "place": row["place"], "ids": ids.tolist()})
             yield pa.RecordBatch.from_pylist(got, pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
-    places = manifest.select("path").mapInArrow(entries, "path string, at long, n long").withColumn("place", F.xxhash64(F.lit(seed), "path", "at"))
+    places = manifest.select("path").mapInArrow(entries, "path string, at long").withColumn("place", F.xxhash64(F.lit(seed), "path", "at"))
     return places.repartitionByRange("place").sortWithinPartitions("place").mapInArrow(fetched, schema)
 
 

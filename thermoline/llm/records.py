@@ -101,7 +101,7 @@ class ChunkEncoder:
         parts = []
         raw = data.tobytes()
         for k in range(0, joined, 20_000):
-            some = order[k : k + 20_000]
+            some = order[k : min(k + 20_000, joined)]
             text = b"".join([raw[s:e] for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)]).decode()
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             ends = np.cumsum(self.bytes_of[ids])

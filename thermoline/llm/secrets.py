@@ -4,7 +4,7 @@ Patterns give candidate spans with their places. Each candidate's value is hashe
 hashes are counted over the whole corpus by distinct repositories and owners: a value that
 many owners hold is a copied example, one that a single owner or two hold and that looks
 random is a live-looking credential. Base spans are always reported; spans of the wider
-patterns are added where their value is live-looking.
+patterns are added where their value is live-looking and meets no span of an earlier pattern.
 """
 
 from __future__ import annotations
@@ -106,7 +106,8 @@ def secret_spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "la
     base = len(BASE)
     rows = rows.withColumn("all", F.when(F.col("held").isNull(), F.array().cast(f"array<struct<span:{SPAN},copied:boolean,live:boolean>>")).otherwise(F.zip_with("spans", "held", lambda s, h: F.struct(s.alias("span"), (h["n_owners"] >= copied_owners).alias("copied"), ((h["n_owners"] < copied_owners) & s["plausible"]).alias("live")))))
     rows = rows.withColumn("based", F.filter("all", lambda x: x["span"]["rank"] < base))
-    clear = lambda x: ~F.exists("based", lambda b: (b["span"]["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["span"]["stop"]))
+    stronger = lambda y, x: (y["span"]["rank"] < base) | (y["live"] & (y["span"]["rank"] < x["span"]["rank"]))
+    clear = lambda x: ~F.exists("all", lambda y: stronger(y, x) & (y["span"]["start"] < x["span"]["stop"]) & (x["span"]["start"] < y["span"]["stop"]))
     rows = rows.withColumn("reported", F.filter("all", lambda x: (x["span"]["rank"] < base) | (x["live"] & clear(x))))
     kinds = F.array(*(F.lit(p.kind) for p in (*BASE, *WIDER)))
     said = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["span"]["rank"]), x["span"]["start"].cast("string"), x["span"]["stop"].cast("string"))))

@@ -29,7 +29,7 @@ from thermoline.llm.workspace import stored
 WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL, TARGET_RECALL = 16, 6, 0.995
 #: Most shingles and sets of a block.
-BLOCK_SHINGLES, BLOCK_SETS = 200_000, 1000
+BLOCK_SHINGLES, BLOCK_SETS = 200_000, 400
 
 _U = np.uint64
 _draws = np.random.default_rng(77).integers(1, 2**63, (2, TREES * LABEL), dtype=np.uint64)
@@ -100,16 +100,43 @@ def _signed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, rkey long, set_id binary, size long, labels binary")
 
 
-def _shingled(rows: DataFrame) -> DataFrame:
+def _places(bits: int) -> list[F.Column]:
+    """The bits of a row key in a filter of so many bits."""
+    return [F.pmod(F.xxhash64("rkey", F.lit(k)), F.lit(bits)) for k in range(2)]
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of row keys, made by Spark word by word: 16 to 32 bits a key, 8 MB at most.
+
+    Beyond that it lets more through, which the exact join after it drops.
+    """
+    bits = 1 << min(26, max(16, (16 * keys.count()).bit_length()))
+    each = keys.select(F.explode(F.array(*_places(bits))).alias("place"))
+    words = each.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("value")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy()] = words["value"].to_numpy()
+    return out.view(_U)
+
+
+def _shingled(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Sets and shingles of the needed rows, found in a scan: texts stay where they are, only shingles are shuffled."""
+    spark = rows.sparkSession
+    bloom = spark.sparkContext.broadcast(_filter(needed))
+    first, second = _places(64 * len(bloom.value))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            wanted = np.ones(batch.num_rows, bool)
+            for c in ("first", "second"):
+                place = batch.column(c).to_numpy()
+                wanted &= (bloom.value[place >> 6] >> (place & 63).astype(_U) & _U(1)) == 1
+            for part in tk.slices(batch.select(["rkey", "text"]).filter(pa.array(wanted)), "text"):
                 key, off = shingles(part.column("text"))
                 lists = pa.ListArray.from_arrays(off.astype(np.int32), pa.array(key.view(np.int64)))
-                same = pa.array([a == b for a, b in zip(_set_ids(key, off), part.column("set_id").to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), lists], ["set_id", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([part.column("rkey"), pa.array(_set_ids(key, off), pa.binary()), lists], ["rkey", "set_id", "shingles"])
 
-    return rows.mapInArrow(cut, "set_id binary, shingles array<long>")
+    found = rows.select("rkey", "text", first.alias("first"), second.alias("second")).mapInArrow(cut, "rkey long, set_id binary, shingles array<long>")
+    return found.join(needed, ["set_id", "rkey"]).drop("rkey")
 
 
 def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -129,7 +156,7 @@ def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     both = np.zeros((n, n), np.float32)
-    width = max(64, min(4096, 8_000_000 // n))
+    width = max(64, min(4096, 2_000_000 // n))
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         s, e = np.searchsorted(column, [c, c + width])
         cells = np.zeros((n, width), np.float32)
@@ -159,7 +186,7 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
 
     def judge(task: tuple, rows: list[tuple[bytes, int, int, np.ndarray, np.ndarray]]) -> list[tuple[bytes, int, bytes]]:
         tree, _, i, j = task
-        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])
+        rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])  # of repeated rows one
         if len(rows) < 2:
             return []
         linked = _linked([r[4] for r in rows], threshold)
@@ -249,9 +276,8 @@ def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = stored(work.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "block", "nodes"), "work")
 
-    needed = stored(work.select("set_id").distinct().join(sets.select("set_id", F.col("first.rkey").alias("rkey")), "set_id"), "needed")
-    texts = source.select("rkey", "text").join(needed, "rkey")
-    payload = _shingled(texts.select("set_id", "text")).join(sets.select("set_id", "copies"), "set_id")
+    needed = stored(work.select("set_id").distinct().join(sets.select("set_id", "copies", F.col("first.rkey").alias("rkey")), "set_id"), "needed")
+    payload = _shingled(source, needed)
     work = work.join(payload, "set_id").repartition(*_TASK).sortWithinPartitions(*_TASK, "set_id")
     links = stored(_verified(work, threshold), "links")
 
@@ -282,7 +308,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target: float = T
     signed, known = _classes(docs, threshold, target, id_col, text_col)
     alone = signed.where("set_id IS NULL").select("rkey")
     kept = known.select(F.col("head.rkey").alias("rkey")).union(alone).distinct().withColumnRenamed("rkey", "thermoline_rkey")
-    rows = docs.withColumn("thermoline_rkey", _row_key(id_col, text_col)).join(kept, "thermoline_rkey", "left_semi")
+    rows = docs.withColumn("thermoline_rkey", _row_key(id_col, text_col)).join(kept.hint("merge"), "thermoline_rkey", "left_semi")
     if not signed.groupBy("rkey").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["thermoline_rkey"])
     return rows.select(*docs.columns)

@@ -29,12 +29,19 @@ from pyspark.sql import functions as F
 from thermoline.llm import textkit as tk
 
 SAMPLES = 2
+#: Bytes of text that share one table of lattices: words repeat, but a table takes some hundred times as much.
+SLICE_BYTES = 2 << 20
 #: A piece of rank r has a weight of (r + RANK_SHIFT) ** -SHARPNESS, a byte that of the last rank.
 RANK_SHIFT, SHARPNESS = 50.0, 1.5
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids array<int>"
 _U = np.uint64
 
 
+#: Bytes of the character that a byte begins.
+_CHAR_BYTES = np.ones(256, np.uint8)
+_CHAR_BYTES[0xC0:], _CHAR_BYTES[0xE0:], _CHAR_BYTES[0xF0:] = 2, 3, 4
+
+
 def _hashed(*parts: np.ndarray | int) -> np.ndarray:
     h = np.zeros(1, _U)
     for p in parts:
@@ -126,29 +133,35 @@ def pieces_of(path: str) -> Pieces:
 class Lattices:
     """The lattices of a slice's distinct words, as one table of states and arcs in descending nearness to the word's end."""
 
-    def __init__(self, model: Pieces, words: tk.Words, start: np.ndarray, end: np.ndarray):
-        data, span = words.data, end - start
-        state0 = np.cumsum(span) - span
-        total = int(span.sum())
-        where = np.arange(total) - np.repeat(state0, span) + np.repeat(start, span)  # byte of each state
-        left = np.repeat(start + span, span) - where
-        char = (data[where] & 0xC0) != 0x80
-        sizes = np.ones(total, np.int64)
+    def __init__(self, model: Pieces, data: np.ndarray, start: np.ndarray, end: np.ndarray):
+        # Words in descending length: the states with a given number of bytes left are then one
+        # run, and word w's is the w-th of it, so a state's number needs no search.
+        by_length = np.argsort(start - end, kind="stable")
+        stop, span = end[by_length].astype(np.int32), (end - start)[by_length]
+        longest = int(span[0]) if len(span) else 0
+        width = np.searchsorted(-span, -np.arange(1, longest + 1), "right").astype(np.int32)  # words with so many bytes or more
+        level = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+        total = int(level[-1])
+        left = np.repeat(np.arange(1, longest + 1, dtype=np.int32), width)
+        word = np.arange(total, dtype=np.int32) - np.repeat(level[:-1], width)
+        where = stop[word] - left
         lead = data[where]
-        sizes[lead >= 0xC0], sizes[lead >= 0xE0], sizes[lead >= 0xF0] = 2, 3, 4
+        char = (lead & 0xC0) != 0x80
+        sizes = _CHAR_BYTES[lead]
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
         own = np.zeros(total, bool)
-        alive = np.flatnonzero(char)
+        alive = np.flatnonzero(char).astype(np.int32)
         h = np.zeros(len(alive), _U)
         for m, (hashes, ids) in enumerate(model.tables, 1):
-            enough = left[alive] >= m
-            alive, h = alive[enough], h[enough]
+            if m > 1:
+                enough = left[alive] >= m
+                alive, h = alive[enough], h[enough]
             if not len(alive):
                 break
-            byte = data[where[alive] + m - 1]
+            byte = data[where[alive] + (m - 1)]
             h += model.turn(byte, m - 1)
             if m <= 2:
-                code = byte.astype(np.int64) if m == 1 else data[where[alive]].astype(np.int64) << 8 | byte
+                code = byte.astype(np.int32) if m == 1 else lead[alive].astype(np.int32) << 8 | byte
                 begins, pieces = model.short[m - 1]
                 good = begins[code]
                 alive, h, piece = alive[good], h[good], pieces[code[good]]
@@ -159,56 +172,54 @@ class Lattices:
             hit = piece >= 0
             found.append((alive[hit], m, piece[hit]))
             own[alive[hit & (sizes[alive] == m)]] = True
-        lacking = np.flatnonzero(char & ~own)
+        # A character that is no piece is spelled by its bytes; their states lie below one another.
+        lacking = np.flatnonzero(char & ~own).astype(np.int32)
         for k in range(4):
-            some = lacking[sizes[lacking] > k] + k
+            some = lacking[sizes[lacking] > k]
+            some = level[left[some] - k - 1] + word[some]
             found.append((some, 1, model.byte_id[data[where[some]]]))
 
-        order = np.argsort(left, kind="stable")  # new number of a state: nearest the end first
-        number = np.empty(total, np.int64)
-        number[order] = np.arange(total)
-        count = np.zeros(total + 1, np.int64)
+        count = np.zeros(total + 1, np.int32)
         for at, _, _ in found:
-            count[number[at]] += 1
-        self.first = np.zeros(total + 2, np.int64)
+            count[at] += 1
+        self.first = np.zeros(total + 2, np.int32)
         np.cumsum(count, out=self.first[1:])
         arcs = int(self.first[total])
-        self.to, self.piece = np.empty(arcs, np.int64), np.empty(arcs, np.int32)
+        self.to, self.piece = np.empty(arcs, np.int32), np.empty(arcs, np.int32)
         filled = self.first[:-1].copy()
+        ends = np.concatenate([[total], level[:-1]]).astype(np.int32)  # first state with so many bytes left; none left is the end
         for at, m, piece in reversed(found):  # longest pieces first
-            slot = filled[number[at]]
-            filled[number[at]] += 1
-            over = left[at] == m
-            to = np.full(len(at), total)
-            to[~over] = number[(at + m)[~over]]
-            self.to[slot], self.piece[slot] = to, piece
+            slot = filled[at]
+            filled[at] += 1
+            after = left[at] - m
+            self.to[slot], self.piece[slot] = ends[after] + np.where(after > 0, word[at], 0), piece
         self.end = total
-        self.begin = number[state0]
+        self.begin = np.empty(len(span), np.int32)
+        self.begin[by_length] = ends[span] + np.arange(len(span), dtype=np.int32)
 
         beta = np.full(total + 1, -np.inf)
         beta[total] = 0.0
-        weight = model.log_weight[self.piece]
-        level = np.searchsorted(left[order], np.arange(1, int(span.max(initial=0)) + 2))
-        for d in range(len(level) - 1):
+        self.log_p = model.log_weight[self.piece]
+        for d in range(longest):
             s, e = int(level[d]), int(level[d + 1])
             a, b = int(self.first[s]), int(self.first[e])
             if b == a:
                 continue
             has = np.flatnonzero(count[s:e])
-            at = self.first[s:e][has] - a
-            x = weight[a:b] + beta[self.to[a:b]]
+            at, each = self.first[s:e][has] - a, count[s:e][has]
+            x = self.log_p[a:b] + beta[self.to[a:b]]
             top = np.maximum.reduceat(x, at)
-            safe = np.where(np.isfinite(top), top, 0.0)
+            top[top == -np.inf] = 0.0
             with np.errstate(divide="ignore"):
-                beta[s + has] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, count[s:e][has])), at))
-        source = np.repeat(np.arange(total + 1), count)
+                beta[s + has] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, each)), at))
         with np.errstate(invalid="ignore"):
-            self.log_p = weight + beta[self.to] - beta[source]
+            self.log_p += beta[self.to]
+            self.log_p -= np.repeat(beta, count)
         self.log_p[~np.isfinite(self.log_p)] = -np.inf  # states inside a character that no path meets
         self.p = np.exp(self.log_p)
         self.last = np.maximum(self.first[1:-1] - 1, 0)
-        sums = np.cumsum(self.p)
-        self.upto = sums - np.repeat((sums - self.p)[np.minimum(self.first[:-2], max(arcs - 1, 0))], count[:-1]) if arcs else sums
+        sums = np.concatenate([[0.0], np.cumsum(self.p)])
+        self.upto = sums[1:] - np.repeat(sums[self.first[:-2]], count[:-1])
 
     def step(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc that each uniform number picks."""
@@ -270,7 +281,6 @@ def _segment_max(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarray, samples: int) -> list[dict[str, np.ndarray]]:
     """`samples` segmentations of every text; a text with fewer is left out of the later ones."""
     docs = len(off) - 1
-    words = tk.Words(data, off)
     space = data == 0x20
     cut = np.zeros(len(data), bool)
     cut[1:] = space[1:] & ~space[:-1]
@@ -280,11 +290,11 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
     doc = np.searchsorted(off, start, "right") - 1
     nth = np.arange(len(start)) - np.searchsorted(doc, doc)
     if len(start):
-        _, where, back = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
-        lattice = Lattices(model, words, start[where], end[where])
+        _, where, back = np.unique(tk.Words(data, np.array([0, len(data)]), split=False).span_hash(start, end), return_index=True, return_inverse=True)
+        lattice = Lattices(model, data, start[where], end[where])
         begin = lattice.begin[back]
     else:
-        lattice, begin = Lattices(model, words, start, end), start
+        lattice, begin = Lattices(model, data, start, end), start
     word_off = np.searchsorted(doc, np.arange(docs + 1))
 
     fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -326,12 +336,14 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
             arcs, count, first = fresh[r]
             pick, spare = _uniform(key, 2000 + r), _uniform(key, 3000 + r)
             tails = _uniform(_hashed(key, 4000 + r)[:, None] + np.arange(16, dtype=_U))
-            for d in np.flatnonzero(alive).tolist():
+            turned = np.flatnonzero(alive)
+            chosen = np.array([paths[which[d]].arcs[places[which[d]][d]] for d in turned.tolist()], lattice.first.dtype)
+            states = np.searchsorted(lattice.first, chosen, "right") - 1
+            for d, state in zip(turned.tolist(), states.tolist(), strict=True):
                 old = paths[which[d]]
                 place = int(places[which[d]][d])
                 depth = place - int(old.off[d])
                 taken = barred.setdefault((d, int(which[d]), depth), [int(old.arcs[place])])
-                state = int(np.searchsorted(lattice.first, old.arcs[place], "right")) - 1
                 choice = np.array([a for a in range(int(lattice.first[state]), int(lattice.first[state + 1])) if a not in taken])
                 p = np.cumsum(lattice.p[choice])
                 arc = int(choice[min(int(np.searchsorted(p, p[-1] * pick[d], "right")), len(choice) - 1)])
@@ -385,7 +397,7 @@ def sampled(docs: DataFrame, model_path: str, samples: int = SAMPLES, id_col: st
         model = pieces_of(model_path)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for batch in batches:
-            for part in tk.slices(batch, "text"):
+            for part in tk.slices(batch, "text", SLICE_BYTES):
                 data, off = tk.utf8(normal(part.column("text")))
                 key = pc.fill_null(part.column("doc_id"), 0).to_numpy().astype(np.int64).view(_U)
                 for r, got in enumerate(sample_slice(model, data, off, key, samples)):

@@ -25,7 +25,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 #: Bytes of text that a kernel takes at a time, unless one text is longer.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +79,11 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts, in order."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, split: bool = True):
         self.data, self.off, self.docs = data, off, len(off) - 1
+        self._sums: np.ndarray | None = None
+        if not split:
+            return
         n = len(data)
         word = ~SPACE[data]
         before = np.zeros(n + 1, bool)
@@ -93,7 +96,6 @@ class Words:
         self.end = np.flatnonzero(word & ~after[1:]) + 1
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.count = np.bincount(self.doc, minlength=self.docs)
-        self._sums: np.ndarray | None = None
 
     def sums(self) -> np.ndarray:
         if self._sums is None:

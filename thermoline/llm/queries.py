@@ -86,8 +86,8 @@ def _url_sql() -> str:
 def _rules_sql() -> str:
     ns = list(quality_rules.NGRAM_PERCENT)
     grams = " ".join(
-        f""", seen{n} AS (SELECT row, i, row_number() OVER (PARTITION BY row, array_to_string(list_slice(words, i, i + {n - 1}), ' ') ORDER BY i) AS nth
-             FROM (SELECT row, words, unnest(range(1, greatest(1, len(words) - {n - 2}))) AS i FROM split)),
+        f""", seen{n} AS (SELECT row, a.i, row_number() OVER (PARTITION BY row, array_to_string(list_slice(words, a.i, a.i + {n - 1}), ' ') ORDER BY a.i) AS nth
+             FROM twice a JOIN twice b USING (row) JOIN split USING (row) WHERE b.i = a.i + {n - 3}),
           cover{n} AS (SELECT row, sum(length(words[j])) AS chars FROM (
              SELECT DISTINCT row, unnest(range(i, i + {n})) AS j FROM seen{n} WHERE nth > 1) JOIN split USING (row) GROUP BY row)"""
         for n in ns
@@ -106,6 +106,7 @@ by_line AS (
 three AS (
   SELECT row, i, count(*) OVER (PARTITION BY row, array_to_string(list_slice(words, i, i + 2), ' ')) AS n
   FROM (SELECT row, words, unnest(range(1, greatest(1, len(words) - 1))) AS i FROM split)),
+twice AS (SELECT row, i FROM three WHERE n > 1),
 repeated AS (
   SELECT row, count(*) AS n FROM (SELECT DISTINCT row, unnest(range(i, i + 3)) AS j FROM three WHERE n > 1) GROUP BY row)
 {grams},

@@ -48,8 +48,8 @@ def moving_average(c: str, w: WindowSpec, window: int) -> Column:
 
 
 def arc_length(x: str, y: str, w: WindowSpec) -> Column:
-    """Length of the path up to each row."""
-    return F.sum(F.coalesce(F.col("step"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    """Length of the path up to each row; summed as decimals, so that it is the same in any order of merging."""
+    return F.sum(F.coalesce(F.col("step"), F.lit(0.0)).cast("decimal(30,12)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
 
 
 def with_arc_length(df: DataFrame, x: str, y: str, w: WindowSpec | None = None, name: str = "arc_length") -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from thermoline.plans import series_queries, suite_queries
+
+_TABLES = (series_queries.TABLE, suite_queries.TABLE)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for t in _TABLES for name, (f, _) in t.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for t in _TABLES for name, (_, sql) in t.items() if sql}

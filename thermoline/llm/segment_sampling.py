@@ -51,7 +51,57 @@ def _hashed(*parts: np.ndarray | int) -> np.ndarray:
 
 def _uniform(*parts: np.ndarray | int) -> np.ndarray:
     """Numbers between 0 and 1 from the hash of the parts."""
-    return ((_hashed(*parts) >> _U(11)).astype(float) + 0.5) / 2**53
+    return _share(_hashed(*parts))
+
+
+def _share(h: np.ndarray) -> np.ndarray:
+    """Bits as a number between 0 and 1."""
+    return ((h >> _U(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _stream(seed: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
+    """Numbers between 0 and 1 for the turns of a seed that is a hash itself."""
+    h = seed + np.asarray(turn).astype(_U) * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(32)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(29)
+    h *= _U(0x94D049BB133111EB)
+    return _share(h)
+
+
+class _Table:
+    """Hashes with a value each, found by address: the second address holds those whose first is taken."""
+
+    SHIFTS = ((0x9E3779B97F4A7C15, 46), (0xD6E8FEB86659FD93, 46))
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.values = hashes, values.astype(np.int32)
+        self.slots, left = [], np.arange(len(hashes))
+        for times, shift in self.SHIFTS:
+            slot = np.zeros(1 << (64 - shift), np.int32)
+            at = self._address(hashes[left], times, shift)
+            slot[at] = left
+            self.slots.append(slot)
+            left = left[slot[at] != left]
+        self.rest = {int(hashes[k]): int(values[k]) for k in left}
+
+    @staticmethod
+    def _address(h: np.ndarray, times: int, shift: int) -> np.ndarray:
+        return ((h * _U(times)) >> _U(shift)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which are there, and the values of those."""
+        at = self.slots[0][self._address(h, *self.SHIFTS[0])]
+        good = self.hashes[at] == h
+        miss = np.flatnonzero(~good)
+        other = self.slots[1][self._address(h[miss], *self.SHIFTS[1])]
+        hit = self.hashes[other] == h[miss]
+        at[miss[hit]], good[miss[hit]] = other[hit], True
+        value = self.values[at]
+        for k, v in self.rest.items():
+            same = h == _U(k)
+            value[same], good[same] = v, True
+        return good, value[good]
 
 
 class Pieces:
@@ -86,7 +136,7 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.first = np.cumsum(self.size) - self.size
         self.longest = max(by_size)
-        #: By length: sorted hashes of all beginnings, and the piece that each is, or -1.
+        #: By length: hashes of all beginnings, and the piece that each is, or -1.
         self.tables = []
         for m in range(1, self.longest + 1):
             begins = {p[:m]: -1 for size, own in by_size.items() if size >= m for p in own}
@@ -95,8 +145,7 @@ class Pieces:
             h = np.zeros(len(begins), _U)
             for k in range(m):
                 h += self.turn(joined[:, k], k)
-            order = np.argsort(h)
-            self.tables.append((h[order], np.array(list(begins.values()))[order]))
+            self.tables.append(_Table(h, np.array(list(begins.values()))))
         #: The first two lengths by their bytes: whether any piece begins so, and the piece.
         self.short = [(np.zeros(256**m, bool), np.full(256**m, -1)) for m in (1, 2)]
         for p in (p for own in by_size.values() for p in own):
@@ -152,7 +201,7 @@ class Lattices:
         own = np.zeros(total, bool)
         alive = np.flatnonzero(char).astype(np.int32)
         h = np.zeros(len(alive), _U)
-        for m, (hashes, ids) in enumerate(model.tables, 1):
+        for m, table in enumerate(model.tables, 1):
             if m > 1:
                 enough = left[alive] >= m
                 alive, h = alive[enough], h[enough]
@@ -166,9 +215,8 @@ class Lattices:
                 good = begins[code]
                 alive, h, piece = alive[good], h[good], pieces[code[good]]
             else:
-                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                good = hashes[at] == h
-                alive, h, piece = alive[good], h[good], ids[at[good]]
+                good, piece = table.find(h)
+                alive, h = alive[good], h[good]
             hit = piece >= 0
             found.append((alive[hit], m, piece[hit]))
             own[alive[hit & (sizes[alive] == m)]] = True
@@ -199,7 +247,7 @@ class Lattices:
 
         beta = np.full(total + 1, -np.inf)
         beta[total] = 0.0
-        self.log_p = model.log_weight[self.piece]
+        self.log_p, self.p = model.log_weight[self.piece], np.empty(arcs)
         for d in range(longest):
             s, e = int(level[d]), int(level[d + 1])
             a, b = int(self.first[s]), int(self.first[e])
@@ -207,27 +255,28 @@ class Lattices:
                 continue
             has = np.flatnonzero(count[s:e])
             at, each = self.first[s:e][has] - a, count[s:e][has]
-            x = self.log_p[a:b] + beta[self.to[a:b]]
-            top = np.maximum.reduceat(x, at)
-            top[top == -np.inf] = 0.0
-            with np.errstate(divide="ignore"):
-                beta[s + has] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, each)), at))
-        with np.errstate(invalid="ignore"):
-            self.log_p += beta[self.to]
-            self.log_p -= np.repeat(beta, count)
-        self.log_p[~np.isfinite(self.log_p)] = -np.inf  # states inside a character that no path meets
-        self.p = np.exp(self.log_p)
+            x = self.log_p[a:b]
+            x += beta[self.to[a:b]]
+            x -= np.repeat(np.maximum.reduceat(x, at), each)
+            top = self.log_p[a:b][at]  # what each state's first arc has left, to find its largest again
+            p = np.exp(x)
+            sums = np.add.reduceat(p, at)
+            p /= np.repeat(sums, each)
+            self.p[a:b] = p
+            # The state's total: its first arc's weight and total, less what was taken off it.
+            first = a + at
+            beta[s + has] = model.log_weight[self.piece[first]] + beta[self.to[first]] - top + np.log(sums)
+            x -= np.repeat(np.log(sums), each)
         self.last = np.maximum(self.first[1:-1] - 1, 0)
-        sums = np.concatenate([[0.0], np.cumsum(self.p)])
-        self.upto = sums[1:] - np.repeat(sums[self.first[:-2]], count[:-1])
 
     def step(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc that each uniform number picks."""
-        arc, last = self.first[state], self.last[state]
-        wait = np.flatnonzero((u >= self.upto[arc]) & (arc < last))
+        arc, last, rest = self.first[state], self.last[state], u.copy()
+        wait = np.flatnonzero((rest >= self.p[arc]) & (arc < last))
         while len(wait):
+            rest[wait] -= self.p[arc[wait]]
             arc[wait] += 1
-            wait = wait[(u[wait] >= self.upto[arc[wait]]) & (arc[wait] < last[wait])]
+            wait = wait[(rest[wait] >= self.p[arc[wait]]) & (arc[wait] < last[wait])]
         return arc
 
     def paths(self, begin: np.ndarray, key: np.ndarray, nth: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +284,7 @@ class Lattices:
         state, live, steps = begin.copy(), np.arange(len(begin)), []
         turn, seed = 0, _hashed(key, nth * 64 + sample)
         while len(live):
-            arc = self.step(state, _uniform(seed[live] + _U(turn)))
+            arc = self.step(state, _stream(seed[live], turn))
             steps.append((live, arc))
             state = self.to[arc]
             go = state != self.end
@@ -297,10 +346,14 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
         lattice, begin = Lattices(model, data, start, end), start
     word_off = np.searchsorted(doc, np.arange(docs + 1))
 
-    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for r in range(samples):
-        arcs, count = lattice.paths(begin, key[doc], nth, r)
-        fresh.append((arcs, count, np.concatenate([[0], np.cumsum(count)])))
+    word_key = key[doc]
+
+    def fresh(r: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """New paths through some of the words, and where each word's begins, those left out being empty."""
+        arcs, own = lattice.paths(begin[some], word_key[some], nth[some], r)
+        count = np.zeros(len(start) + 1, np.int64)
+        count[some + 1] = own
+        return arcs, np.cumsum(count)
 
     def values(path: _Path, limit: np.ndarray, fixed: np.ndarray, r: int) -> None:
         """Log probability, and the entries beyond the first `fixed` steps."""
@@ -313,7 +366,7 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
         rest = 1 - lattice.p[path.arcs]
         with np.errstate(divide="ignore"):
             location = path.before + np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
-        path.entry = _cut(location, limit[owner], _uniform(_hashed(key, 1000 + r)[owner] + at.astype(_U)))
+        path.entry = _cut(location, limit[owner], _stream(_hashed(key, 1000 + r)[owner], at))
         path.entry[at < fixed[owner]] = -np.inf
 
     out = []
@@ -323,9 +376,8 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
     alive = np.ones(docs, bool)
     for r in range(samples):
         if r == 0:
-            word_count = np.add.reduceat(np.append(fresh[0][1], 0), word_off[:-1]) if docs else np.zeros(0, np.int64)
-            word_count = np.where(np.diff(word_off) > 0, word_count, 0) if docs else word_count
-            path = _Path(fresh[0][0], word_count)
+            arcs, first = fresh(0, np.arange(len(start)))
+            path = _Path(arcs, first[word_off[1:]] - first[word_off[:-1]])
             values(path, value, np.zeros(docs, np.int64), 0)
         else:
             best = np.stack([_segment_max(p.entry, p.off)[0] for p in paths])
@@ -333,10 +385,14 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
             value, which = best.max(axis=0), best.argmax(axis=0)
             alive &= np.isfinite(value)
             arcs_of, counts, fixed = [], np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-            arcs, count, first = fresh[r]
-            pick, spare = _uniform(key, 2000 + r), _uniform(key, 3000 + r)
-            tails = _uniform(_hashed(key, 4000 + r)[:, None] + np.arange(16, dtype=_U))
             turned = np.flatnonzero(alive)
+            branch = np.zeros(docs, np.int64)
+            for d in turned.tolist():
+                own = paths[which[d]].word_end[word_off[d] : word_off[d + 1]]
+                branch[d] = np.searchsorted(own, places[which[d]][d], "right") + word_off[d]
+            arcs, first = fresh(r, np.flatnonzero(alive[doc] & (np.arange(len(start)) > branch[doc])))
+            pick, spare = _uniform(key, 2000 + r), _uniform(key, 3000 + r)
+            tails = _stream(_hashed(key, 4000 + r)[:, None], np.arange(16))
             chosen = np.array([paths[which[d]].arcs[places[which[d]][d]] for d in turned.tolist()], lattice.first.dtype)
             states = np.searchsorted(lattice.first, chosen, "right") - 1
             for d, state in zip(turned.tolist(), states.tolist(), strict=True):
@@ -357,7 +413,7 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
                     got = int(lattice.step(np.array([now]), np.array([u]))[0])
                     tail.append(got)
                     now, turn = int(lattice.to[got]), turn + 1
-                word = int(np.searchsorted(old.word_end[word_off[d] : word_off[d + 1]], place, "right")) + int(word_off[d])
+                word = int(branch[d])
                 whole = [old.arcs[old.off[d] : place], tail, arcs[first[word + 1] : first[word_off[d + 1]]]]
                 arcs_of.append(np.concatenate(whole))
                 counts[d], fixed[d] = len(arcs_of[-1]), depth + 1

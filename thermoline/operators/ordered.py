@@ -49,7 +49,7 @@ def moving_average(c: str, w: WindowSpec, window: int) -> Column:
 
 def arc_length(x: str, y: str, w: WindowSpec) -> Column:
     """Length of the path up to each row; summed as decimals, so that it is the same in any order of merging."""
-    return F.sum(F.coalesce(F.col("step"), F.lit(0.0)).cast("decimal(30,12)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
+    return F.sum(F.coalesce(F.col("step"), F.lit(0.0)).cast("decimal(30,9)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")
 
 
 def with_arc_length(df: DataFrame, x: str, y: str, w: WindowSpec | None = None, name: str = "arc_length") -> DataFrame:
@@ -64,9 +64,9 @@ def resample(df: DataFrame, columns: list[str], at: str, step: float) -> DataFra
     ahead = df.select(RUN, at, *columns, F.lead(at).over(w).alias("to"), *(F.lead(c).over(w).alias(f"{c}_to") for c in columns), F.max(at).over(Window.partitionBy(RUN)).alias("total"))
     spans = ahead.where((F.col("to") > F.col(at)) | F.col("to").isNull())
     inside = F.expr(f"CASE WHEN `to` IS NULL THEN array(`{at}`) WHEN ceil(`{at}` / {step}) * {step} < `to` THEN transform(sequence(ceil(`{at}` / {step}), ceil(`to` / {step}) - 1), k -> k * {step}D) ELSE array() END")
-    points = spans.withColumn("s", F.explode(inside))
-    share = F.coalesce((F.col("s") - F.col(at)) / (F.col("to") - F.col(at)), F.lit(0.0))
-    return points.select(RUN, F.col("s").cast("double").alias(at), *((F.col(c) + share * F.coalesce(F.col(f"{c}_to") - F.col(c), F.lit(0.0))).alias(c) for c in columns))
+    points = spans.withColumn("resampled_at", F.explode(inside))
+    share = F.coalesce((F.col("resampled_at") - F.col(at)) / (F.col("to") - F.col(at)), F.lit(0.0))
+    return points.select(RUN, F.col("resampled_at").cast("double").alias(at), *((F.col(c) + share * F.coalesce(F.col(f"{c}_to") - F.col(c), F.lit(0.0))).alias(c) for c in columns))
 
 
 def fill_linear(c: str, w: WindowSpec | None = None) -> Column:

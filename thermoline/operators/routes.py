@@ -89,6 +89,7 @@ def route_results(kind: str, series: DataFrame, report: DataFrame, gate: DataFra
 def qc_summary(kind: str, series: DataFrame, report: DataFrame, profile: str = "real_video") -> DataFrame:
     """The quality summary struct of each run and route."""
     parts = []
+    accepted = qc.acceptance(series, profile).select(RUN, F.col("quality_median").alias("accepted_quality"), "centerline_disagreement_median", "axis_peak_position_stability_p95") if kind == "braided" else None
     for metric in ROUTES[kind].values():
         value, recovery = gates.COLUMNS[metric]
         own = report.where(F.col("metric_key") == metric).select(RUN, "increasing", "fit_rmse", F.col("monotonic_violation_fraction").alias("violation_raw"))
@@ -106,7 +107,6 @@ def qc_summary(kind: str, series: DataFrame, report: DataFrame, profile: str = "
             got = got.join(gates.route_c_deviation(both, report), RUN, "left").join(qc.wire_violation(both, value, F.lit(False)), RUN, "left")
             violation, key, number = F.coalesce("violation", "violation_raw"), F.lit("route_b_deviation_fraction"), F.col("deviation")
         elif kind == "braided":
-            accepted = qc.acceptance(series, profile).select(RUN, F.col("quality_median").alias("accepted_quality"), "centerline_disagreement_median", "axis_peak_position_stability_p95")
             got = got.join(accepted, RUN, "left").withColumn("quality_median", F.col("accepted_quality"))
             if metric == "length_axis":
                 key, number = F.lit("centerline_disagreement_median"), F.col("centerline_disagreement_median")
@@ -161,3 +161,14 @@ def direction_result(report: DataFrame, runs: DataFrame, metric_key: str = "dire
 def reported_value(formal: Column, provisional: Column, smoothed: Column, route: Column, route_smoothed: Column) -> Column:
     """The first that there is."""
     return F.coalesce(formal, provisional, smoothed, route, route_smoothed)
+
+
+def fallback_status(status: Column, gate_reason: Column, selected_as_formal: Column) -> Column:
+    """Status of a route of an older summary, from its reason and selection where it has none."""
+    return F.coalesce(status, F.when(gate_reason == "temperature_sync_missing", F.lit("quicklook_only")).when(gate_reason.isNotNull(), "formal_blocked").when(selected_as_formal, "formal_passed").otherwise("provisional"))
+
+
+def complete(results: DataFrame, kind: str) -> DataFrame:
+    """Routes A, B and C of every run, those that an older summary lacks as NULLs."""
+    every = results.select(RUN).distinct().withColumn("alias", F.explode(F.array(*(F.lit(a) for a in ROUTES[kind]))))
+    return every.join(results, [RUN, "alias"], "left")

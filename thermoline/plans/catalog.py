@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermoline.plans import series_queries, suite_queries
+from thermoline.plans import series_queries, suite_queries, vision_queries
 
-_TABLES = (series_queries.TABLE, suite_queries.TABLE)
+_TABLES = (series_queries.TABLE, suite_queries.TABLE, vision_queries.TABLE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

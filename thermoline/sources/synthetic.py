@@ -22,11 +22,11 @@ def schedule(spark: SparkSession, fps: float, seconds: float, start_c: float, en
 class WireModel:
     """One bend of constant curvature along an inextensible needle. The published demonstration."""
 
-    length_px: float = 255.0
-    anchor_x: float = 645.0
-    anchor_y: float = 38.0
-    anchor_angle_deg: float = 108.0
-    kappa_m: float = 0.0115
+    length_px: float = 400.0
+    anchor_x: float = 585.0
+    anchor_y: float = 32.0
+    anchor_angle_deg: float = 90.0
+    kappa_m: float = 0.0045
     kappa_a: float = 0.00005
     centre_c: float = 47.0
     width_c: float = 2.0
@@ -57,23 +57,23 @@ def with_true_recovery(truth: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class BraidedModel:
-    """A braid that shortens and widens; values at low and high temperature."""
+    """A braid that shortens and widens. The published demonstration, at low and high temperature."""
 
-    length_m_px: float = 420.0
-    length_a_px: float = 300.0
-    diameter_m_px: float = 60.0
-    diameter_a_px: float = 120.0
-    bow_m_px: float = 40.0
+    length_m_px: float = 520.0
+    length_a_px: float = 410.0
+    diameter_m_px: float = 120.0
+    diameter_a_px: float = 220.0
+    bow_m_px: float = 14.0
     bow_a_px: float = 8.0
-    angle_m_deg: float = 4.0
-    angle_a_deg: float = 0.0
+    angle_m_deg: float = -1.5
+    angle_a_deg: float = 2.0
     center_x: float = 640.0
-    center_y: float = 424.0
-    shift_x: float = 0.0
-    shift_y: float = 0.0
-    peak: float = 0.5
-    left_power: float = 1.0
-    right_power: float = 1.0
+    center_y: float = 260.0
+    shift_x: float = 10.0
+    shift_y: float = -6.0
+    peak: float = 0.56
+    left_power: float = 0.88
+    right_power: float = 1.06
     centre_c: float = 47.0
     width_c: float = 2.0
     samples: int = 240

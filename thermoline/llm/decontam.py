@@ -222,7 +222,7 @@ class Index:
             for d, (s, e) in enumerate(zip(off[:-1], off[1:], strict=True)):
                 raw = b" " + data[s:e].tobytes()
                 for k in self.short:
-                    if b" " + self.raw[k] in raw:
+                    if b" " + self.raw[k] + b" " in raw:
                         found[d][k] = 0
         return found
 

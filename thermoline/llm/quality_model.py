@@ -46,10 +46,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     edge = np.flatnonzero(first)
     start, end = edge, np.append(edge[1:], n)
     real = kind[start] > 0
-    glued = np.zeros(len(start), bool)
-    glued[1:] = real[:-1]
-    start, end, glued = start[real], end[real], glued[real]
     doc = np.searchsorted(off, start, "right") - 1
+    glued = np.zeros(len(start), bool)
+    glued[1:] = real[:-1] & (doc[1:] == doc[:-1])
+    start, end, glued, doc = start[real], end[real], glued[real], doc[real]
     runs = np.bincount(doc, minlength=docs)
     h = tk.Words(data, off).span_hash(start, end)
 

@@ -301,22 +301,22 @@ def regularized_series(spark: SparkSession, d: str) -> DataFrame:
     return temporal.regularized(rows, "x_fit_px", "a", "x_regular", True).drop("a")
 
 
-ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, round(CAST(sum(CAST(step AS DECIMAL(30,9))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.00000017, 6) AS s FROM st)"
+ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, round(CAST(sum(CAST(step AS DECIMAL(30,9))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.00000000017, 6) AS s FROM st)"
 
 
 @query("arc_length", "WITH " + WIRE + ARC + " SELECT run_id, frame, round(s + 0.0000003, 5) AS arc_length FROM arc")
 def arc_length(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", F.round(R6(F.col("arc_length") + 1.7e-7) + 3e-7, 5).alias("arc_length"))
+    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", F.round(R6(F.col("arc_length") + 1.7e-10) + 3e-7, 5).alias("arc_length"))
 
 
 @query("resample_polyline", "WITH " + WIRE + ARC + """,
 ah AS (SELECT *, lead(s) OVER w AS s1, lead(tip_x) OVER w AS x1, lead(tip_y) OVER w AS y1 FROM arc WINDOW w AS (PARTITION BY run_id ORDER BY s, frame)),
 sp AS (SELECT * FROM ah WHERE s1 > s OR s1 IS NULL),
 pt AS (SELECT *, unnest(CASE WHEN s1 IS NULL THEN [s] ELSE list_transform(range(CAST(ceil(s / 5.0) AS BIGINT), CAST(ceil(s1 / 5.0) AS BIGINT)), lambda k: k * 5.0) END) AS pos FROM sp)
-SELECT run_id, round(pos + 0.0000003, 5) AS arc_length, round(tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0) + 0.0000017, 4) AS x, round(tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0) + 0.0000017, 4) AS y FROM pt""")
+SELECT run_id, round(pos + 0.0000003, 5) AS arc_length, round(tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0) + 0.00000000017, 4) AS x, round(tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0) + 0.00000000017, 4) AS y FROM pt""")
 def resample_polyline(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").withColumn("arc_length", R6(F.col("arc_length") + 1.7e-7))
-    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", F.round(F.col("arc_length") + 3e-7, 5).alias("arc_length"), F.round(F.col("tip_x") + 1.7e-6, 4).alias("x"), F.round(F.col("tip_y") + 1.7e-6, 4).alias("y"))
+    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").withColumn("arc_length", R6(F.col("arc_length") + 1.7e-10))
+    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", F.round(F.col("arc_length") + 3e-7, 5).alias("arc_length"), F.round(F.col("tip_x") + 1.7e-10, 4).alias("x"), F.round(F.col("tip_y") + 1.7e-10, 4).alias("y"))
 
 
 PROFILE = ", prof AS (SELECT run_id, CAST(frame AS DOUBLE) AS pos, CASE WHEN event_type <> 'error' THEN 10.0 + k * 0.5 END AS width FROM prog)"

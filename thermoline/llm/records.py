@@ -134,7 +134,7 @@ class ChunkEncoder:
         cut[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        words = tk.Words(data, off)
+        words = tk.Words(data, off, split=False)
         h = words.span_hash(start, end)
         distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, distinct)
@@ -185,7 +185,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int
         part = TaskContext.get().partitionId()
         encoder, out, index, at, tokens, name = None, None, [], 0, 0, f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
-            for some in tk.slices(batch, "text", 4 << 20):
+            for some in tk.slices(batch, "text", 2 << 20):
                 if out is None:
                     encoder = encoder_of(tokenizer_path)
                     fs, path = pafs.FileSystem.from_uri(name)

@@ -266,7 +266,7 @@ def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text
     below = nodes.select("set_id", "size", F.posexplode("nodes").alias("tree", "node"))
     crowded = below.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
     crowded = stored(crowded, "crowded")  # stored, so that the joins by node have no aggregate at their side and Spark can split a large node
-    member = below.join(crowded, ["tree", "node"]).drop("size").join(nodes.select("set_id", "nodes"), "set_id")
+    member = below.join(crowded.hint("merge"), ["tree", "node"]).drop("size").join(nodes.select("set_id", "nodes"), "set_id")
     member = stored(member, "members")
     met = F.lit(False)
     for t in range(TREES - 1):
@@ -274,7 +274,7 @@ def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text
     fresh = member.groupBy("tree", "node").agg(met.alias("met")).where(~F.col("met")).select("tree", "node")
     fresh = stored(fresh, "fresh")
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_SETS)).cast("int")
-    work = member.join(fresh, ["tree", "node"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit("block")), "blocks").cast("int"))
+    work = member.join(fresh.hint("merge"), ["tree", "node"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit("block")), "blocks").cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = stored(work.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "block", "nodes"), "work")
 
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
     """
     signed, known = _classes(docs, threshold, target, id_col, text_col)
     known = stored(known, "known")  # as above: a large group of copies can be split
-    rows = signed.where("set_id IS NOT NULL").select("doc_id", "set_id").join(known, "set_id", "left")
+    rows = signed.where("set_id IS NOT NULL").select("doc_id", "set_id").join(known.hint("merge"), "set_id", "left")
     rows = rows.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
     return rows.union(signed.where("set_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 

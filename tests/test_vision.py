@@ -43,3 +43,12 @@ def test_largest_component_is_kept_whole(spark):
     pixels = [(x, 5) for x in range(5, 30)] + [(30 + k, 6 + k) for k in range(9)] + [(60, y) for y in range(9)]
     df = spark.createDataFrame([(1, 1, x, y) for x, y in pixels], "run_id long, frame long, x int, y int")
     assert {(r.x, r.y) for r in vision.largest_component(df).collect()} == {(x, y) for x, y in pixels if x < 60}
+
+
+@pytest.mark.parametrize("name", ["frame_geometry_wire", "frame_geometry_braided"])
+def test_every_frame_has_geometry(spark, name):
+    from thermoline.plans import catalog, virtual
+
+    d = "/root/testdata/sf0.001"
+    got = catalog.queries()[name](spark, d).select("run_id", "frame").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, virtual.progress(spark, d).select("run_id", "frame").collect()))

@@ -33,3 +33,15 @@ def test_constant_temperature_and_short_runs_have_a_reason(spark):
     rows = [(1, "m", True, k, 20.0, float(k)) for k in range(9)] + [(2, "m", True, k, 20.0 + k, float(k)) for k in range(3)]
     got = {r.run_id: r for r in fit.reports(spark.createDataFrame(rows, "run_id long, metric_key string, increasing boolean, frame long, temperature_c double, value double")).collect()}
     assert got[1].reason == "constant_temperature" and got[2].reason == "insufficient_points" and got[1].x_m is None
+
+
+def test_wire_benchmark_runs_every_scenario_whole(spark):
+    from thermoline.plans import analysis
+
+    got = {(r.benchmark_name, r.alias): r for r in analysis.wire_benchmark(spark).collect()}
+    assert set(got) == {(name, alias) for name in ("wire_demo", "wire_demo_high_noise", "wire_demo_low_dynamic") for alias in "ABC"}
+    assert all(r.frames == 480 for r in got.values())
+    for name, x, kappa in (("wire_demo", 48.719700, 50.995924), ("wire_demo_high_noise", 48.719700, 50.995924), ("wire_demo_low_dynamic", 50.467121, 53.092273)):
+        assert [got[name, a].truth_aftan_c for a in "ABC"] == pytest.approx([x, kappa, kappa], abs=1e-6)
+        assert abs(got[name, "B"].af95_error_c) < 1 and got[name, "B"].object_formal_metric_key == "kappa_fit"
+        assert got[name, "A"].x_route_a_px_mae < 5

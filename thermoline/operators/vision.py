@@ -24,8 +24,21 @@ THRESHOLD = 128
 LEAST_PIXELS = 30
 
 
-def drawn(points: DataFrame, width: int, height: int, thickness: str = "thickness") -> DataFrame:
-    """Gray frames from polylines: rows of (run_id, frame, xs, ys, thickness), thickness one number a point."""
+def blurred(gray: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian blur, a direction at a time; the edge is carried on."""
+    reach = max(1, round(3 * sigma))
+    weight = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for axis in (0, 1):
+        wide, n = np.pad(gray, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], mode="edge"), gray.shape[axis]
+        gray = sum(w * wide.take(range(k, k + n), axis=axis) for k, w in enumerate(weight / weight.sum()))
+    return gray
+
+
+def drawn(points: DataFrame, width: int, height: int, thickness: str = "thickness", blur: float = 0.0, noise: float = 0.0) -> DataFrame:
+    """Gray frames from polylines: rows of (run_id, frame, xs, ys, thickness), thickness one number a point.
+
+    Noise is drawn from the frame's key, so a frame is the same whenever it is drawn.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gy, gx = np.mgrid[0:height, 0:width]
@@ -41,7 +54,12 @@ def drawn(points: DataFrame, width: int, height: int, thickness: str = "thicknes
                     px, py = gx[y0:y1, x0:x1] - x[k], gy[y0:y1, x0:x1] - y[k]
                     s = np.clip((px * dx + py * dy) / max(dx * dx + dy * dy, 1e-9), 0, 1)
                     dark[y0:y1, x0:x1] |= np.hypot(px - s * dx, py - s * dy) <= (t[k] + s * (t[k + 1] - t[k])) / 2
-                yield pa.RecordBatch.from_pydict({"run_id": pa.array([row["run_id"]], pa.int64()), "frame": pa.array([row["frame"]], pa.int64()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "pixels": pa.array([np.where(dark, 35, 236).astype(np.uint8).tobytes()], pa.binary())})
+                gray = np.where(dark, 35, 236)
+                if blur > 0:
+                    gray = blurred(gray.astype(float), blur)
+                if noise > 0:
+                    gray = np.clip(gray + np.random.default_rng([7, row["run_id"], row["frame"]]).normal(0.0, noise, gray.shape), 0, 255)
+                yield pa.RecordBatch.from_pydict({"run_id": pa.array([row["run_id"]], pa.int64()), "frame": pa.array([row["frame"]], pa.int64()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "pixels": pa.array([gray.astype(np.uint8).tobytes()], pa.binary())})
 
     return points.select("run_id", "frame", "xs", "ys", thickness).mapInArrow(draw, "run_id long, frame long, height int, width int, pixels binary")
 
@@ -115,29 +133,34 @@ def centerline(pixels: DataFrame, step: float = 2.0) -> DataFrame:
 
 
 def wire_geometry(frames: DataFrame, direction_deg: float = 0.0, threshold: int = THRESHOLD) -> DataFrame:
-    """One row a frame: end points, chord, curvature of a parabola over the chord, its error, span and quality.
+    """One row a frame: end points, chord, that of a parabola over it, its curvature and error, span and quality.
 
     A frame without an object has NULLs, quality 0 and model `failed`.
     """
-    pixels = largest_component(dark_pixels(frames, threshold))
+    return wire_measures(frames.select(*FRAME), largest_component(dark_pixels(frames, threshold)), direction_deg)
+
+
+def wire_measures(frames: DataFrame, pixels: DataFrame, direction_deg: float = 0.0) -> DataFrame:
+    """As wire_geometry, of frames whose object's pixels are known."""
     line = centerline(pixels)
     w = Window.partitionBy(*FRAME)
     line = line.withColumn("u", F.col("s") - F.avg("s").over(w))
     # Parabola t = a + b u + c u**2 by its normal equations; sums of u vanish.
-    m = line.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("points"), F.sum(F.pow("u", F.lit(2))).alias("u2"), F.sum(F.pow("u", F.lit(3))).alias("u3"), F.sum(F.pow("u", F.lit(4))).alias("u4"), F.sum("t").alias("t0"), F.sum(F.col("t") * F.col("u")).alias("t1"), F.sum(F.col("t") * F.col("u") * F.col("u")).alias("t2"), F.min_by(F.struct("x", "y"), "s").alias("anchor"), F.max_by(F.struct("x", "y"), "s").alias("tip"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.median("width_px").alias("width"))
+    m = line.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("points"), F.sum(F.pow("u", F.lit(2))).alias("u2"), F.sum(F.pow("u", F.lit(3))).alias("u3"), F.sum(F.pow("u", F.lit(4))).alias("u4"), F.sum("t").alias("t0"), F.sum(F.col("t") * F.col("u")).alias("t1"), F.sum(F.col("t") * F.col("u") * F.col("u")).alias("t2"), F.min_by(F.struct("x", "y"), "s").alias("anchor"), F.max_by(F.struct("x", "y"), "s").alias("tip"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("u").alias("from_u"), F.max("u").alias("to_u"), F.median("width_px").alias("width"))
     c = F.col
     det = c("points") * (c("u2") * c("u4") - c("u3") * c("u3")) - F.pow(c("u2"), F.lit(3))
     bend = (c("points") * (c("u2") * c("t2") - c("u3") * c("t1")) - c("u2") * c("u2") * c("t0")) / F.when(F.abs(det) > 1e-9, det)
     slope = (c("t1") - bend * c("u3")) / c("u2")
     level = (c("t0") - bend * c("u2")) / c("points")
-    fits = m.select(*FRAME, "points", "anchor", "tip", "s0", "s1", "width", bend.alias("bend"), slope.alias("slope"), level.alias("level"))
+    along = c("to_u") - c("from_u")
+    fits = m.select(*FRAME, "points", "anchor", "tip", "s0", "s1", "width", F.sqrt(F.pow(along, F.lit(2)) + F.pow(along * (slope + bend * (c("from_u") + c("to_u"))), F.lit(2))).alias("x_fit_px"), bend.alias("bend"), slope.alias("slope"), level.alias("level"))
     error = line.join(fits.select(*FRAME, "bend", "slope", "level"), FRAME).groupBy(*FRAME).agg(qc.rmse(c("t"), c("level") + c("slope") * c("u") + c("bend") * c("u") * c("u")).alias("quadratic_rmse_px"))
     span = geometry.directional_span(pixels, FRAME, "x", "y", direction_deg)
     area = pixels.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("area_px2"))
-    rows = frames.select(*FRAME).join(fits, FRAME, "left").join(error, FRAME, "left").join(span, FRAME, "left").join(area, FRAME, "left")
+    rows = frames.join(fits, FRAME, "left").join(error, FRAME, "left").join(span, FRAME, "left").join(area, FRAME, "left")
     ok = F.coalesce(c("area_px2") >= LEAST_PIXELS, F.lit(False)) & c("bend").isNotNull()
     kappa = F.abs(2 * c("bend")) / F.pow(1 + c("slope") * c("slope"), F.lit(1.5))
-    shown = {"anchor_x": c("anchor.x"), "anchor_y": c("anchor.y"), "tip_x": c("tip.x"), "tip_y": c("tip.y"), "x_px": F.sqrt(F.pow(c("tip.x") - c("anchor.x"), 2) + F.pow(c("tip.y") - c("anchor.y"), 2)), "kappa_fit_px_inv": kappa, "centerline_points": c("points").cast("double"), "quadratic_rmse_px": c("quadratic_rmse_px"), "direction_mask_span_px": c("direction_span_px"), "area_px2": c("area_px2").cast("double")}
+    shown = {"anchor_x": c("anchor.x"), "anchor_y": c("anchor.y"), "tip_x": c("tip.x"), "tip_y": c("tip.y"), "x_px": F.sqrt(F.pow(c("tip.x") - c("anchor.x"), 2) + F.pow(c("tip.y") - c("anchor.y"), 2)), "x_fit_px": c("x_fit_px"), "kappa_fit_px_inv": kappa, "centerline_points": c("points").cast("double"), "quadratic_rmse_px": c("quadratic_rmse_px"), "direction_mask_span_px": c("direction_span_px"), "area_px2": c("area_px2").cast("double")}
     quality = F.when(ok, F.exp(-c("quadratic_rmse_px") / 4.0)).otherwise(F.lit(0.0))
     return rows.select(*FRAME, *(F.when(ok, v).alias(k) for k, v in shown.items()), quality.alias("quality"), F.when(ok, "quadratic").otherwise("failed").alias("model_name"))
 

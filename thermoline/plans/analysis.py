@@ -81,8 +81,8 @@ def _finish(kind: str, series: DataFrame, reports: DataFrame, profile: str, pres
     return Analysis(series, reports, gate, chosen, results, routes.object_result(chosen, reports, F.lit(preset)))
 
 
-def analyze_wire(series: DataFrame, log: DataFrame | None, by: str = "frame", offset_sec: float = 0.0) -> Analysis:
-    rows = with_temperature(temporal.route_c(series.drop(*temporal.ROUTE_C_COLUMNS)), log, by, offset_sec)
+def analyze_wire(series: DataFrame, log: DataFrame | None, by: str = "frame", offset_sec: float = 0.0, smoothing: temporal.RouteC = temporal.RouteC()) -> Analysis:
+    rows = with_temperature(temporal.route_c(series.drop(*temporal.ROUTE_C_COLUMNS), smoothing), log, by, offset_sec)
     rows, reports = evaluated(stored(rows, "series"), WIRE)
     return _finish("wire", rows, reports, "real_video", "wire_like")
 
@@ -93,13 +93,69 @@ def analyze_braided(series: DataFrame, log: DataFrame | None, by: str = "frame",
     return _finish("braided", rows, reports, profile, "braided_like")
 
 
-def wire_benchmark(spark: SparkSession, fps: float = 8.0, seconds: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """Truth, drawn frames and measured geometry of a small wire; the second table is the error of the chord."""
-    model = synthetic.WireModel(length_px=90.0, anchor_x=60.0, anchor_y=8.0, kappa_m=0.018, kappa_a=0.0002, samples=40)
-    truth = synthetic.with_true_recovery(synthetic.wire_truth(synthetic.schedule(spark, fps, seconds, 20.0, 65.0), model))
-    step, at = model.length_px / (model.samples - 1), F.sequence(F.lit(0), F.lit(model.samples - 1))
-    theta = lambda j: F.radians(F.lit(model.anchor_angle_deg)) + F.col("kappa_true_px_inv") * step * j
-    walk = lambda trig, start: F.transform(at, lambda i: F.lit(start) + F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + step * trig(theta(j))))
-    lines = truth.select(RUN, "frame", walk(F.cos, model.anchor_x).alias("xs"), walk(F.sin, model.anchor_y).alias("ys"), F.array_repeat(F.lit(3.0), model.samples).alias("thickness"))
-    measured = vision.wire_geometry(vision.drawn(lines, 128, 112))
-    return truth.join(measured.select(RUN, "frame", "x_px", "quality"), [RUN, "frame"], "left"), suite.truth_error(measured.drop("anchor_x", "anchor_y", "tip_x", "tip_y"), truth, [RUN], {"x_px": "x_true_px"})
+@dataclass(frozen=True)
+class WireScenario:
+    """A synthetic wire, how it is drawn, and how it is measured and smoothed."""
+
+    model: synthetic.WireModel = synthetic.WireModel()
+    thickness: float = 5.0
+    noise: float = 2.0
+    blur: float = 0.8
+    threshold: int = 145
+    smoothing: temporal.RouteC = temporal.RouteC(0.25, 0.25, 0.08)
+
+
+#: The published benchmark. A run's id is its place here.
+WIRE_SCENARIOS = {
+    "wire_demo": WireScenario(),
+    "wire_demo_high_noise": WireScenario(thickness=4.0, noise=4.5, blur=1.4, threshold=152, smoothing=temporal.RouteC(0.25, 0.22, 0.07)),
+    "wire_demo_low_dynamic": WireScenario(synthetic.WireModel(kappa_m=0.0038, kappa_a=0.00055, width_c=3.1), smoothing=temporal.RouteC(0.25, 0.28, 0.09)),
+}
+#: The part of the frame that is looked at (x0, y0, x1, y1), and the place near which the anchor lies.
+WIRE_ROI, WIRE_ANCHOR = (180, 0, 760, 520), (575.0, 13.0)
+FPS, SECONDS, START_C, END_C = 20.0, 24.0, 20.0, 65.0
+
+
+def wire_recording(spark: SparkSession, run_id: int, scenario: WireScenario) -> tuple[DataFrame, DataFrame]:
+    """Truth and measured series of one scenario: every frame is drawn and measured."""
+    m, (x0, y0, x1, y1) = scenario.model, WIRE_ROI
+    truth = synthetic.with_true_recovery(synthetic.wire_truth(synthetic.schedule(spark, FPS, SECONDS, START_C, END_C, run_id), m))
+    step, angle = m.length_px / (m.samples - 1), F.radians(F.lit(m.anchor_angle_deg))
+    turn = F.col("kappa_true_px_inv") * step
+    # The sum of unit steps up to the i-th, in closed form; the first point is the anchor itself.
+    reach = lambda i: step * F.sin((i + 1) * turn / 2) / F.sin(turn / 2)
+    walk = lambda trig, start: F.transform(F.sequence(F.lit(0), F.lit(m.samples - 1)), lambda i: F.when(i == 0, start).otherwise(start + reach(i) * trig(angle + i * turn / 2)))
+    lines = truth.select(RUN, "frame", walk(F.cos, F.lit(m.anchor_x - x0)).alias("xs"), walk(F.sin, F.lit(m.anchor_y - y0)).alias("ys"), F.array_repeat(F.lit(scenario.thickness), m.samples).alias("thickness"))
+    frames = vision.drawn(lines, x1 - x0, y1 - y0, blur=scenario.blur, noise=scenario.noise)
+    pixels = stored(vision.largest_component(vision.dark_pixels(frames, scenario.threshold)), "pixels")
+    got = vision.wire_measures(truth.select(RUN, "frame"), pixels)
+    # The axis points to the right; the end nearer to the anchor's place is the anchor.
+    far = lambda e: F.pow(F.col(f"{e}_x") + x0 - WIRE_ANCHOR[0], 2) + F.pow(F.col(f"{e}_y") + y0 - WIRE_ANCHOR[1], 2)
+    turned = far("tip") < far("anchor")
+    ends = {f"{e}_{c}": F.when(turned, F.col(f"{o}_{c}")).otherwise(F.col(f"{e}_{c}")) + off for e, o in (("anchor", "tip"), ("tip", "anchor")) for c, off in (("x", x0), ("y", y0))}
+    series = got.withColumns(ends).withColumnRenamed("x_px", "x_route_a_px")
+    series = series.withColumns({f"route_a_{e}": F.col(e) for e in ("anchor_x", "anchor_y", "tip_x", "tip_y")}).join(truth.select(RUN, "frame", "time_sec"), [RUN, "frame"])
+    return truth, stored(series, "measured")
+
+
+def _against_truth(spark: SparkSession, name: str, done: Analysis, truth: DataFrame, truth_of: dict[str, tuple[str, bool]], errors: dict[str, str]) -> DataFrame:
+    """One row for each route of a scenario: its result, the truth's transition temperatures, and the errors of the measured columns."""
+    parts = [truth.select(RUN, F.lit(alias).alias("metric_key"), F.lit(up).alias("increasing"), "frame", "temperature_c", F.col(column).alias("value")) for alias, (column, up) in truth_of.items()]
+    real = fit.reports(reduce(DataFrame.unionByName, parts)).select(RUN, F.col("metric_key").alias("alias"), F.col("af95_c").alias("truth_af95_c"), F.col("aftan_c").alias("truth_aftan_c"))
+    measured = done.series.select(RUN, "frame", *errors)
+    rows = routes.flattened(done.route_results).join(real, [RUN, "alias"], "left").join(done.object_result.drop("object_result_schema_version"), RUN, "left")
+    rows = rows.join(suite.truth_error(measured, truth.select(RUN, "frame", *set(errors.values())), [RUN], errors), RUN, "left").join(done.series.groupBy(RUN).agg(F.count(F.lit(1)).alias("frames")), RUN)
+    return rows.select(F.lit(name).alias("benchmark_name"), "*", (F.col("af95_c") - F.col("truth_af95_c")).alias("af95_error_c"), (F.col("aftan_c") - F.col("truth_aftan_c")).alias("aftan_error_c"))
+
+
+def wire_benchmark(spark: SparkSession) -> DataFrame:
+    """Each scenario's routes against the truth, from drawn frames through measurement, smoothing, fits, gates and selection."""
+    parts = []
+    for run_id, (name, scenario) in enumerate(WIRE_SCENARIOS.items()):
+        truth, series = wire_recording(spark, run_id, scenario)
+        done = analyze_wire(series, truth.select(RUN, "frame", "temperature_c"), smoothing=scenario.smoothing)
+        kappa = ("kappa_true_px_inv", False)
+        errors = {c: "x_true_px" if c.startswith("x_") else kappa[0] for c in ("x_route_a_px", "x_fit_px", "x_route_c_px", "kappa_fit_px_inv", "kappa_route_c_px_inv")}
+        rows = _against_truth(spark, name, done, truth, {"A": ("x_true_px", True), "B": kappa, "C": kappa}, errors)
+        parts.append(rows.join(qc.wire_summary(done.series).drop("quality_median"), RUN, "left"))
+    return stored(reduce(DataFrame.unionByName, parts), "benchmark")

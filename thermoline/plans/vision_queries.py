@@ -43,7 +43,7 @@ def braided_frames(spark: SparkSession, d: str) -> DataFrame:
 
 @query("frame_geometry_wire")
 def frame_geometry_wire(spark: SparkSession, d: str) -> DataFrame:
-    return vision.wire_geometry(wire_frames(spark, d))
+    return vision.wire_geometry(wire_frames(spark, d)).drop("x_fit_px")
 
 
 @query("frame_geometry_braided")
@@ -106,4 +106,4 @@ def analyze_braided(spark: SparkSession, d: str) -> DataFrame:
 def wire_benchmark(spark: SparkSession, d: str) -> DataFrame:
     from thermoline.plans import analysis
 
-    return analysis.wire_benchmark(spark)[1]
+    return analysis.wire_benchmark(spark)

@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Texts are sets of five-word shingles. Equal sets are one class from the start, so copies are
-never compared. Each distinct set has a label of minhashes in every tree of the forest; a
-tree is the trie of its sorted labels, and sets below one node of a depth are candidates.
-The depth begins at the whole label and is shortened until a pair just at the threshold
-meets in some tree with the target recall, which pairs above it exceed.
+never compared. Each distinct set has a label of minhashes in every tree of the forest, and
+sets with an equal prefix of a label are candidates: a node of that depth. The depth is one
+for all, from a formula: the longest prefix with which a pair just at the threshold meets in
+some tree with the target recall, which pairs above it exceed. This is banding by that prefix.
 
 Candidates are verified exactly, by their shingles. A node whose pairs all meet in an
 earlier tree is left out, and a pair counts in the first tree where it meets, so none

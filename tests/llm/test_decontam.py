@@ -100,3 +100,14 @@ def test_recall_of_the_walks(benchmark):
     found = index.matches(pa.array([t for _, t in texts]))
     n = len(benchmark.collect())
     assert sum(k % n in got for (k, _), got in zip(texts, found, strict=True)) >= 0.95 * len(texts)
+
+
+def test_short_items_with_edits_and_punctuation(spark, table):
+    items = spark.createDataFrame([(1, "Who wrote the tale of the red lamp?"), (2, "short item here"), (None, "an item without an id, but with a text")], "item_id long, text string")
+    texts = ["x who wrote the tale of the rad lamp? y", "she asked (who wrrote the tle of the red lamp?).", "a “short item here”, b", "a short itm here.", "a short item heres", "unshort item here", "who sang the song of the blue lamp?", "an item without an id, but with a text"]
+    want = [[1], [1], [2], [2], [], [], [], []]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in d.contamination(table(rows), items).collect()}
+    assert [got[k].item_ids for k, _ in rows] == want
+    assert [got[k].edits for k in range(4)] == [[1], [2], [0], [1]]
+    assert sorted(r.doc_id for r in d.clean(table(rows), items).collect()) == [4, 5, 6]

@@ -11,6 +11,9 @@ each word's piece being the beginning of the next window. Windows whose sample s
 no item's sample are dropped in mid-walk, which loses none. Repetitions are added until, on
 copies of the items themselves with the full number of random edits, the target recall is
 reached. Every hit is verified by an exact edit distance of the whole item against the place.
+
+Short items have no room for walks: they are cut into one piece more than their edits, and
+where a piece stands they are verified alike, between word bounds.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ EDIT_PERCENT = 10
 STEPS, SAMPLED = 44, 22
 CHECKPOINTS = (10, 20, 32)
 TARGET_RECALL, MOST_REPETITIONS = 0.99, 12
-#: Items with fewer characters are matched exactly, as are all that no walk fits into.
+#: Items with fewer bytes are found by their pieces, of which one at least is free of edits, and matched between word bounds.
 SHORT = 48
 #: Bytes of items that one pass over the documents holds in memory.
 BLOCK_BYTES = 4 << 20
@@ -40,6 +43,8 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LOW[tk.SPACE] = 32
 _TABLE = 22
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), 95, *range(97, 123), *range(0x80, 0x100)]] = True
 
 
 def plain(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +100,38 @@ def edit_distance(item: bytes, text: bytes) -> int:
     return best
 
 
+def bounds(text: bytes) -> np.ndarray:
+    """Places of a plain text, its end too, that don't lie inside a word; bytes of letters and digits are words."""
+    data = np.frombuffer(text, np.uint8)
+    word = _WORD[data]
+    for lead, second, size in ((0xC2, None, 2), (0xE2, 0x80, 3), (0xE3, 0x80, 3)):  # signs of Latin-1, dashes and quotes, signs of CJK
+        at = np.flatnonzero(data[: len(data) - size + 1] == lead)
+        if second:
+            at = at[data[at + 1] == second]
+        for k in range(size):
+            word[at + k] = False
+    out = np.ones(len(data) + 1, bool)
+    out[1:-1] = ~(word[1:] & word[:-1])
+    return out
+
+
+def bounded_distance(item: bytes, text: bytes, free: np.ndarray) -> int:
+    """Least number of edits between the whole item and a part of the text between two of the free places.
+
+    Nothing is added before the item's first or after its last character: a longer word is another word.
+    """
+    far = len(item) + len(text)
+    row = np.where(free, 0, far).tolist()
+    for a in item:
+        inner = [x + 1 for x in row]  # the character is missing
+        for j, b in enumerate(text):
+            inner[j + 1] = min(inner[j + 1], row[j] + (a != b))
+        last, row = inner, inner.copy()
+        for j in range(len(text)):
+            row[j + 1] = min(row[j + 1], row[j] + 1)
+    return min((x for x, ok in zip(last, free, strict=True) if ok), default=far)
+
+
 @dataclass
 class Walk:
     """One repetition: the moves of each step and character, and the sampled steps."""
@@ -141,6 +178,7 @@ class Index:
         self.edits = [len(r) * percent // 100 for r in self.raw]
         self.short = [k for k, r in enumerate(self.raw) if r and len(r) < SHORT]
         starts = [(k, s) for k, r in enumerate(self.raw) if len(r) >= SHORT for s in [0, *(i + 1 for i, c in enumerate(r) if c == 32)]]
+        self.pieces = [p for k in self.short for p in self._cut(k)]
         self.joined = np.frombuffer(b"".join(r + b" " for r in self.raw) or b" ", np.uint8)
         begin = np.cumsum([0, *(len(r) + 1 for r in self.raw)])
         self.item, self.at = (np.array(x, np.int64) for x in zip(*starts, strict=True)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -156,6 +194,12 @@ class Index:
             if self.recall >= target:
                 break
 
+    def _cut(self, k: int) -> list[tuple[int, int, bytes]]:
+        """The item's pieces with their places, one more than its edits: a copy holds one of them as it is."""
+        raw, n = self.raw[k], self.edits[k] + 1
+        edge = [len(raw) * x // n for x in range(n + 1)]
+        return [(k, s, raw[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+
     def _add(self, walk: Walk) -> None:
         _, key, seen, end = walk.keys(self.joined, self.place)
         fits = end <= self.limit
@@ -218,18 +262,34 @@ class Index:
             n = edit_distance(self.raw[k], raw)
             if n <= self.edits[k]:
                 found[d][k] = min(n, found[d].get(k, n))
-        if self.short:
-            for d, (s, e) in enumerate(zip(off[:-1], off[1:], strict=True)):
-                raw = b" " + data[s:e].tobytes()
-                for k in self.short:
-                    if b" " + self.raw[k] + b" " in raw:
-                        found[d][k] = 0
+        whole = data.tobytes() if self.pieces else b""
+        for k, at, piece in self.pieces:
+            place = whole.find(piece)
+            while place >= 0:
+                d = int(np.searchsorted(off, place, "right")) - 1
+                self._verify(found[d], tried, d, k, place - at, whole, int(off[d]), int(off[d + 1]))
+                place = whole.find(piece, place + 1)
         return found
 
-
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items, at most `block_bytes` at a time; equal texts of one id once."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("id", "text")
+    def _verify(self, found: dict[int, int], tried: set, d: int, k: int, start: int, whole: bytes, begin: int, end: int) -> None:
+        """Match an item near a place of a text that begins and ends in these places."""
+        slack = 2 * self.edits[k] + 1
+        if (d, k, start // slack) in tried:
+            return
+        tried.add((d, k, start // slack))
+        low, high = max(begin, start - slack - self.edits[k]), min(end, start + len(self.raw[k]) + slack + self.edits[k])
+        raw = whole[low:high]
+        n = edit_distance(self.raw[k], raw)
+        if n <= self.edits[k] and len(self.raw[k]) < SHORT:
+            n = bounded_distance(self.raw[k], raw, bounds(whole[max(begin, low - 4) : high + 4])[min(4, low - begin) :][: len(raw) + 1])
+        if n <= self.edits[k]:
+            found[k] = min(n, found.get(k, n))
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, named: bool = True) -> list[list[tuple[int | None, str]]]:
+    """The items, those without an id only if not `named`, at most `block_bytes` at a time; equal texts of one id once."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct().orderBy("id", "text")
+    rows = rows.where("id IS NOT NULL") if named else rows
     blocks, size = [[]], 0
     for r in rows.toLocalIterator():
         if size and size + len(r["text"]) > block_bytes:
@@ -243,7 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row for each row of `docs`: the items it holds, in order of id, and their edits.
 
     Case of ASCII and Latin-1 letters and the length of white space don't count. Null and empty texts hold
-    nothing; null and blank items are held by nothing; items that share an id are one. A
+    nothing; null and blank items and those without an id are held by nothing; items that share an id are one. A
     benchmark of more than `block_bytes` is matched block by block along the same pass.
     No shuffle: a document never meets another.
     """
@@ -270,8 +330,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", percent: int = EDIT_PERCENT, target: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no item."""
-    for block in _blocks(benchmark, item_col, "text", block_bytes):
+    """The rows of `docs`, with all their columns, that hold no item, be it with or without an id."""
+    for block in _blocks(benchmark, item_col, "text", block_bytes, named=False):
         index = docs.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:

@@ -111,3 +111,16 @@ def test_short_items_with_edits_and_punctuation(spark, table):
     assert [got[k].item_ids for k, _ in rows] == want
     assert [got[k].edits for k in range(4)] == [[1], [2], [0], [1]]
     assert sorted(r.doc_id for r in d.clean(table(rows), items).collect()) == [4, 5, 6]
+
+
+def test_items_that_walks_miss_are_found_by_pieces():
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(12))
+    items = [(k, " ".join(word() for _ in range(4))) for k in range(40)] + [(40 + k, " ".join(word() for _ in range(30))) for k in range(400)]
+    index = d.Index(items)
+    texts = [(k, spoiled(t, len(t) // 10, rng)) for k, t in items[:40] * 5]
+    found = index.matches(pa.array([f"before {t} after" for _, t in texts]))
+    assert index.recall >= d.TARGET_RECALL
+    want = [edits(dict(items)[k].encode(), t.encode()) <= len(dict(items)[k]) // 10 for k, t in texts]
+    assert sum(want) == len(texts) and sum(k in got for (k, _), got in zip(texts, found, strict=True)) >= 0.99 * len(texts)

@@ -10,10 +10,11 @@ clean stretch of a copy, wherever it lies, can hit; a walk covers a window piece
 each word's piece being the beginning of the next window. Windows whose sample so far begins
 no item's sample are dropped in mid-walk, which loses none. Repetitions are added until, on
 copies of the items themselves with the full number of random edits, the target recall is
-reached. Every hit is verified by an exact edit distance of the whole item against the place.
+reached in each quarter of the items by length; a quarter that twelve repetitions don't bring
+there is found by pieces, as short items are. Every hit is verified by an exact edit distance of the whole item against the place.
 
-Short items have no room for walks: they are cut into one piece more than their edits, and
-where a piece stands they are verified alike, between word bounds.
+Short items have no room for walks: they are cut into one piece more than their edits, of
+which one is free of edits in any copy, and are verified alike, but between word bounds.
 """
 
 from __future__ import annotations
@@ -185,14 +186,20 @@ class Index:
         self.place, self.limit = begin[self.item] + self.at, begin[1:][self.item]
         self.walks: list[tuple[Walk, list[np.ndarray], np.ndarray, np.ndarray]] = []
         self.recall = 1.0
-        probes = self._probes()
-        missed = list(range(len(probes)))
+        groups, probes = self._probes()
+        missed = [list(range(len(g))) for g in probes]
         while len(self.item) and len(self.walks) < MOST_REPETITIONS:
             self._add(Walk.drawn(len(self.walks)))
-            missed = [k for k in missed if probes[k][0] not in {self.item[x] for _, x in self._hits(probes[k][1], word_starts(probes[k][1], np.array([0, len(probes[k][1])])), [self.walks[-1]])}]
-            self.recall = 1 - len(missed) / len(probes)
+            for g, left in enumerate(missed):
+                missed[g] = [x for x in left if probes[g][x][0] not in {self.item[w] for _, w in self._hits(probes[g][x][1], word_starts(probes[g][x][1], np.array([0, len(probes[g][x][1])])), [self.walks[-1]])}]
+            reached = [1 - len(left) / len(g) for left, g in zip(missed, probes, strict=True)]
+            self.recall = min(reached)
             if self.recall >= target:
                 break
+        if self.recall < target:  # what walks find too seldom is found by pieces, which miss none
+            weak = [k for g, r in zip(groups, reached, strict=True) if r < target for k in g]
+            self.pieces += [p for k in weak for p in self._cut(k)]
+            self.recall = min([r for r in reached if r >= target], default=1.0)
 
     def _cut(self, k: int) -> list[tuple[int, int, bytes]]:
         """The item's pieces with their places, one more than its edits: a copy holds one of them as it is."""
@@ -212,25 +219,26 @@ class Index:
         order = np.argsort(key[fits], kind="stable")
         self.walks.append((walk, wanted, key[fits][order], window[order]))
 
-    def _probes(self, copies: int = 400) -> list[tuple[int, np.ndarray]]:
-        """Items with as many random edits as are allowed."""
+    def _probes(self, copies: int = 100) -> tuple[list[list[int]], list[list[tuple[int, np.ndarray]]]]:
+        """Groups of long items by length, and of each group copies with as many random edits as are allowed."""
         rng = np.random.default_rng(11)
-        long = [k for k, r in enumerate(self.raw) if len(r) >= SHORT]
-        out = []
-        for n in range(copies if long else 0):
-            k = long[n % len(long)]
-            text = list(self.raw[k])
-            for _ in range(self.edits[k]):
-                at, c = int(rng.integers(len(text))), int(rng.choice(self.joined))
-                kind = rng.integers(3)
-                if kind == 0:
-                    text[at] = c
-                elif kind == 1:
-                    text.insert(at, c)
-                else:
-                    del text[at]
-            out.append((k, np.array([*text, 32], np.uint8)))
-        return out
+        long = sorted((k for k, r in enumerate(self.raw) if len(r) >= SHORT), key=lambda k: (len(self.raw[k]), k))
+        groups = [g.tolist() for g in np.array_split(long, 4) if len(g)]
+        return groups, [[self._spoiled(g[n * len(g) // copies if len(g) > copies else n % len(g)], rng) for n in range(copies)] for g in groups]
+
+    def _spoiled(self, k: int, rng: np.random.Generator) -> tuple[int, np.ndarray]:
+        """The item with its edits at random."""
+        text = list(self.raw[k])
+        for _ in range(self.edits[k]):
+            at, c = int(rng.integers(len(text))), int(rng.choice(self.joined))
+            kind = rng.integers(3)
+            if kind == 0:
+                text[at] = c
+            elif kind == 1:
+                text.insert(at, c)
+            else:
+                del text[at]
+        return k, np.array([*text, 32], np.uint8)
 
     def _hits(self, data: np.ndarray, starts: np.ndarray, walks: list | None = None) -> list[tuple[int, int]]:
         """Place in the text and window of each hit."""

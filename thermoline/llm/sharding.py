@@ -4,11 +4,12 @@ Regions hold racks, racks hold shards, and each node's weight is the sum of its
 A row draws -ln(u) / weight at every child of a node, u being a hash of its key and the
 child's label, and descends to the least draw: at each level the odds are the weights.
 
-The tree grows by epochs. A shard that is added later leaves all earlier draws as they
-are and adds to each node on its own path one draw with just the added weight; a row for
-which that draw is the least goes straight to the new shard. So a row moves only into the
-subtree whose weight grew and there only into the shard that was added, and the odds are
-those of the grown weights, since the least of two exponential draws is one with the sum.
+The tree grows by epochs. Shards that are added later leave all earlier draws as they are:
+their epoch is a tree of its own with just the added weights, whose regions draw beside the
+older ones; a row for which such a draw is the least descends the epoch's racks and shards.
+So a row moves only into subtrees whose weight grew and there only into shards that were
+added, and the odds are those of the grown weights, since the least of two exponential draws
+is one with the sum.
 """
 
 from __future__ import annotations
@@ -26,22 +27,28 @@ ROWS_PER_GROUP = 50_000
 
 @dataclass(frozen=True)
 class HashTree:
-    """`regions[r][k]` are the weights of rack k's shards, numbered in order; `added` are later (region, rack, weight)."""
+    """`regions[r][k]` are the weights of rack k's shards, numbered in order; `added` are later epochs of (region, rack, weight)."""
 
     regions: tuple[tuple[tuple[float, ...], ...], ...]
-    added: tuple[tuple[int, int, float], ...] = field(default=())
+    added: tuple[tuple[tuple[int, int, float], ...], ...] = field(default=())
 
     @classmethod
     def even(cls, shards: int, base: int = 8) -> HashTree:
         """Two racks of two shards in each of two regions; shards from number `base` on are added in turn to the racks."""
+        return cls.sized((1.0,), shards, base)
+
+    @classmethod
+    def sized(cls, weights: tuple[float, ...], shards: int, base: int = 8) -> HashTree:
+        """As `even`, but the shards' weights are these, over and over."""
         if shards < base or base % 4:
             raise ValueError(f"the tree begins with {base} shards, a multiple of 4")
-        rack = (1.0,) * (base // 4)
-        return cls(((rack, rack), (rack, rack)), tuple((n % 2, n // 2 % 2, 1.0) for n in range(shards - base)))
+        each = [weights[n % len(weights)] for n in range(shards)]
+        racks = [tuple(each[k * base // 4 : (k + 1) * base // 4]) for k in range(4)]
+        return cls(((racks[0], racks[1]), (racks[2], racks[3])), tuple(((n % 2, n // 2 % 2, each[base + n]),) for n in range(shards - base)))
 
     @property
     def shards(self) -> int:
-        return sum(len(rack) for region in self.regions for rack in region) + len(self.added)
+        return sum(len(rack) for region in self.regions for rack in region) + sum(map(len, self.added))
 
     def shard(self, key: Column) -> Column:
         """The shard of each key."""
@@ -60,8 +67,6 @@ class HashTree:
             return -F.log(u) / F.lit(float(weight))
 
         first, roots = 0, []
-        base = self.shards - len(self.added)
-        late = [(r, k, w, base + n) for n, (r, k, w) in enumerate(self.added)]
         for r, region in enumerate(self.regions):
             racks = []
             for k, rack in enumerate(region):
@@ -69,7 +74,13 @@ class HashTree:
                 first += len(rack)
                 racks.append((f"{r}/{k}", sum(rack), least(leaves)))
             roots.append((f"{r}", sum(map(sum, region)), least(racks)))
-        roots += [(f"{r}+{k}+{n}", w, F.lit(n)) for r, k, w, n in late]
+        for epoch, shards in enumerate(self.added):
+            named = [(r, k, (f"{r}/{k}/{first + n}", w, F.lit(first + n))) for n, (r, k, w) in enumerate(shards)]
+            first += len(shards)
+            for r in sorted({r for r, _, _ in named}):
+                below = {k: [x for r2, k2, x in named if (r2, k2) == (r, k)] for k in sorted({k for r2, k, _ in named if r2 == r})}
+                racks = [(f"{r}/{k}+{epoch}", sum(w for _, w, _ in leaves), least(leaves)) for k, leaves in below.items()]
+                roots.append((f"{r}+{epoch}", sum(w for _, w, _ in racks), least(racks)))
         return least(roots).cast("int")
 
 
@@ -77,13 +88,16 @@ def sharded(docs: DataFrame, tree: HashTree, grown: HashTree, id_col: str = "doc
     """One row for each row of `docs`: its shard, its slot there and its shard in the grown tree.
 
     Slots run from 0 without gaps in each shard. A null text has size 1 and the checksum of
-    no bytes; null ids share one key; repeated rows get slots of their own. Only ids, sizes
-    and checksums are shuffled. Rows are numbered inside hashed groups of a shard, and the
-    groups' offsets are a small table, joined, not collected.
+    no bytes; null ids share one key, and so does a repeated id: the law wants them in one
+    shard, though not in one task. Repeated rows get slots of their own, in any order, as
+    they are alike; an empty table gives no rows; long texts and other columns don't matter.
+    Only ids, sizes and checksums are shuffled. Rows are numbered inside groups of a shard,
+    by a hash of id and text and, so that equal rows spread too, the part they were read in;
+    the groups' offsets are a small table, joined, not collected.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     key = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), tree.shard(key).alias("shard"), grown.shard(key).alias("grown_shard"), F.xxhash64(F.lit("slot"), key).alias("part"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), tree.shard(key).alias("shard"), grown.shard(key).alias("grown_shard"), F.xxhash64(F.lit("slot"), key, F.crc32(text), F.monotonically_increasing_id()).alias("part"))
     rows = stored(rows, "rows")  # small: no texts; read twice below
     groups = max(1, -(-rows.count() // (rows_per_group * tree.shards)))
     rows = rows.withColumn("part", F.pmod("part", F.lit(groups)))

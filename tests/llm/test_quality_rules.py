@@ -29,6 +29,10 @@ def brute(text):
             before.add(gram)
         out[f"dup{m}_chars"] = sum(len(words[k]) for k in cover)
         bad |= 100 * out[f"dup{m}_chars"] > most * out["word_chars"]
+    for m, most in q.TOP_PERCENT.items():
+        grams = Counter(tuple(words[k : k + m]) for k in range(n - m + 1))
+        out[f"top{m}_chars"] = max((x * sum(map(len, g)) for g, x in grams.items() if x > 1), default=0)
+        bad |= 100 * out[f"top{m}_chars"] > most * out["word_chars"]
     out["base_failed"] = n < 50 or 100 * len(repeat) > 50 * n
     out["kept"] = not out["base_failed"] and not bad
     return out
@@ -62,3 +66,17 @@ def test_stage_keeps_whole_rows(table, odd):
 def test_repeated_passage_is_rejected(table):
     once = " ".join(f"w{k}" for k in range(60))
     assert [r.kept for r in q.quality_rules(table([(1, once), (2, f"{once}\n{once} extra")])).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_published_limits(table):
+    """A 12-word phrase 16 times in a text of 1000 words of equal length covers 18 percent: over the limit of 10-word repeats."""
+    phrase = " ".join(f"p{k:03}" for k in range(12))
+    text = " ".join(" ".join(f"{chr(97 + k)}{j:03}" for j in range(50)) + " " + phrase for k in range(16))
+    (r,) = q.quality_rules(table([(1, text)])).collect()
+    assert 0.16 < r.dup10_chars / r.word_chars < 0.2 and not r.base_failed and not r.kept
+
+
+def test_most_frequent_gram(table):
+    text = " ".join(f"longword secondword u{k:02}" for k in range(30))
+    (r,) = q.quality_rules(table([(1, text)])).collect()
+    assert r.top2_chars == 30 * len("longwordsecondword") and not r.kept

@@ -2,7 +2,8 @@
 
 Rolling hashes of word n-grams, several lengths, are sorted inside each text; an n-gram
 that was seen before marks its words, and the characters of marked words over all word
-characters is the coverage of that length. Repeated lines are measured alike.
+characters is the coverage of that length. Repeated lines are measured alike. Of 2 to 4
+words, the n-gram with the most characters, times its number, is held against a limit.
 """
 
 from __future__ import annotations
@@ -16,16 +17,18 @@ from pyspark.sql import functions as F
 
 from thermoline.llm import textkit as tk
 
-#: Largest share, in percent, of word characters inside repeated n-grams, by n.
-NGRAM_PERCENT = {5: 30, 6: 28, 7: 26, 8: 24, 9: 22, 10: 20}
+# The published limits of repetition.
+#: Largest share, in percent, of word characters inside repeated n-grams, by n; and in all places of one n-gram that comes twice or more.
+NGRAM_PERCENT = {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10}
+TOP_PERCENT = {2: 20, 3: 18, 4: 16}
 #: Largest share, in percent, of characters in repeated lines, and of repeated lines.
 LINE_CHAR_PERCENT, LINE_PERCENT = 20, 30
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "line_chars", "dup_line_chars", *(f"dup{n}_chars" for n in NGRAM_PERCENT)]
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, line_chars long, dup_line_chars long, " + ", ".join(f"dup{n}_chars long" for n in NGRAM_PERCENT)
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "line_chars", "dup_line_chars", *(f"top{n}_chars" for n in TOP_PERCENT), *(f"dup{n}_chars" for n in NGRAM_PERCENT)]
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, line_chars long, dup_line_chars long, " + ", ".join(f"{x}_chars long" for x in (*(f"top{n}" for n in TOP_PERCENT), *(f"dup{n}" for n in NGRAM_PERCENT)))
 
 
 def _later(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +76,14 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     found = np.zeros(total, bool)
     found[places[twice]] = True
     out["n_repeat_words"] = sums(w.doc[_covered(places[twice], 3, total)])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    for n in TOP_PERCENT:
+        key, inside = tk.window_hash(h, w.doc, n)
+        at = np.flatnonzero(inside)
+        _, first, count = np.unique(tk.per_doc(key[at], w.doc[at]), return_index=True, return_counts=True)
+        first, count = at[first[count > 1]], count[count > 1]
+        out[f"top{n}_chars"] = np.zeros(docs, np.int64)
+        np.maximum.at(out[f"top{n}_chars"], w.doc[first], count * (ends[first + n] - ends[first]))
     for n in NGRAM_PERCENT:
         m = max(0, total - n + 1)
         at = np.flatnonzero(found[:m] & found[n - 3 : n - 3 + m] & (w.doc[:m] == w.doc[n - 1 : n - 1 + m]))  # a repeated n-gram begins and ends with repeated 3-grams
@@ -85,6 +96,8 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     bad = (100 * out["dup_line_chars"] > LINE_CHAR_PERCENT * out["line_chars"]) | (100 * out["n_dup_lines"] > LINE_PERCENT * out["n_lines"])
     for n, most in NGRAM_PERCENT.items():
         bad |= 100 * out[f"dup{n}_chars"] > most * out["word_chars"]
+    for n, most in TOP_PERCENT.items():
+        bad |= 100 * out[f"top{n}_chars"] > most * out["word_chars"]
     out["kept"] = ~out["base_failed"] & ~bad
     return out
 
@@ -93,7 +106,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of `docs`, with its counts and verdict.
 
     A null or empty text has no words and fails the base; a null id stays null; repeated
-    rows are judged each by itself; other columns are not looked at, whatever their names.
+    rows are judged each by itself; an empty table gives no rows; other columns are not looked
+    at, whatever their names. Of n-grams with as many characters in all, any gives the share.
     Needs no shuffle: memory is that of a slice of texts, or of the longest text.
     """
 
@@ -109,7 +123,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text is kept."""
+    """The rows of `docs`, with all their columns, whose text is kept.
+
+    Null and empty texts go, as they fail the base; repeated rows stay or go alike; an empty
+    table stays empty; long texts as above.
+    """
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

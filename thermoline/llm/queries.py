@@ -49,7 +49,8 @@ def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.sharded(_read(spark, sf_dir, "documents"), sharding.HashTree.even(8), sharding.HashTree.even(9))
+    weights = (1.0, 1.5, 2.0, 1.25, 0.75)
+    return sharding.sharded(_read(spark, sf_dir, "documents"), sharding.HashTree.sized(weights, 8), sharding.HashTree.sized(weights, 9))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,16 @@ def _rules_sql() -> str:
              SELECT DISTINCT row, unnest(range(i, i + {n})) AS j FROM seen{n} WHERE nth > 1) JOIN split USING (row) GROUP BY row)"""
         for n in ns
     )
+    tops = " ".join(
+        f""", top{n} AS (SELECT row, max(times * (length(gram) - {n - 1})) AS chars FROM (
+             SELECT row, gram, count(*) AS times FROM (
+               SELECT row, array_to_string(list_slice(words, i, i + {n - 1}), ' ') AS gram
+               FROM (SELECT row, words, unnest(range(1, greatest(1, len(words) - {n - 2}))) AS i FROM split))
+             GROUP BY row, gram HAVING count(*) > 1) GROUP BY row)"""
+        for n in quality_rules.TOP_PERCENT
+    )
     limits = " AND ".join(f"100 * dup{n}_chars <= {most} * word_chars" for n, most in quality_rules.NGRAM_PERCENT.items())
+    limits += "".join(f" AND 100 * top{n}_chars <= {most} * word_chars" for n, most in quality_rules.TOP_PERCENT.items())
     return f"""
 WITH split AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text,
@@ -109,14 +119,15 @@ three AS (
 twice AS (SELECT row, i FROM three WHERE n > 1),
 repeated AS (
   SELECT row, count(*) AS n FROM (SELECT DISTINCT row, unnest(range(i, i + 3)) AS j FROM three WHERE n > 1) GROUP BY row)
-{grams},
+{grams} {tops},
 counts AS (
   SELECT s.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(repeated.n, 0)::BIGINT AS n_repeat_words,
          coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(line_chars, 0)::BIGINT AS line_chars, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars,
+         {", ".join(f"coalesce(top{n}.chars, 0)::BIGINT AS top{n}_chars" for n in quality_rules.TOP_PERCENT)},
          {", ".join(f"coalesce(cover{n}.chars, 0)::BIGINT AS dup{n}_chars" for n in ns)}
-  FROM split s LEFT JOIN by_line USING (row) LEFT JOIN repeated USING (row) {" ".join(f"LEFT JOIN cover{n} USING (row)" for n in ns)}),
+  FROM split s LEFT JOIN by_line USING (row) LEFT JOIN repeated USING (row) {" ".join(f"LEFT JOIN cover{n} USING (row)" for n in ns)} {" ".join(f"LEFT JOIN top{n} USING (row)" for n in quality_rules.TOP_PERCENT)}),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT *, NOT base_failed AND 100 * dup_line_chars <= {quality_rules.LINE_CHAR_PERCENT} * line_chars
        AND 100 * n_dup_lines <= {quality_rules.LINE_PERCENT} * n_lines AND {limits} AS kept FROM based

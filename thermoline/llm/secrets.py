@@ -2,8 +2,9 @@
 
 Patterns give candidate spans with their places. Each candidate's value is hashed, and the
 hashes are counted over the whole corpus by distinct repositories and owners: a value that
-many owners hold is a copied example, one that a single owner or two hold and that looks
-random is a live-looking credential. Base spans are always reported; spans of the wider
+many owners hold, or very many repositories of few owners, is a copied example, one that few
+hold and that looks random is a live-looking credential. How many are many grows with the
+logarithm of the number of owners. Base spans are always reported; spans of the wider
 patterns are added where their value is live-looking and meets no span of an earlier pattern.
 """
 
@@ -44,8 +45,9 @@ WIDER = (
     Pattern("mixed", r"[A-Za-z0-9+/_]{24,}", False),
 )
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]?|xxxx|0000|1234567|test"
-#: From so many owners on, a value is a copied example.
-COPIED_OWNERS = 3
+#: From so many owners on, or the logarithm to base 2 of their number where it is more, a value is a copied example;
+#: so it is from REPOS_PER_OWNER times as many repositories on.
+COPIED_OWNERS, REPOS_PER_OWNER = 3, 2
 
 SPAN = "struct<start:long,stop:long,rank:int,value:string,plausible:boolean>"
 
@@ -53,27 +55,32 @@ SPAN = "struct<start:long,stop:long,rank:int,value:string,plausible:boolean>"
 def _spans(text: Column, pattern: Pattern, rank: int) -> Column:
     """All spans of a pattern, in characters: the lengths of the gaps between matches and of the matches, summed."""
     found = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group))
-    pieces = F.arrays_zip(found.alias("whole"), value.alias("value"), F.split(text, pattern.regex, -1).alias("gap"))
+    value = F.regexp_extract_all(text, F.lit(pattern.regex), F.lit(pattern.group)) if pattern.group else found
+    pieces = F.arrays_zip(found.alias("whole"), F.split(text, pattern.regex, -1).alias("gap"))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
 
     def add(so_far: Column, piece: Column) -> Column:
         start = so_far["at"] + F.length(piece["gap"])
         stop = start + F.coalesce(F.length(piece["whole"]), F.lit(0))
-        got = piece["value"]
+        return F.struct(stop.alias("at"), F.concat(so_far["starts"], F.array(start)).alias("starts"))
+
+    def span(x: Column) -> Column:
+        start, got = x["start"], x["value"]
+        stop = start + F.length(x["whole"])
         classes = sum((got.rlike(c).cast("int") for c in ("[a-z]", "[A-Z]", "[0-9]")), F.lit(0))
         varied = F.size(F.array_distinct(F.split(got, ""))) >= 8
         plausible = ~got.rlike(PLACEHOLDER) & varied & (F.lit(pattern.kind != "mixed") | (classes == 3))
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.md5(got).alias("value"), plausible.alias("plausible"))
-        kept = (F.length(got) >= pattern.least) & (F.lit(pattern.base) | plausible)
-        spans = F.when(kept, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"]).cast(f"array<{SPAN}>")
-        return F.struct(stop.cast("long").alias("at"), spans.alias("spans"))
+        return F.struct(start.alias("start"), stop.alias("stop"), F.lit(rank).alias("rank"), F.md5(got).alias("value"), plausible.alias("plausible"))
 
+    long_enough = lambda x: F.length(x["value"]) >= pattern.least
+    starts = F.aggregate(pieces, first, add, lambda x: x["starts"])
+    placed = F.arrays_zip(found.alias("whole"), value.alias("value"), F.slice(starts, 1, F.size(found)).alias("start"))
+    spans = F.filter(F.transform(F.filter(placed, long_enough), span), lambda x: F.lit(pattern.base) | x["plausible"]).cast(f"array<{SPAN}>")
     none = F.array().cast(f"array<{SPAN}>")
-    first = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
     here = text.rlike(pattern.regex)
     if pattern.needs:
         here = text.contains(pattern.needs) & here
-    return F.when(here, F.aggregate(pieces, first, add, lambda x: x["spans"])).otherwise(none)
+    return F.when(here, spans).otherwise(none)
 
 
 def candidates(docs: DataFrame, owner_col: str, repo_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,19 +99,31 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
+def many_owners(found: DataFrame, least: int = COPIED_OWNERS) -> int:
+    """From how many owners on a value is a copied example."""
+    owners = found.select("owner").distinct().count()
+    return max(least, owners.bit_length() - 1)
+
+
 def secret_spans(docs: DataFrame, owner_col: str = "source", repo_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """One row for each row of `docs` with its spans and what the corpus says of their values.
 
-    A repository is a value of `repo_col` within one of `owner_col`. Null texts are empty;
-    null owners and repositories count as one unnamed; repeated rows are reported each.
-    The text is read once; only candidates are shuffled.
+    A repository is a value of `repo_col` within one of `owner_col`; the source and the language
+    stand in for them where a corpus says no more of its documents. Null texts are empty;
+    null owners and repositories count as one unnamed; repeated rows are reported each; an
+    empty table gives no rows; spans that begin together are in the order of the patterns;
+    columns of other names don't matter. The text is read once, a long one takes memory for its
+    candidates alone; only candidates are shuffled, and a value that millions of rows hold is
+    joined as a stored table, which Spark can split.
     """
     found = stored(candidates(docs, owner_col, repo_col, id_col, text_col), "candidates")
+    many = many_owners(found, copied_owners)
     each = found.select("row", F.posexplode("spans").alias("nth", "span")).select("row", "nth", F.col("span.value").alias("value"))
-    judged = each.join(ownership(found), "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "n_owners", "n_repos"))).alias("held"))
+    judged = each.join(stored(ownership(found), "ownership").hint("merge"), "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("nth", "n_owners", "n_repos"))).alias("held"))
     rows = found.join(judged, "row", "left")
     base = len(BASE)
-    rows = rows.withColumn("all", F.when(F.col("held").isNull(), F.array().cast(f"array<struct<span:{SPAN},copied:boolean,live:boolean>>")).otherwise(F.zip_with("spans", "held", lambda s, h: F.struct(s.alias("span"), (h["n_owners"] >= copied_owners).alias("copied"), ((h["n_owners"] < copied_owners) & s["plausible"]).alias("live")))))
+    copied = lambda h: (h["n_owners"] >= many) | (h["n_repos"] >= REPOS_PER_OWNER * many)
+    rows = rows.withColumn("all", F.when(F.col("held").isNull(), F.array().cast(f"array<struct<span:{SPAN},copied:boolean,live:boolean>>")).otherwise(F.zip_with("spans", "held", lambda s, h: F.struct(s.alias("span"), copied(h).alias("copied"), (~copied(h) & s["plausible"]).alias("live")))))
     rows = rows.withColumn("based", F.filter("all", lambda x: x["span"]["rank"] < base))
     stronger = lambda y, x: (y["span"]["rank"] < base) | (y["live"] & (y["span"]["rank"] < x["span"]["rank"]))
     clear = lambda x: ~F.exists("all", lambda y: stronger(y, x) & (y["span"]["start"] < x["span"]["stop"]) & (x["span"]["start"] < y["span"]["stop"]))

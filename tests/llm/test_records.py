@@ -6,6 +6,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from thermoline.llm import records as r
@@ -17,7 +18,7 @@ PLAIN = Tokenizer.from_file(PATH)
 
 def brute(rows):
     out, start = [], 0
-    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda x: (-(2**63) if x[0] is None else x[0], x[1].encode())):
+    for i, t in sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, np.uint64(xxhash.xxh64_intdigest(x[1].encode(), seed=42)).astype(np.int64))):
         ids = [*PLAIN.encode(t, add_special_tokens=False).ids, 2]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -56,6 +57,12 @@ def test_odd_rows(table, odd, tmp_path):
     check(table([]), [], f"file://{tmp_path}/b")
 
 
+def test_one_id_fills_many_files(table, tmp_path):
+    rows = [(None, f"text {k % 7}") for k in range(4000)] + [(-(2**63), "least")] + [(5, "same")] * 4000
+    manifest = check(table(rows), rows, f"file://{tmp_path}/a")
+    assert max(r.n_records for r in manifest.collect()) < 4000
+
+
 def test_damage_is_found(table, tmp_path):
     manifest = check(table([(1, "some text"), (2, "more")]), [(1, "some text"), (2, "more")], f"file://{tmp_path}/a")
     fs, path = pafs.FileSystem.from_uri(manifest.first()["path"])

@@ -3,13 +3,14 @@
 A file holds records one after another, all numbers little-endian:
 
     length of the payload, 8 bytes | masked checksum of these 8 bytes, 4 bytes
-    payload: document id, 8 bytes, bytes of a token id, 1 byte, then the token ids, 2 bytes
-             each where the vocabulary has at most 65,536, else 4
+    payload: document id, 8 bytes, bytes of a token id, 1 byte, with 128 added where the
+             document has no id, then the token ids, 2 bytes each where the vocabulary has at
+             most 65,536, else 4
     masked checksum of the payload, 4 bytes
 
 The checksum is CRC-32, rotated right by 15 bits plus a constant, so that a checksum over
 bytes that hold checksums stays meaningful. Beside each file lies an index with one entry
-for each record, 24 bytes: offset of the record, number of ids, document id; a shuffled
+for each record, 24 bytes: offset of the record, number of ids, document id (0 where there is none); a shuffled
 reader seeks by it. Files are written under a name of their own attempt and become part of
 the data only by their row in the manifest, so a task that is lost or run twice is harmless.
 """
@@ -37,7 +38,7 @@ HEAD = 12
 INDEX = np.dtype([("offset", "<i8"), ("n_tokens", "<i8"), ("doc_id", "<i8")])
 MANIFEST = "part int, path string, n_records long, n_tokens long, n_bytes long"
 ROWS_PER_FILE = 20_000
-NULL_ID = -(2**63)
+NO_ID = 0x80
 #: Known chunks of an encoder, about 40 bytes each.
 CHUNKS_KEPT = 1_500_000
 
@@ -47,13 +48,13 @@ def masked(raw: bytes | memoryview) -> int:
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray, width: np.dtype) -> bytes:
-    payload = np.int64(doc_id).tobytes() + bytes([width.itemsize]) + ids.astype(width).tobytes()
+def frame(doc_id: int | None, ids: np.ndarray, width: np.dtype) -> bytes:
+    payload = np.int64(doc_id or 0).tobytes() + bytes([width.itemsize | (NO_ID if doc_id is None else 0)]) + ids.astype(width).tobytes()
     head = len(payload).to_bytes(8, "little")
     return b"".join((head, masked(head).to_bytes(4, "little"), payload, masked(payload).to_bytes(4, "little")))
 
 
-def unframe(raw: memoryview, at: int) -> tuple[int, np.ndarray, int]:
+def unframe(raw: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     """Document id, token ids and the end of the record at `at`; a damaged one is an error."""
     head, size = raw[at : at + 8], int.from_bytes(raw[at : at + 8], "little")
     if masked(head) != int.from_bytes(raw[at + 8 : at + HEAD], "little"):
@@ -62,7 +63,8 @@ def unframe(raw: memoryview, at: int) -> tuple[int, np.ndarray, int]:
     end = at + HEAD + size + 4
     if len(payload) < size or masked(payload) != int.from_bytes(raw[end - 4 : end], "little"):
         raise ValueError(f"damaged payload at {at}")
-    return int.from_bytes(payload[:8], "little", signed=True), np.frombuffer(payload[9:], f"<u{payload[8]}").astype("<u4"), end
+    doc_id = None if payload[8] & NO_ID else int.from_bytes(payload[:8], "little", signed=True)
+    return doc_id, np.frombuffer(payload[9:], f"<u{payload[8] & ~NO_ID}").astype("<u4"), end
 
 
 class ChunkEncoder:
@@ -171,12 +173,15 @@ def encoder_of(path: str) -> ChunkEncoder:
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all texts in ascending id order; returns the manifest, one row for each file.
 
-    Ids are dealt by ranges, so file k holds smaller ids than file k + 1 and equal ids lie in
-    one file; rows of one id are in the order of their texts. A null text is an empty one, and
-    a null id comes first, written as the least integer. Each document ends with id 2.
+    Rows are dealt by ranges of id, then hash of the text, then place in the input, so file k
+    holds no larger ids than file k + 1, and rows of one id may fill many files; of one id
+    they are in the order of the hashes. A null text is an empty one, and a null id comes first;
+    an empty table gives an empty manifest; repeated rows are a record each; other columns don't
+    matter. A text longer than a slice is encoded by itself. Each document ends with id 2.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
     files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.select(id_col).count() // ROWS_PER_FILE))
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +200,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int
                 ends, frames = np.cumsum(sizes), []
                 for doc_id, end, size in zip(some.column("doc_id").to_pylist(), ends.tolist(), sizes.tolist(), strict=True):
                     frames.append(frame(doc_id, np.append(ids[end - size : end], END_ID), encoder.width))
-                    index.append((at, size + 1, doc_id))
+                    index.append((at, size + 1, doc_id or 0))
                     at += len(frames[-1])
                 out.write(b"".join(frames))
                 tokens += int(ends[-1]) + len(sizes)
@@ -205,8 +210,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, files: int
                 beside.write(np.array(index, INDEX).tobytes())
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [name], "n_records": [len(index)], "n_tokens": [tokens], "n_bytes": [at]})
 
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stored(dealt.mapInArrow(written, MANIFEST), "manifest")
+    order = ("doc_id", "hash", "place")
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    return stored(dealt.select("doc_id", "text").mapInArrow(written, MANIFEST), "manifest")
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
@@ -228,7 +234,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
                         raw, got = memoryview(file.read_at(to - at, at)), []
                         for place in (some["offset"] - at).tolist():
                             doc_id, ids, _ = unframe(raw, place)
-                            got.append((None if doc_id == NULL_ID else doc_id, first, len(ids), zlib.crc32(ids)))
+                            got.append((doc_id, first, len(ids), zlib.crc32(ids)))
                             first += len(ids)
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -256,7 +262,7 @@ def shuffled_ids(spark: SparkSession, manifest: DataFrame, seed: int) -> DataFra
                 with fs.open_input_file(f"{at}.rec") as file:
                     size = int.from_bytes(file.read_at(8, row["at"]), "little")
                     doc_id, ids, _ = unframe(memoryview(file.read_at(HEAD + size + 4, row["at"])), 0)
-                got.append({"doc_id": None if doc_id == NULL_ID else doc_id, "place": row["place"], "ids": ids.tolist()})
+                got.append({"doc_id": doc_id, "place": row["place"], "ids": ids.tolist()})
             yield pa.RecordBatch.from_pylist(got, pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     places = manifest.select("path").mapInArrow(entries, "path string, at long").withColumn("place", F.xxhash64(F.lit(seed), "path", "at"))

@@ -69,3 +69,11 @@ def test_features_do_not_depend_on_neighbours():
     for d, t in enumerate(texts):
         alone, _, n = q.features(pa.array([t], pa.string()))
         assert sorted(alone.tolist()) == sorted(bucket[doc == d].tolist()) and n[0] == runs[d]
+
+
+def test_one_labelled_id_in_many_rows(table, spark):
+    rows = [(1, f"repeated text {k % 10}") for k in range(10_000)] + [(k, f"clean words of text {k}") for k in range(2, 40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, quality int")
+    few = [(1, "repeated text 0"), *rows[10_000:]]
+    a, b = (q.train(table(x), labels) for x in (rows, few))
+    assert np.array_equal(a, b) and a.any()

@@ -101,16 +101,19 @@ def fold(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("long").cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_id_col: str | None = None) -> np.ndarray:
     """Weights from labelled documents outside the held-out fold.
 
     Labels that are null or have no id are passed over; of several labels of an id the
-    largest counts. `sample` bounds what the one training task and the driver hold.
+    largest counts, of several texts of an id the one that sorts first, chosen before rows
+    are shuffled. So `sample` bounds the rows that the one training task and the driver hold.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & (fold(F.col("doc_id")) != HELD_OUT))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    id_of = F.col(label_id_col or id_col).cast("long")
+    known = labels.where(id_of.isNotNull() & F.col(label_col).isNotNull() & (fold(id_of) != HELD_OUT))
+    known = known.groupBy(id_of.alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     known = known.withColumn("turn", F.xxhash64("id")).orderBy("turn", "id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    texts = texts.groupBy("turn", "id", "y").agg(F.min("text").alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,15 +147,17 @@ def scores(weights: np.ndarray, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(dot + weights[-1], -35, 35)))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_id_col: str | None = None) -> DataFrame:
     """One row for each row of `docs`: whether its id is held out, its score and prediction.
 
     Null and empty texts have the score of the constant alone; a null id counts as the empty
-    string, which is held out; repeated rows score alike. Only the text enters a score.
-    Scoring needs no shuffle; the weights, 2 MB, are broadcast.
+    string, which is held out; repeated rows score alike; an empty table gives no rows, and
+    without labels all score alike. Only the text enters a score, so other columns don't
+    matter, whatever their names. A long text is a slice of its own. Scoring needs no
+    shuffle; the weights, 2 MB, are broadcast. `label_id_col` is `id_col` where it isn't given.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, label_col, sample, id_col, text_col))
+    model = spark.sparkContext.broadcast(train(docs, labels, label_col, sample, id_col, text_col, label_id_col))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

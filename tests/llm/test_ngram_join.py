@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from thermoline.llm import ngram_join as n
 
@@ -102,15 +103,33 @@ def test_recall_at_the_threshold(spark):
     assert found >= 0.98 * 600
 
 
-def test_linked_is_the_jaccard_rule():
+def test_similar_is_the_jaccard_rule():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
-    got = n._linked(sets, 0.5)
+    wanted = ~np.eye(60, dtype=bool)
+    got = n._similar(sets, wanted, 0.5)
     for x in range(60):
         for y in range(60):
             a, b = set(sets[x].tolist()), set(sets[y].tolist())
-            assert got[x, y] == (x != y and len(a & b) / len(a | b) >= 0.5)
-            assert (n._linked([sets[x], sets[y]], 0.5)[0, 1]) == (len(a & b) / len(a | b) >= 0.5)
+            share = len(a & b) / len(a | b)
+            assert got[x, y] == (share if x != y and share >= 0.5 else 0)
+            assert n._similar([sets[x], sets[y]], ~np.eye(2, dtype=bool), 0.5)[0, 1] == (share if share >= 0.5 else 0)
+
+
+def test_descent_goes_as_deep_as_its_links_need(table, monkeypatch):
+    """Links well above the threshold are found at whole labels; links just above it need shorter prefixes."""
+    monkeypatch.setattr(n, "LEAST_LINKS", 20)
+
+    def levels(words):
+        rows = []
+        for k in range(150):
+            w = [f"p{k}w{j}" for j in range(words)]
+            rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:40] + ["z"] + w[41:]))]
+        return n.measured_recall(table(rows))
+
+    high, low = levels(400), levels(50)
+    assert [d for d, *_ in high] == [n.LABEL] and high[0][1] == 150 and high[0][2] >= n.TARGET_RECALL
+    assert [d for d, *_ in low] == [n.LABEL, n.LABEL - 1] and low[0][2] < n.TARGET_RECALL <= low[1][2] and low[1][1] >= 0.97 * 150
 
 
 def test_components_of_a_chain(spark):
@@ -121,8 +140,9 @@ def test_components_of_a_chain(spark):
 
 def test_one_of_each(table, odd):
     rows = [*odd, (20, "one two three"), *((30 + k, t) for k, t in enumerate(near_copies(7, 6)))]
-    docs = table(rows)
+    docs = table(rows).withColumn("thermoline_rkey", F.lit(7)).withColumn("row_key_0", F.lit(8))
     kept = n.one_of_each(docs)
+    assert {(r.thermoline_rkey, r.row_key_0) for r in kept.collect()} == {(7, 8)}
     assert kept.columns == docs.columns
     got = [(r.doc_id, r.text) for r in kept.collect()]
     assert len(got) == len(set(got))  # of repeated rows one
@@ -131,3 +151,11 @@ def test_one_of_each(table, odd):
     ranked = sorted((r for r in rows if shingle_set(r[1])), key=lambda r: (r[0] is None, r[0] or 0))
     classes = {c for _, c, _ in brute([(k, t) for k, (_, t) in enumerate(ranked)])}  # by place: two classes may share an id
     assert sorted(i for i, _ in worded) == sorted(ranked[k][0] for k in classes)
+
+
+def test_rows_alike_in_id_and_text_alone(table):
+    docs = table([(1, "a b c d e f"), (1, "a b c d e f"), (2, "g h i j k l")]).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    other = docs.where("doc_id = 1").withColumn("source", F.lit("other"))
+    kept = n.one_of_each(docs.union(other)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+    assert len({tuple(sorted(r.source for r in n.one_of_each(x).collect())) for x in (docs.union(other), other.union(docs))}) == 1

@@ -1,10 +1,15 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Texts are sets of five-word shingles. Equal sets are one class from the start, so copies are
-never compared. Each distinct set has a label of minhashes in every tree of the forest, and
-sets with an equal prefix of a label are candidates: a node of that depth. The depth is one
-for all, from a formula: the longest prefix with which a pair just at the threshold meets in
-some tree with the target recall, which pairs above it exceed. This is banding by that prefix.
+never compared. Each distinct set has a label of minhashes in every tree of the forest; a
+prefix of a label is a node of the tree, and sets below one node are candidates. The search
+begins at whole labels and shortens the prefixes a level at a time, each level taking only
+pairs that met at no deeper one. Every verified link has a similarity, and with it a known
+chance of meeting at this depth, so the links found so far say how many there are (each
+counts as one over its chance): the descent ends when the recall so measured reaches the
+target, and at the latest where a pair at the very threshold reaches it. The trie is kept as
+its nodes, counted by prefix, not as a sorted array: sorting would put all sets below one
+frequent prefix into one task, where counts are summed before they are shuffled.
 
 Candidates are verified exactly, by their shingles. A node whose pairs all meet in an
 earlier tree is left out, and a pair counts in the first tree where it meets, so none
@@ -29,7 +34,9 @@ from thermoline.llm.workspace import stored
 WORDS, THRESHOLD = 5, 0.8
 TREES, LABEL, TARGET_RECALL = 16, 6, 0.995
 #: Most shingles and sets of a block.
-BLOCK_SHINGLES, BLOCK_SETS = 200_000, 400
+BLOCK_SHINGLES, BLOCK_SETS = 200_000, 200
+#: Fewest links that a recall is measured on.
+LEAST_LINKS = 100
 
 _U = np.uint64
 _draws = np.random.default_rng(77).integers(1, 2**63, (2, TREES * LABEL), dtype=np.uint64)
@@ -37,13 +44,18 @@ _TIMES, _PLUS = _draws[0] * _U(2) + _U(1), _draws[1]
 
 
 def depth(threshold: float = THRESHOLD, trees: int = TREES, label: int = LABEL, target: float = TARGET_RECALL) -> int:
-    """The longest prefix with which a pair at the threshold meets in some tree often enough."""
+    """The longest prefix with which a pair at the threshold meets in some tree often enough: no level below it is needed."""
     for d in range(label, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= target:
+        if chance(threshold, d, trees) >= target:
             return d
     return 1
 
 
+def chance(similarity: float | np.ndarray, depth: int, trees: int = TREES) -> float | np.ndarray:
+    """That a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
 def shingles(column: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text and their offsets; a text with fewer words is one shingle, one without words none."""
     data, off = tk.utf8(column)
@@ -86,8 +98,15 @@ def _labels(key: np.ndarray, off: np.ndarray) -> list[bytes]:
     return [raw[4 * TREES * LABEL * k : 4 * TREES * LABEL * (k + 1)] for k in range(docs)]
 
 
-def _row_key(id_col: str, text_col: str) -> F.Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.length(text_col), F.col(text_col).cast("string"))
+def _row_key(docs: DataFrame, columns: list[str]) -> F.Column:
+    """128 bits of these columns; maps by their sorted entries."""
+    kinds = dict(docs.dtypes)
+    named = [F.array_sort(F.map_entries(F.col(f"`{c}`"))) if kinds[c].startswith("map<") else F.col(f"`{c}`") for c in columns]
+    told = [x for c in named for x in (c.isNull(), c)]  # nulls are passed over by the hash
+    return F.struct(F.xxhash64(*told).alias("a"), F.xxhash64(F.lit("thermoline"), *told).alias("b"))
+
+
+_ROW_KEY = "struct<a:long,b:long>"
 
 
 def _signed(rows: DataFrame) -> DataFrame:
@@ -97,7 +116,7 @@ def _signed(rows: DataFrame) -> DataFrame:
                 key, off = shingles(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rkey"), pa.array(_set_ids(key, off), pa.binary()), pa.array(np.diff(off)), pa.array(_labels(key, off), pa.binary())], ["doc_id", "rkey", "set_id", "size", "labels"])
 
-    return rows.mapInArrow(sign, "doc_id long, rkey long, set_id binary, size long, labels binary")
+    return rows.mapInArrow(sign, f"doc_id long, rkey {_ROW_KEY}, set_id binary, size long, labels binary")
 
 
 def _places(bits: int) -> list[F.Column]:
@@ -135,36 +154,35 @@ def _shingled(rows: DataFrame, needed: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(off.astype(np.int32), pa.array(key.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("rkey"), pa.array(_set_ids(key, off), pa.binary()), lists], ["rkey", "set_id", "shingles"])
 
-    found = rows.select("rkey", "text", first.alias("first"), second.alias("second")).mapInArrow(cut, "rkey long, set_id binary, shingles array<long>")
+    found = rows.select("rkey", "text", first.alias("first"), second.alias("second")).mapInArrow(cut, f"rkey {_ROW_KEY}, set_id binary, shingles array<long>")
     return found.join(needed, ["set_id", "rkey"]).drop("rkey")
 
 
-def _linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets have a Jaccard similarity of the threshold or more."""
+def _similar(sets: list[np.ndarray], wanted: np.ndarray, threshold: float) -> np.ndarray:
+    """The Jaccard similarity of the wanted pairs of sets where it is the threshold or more, else 0."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     if n == 2:
-        if min(size) < threshold * max(size):
-            return np.zeros((2, 2), bool)
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.full((2, 2), both >= threshold * (size.sum() - both)) & ~np.eye(2, dtype=bool)
-    owner = np.repeat(np.arange(n), size)
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(count > 1) - 1
-    shared = count[at] > 1
-    owner, column = owner[shared], rank[at[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    width = max(64, min(4096, 2_000_000 // n))
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        s, e = np.searchsorted(column, [c, c + width])
-        cells = np.zeros((n, width), np.float32)
-        cells[owner[s:e], column[s:e] - c] = 1
-        both += cells @ cells.T
-    out = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4
-    np.fill_diagonal(out, False)
-    return out
+        shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if min(size) >= threshold * max(size) - 1e-9 else 0
+        both = np.full((2, 2), float(shared))
+    else:
+        owner = np.repeat(np.arange(n), size)
+        _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.cumsum(count > 1) - 1
+        shared = count[at] > 1
+        owner, column = owner[shared], rank[at[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        both = np.zeros((n, n), np.float32)
+        width = max(64, min(4096, 2_000_000 // n))
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            s, e = np.searchsorted(column, [c, c + width])
+            cells = np.zeros((n, width), np.float32)
+            cells[owner[s:e], column[s:e] - c] = 1
+            both += cells @ cells.T
+        both = both.astype(float)  # whole numbers below 2**24 each, so the products are exact
+    union = size[:, None] + size[None, :] - both
+    return np.where(wanted & (both >= threshold * union - 1e-9), both / np.maximum(union, 1), 0.0)
 
 
 def _together(linked: np.ndarray) -> np.ndarray:
@@ -181,28 +199,35 @@ def _together(linked: np.ndarray) -> np.ndarray:
 _TASK = ["tree", "node", "i", "j"]
 
 
-def _verified(work: DataFrame, threshold: float) -> DataFrame:
-    """Rows of (set, links, head) from work that is sorted by task."""
+def _verified(work: DataFrame, threshold: float, target_depth: int, depth: int) -> DataFrame:
+    """Rows of (set, links, head, and for each depth from the target's on, the links each by one over its chance) from work that is sorted by task."""
 
-    def judge(task: tuple, rows: list[tuple[bytes, int, int, np.ndarray, np.ndarray]]) -> list[tuple[bytes, int, bytes]]:
+    def judge(task: tuple, rows: list[tuple]) -> list[tuple]:
         tree, _, i, j = task
         rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: r[0])  # of repeated rows one
         if len(rows) < 2:
             return []
-        linked = _linked([r[4] for r in rows], threshold)
-        keys = np.stack([r[3] for r in rows])
+        keys, deeper = np.stack([r[3] for r in rows]), np.stack([r[4] for r in rows])
+        wanted = ~np.eye(len(rows), dtype=bool)
         for t in range(tree):
-            linked &= keys[:, None, t] != keys[None, :, t]
+            wanted &= keys[:, None, t] != keys[None, :, t]
+        for t in range(deeper.shape[1]):
+            wanted &= deeper[:, None, t] != deeper[None, :, t]
         if i != j:
             block = np.array([r[1] for r in rows])
-            linked &= block[:, None] != block[None, :]
-        some = np.flatnonzero(linked.any(axis=1))
+            wanted &= block[:, None] != block[None, :]
+        if not wanted.any():
+            return []
+        similar = _similar([r[5] for r in rows], wanted, threshold)
+        some = np.flatnonzero(similar.any(axis=1))
         if not len(some):
             return []
-        linked = linked[np.ix_(some, some)]
+        similar = similar[np.ix_(some, some)]
+        linked = similar > 0
         copies, head = np.array([rows[k][2] for k in some]), _together(linked)
         links = linked @ copies
-        return [(rows[k][0], int(links[x]), rows[some[head[x]]][0]) for x, k in enumerate(some)]
+        hidden = [np.where(linked, 1 / chance(np.where(linked, similar, 1.0), d), 0.0).sum(axis=1) for d in range(target_depth, LABEL + 1)]
+        return [(rows[k][0], int(links[x]), rows[some[head[x]]][0], int(linked[x].sum()), [float(h[x]) for h in hidden]) for x, k in enumerate(some)]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[bytes, int, bytes]] = []
@@ -211,7 +236,7 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
             names = [list(x) for x in zip(*(batch.column(c).to_pylist() for c in _TASK), strict=True)]
             ids, block, copies = (batch.column(c).to_pylist() for c in ("set_id", "block", "copies"))
             flat = {}
-            for c in ("nodes", "shingles"):
+            for c in ("nodes", "deeper", "shingles"):
                 lists = batch.column(c)
                 flat[c] = (lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]))
             for k, name in enumerate(names):
@@ -220,7 +245,7 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
                         out += judge(tuple(task), rows)
                     task, rows = name, []
                 cut = {c: x[int(o[k]) : int(o[k + 1])].copy() for c, (x, o) in flat.items()}
-                rows.append((ids[k], block[k], copies[k], cut["nodes"], cut["shingles"]))
+                rows.append((ids[k], block[k], copies[k], cut["nodes"], cut["deeper"], cut["shingles"]))
             if len(out) >= 5000:
                 yield _links(out)
                 out = []
@@ -229,9 +254,9 @@ def _verified(work: DataFrame, threshold: float) -> DataFrame:
         yield _links(out)
 
     def _links(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["set_id", "links", "head"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.list_(pa.float64()))], ["set_id", "links", "head", "n", "hidden"])
 
-    return work.mapInArrow(walk, "set_id binary, links long, head binary")
+    return work.mapInArrow(walk, "set_id binary, links long, head binary, n long, hidden array<double>")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -252,23 +277,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The signed rows, and for each set: its copies, links, and the first row of its class."""
-    text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(id_col, text_col).alias("rkey"), text.alias("text"))
-    signed = stored(_signed(source), "signed")
-    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rkey")
-    sets = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("size").alias("size"), F.first("labels").alias("labels"))
-    sets = stored(sets, "sets")
+def _prefixes(depth: int) -> F.Column:
+    """The node of this depth in each tree; none below whole labels."""
+    return F.array(*(F.xxhash64(F.lit(t), F.substring("labels", 4 * LABEL * t + 1, 4 * depth)) for t in range(TREES))) if depth <= LABEL else F.array().cast("array<long>")
+
+
+def _crowded(sets: DataFrame, depth: int) -> DataFrame:
+    """Tree, node, number and shingles of each node with several sets; stored, so that joins by node have no aggregate at their side and Spark can split a large node."""
+    below = sets.select("size", F.posexplode(_prefixes(depth)).alias("tree", "node"))
+    return stored(below.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1"), "crowded")
+
 
-    d = depth(threshold, TREES, LABEL, target)
-    nodes = sets.select("set_id", "size", F.array(*(F.xxhash64(F.lit(t), F.substring("labels", 4 * LABEL * t + 1, 4 * d)) for t in range(TREES))).alias("nodes"))
-    below = nodes.select("set_id", "size", F.posexplode("nodes").alias("tree", "node"))
-    crowded = below.groupBy("tree", "node").agg(F.count("*").alias("n"), F.sum("size").alias("weight")).where("n > 1")
-    crowded = stored(crowded, "crowded")  # stored, so that the joins by node have no aggregate at their side and Spark can split a large node
-    member = below.join(crowded.hint("merge"), ["tree", "node"]).drop("size").join(nodes.select("set_id", "nodes"), "set_id")
+def _level(sets: DataFrame, payload: DataFrame, depth: int, last: int, threshold: float) -> DataFrame:
+    """The links of pairs that meet at this depth and at no deeper one."""
+    nodes = sets.select("set_id", _prefixes(depth).alias("nodes"), _prefixes(depth + 1).alias("deeper"))
+    member = nodes.select("set_id", F.posexplode("nodes").alias("tree", "node")).join(_crowded(sets, depth).hint("merge"), ["tree", "node"]).join(nodes, "set_id")
     member = stored(member, "members")
-    met = F.lit(False)
+    met = F.lit(False) if depth == LABEL else F.min(F.get("deeper", F.col("tree"))) == F.max(F.get("deeper", F.col("tree")))
     for t in range(TREES - 1):
         met = met | ((F.col("tree") > t) & (F.min(F.get("nodes", F.lit(t))) == F.max(F.get("nodes", F.lit(t)))))
     fresh = member.groupBy("tree", "node").agg(met.alias("met")).where(~F.col("met")).select("tree", "node")
@@ -276,12 +301,37 @@ def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("n") / BLOCK_SETS)).cast("int")
     work = member.join(fresh.hint("merge"), ["tree", "node"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id", F.lit("block")), "blocks").cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = stored(work.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "block", "nodes"), "work")
-
-    needed = stored(work.select("set_id").distinct().join(sets.select("set_id", "copies", F.col("first.rkey").alias("rkey")), "set_id"), "needed")
-    payload = _shingled(source, needed)
+    work = stored(work.select("tree", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "block", "nodes", "deeper"), "work")
     work = work.join(payload, "set_id").repartition(*_TASK).sortWithinPartitions(*_TASK, "set_id")
-    links = stored(_verified(work, threshold), "links")
+    return stored(_verified(work, threshold, last, depth), "links")
+
+
+def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text_col: str, columns: list[str]) -> tuple[DataFrame, DataFrame, list[tuple[int, int, float]]]:
+    """The signed rows; for each set its copies, links, and the first row of its class; and depth, links so far and recall of each level."""
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), _row_key(docs, columns).alias("rkey"), text.alias("text"))
+    signed = stored(_signed(source), "signed")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rkey")
+    sets = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("size").alias("size"), F.first("labels").alias("labels"))
+    sets = stored(sets, "sets")
+
+    last = depth(threshold, TREES, LABEL, target)
+    some = sets.select("set_id", F.posexplode(_prefixes(last)).alias("tree", "node")).join(_crowded(sets, last).hint("merge"), ["tree", "node"]).select("set_id").distinct()
+    some = stored(some.join(sets.select("set_id", "copies", "size", "labels", F.col("first.rkey").alias("rkey")), "set_id"), "some")
+    payload = stored(_shingled(source, some.select("set_id", "copies", "rkey")), "shingles")
+
+    levels, found, links = [], 0, None
+    seen = np.zeros(LABEL + 1 - last)
+    for d in range(LABEL, last - 1, -1):
+        new = _level(some, payload, d, last, threshold)
+        sums = new.agg(F.sum("n").alias("n"), *(F.sum(F.get("hidden", F.lit(k))).alias(f"d{k}") for k in range(len(seen)))).first()
+        found += sums["n"] or 0
+        seen += [sums[f"d{k}"] or 0.0 for k in range(len(seen))]
+        links = new if links is None else links.union(new)
+        recall = found / seen[d - last] if found else 0.0
+        levels.append((d, found // 2, recall))
+        if recall >= target and found >= 2 * LEAST_LINKS:
+            break
 
     classes = components(links.select("set_id", "head"), "set_id", "head")
     named = classes.withColumnRenamed("node", "set_id").join(sets.select("set_id", "first"), "set_id")
@@ -289,17 +339,26 @@ def _classes(docs: DataFrame, threshold: float, target: float, id_col: str, text
     named = named.join(heads, "component").select("set_id", "class_first")
     count = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     known = sets.select("set_id", "copies", "first").join(named, "set_id", "left").join(count, "set_id", "left")
-    return signed, known.select("set_id", F.coalesce("class_first", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed, known.select("set_id", F.coalesce("class_first", "first").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), levels
+
+
+def measured_recall(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, float]]:
+    """Of each level of the descent: its depth, the links of different sets found up to it and the recall that they imply."""
+    return _classes(docs, threshold, target, id_col, text_col, [id_col, text_col])[2]
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: the least id of its class and its number of links.
 
     Links are the other rows with an equal shingle set or one of at least the threshold.
-    Texts without words link to nothing and are classes of their own. Null ids come after
-    all others; repeated rows are copies of one another.
+    Null and empty texts and others without words link to nothing and are classes of their
+    own; a text of fewer than five words is one shingle. Null ids come after all others;
+    repeated rows are copies of one another; of rows that share a least id, the class has that
+    id. An empty table gives no rows; other columns, whatever their names, aren't looked at.
+    A long text is a slice of its own, with 8 bytes for each of its shingles; a large group of
+    copies is one set, and one of near copies is compared in blocks.
     """
-    signed, known = _classes(docs, threshold, target, id_col, text_col)
+    signed, known, _ = _classes(docs, threshold, target, id_col, text_col, [id_col, text_col])
     known = stored(known, "known")  # as above: a large group of copies can be split
     rows = signed.where("set_id IS NOT NULL").select("doc_id", "set_id").join(known.hint("merge"), "set_id", "left")
     rows = rows.select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("n_links").cast("long").alias("n_links"))
@@ -307,11 +366,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target: float
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that come first in their class; of repeated rows one."""
-    signed, known = _classes(docs, threshold, target, id_col, text_col)
+    """The rows of `docs`, with all their columns, that come first in their class; of rows alike in all columns one.
+
+    First is the least id, null ids last, then a hash of all columns. Rows without words all
+    stay, but for repeated ones; an empty table stays empty; long texts as above.
+    """
+    signed, known, _ = _classes(docs, threshold, target, id_col, text_col, docs.columns)
     alone = signed.where("set_id IS NULL").select("rkey")
-    kept = known.select(F.col("head.rkey").alias("rkey")).union(alone).distinct().withColumnRenamed("rkey", "thermoline_rkey")
-    rows = docs.withColumn("thermoline_rkey", _row_key(id_col, text_col)).join(kept.hint("merge"), "thermoline_rkey", "left_semi")
+    key = next(name for name in (f"row_key_{n}" for n in range(len(docs.columns) + 1)) if name not in {c.lower() for c in docs.columns})
+    kept = known.select(F.col("head.rkey").alias("rkey")).union(alone).distinct().withColumnRenamed("rkey", key)
+    rows = docs.withColumn(key, _row_key(docs, docs.columns)).join(kept.hint("merge"), key, "left_semi")
     if not signed.groupBy("rkey").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["thermoline_rkey"])
-    return rows.select(*docs.columns)
+        rows = rows.dropDuplicates([key])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

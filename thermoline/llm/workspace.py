@@ -1,25 +1,5 @@
-"""Tables and files that the driver and all executors share."""
+"""Tables and files that the driver and all executors share: the engine's staging."""
 
-from __future__ import annotations
+from thermoline.sources.staging import clear, shared_folder, stored
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; a local one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="thermoline-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return f"{at.rstrip('/')}/thermoline-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows, written to the shared folder and read again: a cut lineage that outlives executors."""
-    at = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+__all__ = ["clear", "shared_folder", "stored"]

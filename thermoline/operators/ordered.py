@@ -69,6 +69,14 @@ def resample(df: DataFrame, columns: list[str], at: str, step: float) -> DataFra
     return points.select(RUN, F.col("resampled_at").cast("double").alias(at), *((F.col(c) + share * F.coalesce(F.col(f"{c}_to") - F.col(c), F.lit(0.0))).alias(c) for c in columns))
 
 
+def plot_values(value: str, recovery: str | None = None) -> Column:
+    """What a plot shows of a run's rows: their recovery where the run has any, else the value between its least and largest; half where these are one."""
+    w = Window.partitionBy(RUN)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    share = F.when(F.col(value).isNull(), F.lit(None)).when(high - low > 1e-9, (F.col(value) - low) / F.greatest(high - low, F.lit(1e-9))).otherwise(F.lit(0.5))
+    return share if recovery is None else F.when(F.count(recovery).over(w) > 0, F.col(recovery)).otherwise(share)
+
+
 def fill_linear(c: str, w: WindowSpec | None = None) -> Column:
     """Over the place `row_at` of each row. Missing values on the line between their neighbours by row; beyond the first and last value these hold."""
     w = w or in_frames()

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 STATUSES = ("formal_passed", "provisional", "formal_blocked", "quicklook_only", "unrecorded")
 
+#: Most variants of a sweep.
+MOST_VARIANTS = 1000
+
 
 def _last_of(details: DataFrame, key: str) -> DataFrame:
     """Of details that share a key, the last by `seq`."""
@@ -70,8 +73,14 @@ def sweep_summary(variants: DataFrame, key: str, fields: list[str], baseline: st
 
 
 def sensitivity(series: DataFrame, variants: DataFrame) -> DataFrame:
-    """The series once for each variant of a sweep: the variants are a handful of rows of settings."""
-    return series.crossJoin(variants)
+    """The series once for each variant of a sweep; of variants, rows of settings, there may be MOST_VARIANTS, which are one literal of the plan."""
+    rows = variants.limit(MOST_VARIANTS + 1).collect()
+    if len(rows) > MOST_VARIANTS:
+        raise ValueError(f"a sweep has {MOST_VARIANTS} variants at most")
+    if not rows:
+        return series.limit(0).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in variants.schema))
+    each = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in variants.schema)) for r in rows))
+    return series.withColumn("variant_of_sweep", F.explode(each)).select(*series.columns, "variant_of_sweep.*")
 
 
 def truth_error(measured: DataFrame, truth: DataFrame, keys: list[str], pairs: dict[str, str]) -> DataFrame:

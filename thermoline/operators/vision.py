@@ -1,9 +1,8 @@
-"""Geometry of frames: dark pixels become rows, and everything after that is grouping.
+"""Geometry of frames: an object becomes slices across its axis, stored once, and everything after that is grouping.
 
-A frame is a row with its gray pixels. Small Arrow helpers draw synthetic frames and list a
-frame's dark pixels; components, axes, end points, curvature and width profiles are
-aggregates and windows keyed by run and frame, so frames spread over the cluster and a
-frame's work can as well.
+A frame is a row with its gray pixels. Small Arrow helpers draw synthetic frames and cut a
+frame's object into slices; end points, curvature and width profiles are aggregates and
+windows over slices, keyed by run and frame, so frames spread over the cluster.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermoline.operators import geometry, qc
+from thermoline.sources.staging import stored
 
 FRAME = ["run_id", "frame"]
 #: Pixels that are at least this dark belong to the object.
@@ -64,72 +64,87 @@ def drawn(points: DataFrame, width: int, height: int, thickness: str = "thicknes
     return points.select("run_id", "frame", "xs", "ys", thickness).mapInArrow(draw, "run_id long, frame long, height int, width int, pixels binary")
 
 
-def dark_pixels(frames: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each dark pixel. A frame whose pixels don't fit its size has none."""
+def _gray(row: dict) -> np.ndarray | None:
+    raw = np.frombuffer(row["pixels"] or b"", np.uint8)
+    return raw.reshape(row["height"], row["width"]) if len(raw) == (row["height"] or 0) * (row["width"] or 0) else None
+
+
+def _in_largest(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which pixels, in order of line and place, are of the largest 8-connected component; of equal ones the first."""
+    if not len(y):
+        return np.zeros(0, bool)
+    begins = np.flatnonzero((np.diff(y, prepend=y[0] - 1) != 0) | (np.diff(x, prepend=x[0]) != 1))
+    length = np.diff(np.append(begins, len(y)))
+    line, x0, x1 = y[begins], x[begins], x[begins] + length - 1
+    name, low, high = np.arange(len(line)), np.searchsorted(line, line + 1, "left"), np.searchsorted(line, line + 1, "right")
+    # Spans of the next line, which are in order of place, touch where they begin and end near.
+    key = line.astype(np.int64) << 32
+    first, last = np.searchsorted(key + x1, (key + (1 << 32)) + x0 - 1, "left"), np.searchsorted(key + x0, (key + (1 << 32)) + x1 + 1, "right")
+    first, last = np.maximum(first, low), np.minimum(last, high)
+    n = np.maximum(last - first, 0)
+    a = np.repeat(name, n)
+    b = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    while len(a):
+        least, new = np.minimum(name[a], name[b]), name.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == name).all():
+            break
+        name = new
+    return np.repeat(name == np.argmax(np.bincount(name, length, minlength=len(name))), length)
+
+
+OBJECT = "run_id long, frame long, area_px2 long, direction_span_px double, slices array<struct<bin:long,x:double,y:double,s:double,t:double,width_px:double,n:long>>"
+_SLICES = pa.list_(pa.struct([("bin", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "s", "t", "width_px")), ("n", pa.int64())]))
+
+
+def _slices(x: np.ndarray, y: np.ndarray, step: float) -> list[dict]:
+    """Mean point and width of each slice across the axis of largest variance, which points to the right."""
+    dx, dy = x - x.mean(), y - y.mean()
+    theta = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+    s, t = dx * np.cos(theta) + dy * np.sin(theta), dy * np.cos(theta) - dx * np.sin(theta)
+    order = np.lexsort((t, np.floor(s / step)))
+    bins, first, n = np.unique(np.floor(s / step)[order], return_index=True, return_counts=True)
+    mean = [np.add.reduceat(c[order], first) / n for c in (x, y, s, t)]
+    width = t[order][first + n - 1] - t[order][first] + 1
+    return [dict(zip(("bin", "x", "y", "s", "t", "width_px", "n"), row, strict=True)) for row in zip(bins.astype(int).tolist(), *(m.tolist() for m in mean), width.tolist(), n.tolist(), strict=True)]
+
+
+def objects(frames: DataFrame, threshold: int = THRESHOLD, step: float = 2.0, direction_deg: float = 0.0) -> DataFrame:
+    """A row for each frame: area of its object, its largest dark component, extent along a direction, and its slices across its axis.
+
+    All of a frame is measured inside the task that has it, and a row has a few hundred slices
+    at most where it has many thousand pixels; no pixel is shuffled. A frame whose pixels don't
+    fit its size has no row, one without dark pixels no slices.
+    """
+    cos, sin = np.cos(np.radians(direction_deg)), np.sin(np.radians(direction_deg))
 
-    def list_dark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                raw = np.frombuffer(row["pixels"] or b"", np.uint8)
-                if len(raw) != (row["height"] or 0) * (row["width"] or 0):
+                gray = _gray(row)
+                if gray is None:
                     continue
-                y, x = np.nonzero(raw.reshape(row["height"], row["width"]) < threshold)
-                yield pa.RecordBatch.from_pydict({"run_id": pa.array([row["run_id"]] * len(x), pa.int64()), "frame": pa.array([row["frame"]] * len(x), pa.int64()), "x": pa.array(x, pa.int32()), "y": pa.array(y, pa.int32())})
-
-    return frames.select("run_id", "frame", "height", "width", "pixels").mapInArrow(list_dark, "run_id long, frame long, x int, y int")
-
+                y, x = np.nonzero(gray < threshold)
+                good = _in_largest(y, x)
+                y, x = y[good].astype(float), x[good].astype(float)
+                out.append((row["run_id"], row["frame"], len(x), float(np.ptp(x * cos + y * sin)) if len(x) else None, _slices(x, y, step) if len(x) else []))
+            run, frame, area, span, slices = zip(*out, strict=True) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(frame, pa.int64()), pa.array(area, pa.int64()), pa.array(span, pa.float64()), pa.array(slices, _SLICES)], ["run_id", "frame", "area_px2", "direction_span_px", "slices"])
 
-def row_spans(pixels: DataFrame) -> DataFrame:
-    """Unbroken spans of dark pixels in a line: (y, x0, x1)."""
-    w = Window.partitionBy(*FRAME, "y").orderBy("x")
-    rows = pixels.withColumn("part", F.col("x") - F.row_number().over(w))
-    return rows.groupBy(*FRAME, "y", "part").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("part")
+    return frames.select("run_id", "frame", "height", "width", "pixels").mapInArrow(measured, OBJECT)
 
 
-def largest_component(pixels: DataFrame, rounds: int = 64) -> DataFrame:
-    """The pixels of each frame's largest 8-connected component.
-
-    Spans of neighbouring lines that touch are edges; a frame's spans are few, so their
-    components are found on the frame's own array of spans.
-    """
-    spans = row_spans(pixels)
+def largest_component(pixels: DataFrame) -> DataFrame:
+    """Of rows of dark pixels, those of each frame's largest 8-connected component."""
 
     def label(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("y", "ascending"), ("x0", "ascending")])
-        y, x0, x1 = (table.column(c).to_numpy() for c in ("y", "x0", "x1"))
-        name = np.arange(len(y))
-        lines = {v: np.flatnonzero(y == v) for v in np.unique(y)}
-        edges = [(a, b) for v, above in lines.items() for a in above for b in lines.get(v + 1, ()) if x0[b] <= x1[a] + 1 and x1[b] >= x0[a] - 1]
-        if edges:
-            a, b = np.array(edges).T
-            while True:
-                low = np.minimum(name[a], name[b])
-                new = name.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                new = new[new]
-                if (new == name).all():
-                    break
-                name = new
-        size = np.bincount(name, x1 - x0 + 1, minlength=len(name))
-        return table.append_column("kept", pa.array(name == int(np.argmax(size))))
-
-    kept = spans.groupBy(*FRAME).applyInArrow(label, "run_id long, frame long, y int, x0 int, x1 int, kept boolean").where("kept")
-    return kept.select(*FRAME, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-
-
-def with_axis(pixels: DataFrame) -> DataFrame:
-    """Pixels with their place along (s) and across (t) their frame's principal axis."""
-    axis = geometry.principal_axis(pixels, FRAME, "x", "y")
-    rows = pixels.join(axis, FRAME)
-    dx, dy = F.col("x") - F.col("center_x"), F.col("y") - F.col("center_y")
-    return rows.withColumn("s", dx * F.col("axis_x") + dy * F.col("axis_y")).withColumn("t", dy * F.col("axis_x") - dx * F.col("axis_y"))
-
-
-def centerline(pixels: DataFrame, step: float = 2.0) -> DataFrame:
-    """Mean point and width of each slice across the axis."""
-    rows = with_axis(pixels).withColumn("bin", F.floor(F.col("s") / step))
-    return rows.groupBy(*FRAME, "bin").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("s").alias("s"), F.avg("t").alias("t"), (F.max("t") - F.min("t") + 1).alias("width_px"), F.count(F.lit(1)).alias("n"))
+        table = table.sort_by([("y", "ascending"), ("x", "ascending")])
+        return table.filter(pa.array(_in_largest(*(table.column(c).to_numpy().astype(np.int64) for c in ("y", "x")))))
+
+    return pixels.select(*FRAME, "y", "x").groupBy(*FRAME).applyInArrow(label, "run_id long, frame long, y int, x int")
 
 
 def wire_geometry(frames: DataFrame, direction_deg: float = 0.0, threshold: int = THRESHOLD) -> DataFrame:
@@ -137,12 +152,12 @@ def wire_geometry(frames: DataFrame, direction_deg: float = 0.0, threshold: int
 
     A frame without an object has NULLs, quality 0 and model `failed`.
     """
-    return wire_measures(frames.select(*FRAME), largest_component(dark_pixels(frames, threshold)), direction_deg)
+    return wire_measures(stored(objects(frames, threshold, direction_deg=direction_deg), "objects"))
 
 
-def wire_measures(frames: DataFrame, pixels: DataFrame, direction_deg: float = 0.0) -> DataFrame:
-    """As wire_geometry, of frames whose object's pixels are known."""
-    line = centerline(pixels)
+def wire_measures(found: DataFrame) -> DataFrame:
+    """As wire_geometry, from the rows of `objects`."""
+    line = found.select(*FRAME, F.inline("slices"))
     w = Window.partitionBy(*FRAME)
     line = line.withColumn("u", F.col("s") - F.avg("s").over(w))
     # Parabola t = a + b u + c u**2 by its normal equations; sums of u vanish.
@@ -155,9 +170,7 @@ def wire_measures(frames: DataFrame, pixels: DataFrame, direction_deg: float = 0
     along = c("to_u") - c("from_u")
     fits = m.select(*FRAME, "points", "anchor", "tip", "s0", "s1", "width", F.sqrt(F.pow(along, F.lit(2)) + F.pow(along * (slope + bend * (c("from_u") + c("to_u"))), F.lit(2))).alias("x_fit_px"), bend.alias("bend"), slope.alias("slope"), level.alias("level"))
     error = line.join(fits.select(*FRAME, "bend", "slope", "level"), FRAME).groupBy(*FRAME).agg(qc.rmse(c("t"), c("level") + c("slope") * c("u") + c("bend") * c("u") * c("u")).alias("quadratic_rmse_px"))
-    span = geometry.directional_span(pixels, FRAME, "x", "y", direction_deg)
-    area = pixels.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("area_px2"))
-    rows = frames.join(fits, FRAME, "left").join(error, FRAME, "left").join(span, FRAME, "left").join(area, FRAME, "left")
+    rows = found.drop("slices").join(fits, FRAME, "left").join(error, FRAME, "left")
     ok = F.coalesce(c("area_px2") >= LEAST_PIXELS, F.lit(False)) & c("bend").isNotNull()
     kappa = F.abs(2 * c("bend")) / F.pow(1 + c("slope") * c("slope"), F.lit(1.5))
     shown = {"anchor_x": c("anchor.x"), "anchor_y": c("anchor.y"), "tip_x": c("tip.x"), "tip_y": c("tip.y"), "x_px": F.sqrt(F.pow(c("tip.x") - c("anchor.x"), 2) + F.pow(c("tip.y") - c("anchor.y"), 2)), "x_fit_px": c("x_fit_px"), "kappa_fit_px_inv": kappa, "centerline_points": c("points").cast("double"), "quadratic_rmse_px": c("quadratic_rmse_px"), "direction_mask_span_px": c("direction_span_px"), "area_px2": c("area_px2").cast("double")}
@@ -170,16 +183,15 @@ def braided_geometry(frames: DataFrame, step: float = 2.0, threshold: int = THRE
 
     The body is where the profile is wider than 22 % of its largest width, eight pixels at least.
     """
-    pixels = largest_component(dark_pixels(frames, threshold))
-    line = centerline(pixels, step)
+    found = stored(objects(frames, threshold, step), "objects")
+    line = found.select(*FRAME, F.inline("slices"))
     top = F.max("width_px").over(Window.partitionBy(*FRAME))
     body = line.withColumn("top", top).where(F.col("width_px") >= F.greatest(0.22 * F.col("top"), F.lit(8.0)))
     size = body.groupBy(*FRAME).agg((F.max("s") - F.min("s")).alias("length_axis_px"), F.max("width_px").alias("diameter_max_px"), F.max_by("s", "width_px").alias("peak_s"), F.min("s").alias("s0"))
     area = geometry.trapezoid_area(body, FRAME, "s", "width_px").withColumnRenamed("area", "area_proj_px2")
     stats = geometry.window_width_stats(body, FRAME, "s", "width_px")
     zones = geometry.zone_metrics(body, FRAME, "s", "width_px")
-    mask = pixels.groupBy(*FRAME).agg(F.count(F.lit(1)).cast("double").alias("component_area_px2"))
-    rows = frames.select(*FRAME)
-    for part in (size, area, stats, zones, mask):
+    rows = found.select(*FRAME, F.when(F.col("area_px2") > 0, F.col("area_px2")).cast("double").alias("component_area_px2"))
+    for part in (size, area, stats, zones):
         rows = rows.join(part, FRAME, "left")
     return rows.withColumn("diameter_peak_pos_norm", (F.col("peak_s") - F.col("s0")) / F.when(F.col("length_axis_px") > 0, F.col("length_axis_px"))).drop("peak_s", "s0")

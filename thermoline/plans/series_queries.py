@@ -17,6 +17,15 @@ from thermoline.sources.staging import stored
 
 R6 = lambda c: F.round(c, 6)
 
+
+def single(c) -> F.Column:  # noqa: ANN001
+    """In single precision: values of few decimals lie on no border of its rounding, as they do of decimal places."""
+    return (F.col(c) if isinstance(c, str) else c).cast("float").cast("double")
+
+
+def single_sql(c: str) -> str:
+    return f"CAST(CAST({c} AS FLOAT) AS DOUBLE)"
+
 PROGRESS = """
 ev AS (SELECT user_id AS run_id, ts, event_id, event_type, CAST(value AS DECIMAL(18,4)) AS v, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 pr0 AS (SELECT run_id, event_type, k, row_number() OVER w - 1 AS frame, count(*) OVER (PARTITION BY run_id) AS n,
@@ -25,7 +34,7 @@ pr0 AS (SELECT run_id, event_type, k, row_number() OVER w - 1 AS frame, count(*)
 prog AS (SELECT run_id, frame, n, event_type, k, frame / 20.0 AS time_sec, 20.0 + 45.0 * frame / greatest(n - 1, 1) AS temperature_c, round(cum / total, 9) AS p FROM pr0)
 """
 WIRE = PROGRESS + """,
-wq AS (SELECT *, round(least(1.0, p * CASE WHEN run_id % 3 = 0 THEN 0.85 ELSE 1.15 END), 9) AS q, event_type <> 'error' AS ok FROM prog),
+wq AS (SELECT *, least(1.0, p * CASE WHEN run_id % 3 = 0 THEN 0.85 ELSE 1.15 END) AS q, event_type <> 'error' AS ok FROM prog),
 wire AS (SELECT run_id, frame, time_sec, temperature_c, k, p, q,
   CASE WHEN ok THEN 10.0 + (k % 7) * 0.25 END AS route_a_anchor_x, CASE WHEN ok THEN 15.0 END AS route_a_anchor_y,
   CASE WHEN ok THEN 10.0 + (55.0 + 45.0 * q) + CASE WHEN run_id % 5 = 1 AND k % 40 = 7 THEN 30.0 ELSE 0.0 END END AS route_a_tip_x, CASE WHEN ok THEN 15.0 + (k % 5) * 0.5 END AS route_a_tip_y,
@@ -38,7 +47,7 @@ wire AS (SELECT run_id, frame, time_sec, temperature_c, k, p, q,
   CASE WHEN ok THEN CAST(100 + k AS DOUBLE) END AS centerline_points, CASE WHEN NOT ok THEN 'failed' WHEN k % 3 = 0 THEN 'circle' ELSE 'quadratic' END AS model_name FROM wq)
 """
 BRAIDED = PROGRESS + """,
-bq AS (SELECT *, round(least(1.0, p * CASE WHEN run_id % 4 = 0 THEN 0.85 ELSE 1.15 END), 9) AS q, event_type <> 'error' AS ok FROM prog),
+bq AS (SELECT *, least(1.0, p * CASE WHEN run_id % 4 = 0 THEN 0.85 ELSE 1.15 END) AS q, event_type <> 'error' AS ok FROM prog),
 b0 AS (SELECT run_id, frame, temperature_c, k, q, CASE WHEN ok THEN 120.0 - 30.0 * q END AS length_axis_px,
   CASE WHEN ok THEN (k % 10) * CASE WHEN run_id % 9 = 1 THEN 3.0 ELSE 0.5 END END AS length_axis_disagreement_px, CASE WHEN ok THEN 20.0 + 20.0 * q + (k % 3) * 0.1 END AS diameter_max_px,
   CASE WHEN ok THEN 500.0 + 220.0 * q END AS area_proj_px2, CASE WHEN ok THEN (k % 20) * CASE WHEN run_id % 8 = 3 THEN 9.0 ELSE 2.0 END END AS area_proj_definition_gap_px2,
@@ -247,10 +256,10 @@ def _alpha() -> F.Column:
 src AS (SELECT run_id, frame, n, CAST(k AS DOUBLE) AS v, {ALPHA} AS a FROM prog),
 fwd AS (SELECT run_id, frame, v AS e FROM src WHERE frame = 0 UNION ALL SELECT s.run_id, s.frame, s.a * s.v + (1.0 - s.a) * f.e FROM fwd f JOIN src s ON s.run_id = f.run_id AND s.frame = f.frame + 1),
 bwd AS (SELECT run_id, frame, v AS e FROM src WHERE frame = n - 1 UNION ALL SELECT s.run_id, s.frame, s.a * s.v + (1.0 - s.a) * f.e FROM bwd f JOIN src s ON s.run_id = f.run_id AND s.frame = f.frame - 1)
-SELECT f.run_id, f.frame, round((f.e + b.e) / 2 + 0.000000003, 6) AS smooth FROM fwd f JOIN bwd b USING (run_id, frame)""")
+SELECT f.run_id, f.frame, {single_sql("(f.e + b.e) / 2")} AS smooth FROM fwd f JOIN bwd b USING (run_id, frame)""")
 def ema_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     rows = virtual.progress(spark, d).select("run_id", "frame", F.col("k").cast("double").alias("v"), _alpha().alias("a"))
-    return temporal.bidirectional_ema(rows, "v", "a", "smooth").select("run_id", "frame", R6(F.col("smooth") + 3e-9).alias("smooth"))
+    return temporal.bidirectional_ema(rows, "v", "a", "smooth").select("run_id", "frame", single("smooth").alias("smooth"))
 
 
 @query("isotonic_pava", "WITH " + PROGRESS + """,
@@ -258,10 +267,10 @@ cs AS (SELECT run_id, frame, sum(k) OVER (PARTITION BY run_id ORDER BY frame) AS
 means AS (SELECT a.run_id, a.frame AS j, b.frame AS m, (b.c - a.c + a.k) / (b.frame - a.frame + 1.0) AS mean FROM cs a JOIN cs b ON a.run_id = b.run_id AND a.frame <= b.frame),
 low AS (SELECT run_id, j, m, min(mean) OVER (PARTITION BY run_id, j ORDER BY m DESC ROWS UNBOUNDED PRECEDING) AS least_mean FROM means),
 top AS (SELECT run_id, m AS frame, max(least_mean) OVER (PARTITION BY run_id, m) AS fitted, j FROM low)
-SELECT run_id, frame, round(max(fitted) + 0.000000003, 6) AS fitted FROM top GROUP BY run_id, frame""")
+SELECT run_id, frame, """ + single_sql("max(fitted)") + " AS fitted FROM top GROUP BY run_id, frame")
 def isotonic_pava(spark: SparkSession, d: str) -> DataFrame:
     rows = virtual.progress(spark, d).select("run_id", "frame", F.col("k").cast("double").alias("v"))
-    return temporal.isotonic(rows, "v", "fitted").select("run_id", "frame", R6(F.col("fitted") + 3e-9).alias("fitted"))
+    return temporal.isotonic(rows, "v", "fitted").select("run_id", "frame", single("fitted").alias("fitted"))
 
 
 TAU = repr(2 * math.pi)
@@ -270,10 +279,10 @@ TAU = repr(2 * math.pi)
 @query("unwrap_angle", "WITH " + PROGRESS + f""",
 an AS (SELECT run_id, frame, (k % 64) * 0.1 - 3.1 AS a, ((k % 64) * 0.1 - 3.1) - lag((k % 64) * 0.1 - 3.1) OVER (PARTITION BY run_id ORDER BY frame) AS d FROM prog WHERE event_type <> 'error'),
 fx AS (SELECT *, CASE WHEN d IS NULL OR abs(d) < {math.pi!r} THEN 0.0 ELSE d + {math.pi!r} - {TAU} * floor((d + {math.pi!r}) / {TAU}) - {math.pi!r} - d END AS fix FROM an)
-SELECT run_id, frame, round(a + sum(fix) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) + 0.000000003, 6) AS unwrapped FROM fx""")
+SELECT run_id, frame, {single_sql("a + sum(fix) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING)")} AS unwrapped FROM fx""")
 def unwrap_angle(spark: SparkSession, d: str) -> DataFrame:
     rows = virtual.progress(spark, d).select("run_id", "frame", F.when(F.col("event_type") != "error", (F.col("k") % 64) * 0.1 - 3.1).alias("a"))
-    return ordered.unwrapped(rows, "a", "unwrapped").select("run_id", "frame", R6(F.col("unwrapped") + 3e-9).alias("unwrapped"))
+    return ordered.unwrapped(rows, "a", "unwrapped").select("run_id", "frame", single("unwrapped").alias("unwrapped"))
 
 
 @query("nan_fill", "WITH " + WIRE + """,
@@ -295,28 +304,40 @@ def route_c(spark: SparkSession, d: str) -> DataFrame:
     return temporal.route_c(virtual.wire_series(spark, d).drop("kappa_route_c_px_inv")).select("run_id", "frame", *temporal.ROUTE_C_COLUMNS)
 
 
-@query("regularized_series")
+@query("regularized_series", "WITH RECURSIVE " + WIRE + f""",
+nf AS (SELECT run_id, frame, k, x_fit_px AS v, row_number() OVER (PARTITION BY run_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n, CASE WHEN x_fit_px IS NOT NULL THEN frame END AS pos FROM wire),
+nb AS (SELECT *, last_value(pos IGNORE NULLS) OVER b AS b_at, last_value(v IGNORE NULLS) OVER b AS b_v, first_value(pos IGNORE NULLS) OVER a AS a_at, first_value(v IGNORE NULLS) OVER a AS a_v FROM nf
+  WINDOW b AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY run_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+src AS (SELECT run_id, frame, i, n, v IS NULL AS gone, {ALPHA} AS a, coalesce(v, b_v + (a_v - b_v) * (frame - b_at) / nullif(a_at - b_at, 0), b_v, a_v) AS v FROM nb),
+fwd AS (SELECT run_id, i, v AS e FROM src WHERE i = 0 UNION ALL SELECT s.run_id, s.i, s.a * s.v + (1.0 - s.a) * f.e FROM fwd f JOIN src s ON s.run_id = f.run_id AND s.i = f.i + 1),
+bwd AS (SELECT run_id, i, v AS e FROM src WHERE i = n - 1 UNION ALL SELECT s.run_id, s.i, s.a * s.v + (1.0 - s.a) * f.e FROM bwd f JOIN src s ON s.run_id = f.run_id AND s.i = f.i - 1),
+cs AS (SELECT run_id, i, (f.e + b.e) / 2 AS y, sum((f.e + b.e) / 2) OVER (PARTITION BY run_id ORDER BY i) AS c FROM fwd f JOIN bwd b USING (run_id, i)),
+means AS (SELECT p.run_id, p.i AS j, q.i AS m, (q.c - p.c + p.y) / (q.i - p.i + 1.0) AS mean FROM cs p JOIN cs q ON p.run_id = q.run_id AND p.i <= q.i),
+low AS (SELECT run_id, j, m, min(mean) OVER (PARTITION BY run_id, j ORDER BY m DESC ROWS UNBOUNDED PRECEDING) AS least_mean FROM means),
+top AS (SELECT run_id, m AS i, max(least_mean) OVER (PARTITION BY run_id, m) AS fitted FROM low),
+done AS (SELECT run_id, i, max(fitted) AS fitted FROM top GROUP BY run_id, i)
+SELECT w.run_id, w.frame, w.x_fit_px, CASE WHEN NOT gone THEN {single_sql("fitted")} END AS x_regular FROM src JOIN done USING (run_id, i) JOIN wire w ON w.run_id = src.run_id AND w.frame = src.frame""")
 def regularized_series(spark: SparkSession, d: str) -> DataFrame:
     rows = virtual.wire_series(spark, d).select("run_id", "frame", "x_fit_px", _alpha().alias("a"))
-    return temporal.regularized(rows, "x_fit_px", "a", "x_regular", True).drop("a")
+    return temporal.regularized(rows, "x_fit_px", "a", "x_regular", True).select("run_id", "frame", "x_fit_px", single("x_regular").alias("x_regular"))
 
 
-ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, round(CAST(sum(CAST(step AS DECIMAL(30,9))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) + 0.00000000017, 6) AS s FROM st)"
+ARC = ", st AS (SELECT run_id, frame, tip_x, tip_y, coalesce(sqrt((tip_x - lag(tip_x) OVER w) ** 2 + (tip_y - lag(tip_y) OVER w) ** 2), 0.0) AS step FROM wire WHERE tip_x IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)), arc AS (SELECT *, CAST(sum(CAST(step AS DECIMAL(30,9))) OVER (PARTITION BY run_id ORDER BY frame ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS s FROM st)"
 
 
-@query("arc_length", "WITH " + WIRE + ARC + " SELECT run_id, frame, round(s + 0.0000003, 5) AS arc_length FROM arc")
+@query("arc_length", "WITH " + WIRE + ARC + " SELECT run_id, frame, " + single_sql("s") + " AS arc_length FROM arc")
 def arc_length(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", F.round(R6(F.col("arc_length") + 1.7e-10) + 3e-7, 5).alias("arc_length"))
+    return ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").select("run_id", "frame", single("arc_length").alias("arc_length"))
 
 
 @query("resample_polyline", "WITH " + WIRE + ARC + """,
 ah AS (SELECT *, lead(s) OVER w AS s1, lead(tip_x) OVER w AS x1, lead(tip_y) OVER w AS y1 FROM arc WINDOW w AS (PARTITION BY run_id ORDER BY s, frame)),
 sp AS (SELECT * FROM ah WHERE s1 > s OR s1 IS NULL),
 pt AS (SELECT *, unnest(CASE WHEN s1 IS NULL THEN [s] ELSE list_transform(range(CAST(ceil(s / 5.0) AS BIGINT), CAST(ceil(s1 / 5.0) AS BIGINT)), lambda k: k * 5.0) END) AS pos FROM sp)
-SELECT run_id, round(pos + 0.0000003, 5) AS arc_length, round(tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0) + 0.00000000017, 4) AS x, round(tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0) + 0.00000000017, 4) AS y FROM pt""")
+SELECT run_id, """ + f'{single_sql("pos")} AS arc_length, {single_sql("tip_x + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(x1 - tip_x, 0.0)")} AS x, {single_sql("tip_y + coalesce((pos - s) / (s1 - s), 0.0) * coalesce(y1 - tip_y, 0.0)")} AS y FROM pt')
 def resample_polyline(spark: SparkSession, d: str) -> DataFrame:
-    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y").withColumn("arc_length", R6(F.col("arc_length") + 1.7e-10))
-    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", F.round(F.col("arc_length") + 3e-7, 5).alias("arc_length"), F.round(F.col("tip_x") + 1.7e-10, 4).alias("x"), F.round(F.col("tip_y") + 1.7e-10, 4).alias("y"))
+    rows = ordered.with_arc_length(virtual.wire_series(spark, d), "tip_x", "tip_y")
+    return ordered.resample(rows, ["tip_x", "tip_y"], "arc_length", 5.0).select("run_id", single("arc_length").alias("arc_length"), single("tip_x").alias("x"), single("tip_y").alias("y"))
 
 
 PROFILE = ", prof AS (SELECT run_id, CAST(frame AS DOUBLE) AS pos, CASE WHEN event_type <> 'error' THEN 10.0 + k * 0.5 END AS width FROM prog)"
@@ -566,12 +587,12 @@ def direction_result(spark: SparkSession, d: str) -> DataFrame:
     return routes.direction_result(report, runs).select("run_id", "enabled", "angle_deg", "metric_key", R6("fit_rmse").alias("fit_rmse"), "reportability_status", "gate_reason")
 
 
-@query("directional_recovery", "WITH " + WIRE + " SELECT run_id, frame, round(CASE WHEN x_fit_px IS NOT NULL THEN greatest(0.0, least(1.0, (x_fit_px - 52.0) / 36.0)) END + 0.00000013, 6) AS up, round(CASE WHEN kappa_fit_px_inv IS NOT NULL THEN greatest(0.0, least(1.0, (0.075 - kappa_fit_px_inv) / (0.075 - 0.015))) END + 0.00000013, 6) AS down FROM wire")
+@query("directional_recovery", "WITH " + WIRE + f' SELECT run_id, frame, {single_sql("CASE WHEN x_fit_px IS NOT NULL THEN greatest(0.0, least(1.0, (x_fit_px - 52.0) / 36.0)) END")} AS up, {single_sql("CASE WHEN kappa_fit_px_inv IS NOT NULL THEN greatest(0.0, least(1.0, (0.075 - kappa_fit_px_inv) / (0.075 - 0.015))) END")} AS down FROM wire')
 def directional_recovery(spark: SparkSession, d: str) -> DataFrame:
     s = virtual.wire_series(spark, d)
     up = scalar.recovery_from_fit(F.col("x_fit_px"), F.lit(52.0), F.lit(88.0), F.lit(True))
     down = scalar.recovery_from_fit(F.col("kappa_fit_px_inv"), F.lit(-0.075), F.lit(-0.015), F.lit(False))
-    return s.select("run_id", "frame", R6(up + 1.3e-7).alias("up"), R6(down + 1.3e-7).alias("down"))
+    return s.select("run_id", "frame", single(up).alias("up"), single(down).alias("down"))
 
 
 @query("stride_sample", "WITH " + PROGRESS + " SELECT run_id, frame, k FROM prog WHERE frame % 3 = 0")
@@ -613,14 +634,7 @@ def sigmoid_fit_report(spark: SparkSession, d: str) -> DataFrame:
     return fit.reports(virtual.long_metrics(s, virtual.WIRE_METRICS))
 
 
-@query("plot_values", "WITH " + WIRE + " SELECT run_id, frame, round(CASE WHEN x_fit_px IS NULL THEN NULL WHEN max(x_fit_px) OVER w - min(x_fit_px) OVER w > 0.000000001 THEN (x_fit_px - min(x_fit_px) OVER w) / (max(x_fit_px) OVER w - min(x_fit_px) OVER w) ELSE 0.5 END, 6) AS shown FROM wire WINDOW w AS (PARTITION BY run_id)")
+@query("plot_values", "WITH " + WIRE + ", rec AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 1.0 - k / 100.0 END AS recovery FROM wire), has AS (SELECT *, count(recovery) OVER w AS n, min(x_fit_px) OVER w AS low, max(x_fit_px) OVER w AS high FROM rec WINDOW w AS (PARTITION BY run_id)) SELECT run_id, frame, round(CASE WHEN n > 0 THEN recovery WHEN x_fit_px IS NULL THEN NULL WHEN high - low > 0.000000001 THEN (x_fit_px - low) / (high - low) ELSE 0.5 END, 6) AS shown FROM has")
 def plot_values(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id")
-    low, high = F.min("x_fit_px").over(w), F.max("x_fit_px").over(w)
-    shown = F.when(F.col("x_fit_px").isNull(), F.lit(None)).when(high - low > 1e-9, (F.col("x_fit_px") - low) / F.greatest(high - low, F.lit(1e-9))).otherwise(F.lit(0.5))
-    return virtual.wire_series(spark, d).select("run_id", "frame", R6(shown).alias("shown"))
-
-
-
+    rows = virtual.wire_series(spark, d).withColumn("recovery", F.when(F.col("run_id") % 2 == 0, 1.0 - F.col("k") / 100.0))
+    return rows.select("run_id", "frame", R6(ordered.plot_values("x_fit_px", "recovery")).alias("shown"))

@@ -185,13 +185,13 @@ def suite_with_unused(spark: SparkSession, d: str) -> DataFrame:
     return suite.with_unused(rows, details).groupBy("source_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("detail_seq").alias("total"))
 
 
-@query("truth_error", "SELECT l_returnflag, round(CAST(sum(CAST(abs(CAST(l_extendedprice AS DECIMAL(18,2)) - CAST(p_retailprice AS DECIMAL(18,2)) * CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(38,4))) AS DOUBLE) / count(*), 2) AS price_mae FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag")
+@query("truth_error", "WITH li AS (SELECT *, l_orderkey * 8 + l_linenumber AS frame FROM lineitem), truth AS (SELECT l_returnflag, frame, p_retailprice * l_quantity AS true_price FROM li JOIN part ON l_partkey = p_partkey) SELECT l_returnflag, round(avg(abs(l_extendedprice - true_price)), 2) AS price_mae FROM li JOIN truth USING (l_returnflag, frame) GROUP BY l_returnflag")
 def truth_error(spark: SparkSession, d: str) -> DataFrame:
     li, p = _read(spark, d, "lineitem"), _read(spark, d, "part")
-    money = lambda c: F.col(c).cast("decimal(18,2)")
-    rows = li.join(p, li.l_partkey == p.p_partkey)
-    gap = F.abs(money("l_extendedprice") - money("p_retailprice") * money("l_quantity")).cast("decimal(38,4)")
-    return rows.groupBy("l_returnflag").agg(F.round(F.sum(gap).cast("double") / F.count(F.lit(1)), 2).alias("price_mae"))
+    frame = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame")
+    truth = li.join(p, li.l_partkey == p.p_partkey).select("l_returnflag", frame, (F.col("p_retailprice") * F.col("l_quantity")).alias("true_price"))
+    got = suite.truth_error(li.select("l_returnflag", frame, "l_extendedprice"), truth, ["l_returnflag"], {"l_extendedprice": "true_price"})
+    return got.select("l_returnflag", F.round("l_extendedprice_mae", 2).alias("price_mae"))
 
 
 @query("merged_routes", "WITH " + ENTRIES + ", ra AS (SELECT alias, max(fit_rmse) AS fit_rmse FROM entries WHERE family = 'wire' AND alias <> 'C' GROUP BY alias), ca AS (SELECT alias, min(fit_rmse) AS fit_rmse FROM entries WHERE family = 'braided' AND alias <> 'A' GROUP BY alias) SELECT alias, CAST(coalesce(ra.fit_rmse, ca.fit_rmse) AS DOUBLE) AS fit_rmse, ra.alias IS NOT NULL AS available FROM ra FULL JOIN ca USING (alias)")
@@ -261,9 +261,9 @@ def synth_wire_truth(spark: SparkSession, d: str) -> DataFrame:
     return got.select("frame", F.round("kappa_true_px_inv", 8).alias("kappa_true_px_inv"), F.round("x_true_px", 5).alias("x_true_px"))
 
 
-@query("synth_braided_profile", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 39) AS t FROM range(40) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 520.0 - s * 110.0 AS len, 120.0 + s * 100.0 AS dia, 14.0 - s * 6.0 AS bow, radians(-1.5 + s * 3.5) AS th, 640.0 + s * 10.0 AS cx, 260.0 - s * 6.0 AS cy FROM sh, range(240) q(i)) SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END, 5) AS width_px, round(cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
+@query("synth_braided_profile", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 479) AS t FROM range(480) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 520.0 - s * 110.0 AS len, 120.0 + s * 100.0 AS dia, 14.0 - s * 6.0 AS bow, radians(-1.5 + s * 3.5) AS th, 640.0 + s * 10.0 AS cx, 260.0 - s * 6.0 AS cy FROM sh, range(240) q(i)) SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END, 5) AS width_px, round(cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
 def synth_braided_profile(spark: SparkSession, d: str) -> DataFrame:
-    got = synthetic.braided_profile(synthetic.braided_truth(synthetic.schedule(spark, 20, 2.0, 20.0, 65.0)))
+    got = synthetic.braided_profile(synthetic.braided_truth(synthetic.schedule(spark, 20, 24.0, 20.0, 65.0)))
     return got.select("frame", F.col("sample").cast("long").alias("sample"), *(F.round(c, 5).alias(c) for c in ("width_px", "x", "y")))
 
 
@@ -290,11 +290,13 @@ def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select("p_partkey", scalar.safe_filename(name).alias("filename"))
 
 
-@query("media_paths", "SELECT p_partkey, p_partkey % 4 IN (0, 1) AS allowed FROM part")
+_PATHS = ("runs/1/out.mp4", "a.PNG", "runs/../secret.csv", "/etc/x.json", "deep/a/b/c/d.png", "notes.txt", "a..b/c.jpg", "\\\\host/x.csv", "", "png", "..png/x.json", "a/b/c/d.mp4.exe")
+
+
+@query("media_paths", "WITH paths AS (SELECT p_partkey, [" + ", ".join("'" + p + "'" for p in _PATHS) + "][p_partkey % 12 + 1] AS path FROM part) SELECT p_partkey, path, left(path, 1) NOT IN ('', '/', chr(92)) AND contains(path, '.') AND lower(string_split(path, '.')[-1]) IN ('mp4', 'png', 'csv', 'json', 'jpg') AND NOT list_contains(string_split(path, '/'), '..') AND len(string_split(path, '/')) <= 4 AS allowed FROM paths")
 def media_paths(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    path = F.when(k == 0, "runs/1/out.mp4").when(k == 1, "a.PNG").when(k == 2, "runs/../secret.csv").otherwise("/etc/x.json")
-    return _read(spark, d, "part").select("p_partkey", scalar.media_path_allowed(path).alias("allowed"))
+    path = F.get(F.array(*(F.lit(p) for p in _PATHS)), (F.col("p_partkey") % 12).cast("int"))
+    return _read(spark, d, "part").select("p_partkey", path.alias("path"), scalar.media_path_allowed(path).alias("allowed"))
 
 
 @query("quality_scores", "SELECT l_orderkey, l_linenumber, round(exp(-l_discount * 40 / 4.0) * (l_quantity / 50), 6) AS wire, round(greatest(0.0, least(1.0, 0.30 * (l_quantity / 50) + 0.25 * (1 - l_tax) + 0.20 * greatest(0.0, least(1.0, 1.0 - l_discount / 0.20)) + 0.15 * greatest(0.0, least(1.0, 1.0 - l_quantity / greatest(18.0, 0.10 * greatest(120.0, 1.0)))) + 0.10 * greatest(0.0, least(1.0, 1.0 - l_tax / 0.12)))), 6) AS braided FROM lineitem")

@@ -28,7 +28,7 @@ def wire_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A wire series. Runs differ: a third never reaches the plateau, a fifth has a jumping tip, a seventh poor quality."""
     rows = progress(spark, sf_dir)
     p = F.least(F.lit(1.0), F.col("p") * F.when(F.col("run_id") % 3 == 0, 0.85).otherwise(1.15))
-    rows = rows.withColumn("q", F.round(p, 9))
+    rows = rows.withColumn("q", p)
     ok = F.col("event_type") != "error"
     jump = F.when((F.col("run_id") % 5 == 1) & (F.col("k") % 40 == 7), 30.0).otherwise(0.0)
     x = 55.0 + 45.0 * F.col("q")
@@ -47,7 +47,7 @@ def wire_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def braided_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A braided series before its quality columns are added."""
     rows = progress(spark, sf_dir)
-    q = F.round(F.least(F.lit(1.0), F.col("p") * F.when(F.col("run_id") % 4 == 0, 0.85).otherwise(1.15)), 9)
+    q = F.least(F.lit(1.0), F.col("p") * F.when(F.col("run_id") % 4 == 0, 0.85).otherwise(1.15))
     rows = rows.withColumn("q", q)
     ok = F.col("event_type") != "error"
     length = 120.0 - 30.0 * F.col("q")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,5 +80,27 @@ def rounded_metrics(df: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """A new snapshot of a registry table beside the old one, then in its place by name: readers see one or the other."""
-    rows.write.mode("overwrite").option("mergeSchema", "true").parquet(path)
+    """A new snapshot of a registry table in a folder of its own, then a line that points to it: readers see the old or the new one.
+
+    `rows` may come from the table itself. Old snapshots stay until somebody deletes them.
+    """
+    name = f"snapshot={uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{name}")
+    version = (_pointer(spark, path) or (0, ""))[0] + 1
+    spark.createDataFrame([(version, name)], "version long, snapshot string").coalesce(1).write.mode("append").json(f"{path}/_versions")
+
+
+def _pointer(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    try:
+        row = spark.read.schema("version long, snapshot string").json(f"{path}/_versions").orderBy(F.desc("version"), "snapshot").first()
+    except AnalysisException:
+        return None
+    return (row["version"], row["snapshot"]) if row else None
+
+
+def registry_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of a registry table."""
+    at = _pointer(spark, path)
+    if at is None:
+        raise ValueError(f"no registry table at {path}")
+    return spark.read.parquet(f"{path}/{at[1]}")

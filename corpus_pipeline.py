@@ -1,7 +1,9 @@
 """The corpus pipeline: documents in, sampled token ids of the clean ones out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
-and read again as the next one's docs. All but the last return the columns of documents.
+and read again as the next one's docs. All but the last return the columns of documents, and
+further columns of the input, whatever their names. An empty table passes every stage; long
+texts are read whole, as each operator says.
 """
 
 from __future__ import annotations
@@ -14,27 +16,27 @@ from thermoline.llm.workspace import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null, empty and short texts fail the base; repeated rows stay or go alike."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the least id, null ids last; rows alike in all columns are one; texts without words all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts stay, and so do all where the benchmark is empty."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked."""
+    """Personal data is masked; null and empty texts stay as they are, and `n_chars` follows the new text."""
     return pii.masked(docs)
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document, with scores and ids."""
+    """Two sampled segmentations of each document, with scores and ids; one, without pieces, of a null or empty text."""
     return segment_sampling.sampled(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -52,3 +52,15 @@ def test_query_matches_brute_force(spark):
         db.register("pages", df.toPandas()[["page_id", "url"]].astype({"page_id": "Int64"}))
         want = db.sql(oracle_sql()["op2_glob_automaton"]).fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_thousands_of_globs(spark):
+    rng = random.Random(17)
+    words = ["ads", "track", "shop", "news", "cdn", "img", "blog", "click"]
+    globs = tuple(f"*.{rng.choice(words)}{rng.randint(0, 999)}.{rng.choice(('com', 'net'))}/{rng.choice(('', '**', 'a/**', '*/x'))}" for _ in range(3000))
+    assert u.GlobAutomaton(list(globs)).words > 500
+    urls = [f"https://w.{rng.choice(words)}{rng.randint(0, 999)}.{rng.choice(('com', 'net'))}/{rng.choice(('', 'a/b', 'q/x', 'x'))}" for _ in range(400)]
+    got = {r.page_id: r.verdict for r in u.url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=(), block_globs=globs).collect()}
+    known = [as_regex(g) for g in globs]
+    want = {k: "block" if any(g.fullmatch(x.split("://")[1]) for g in known) else "allow" for k, x in enumerate(urls)}
+    assert got == want and set(want.values()) == {"allow", "block"}

@@ -445,8 +445,12 @@ def sampled(docs: DataFrame, model_path: str, samples: int = SAMPLES, id_col: st
     """Up to `samples` rows for each row of `docs`, best first: a segmentation's ids and scores, and whether it decodes to the text.
 
     A null or empty text has one segmentation, without pieces, as any text with fewer than
-    `samples` has fewer rows. A null id draws like id 0. Repeated rows draw alike. The word
-    mark itself, in a text, reads as a space. Needs no shuffle.
+    `samples` has fewer rows. A null id draws like id 0. Repeated rows draw alike; an empty
+    table gives no rows; paths of equal score can't be told apart by their draws, which are
+    hashes, and are taken in order of place; other columns don't matter. The word mark itself,
+    in a text, reads as a space. Needs no shuffle. The model's file has ranks and no
+    probabilities, so a piece's weight is a power law of its rank. A lattice takes some hundred
+    times the bytes of a slice's different words, so one word of many megabytes needs as much.
     """
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

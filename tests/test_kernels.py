@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from thermoline.operators import align, geometry, ordered, suite, temporal
 from thermoline.sources import files
@@ -112,3 +113,33 @@ def test_json_sources(spark, tmp_path):
         (tmp_path / name / "analysis_metrics.json").write_text(text)
     got = files.benchmark_outputs(spark, str(tmp_path), "benchmark_name string, v double").collect()
     assert [(r.output_dir_name, r.benchmark_name, r.v) for r in got] == [("a", "a", 1.5), ("b", None, None)]
+
+
+def test_registry_snapshots(spark, tmp_path):
+    path = f"file://{tmp_path}/registry"
+    with pytest.raises(ValueError, match="no registry table"):
+        files.registry_table(spark, path)
+    files.upsert_table(spark, spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string"), path)
+    before = files.registry_table(spark, path)
+    files.upsert_table(spark, before.withColumn("status", F.upper("status")), path)  # from the table itself
+    assert sorted(map(tuple, before.collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, files.registry_table(spark, path).collect())) == [(1, "A"), (2, "B")]
+
+
+def test_sweeps_are_bounded(spark):
+    series = spark.range(3)
+    got = suite.sensitivity(series, spark.createDataFrame([(1, "a"), (2, None)], "threshold int, note string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((i, *v) for i in range(3) for v in ((1, "a"), (2, None))), key=str)
+    assert suite.sensitivity(series, spark.createDataFrame([], "threshold int")).count() == 0
+    with pytest.raises(ValueError, match="at most"):
+        suite.sensitivity(series, spark.range(suite.MOST_VARIANTS + 1).toDF("threshold"))
+
+
+def test_staging(spark):
+    from thermoline.sources import staging
+
+    rows = staging.stored(spark.range(5), "five")
+    assert rows.count() == 5
+    other = type("Session", (), {"conf": type("Conf", (), {"get": lambda self, k, d=None: d})(), "sparkContext": type("Context", (), {"master": "spark://far:7077", "getCheckpointDir": lambda self: None})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(other)

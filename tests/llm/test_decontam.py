@@ -51,7 +51,7 @@ def test_finds_exact_and_edited_items(spark, benchmark, table):
     for n, (i, t) in enumerate(items):
         share = (0, 0.02, 0.05, 0.08, 0.3)[n % 5]
         rows.append((n, f"{filler} {spoiled(t.upper() if n % 3 == 0 else t, int(share * len(t)), rng)} {filler}"))
-        want[n] = {k for k, x in items if edits(norm(x), norm(rows[-1][1])) <= len(norm(x)) * d.EDIT_PERCENT // 100}
+        want[n] = {k for k, x in items if d.edit_distance(norm(x), norm(rows[-1][1])) <= len(norm(x)) * d.EDIT_PERCENT // 100}
         assert (i in want[n]) == (share < 0.3)
     got = {r.doc_id: r for r in d.contamination(table(rows), benchmark).collect()}
     for n in want:

@@ -107,3 +107,19 @@ def test_round_trip(spark, real, table, odd):
     assert all(r.decoded in texts[r.doc_id] for r in back.select("doc_id", "decoded").collect())
     assert rows.where("sample = 1").count() == docs.count()
     assert g.sampled(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("samples", [2, 5])
+def test_entries_that_cannot_win_change_nothing(monkeypatch, model, samples):
+    """All entries drawn, and only those behind which none can be the best."""
+    rng = np.random.default_rng(5)
+    words = np.array("the of segmentation unbelievable naïve corpus 中文 xqzt running a".split())
+    texts = ["", " x", *(" " + " ".join(rng.choice(words, n)) for n in (3, 40, 400, 3000))]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    key = np.arange(len(texts), dtype=np.uint64)
+    got = []
+    for near in (1, 20000):
+        monkeypatch.setattr(g, "NEAR", near)
+        got.append(g.sample_slice(model, data, off, key, samples))
+    for some, every in zip(*got, strict=True):
+        assert all(np.array_equal(some[k], every[k]) for k in some)

@@ -33,6 +33,8 @@ SAMPLES = 2
 SLICE_BYTES = 2 << 20
 #: A piece of rank r has a weight of (r + RANK_SHIFT) ** -SHARPNESS, a byte that of the last rank.
 RANK_SHIFT, SHARPNESS = 50.0, 1.5
+#: More than Gumbel noise from numbers of 53 bits can be; steps of a path whose entries are drawn first.
+MOST_NOISE, NEAR = 38.0, 64
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, round_trip boolean, ids array<int>"
 _U = np.uint64
 
@@ -279,6 +281,18 @@ class Lattices:
             wait = wait[(rest[wait] >= self.p[arc[wait]]) & (arc[wait] < last[wait])]
         return arc
 
+    def walk(self, arc: np.ndarray, key: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+        """A path from each arc, itself included, to the end of its word: all arcs, and the arcs of each."""
+        early = _stream(_hashed(key, 4000 + r)[:, None], np.arange(16))
+        steps, live, turn = [(np.arange(len(arc)), arc)], np.flatnonzero(self.to[arc] != self.end), 0
+        state = self.to[arc[live]]
+        while len(live):
+            got = self.step(state, early[live, turn] if turn < 16 else _uniform(key[live], 5000 + r, turn))
+            steps.append((live, got))
+            go = self.to[got] != self.end
+            live, state, turn = live[go], self.to[got[go]], turn + 1
+        return _by_owner(steps, len(arc))
+
     def paths(self, begin: np.ndarray, key: np.ndarray, nth: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """A path through each word: all arcs, one word after another, and the arcs of each word."""
         state, live, steps = begin.copy(), np.arange(len(begin)), []
@@ -290,14 +304,19 @@ class Lattices:
             go = state != self.end
             live, state = live[go], state[go]
             turn += 1
-        count = np.zeros(len(begin), np.int64)
-        for live, _ in steps:
-            count[live] += 1
-        first = np.cumsum(count) - count
-        out = np.empty(int(count.sum()), np.int64)
-        for turn, (live, arc) in enumerate(steps):
-            out[first[live] + turn] = arc
-        return out, count
+        return _by_owner(steps, len(begin))
+
+
+def _by_owner(steps: list[tuple[np.ndarray, np.ndarray]], owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arcs of walks that went on side by side, one walk after another, and the arcs of each."""
+    count = np.zeros(owners, np.int64)
+    for live, _ in steps:
+        count[live] += 1
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
+    for turn, (live, arc) in enumerate(steps):
+        out[first[live] + turn] = arc
+    return out, count
 
 
 def _cut(location: np.ndarray, limit: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -356,18 +375,39 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
         return arcs, np.cumsum(count)
 
     def values(path: _Path, limit: np.ndarray, fixed: np.ndarray, r: int) -> None:
-        """Log probability, and the entries beyond the first `fixed` steps."""
-        owner = np.repeat(np.arange(docs), path.count)
-        at = np.arange(len(owner)) - path.off[owner]
-        lp = lattice.log_p[path.arcs]
-        sums = np.concatenate([[0.0], np.cumsum(lp)])
-        path.before = sums[:-1] - sums[path.off[owner]]
+        """Log probability, and the entries beyond the first `fixed` steps.
+
+        A step's entry is at most the log probability of what lies before it plus MOST_NOISE. That
+        only falls, so behind the step where it is below `samples` entries of the first NEAR steps
+        no entry is ever the best, and none is drawn.
+        """
+        sums = path.sums = np.concatenate([[0.0], np.cumsum(lattice.log_p[path.arcs])])
         path.log_prob = sums[path.off[1:]] - sums[path.off[:-1]]
-        rest = 1 - lattice.p[path.arcs]
-        with np.errstate(divide="ignore"):
-            location = path.before + np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
-        path.entry = _cut(location, limit[owner], _stream(_hashed(key, 1000 + r)[owner], at))
-        path.entry[at < fixed[owner]] = -np.inf
+        path.entry = np.full(len(path.arcs), -np.inf)
+        seed = _hashed(key, 1000 + r)
+
+        def draw(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            size = stop - start
+            owner = np.repeat(np.arange(docs), size)
+            place = np.arange(len(owner)) + np.repeat(start - (np.cumsum(size) - size), size)
+            rest = 1 - lattice.p[path.arcs[place]]
+            with np.errstate(divide="ignore"):
+                location = sums[place] - sums[path.off[owner]] + np.where(rest > 1e-12, np.log(np.maximum(rest, 1e-300)), -np.inf)
+            path.entry[place] = _cut(location, limit[owner], _stream(seed[owner], place - path.off[owner]))
+            return owner, place
+
+        begin, stop = path.off[:-1] + fixed, path.off[1:]
+        near = np.minimum(begin + NEAR, stop)
+        owner, place = draw(begin, near)
+        early = np.full((docs, max(NEAR, samples)), -np.inf)
+        early[owner, place - begin[owner]] = path.entry[place]
+        least = np.partition(early, -samples, axis=1)[:, -samples] + sums[path.off[:-1]] - MOST_NOISE
+        low, high = near, stop  # the first step behind `near` with less than `least` before it lies between
+        while (low < high).any():
+            middle = (low + high) // 2
+            over = sums[middle] >= least
+            low, high = np.where((low < high) & over, middle + 1, low), np.where((low < high) & ~over, middle, high)
+        draw(near, low)
 
     out = []
     paths: list[_Path] = []
@@ -380,51 +420,49 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
             path = _Path(arcs, first[word_off[1:]] - first[word_off[:-1]])
             values(path, value, np.zeros(docs, np.int64), 0)
         else:
-            best = np.stack([_segment_max(p.entry, p.off)[0] for p in paths])
-            places = [_segment_max(p.entry, p.off)[1] for p in paths]
+            best, places = (np.stack(x) for x in zip(*(_segment_max(p.entry, p.off) for p in paths), strict=True))
             value, which = best.max(axis=0), best.argmax(axis=0)
             alive &= np.isfinite(value)
-            arcs_of, counts, fixed = [], np.zeros(docs, np.int64), np.zeros(docs, np.int64)
             turned = np.flatnonzero(alive)
-            branch = np.zeros(docs, np.int64)
-            for d in turned.tolist():
-                own = paths[which[d]].word_end[word_off[d] : word_off[d + 1]]
-                branch[d] = np.searchsorted(own, places[which[d]][d], "right") + word_off[d]
+            place = places[which, np.arange(docs)]
+            branch, chosen, before, depth = (np.zeros(docs, t) for t in (np.int64, lattice.first.dtype, float, np.int64))
+            for k, old in enumerate(paths):
+                some = turned[which[turned] == k]
+                at = place[some]
+                branch[some] = old.words[np.searchsorted(old.ends, at, "right")]
+                chosen[some], before[some], depth[some] = old.arcs[at], old.sums[at] - old.sums[old.off[some]], at - old.off[some]
             arcs, first = fresh(r, np.flatnonzero(alive[doc] & (np.arange(len(start)) > branch[doc])))
-            pick, spare = _uniform(key, 2000 + r), _uniform(key, 3000 + r)
-            tails = _stream(_hashed(key, 4000 + r)[:, None], np.arange(16))
-            chosen = np.array([paths[which[d]].arcs[places[which[d]][d]] for d in turned.tolist()], lattice.first.dtype)
+            pick = _uniform(key, 2000 + r)
             states = np.searchsorted(lattice.first, chosen, "right") - 1
-            for d, state in zip(turned.tolist(), states.tolist(), strict=True):
-                old = paths[which[d]]
-                place = int(places[which[d]][d])
-                depth = place - int(old.off[d])
-                taken = barred.setdefault((d, int(which[d]), depth), [int(old.arcs[place])])
-                choice = np.array([a for a in range(int(lattice.first[state]), int(lattice.first[state + 1])) if a not in taken])
+            turn_off, location = np.zeros(docs, np.int64), np.full(docs, -np.inf)
+            for d in turned.tolist():
+                taken = barred.setdefault((d, int(which[d]), int(depth[d])), [int(chosen[d])])
+                choice = np.array([a for a in range(int(lattice.first[states[d]]), int(lattice.first[states[d] + 1])) if a not in taken])
                 p = np.cumsum(lattice.p[choice])
                 arc = int(choice[min(int(np.searchsorted(p, p[-1] * pick[d], "right")), len(choice) - 1)])
                 rest = max(0.0, 1 - lattice.p[taken].sum() - lattice.p[arc])
                 taken.append(arc)
-                location = old.before[place] + (np.log(rest) if rest > 1e-12 and len(choice) > 1 else -np.inf)
-                old.entry[place] = _cut(np.array([location]), value[d : d + 1], spare[d : d + 1])[0]
-                tail, now, turn = [arc], int(lattice.to[arc]), 0
-                while now != lattice.end:
-                    u = tails[d, turn] if turn < 16 else _uniform(key[d], 5000 + r, turn)[0]
-                    got = int(lattice.step(np.array([now]), np.array([u]))[0])
-                    tail.append(got)
-                    now, turn = int(lattice.to[got]), turn + 1
-                word = int(branch[d])
-                whole = [old.arcs[old.off[d] : place], tail, arcs[first[word + 1] : first[word_off[d + 1]]]]
-                arcs_of.append(np.concatenate(whole))
-                counts[d], fixed[d] = len(arcs_of[-1]), depth + 1
-            path = _Path(np.concatenate(arcs_of).astype(np.int64) if arcs_of else np.zeros(0, np.int64), counts)
+                turn_off[d] = arc
+                if rest > 1e-12 and len(choice) > 1:
+                    location[d] = before[d] + np.log(rest)
+            entry = _cut(location[turned], value[turned], _uniform(key[turned], 3000 + r))
+            for k, old in enumerate(paths):
+                some = which[turned] == k
+                old.entry[place[turned[some]]] = entry[some]
+            rests, size = lattice.walk(turn_off[turned], key[turned], r)
+            ends = np.cumsum(size)
+            parts, counts, fixed = [], np.zeros(docs, np.int64), np.zeros(docs, np.int64)
+            fixed[turned] = depth[turned] + 1
+            for d, s, e in zip(turned.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+                old = paths[which[d]]
+                whole = [old.arcs[old.off[d] : place[d]], rests[s:e], arcs[first[branch[d] + 1] : first[word_off[d + 1]]]]
+                counts[d] = sum(map(len, whole))
+                parts += whole
+            path = _Path(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64), counts)
             values(path, value, fixed, r)
-        # Ends of words in the path: the steps that reach the end state.
-        path.word_end = np.zeros(len(start) + 1, np.int64)
-        ends = np.flatnonzero(lattice.to[path.arcs] == lattice.end) + 1 if len(path.arcs) else np.zeros(0, np.int64)
-        some = np.flatnonzero(alive[doc]) if len(doc) else np.zeros(0, np.int64)
-        path.word_end[some] = ends
-        path.word_end = path.word_end[:-1]
+        # The words in the path, and the step behind each: a word's last step reaches the end state.
+        path.words = np.flatnonzero(alive[doc]) if len(doc) else np.zeros(0, np.int64)
+        path.ends = np.flatnonzero(lattice.to[path.arcs] == lattice.end) + 1
         paths.append(path)
         out.append({"alive": alive.copy(), "value": value.copy(), "log_prob": path.log_prob, "ids": lattice.piece[path.arcs], "count": path.count})
     limit = np.stack([_segment_max(p.entry, p.off)[0] for p in paths]).max(axis=0)

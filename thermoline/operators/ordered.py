@@ -47,6 +47,14 @@ def moving_average(c: str, w: WindowSpec, window: int) -> Column:
     return (F.sum(c).over(w.rowsBetween(-half, half)) + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * half + 1)
 
 
+def smoothed_path(df: DataFrame, x: str, y: str, window: int = 5) -> DataFrame:
+    """The path of each run with its points averaged along it; rows without a point, and paths of under three, stay as they are."""
+    valid = F.col(x).isNotNull() & F.col(y).isNotNull()
+    part = Window.partitionBy(RUN, valid)
+    enough = valid & (F.count(F.lit(1)).over(part) >= 3)
+    return df.withColumns({c: F.when(enough, moving_average(c, part.orderBy("frame"), window)).otherwise(F.col(c)) for c in (x, y)})
+
+
 def arc_length(x: str, y: str, w: WindowSpec) -> Column:
     """Length of the path up to each row; summed as decimals, so that it is the same in any order of merging."""
     return F.sum(F.coalesce(F.col("step"), F.lit(0.0)).cast("decimal(30,9)")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double")

@@ -97,6 +97,11 @@ def endpoint_jumps(df: DataFrame, x: str, y: str) -> DataFrame:
 def braided_columns(series: DataFrame) -> DataFrame:
     """The series with its quality columns: formal values, jumps between frames, and fractions of the length."""
     w = in_frames()
+    have, number = set(series.columns), F.lit(None).cast("double")
+    # A name of the past stands in for a column that is not there.
+    for name, old in (("branch_component_count_after_pruning", "branch_count_after_pruning"), ("branch_count_after_pruning", "branch_component_count_after_pruning"), ("endpoint_gap_alt_centerline_px", "endpoint_jump_px"), ("length_axis_disagreement_px", None)):
+        if name not in have and (old is None or old in have):
+            series = series.withColumn(name, F.col(old) if old else number)
     rows = series.withColumns({"length_axis_formal_px": F.col("length_axis_px"), "area_proj_formal_px2": F.col("area_proj_px2"), "centerline_disagreement": F.col("length_axis_disagreement_px") / F.greatest(F.col("length_axis_px"), F.lit(1e-9))})
     rows = rows.withColumns({"anchor_jump_px": jump("anchor_x", "anchor_y", w), "tip_jump_px": jump("tip_x", "tip_y", w), "peak_step": F.abs(F.col("diameter_peak_pos_norm") - F.lag("diameter_peak_pos_norm").over(w))})
     rows = rows.withColumn("endpoint_frame_jump_px", F.greatest("anchor_jump_px", "tip_jump_px"))
@@ -157,6 +162,9 @@ def acceptance(series: DataFrame, profile: str = "real_video") -> DataFrame:
         (c("excluded_attachment_area_fraction_median") > limit["excluded"], "excluded_attachment_area_fraction"),
         (c("body_mask_area_fraction_median") < limit["body"], "body_mask_area_fraction"),
     ]
+    # The gap's metrics by their former names too.
+    former = {f"endpoint_jump_{part}": f"endpoint_gap_alt_centerline_{part}" for part in ("p95_px", "fraction_p95", "limit_px")}
+    got = got.withColumns({"axis_eval_col": F.lit("length_axis_formal_px"), **{name: c(now) for name, now in former.items()}})
     got = got.withColumn("reasons", F.array_distinct(F.array_compact(F.array(*(F.when(p, F.lit(r)) for p, r in reasons)))))
     return got.withColumn("accepted", F.size("reasons") == 0).drop("axis_median")
 
@@ -177,6 +185,29 @@ def run_summary(series: DataFrame) -> DataFrame:
     return series.groupBy(RUN).agg(F.count(F.lit(1)).alias("frames"), F.min("temperature_c").alias("temperature_min_c"), F.max("temperature_c").alias("temperature_max_c"), *(median(F.col(x)).alias(f"{x}_median") for x in medians))
 
 
+# Columns of a braided series and the names of their medians and 95th percentiles.
+BRAIDED_MEDIANS = {
+    "length_axis_px": "length_axis_median_px",
+    "length_axis_body_bins_px": "length_axis_body_bins_median_px",
+    "diameter_max_px": "diameter_max_median_px",
+    "diameter_p95_px": "diameter_p95_median_px",
+    "diameter_mid_median_px": "diameter_mid_median_px",
+    "diameter_mid_p90_px": "diameter_mid_p90_median_px",
+    "area_proj_px2": "area_proj_median_px2",
+    "body_mask_area_px2": "body_mask_area_median_px2",
+    "length_axis_disagreement_px": "length_axis_definition_gap_median_px",
+    "body_mask_attachment_leak_fraction": "body_mask_attachment_leak_fraction_median",
+}
+BRAIDED_P95S = {"endpoint_jump_px": "endpoint_jump_p95_px", "endpoint_frame_jump_px": "endpoint_frame_jump_p95_px", "axis_peak_position_stability": "axis_peak_position_stability_p95"}
+
+
+def braided_summary(series: DataFrame) -> DataFrame:
+    """Temperatures, medians and 95th percentiles of a braided run's series, of the columns that it has, in one aggregation."""
+    have = [(median, BRAIDED_MEDIANS), (p95, BRAIDED_P95S)]
+    stats = [f(F.col(c)).alias(name) for f, names in have for c, name in names.items() if c in series.columns]
+    return series.groupBy(RUN).agg(F.min("temperature_c").alias("temperature_c_min"), F.max("temperature_c").alias("temperature_c_max"), *stats)
+
+
 def wire_summary(series: DataFrame) -> DataFrame:
     """Quality, endpoint jumps and model choice of a wire run."""
     anchor = endpoint_jumps(series, "anchor_x", "anchor_y").select(RUN, F.col("jump_p95").alias("anchor"))

@@ -27,9 +27,24 @@ def matched(rows: DataFrame, details: DataFrame) -> DataFrame:
     return out.withColumn("detail_seq", F.coalesce(*found)).drop(*found)
 
 
-def or_else(detail: Column, row: Column) -> Column:
-    """The detail's value unless it is missing or empty."""
-    return F.coalesce(F.when(detail != "", detail), row)
+def or_else(detail: Column, row: Column, kind: str = "string") -> Column:
+    """The detail's value unless it is missing or an empty text, list or map."""
+    if kind.startswith(("array", "map")):
+        return F.when(F.size(detail) > 0, detail).otherwise(row)
+    return F.coalesce(F.when(detail.cast("string") != "", detail), row)
+
+
+#: Columns of a detail that fall back on one of its suite row by another name.
+OTHER_NAMES = {"benchmark_description": "description", "demo_output": "output_dir"}
+
+
+def filled(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
+    """One row for each suite row that has a detail: the detail, its missing or empty columns filled from the suite row."""
+    kinds, own = dict(details.dtypes), [c for c in rows.columns if c != key]
+    both = rows.select(key, *(F.col(c).alias(f"row_{c}") for c in own)).join(details.where(F.col(key).isNotNull()), key)
+    out = {c: or_else(F.col(c), F.col(f"row_{c}"), kinds[c]) if c in kinds else F.col(f"row_{c}") for c in own}
+    out |= {c: F.coalesce(out.get(c, F.col(c) if c in kinds else F.lit(None)), F.col(f"row_{other}")) for c, other in OTHER_NAMES.items() if other in own}
+    return both.select(key, *(F.col(c) for c in details.columns if c != key and c not in out), *(v.alias(c) for c, v in out.items()))
 
 
 def with_unused(rows: DataFrame, details: DataFrame) -> DataFrame:

@@ -411,8 +411,8 @@ _METRICS = (
 )
 
 
-def acceptance_sql(source: str, name: str) -> str:
-    limit = qc.ACCEPTANCE["real_video"]
+def acceptance_sql(source: str, name: str, profile: str = "real_video") -> str:
+    limit = qc.ACCEPTANCE[profile]
     return f"""{braided_violation_sql(source + " WHERE quality IS NOT NULL AND TRUE", "length_axis_px", name + "_trend").replace("AND TRUE WHERE", "AND")},
 {name}_g AS (SELECT run_id, count(*) AS valid_frames, {", ".join(f"{e} AS {n}" for n, e in _METRICS)} FROM {source} WHERE length_axis_px IS NOT NULL AND quality IS NOT NULL GROUP BY run_id),
 {name} AS (SELECT g.*, t.violation AS axis_monotonic_violation_fraction, greatest({limit["gap_px"]}, {limit["gap_fraction"]} * axis_median) AS endpoint_gap_alt_centerline_limit_px, greatest({limit["frame_px"]}, {limit["frame_fraction"]} * axis_median) AS endpoint_frame_jump_limit_px FROM {name}_g g LEFT JOIN {name}_trend t USING (run_id))"""
@@ -434,6 +434,35 @@ def acceptance_metrics(spark: SparkSession, d: str) -> DataFrame:
     return got.select("run_id", "valid_frames", *(R6(c).alias(c) for c in _SHOWN), F.concat_ws(",", "reasons").alias("reasons"), "accepted")
 
 
+_RELAXED = tuple((p.replace("endpoint_frame_jump_fraction_p95 > 0.08", "endpoint_frame_jump_fraction_p95 > 0.12"), r) for p, r in _REASONS)
+
+
+@query("acceptance_synthetic", "WITH " + BRAIDED + "," + acceptance_sql("braided", "ac", "synthetic") + ", ar AS (SELECT *, concat_ws(',', " + ", ".join(f"CASE WHEN {p} THEN '{r}' END" for p, r in _RELAXED) + ") AS reasons FROM ac) SELECT run_id, 'length_axis_formal_px' AS axis_eval_col, round(endpoint_gap_alt_centerline_p95_px, 6) AS endpoint_jump_p95_px, round(endpoint_gap_alt_centerline_fraction_p95, 6) AS endpoint_jump_fraction_p95, round(endpoint_gap_alt_centerline_limit_px, 6) AS endpoint_jump_limit_px, round(endpoint_frame_jump_limit_px, 6) AS endpoint_frame_jump_limit_px, reasons, reasons = '' AS accepted FROM ar")
+def acceptance_synthetic(spark: SparkSession, d: str) -> DataFrame:
+    got = qc.acceptance(qc.braided_columns(virtual.braided_series(spark, d)), "synthetic")
+    shown = ("endpoint_jump_p95_px", "endpoint_jump_fraction_p95", "endpoint_jump_limit_px", "endpoint_frame_jump_limit_px")
+    return got.select("run_id", "axis_eval_col", *(R6(c).alias(c) for c in shown), F.concat_ws(",", "reasons").alias("reasons"), "accepted")
+
+
+_SUMMED = {"length_axis_median_px": "median(length_axis_px)", "diameter_max_median_px": "median(diameter_max_px)", "area_proj_median_px2": "median(area_proj_px2)", "body_mask_area_median_px2": "median(body)", "length_axis_definition_gap_median_px": "median(length_axis_disagreement_px)", "body_mask_attachment_leak_fraction_median": "median(leak)", "endpoint_jump_p95_px": "quantile_cont(gap_px, 0.95)", "endpoint_frame_jump_p95_px": "quantile_cont(frame_px, 0.95)", "axis_peak_position_stability_p95": "quantile_cont(stability, 0.95)"}
+
+
+@query("braided_summary", "WITH " + BRAIDED + " SELECT run_id, min(temperature_c) AS temperature_c_min, max(temperature_c) AS temperature_c_max, " + ", ".join(f"{single_sql(e)} AS {n}" for n, e in _SUMMED.items()) + " FROM braided GROUP BY run_id")
+def braided_summary(spark: SparkSession, d: str) -> DataFrame:
+    got = qc.braided_summary(qc.braided_columns(virtual.braided_series(spark, d)))
+    return got.select("run_id", "temperature_c_min", "temperature_c_max", *(single(c).alias(c) for c in _SUMMED))
+
+
+@query("smoothed_path", "WITH " + WIRE + """,
+pv AS (SELECT run_id, frame, tip_x, tip_y, row_number() OVER w AS i, count(*) OVER (PARTITION BY run_id) AS n FROM wire WHERE tip_x IS NOT NULL AND tip_y IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY frame)),
+pj AS (SELECT run_id, frame, i, n, unnest([-2, -1, 0, 1, 2]) AS j FROM pv),
+ps AS (SELECT a.run_id, a.frame, CASE WHEN a.n >= 3 THEN avg(b.tip_x) ELSE max(CASE WHEN a.j = 0 THEN b.tip_x END) END AS sx, CASE WHEN a.n >= 3 THEN avg(b.tip_y) ELSE max(CASE WHEN a.j = 0 THEN b.tip_y END) END AS sy FROM pj a JOIN pv b ON a.run_id = b.run_id AND b.i = least(greatest(a.i + a.j, 1), a.n) GROUP BY a.run_id, a.frame, a.n)
+SELECT w.run_id, w.frame, """ + single_sql("sx") + " AS tip_x, " + single_sql("sy") + " AS tip_y FROM wire w LEFT JOIN ps ON ps.run_id = w.run_id AND ps.frame = w.frame")
+def smoothed_path(spark: SparkSession, d: str) -> DataFrame:
+    got = ordered.smoothed_path(virtual.wire_series(spark, d), "tip_x", "tip_y")
+    return got.select("run_id", "frame", single("tip_x").alias("tip_x"), single("tip_y").alias("tip_y"))
+
+
 def wire_gates_sql() -> str:
     """Gate reason of each wire route as tables gate_a, gate_b and gate_c."""
     ends = " AND ".join(f"{c} IS NOT NULL" for c in gates.ENDPOINTS)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.functions import scalar
-from thermoline.operators import registry, suite
+from thermoline.operators import candidates, registry, suite
 from thermoline.plans.series_queries import R6, sql
 from thermoline.sources import synthetic
 
@@ -334,3 +334,40 @@ def fallback_statuses(spark: SparkSession, d: str) -> DataFrame:
 
     e = entries(spark, d)
     return e.select("seq", "alias", fallback_status(F.col("reportability_status"), F.col("gate_reason"), F.col("selected_as_formal")).alias("status"))
+
+
+@query("filled_details", "WITH " + MATCH + ", dt AS (SELECT *, CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN benchmark_name END AS route FROM details) SELECT o_orderkey, detail_seq, CASE WHEN coalesce(route, '') <> '' THEN route ELSE 'row ' || (o_orderkey % 5) END AS route, CASE WHEN detail_seq % 2 = 0 THEN 'detail' ELSE 'row' END AS warnings, CASE WHEN detail_seq % 4 = 0 THEN detail_seq * 1.5 ELSE o_orderkey * 0.5 END AS af95_c, h.output_dir AS demo_output FROM hits h JOIN dt ON dt.seq = h.detail_seq")
+def filled_details(spark: SparkSession, d: str) -> DataFrame:
+    rows, details = _matched(spark, d)
+    seq, listed = F.col("detail_seq"), lambda word: F.array(F.lit(word))
+    none = F.array().cast("array<string>")
+    details = details.select(F.col("seq").alias("detail_seq"), F.col("benchmark_name").alias("name")).select("detail_seq", F.when(seq % 3 == 0, "").when(seq % 3 == 1, F.col("name")).alias("route"), F.when(seq % 2 == 0, listed("detail")).otherwise(none).alias("warnings"), F.when(seq % 4 == 0, seq * 1.5).alias("af95_c"))
+    k = F.col("o_orderkey")
+    rows = rows.select("detail_seq", "o_orderkey", "output_dir", F.concat(F.lit("row "), (k % 5).cast("string")).alias("route"), listed("row").alias("warnings"), (k * 0.5).alias("af95_c"))
+    got = suite.filled(rows, details, "detail_seq")
+    return got.select("o_orderkey", "detail_seq", "route", F.concat_ws(";", "warnings").alias("warnings"), "af95_c", "demo_output")
+
+
+_NAMES = {1: "body_bins", 2: "skeleton", 3: "prior"}
+PATHS = """
+cd AS (SELECT l_orderkey AS frame, CASE l_linenumber """ + " ".join(f"WHEN {k} THEN '{n}'" for k, n in _NAMES.items()) + """ ELSE 'other ' || l_linenumber END AS candidate, CASE WHEN l_suppkey % 9 > 0 THEN l_quantity * 8 END AS length_px, (l_partkey % 40 + 60) * 0.5 AS axis_span_px, l_discount * 10 AS support FROM lineitem),
+us AS (SELECT *, median(length_px) OVER (PARTITION BY frame) AS consensus, axis_span_px < 0.85 * max(axis_span_px) OVER (PARTITION BY frame) AS narrow, count(*) OVER (PARTITION BY frame) AS n FROM cd WHERE length_px > 0.000000001),
+p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY narrow, CASE candidate WHEN 'body_bins' THEN 0 WHEN 'skeleton' THEN 1 WHEN 'prior' THEN 2 ELSE 99 END, abs(length_px - consensus) / greatest(consensus, 0.000000001), 1.0 - support, candidate, length_px) AS nth FROM us WHERE n >= 2) WHERE nth = 1),
+p2 AS (SELECT * FROM (SELECT u.frame, u.candidate, row_number() OVER (PARTITION BY u.frame ORDER BY u.narrow, abs(u.length_px - p1.length_px) / greatest(p1.length_px, 0.000000001), 1.0 - u.support, CASE u.candidate WHEN 'skeleton' THEN 0 WHEN 'body_bins' THEN 1 WHEN 'prior' THEN 2 ELSE 99 END, u.candidate) AS nth FROM us u JOIN p1 ON p1.frame = u.frame AND p1.candidate <> u.candidate) WHERE nth = 1)
+"""
+
+
+@query("centerline_choice", "WITH " + PATHS + ' SELECT f.frame, p1.candidate AS "primary", p2.candidate AS secondary, p1.consensus AS consensus_length_px FROM (SELECT DISTINCT frame FROM cd) f LEFT JOIN p1 ON p1.frame = f.frame LEFT JOIN p2 ON p2.frame = f.frame')
+def centerline_choice(spark: SparkSession, d: str) -> DataFrame:
+    c, name = F.col, F.concat(F.lit("other "), F.col("l_linenumber").cast("string"))
+    for k, n in _NAMES.items():
+        name = F.when(F.col("l_linenumber") == k, n).otherwise(name)
+    rows = _read(spark, d, "lineitem").select(c("l_orderkey").alias("frame"), name.alias("candidate"), F.when(c("l_suppkey") % 9 > 0, c("l_quantity") * 8).alias("length_px"), ((c("l_partkey") % 40 + 60) * 0.5).alias("axis_span_px"), (c("l_discount") * 10).alias("support"))
+    return candidates.centerlines(rows, ["frame"])
+
+
+@query("best_region", "WITH ex AS (SELECT l_orderkey AS frame, l_linenumber AS region, l_tax * 10 AS quality, l_quantity * 8 AS length_axis_px, l_extendedprice AS area_proj_px2, l_partkey % 5 AS attachment_count, l_quantity * l_discount AS endpoint_jump_px, l_discount AS centerline_disagreement FROM lineitem), sc AS (SELECT *, quality + 0.22 * (length_axis_px / greatest(max(length_axis_px) OVER w, 1.0)) + 0.08 * (area_proj_px2 / greatest(max(area_proj_px2) OVER w, 1.0)) - 0.05 * least(CAST(attachment_count AS DOUBLE), 3.0) - 0.08 * least(endpoint_jump_px / greatest(length_axis_px, 1.0), 1.0) - 0.05 * least(centerline_disagreement / 0.20, 1.0) AS score FROM ex WINDOW w AS (PARTITION BY frame)), rk AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, quality DESC, length_axis_px DESC, region) AS place FROM sc) SELECT frame, region, round(score, 6) AS score FROM rk WHERE place = 1")
+def best_region(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    rows = _read(spark, d, "lineitem").select(c("l_orderkey").alias("frame"), c("l_linenumber").alias("region"), (c("l_tax") * 10).alias("quality"), (c("l_quantity") * 8).alias("length_axis_px"), c("l_extendedprice").alias("area_proj_px2"), (c("l_partkey") % 5).alias("attachment_count"), (c("l_quantity") * c("l_discount")).alias("endpoint_jump_px"), c("l_discount").alias("centerline_disagreement"))
+    return candidates.best_extraction(rows, ["frame"], "region").select("frame", "region", R6("score").alias("score"))

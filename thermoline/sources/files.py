@@ -69,6 +69,17 @@ def benchmark_outputs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return rows.withColumn("output_dir_name", F.regexp_extract("path", r"([^/]+)/analysis_metrics\.json$", 1)).orderBy("path")
 
 
+def write_suite(df: DataFrame, folder: str) -> None:
+    """A suite's rows as JSON, NULL fields included, and as CSV."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/benchmark_summary.json")
+    write_csv(df, f"{folder}/benchmark_summary.csv")
+
+
+def suite(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """A suite's rows as write_suite has left them."""
+    return spark.read.schema(schema).json(f"{folder}/benchmark_summary.json")
+
+
 def to_json_rows(df: DataFrame, key: str) -> DataFrame:
     """Each row as one JSON text beside its key; NULL fields are left out."""
     return df.select(key, F.to_json(F.struct(*df.columns)).alias("json"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from thermoline.operators import candidates, ordered, qc, suite
+from thermoline.operators import candidates, geometry, ordered, qc, suite
 from thermoline.sources import files
 from thermoline.streaming import monitor
 
@@ -81,3 +81,15 @@ def test_late_rows_of_a_stream(spark, tmp_path):
         assert q.exception() is None
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("start").collect()
     assert [(r.start.strftime("%H:%M"), r.rows, r.mean) for r in got] == [("00:00", 1, 1.0), ("00:55", 1, 4.0), ("01:00", 1, 2.0)]
+
+
+def test_profile_metrics(spark):
+    """A straight path of steps of 5 along (3, 4), wide in its middle; a frame without any width has no row."""
+    widths = [0.0, 4.0, 8.0, 8.0, 4.0, 0.0]
+    rows = [(1, k, 3.0 * k, 4.0 * k, w) for k, w in enumerate(widths)] + [(2, 0, 0.0, 0.0, 3.0)] + [(3, k, 1.0 * k, 0.0, None) for k in range(3)]
+    got = {r.frame: r for r in geometry.profile_metrics(spark.createDataFrame(rows, "frame long, sample long, x double, y double, width_px double"), ["frame"], "sample").collect()}
+    assert set(got) == {1, 2}
+    a = got[1]
+    assert (a.length_axis_px, a.length_axis_alt_px, a.diameter_px, a.diameter_peak_span_px, a.area_proj_px2) == pytest.approx((15.0, 15.0, 8.0, 5.0, 100.0))
+    assert (a.compaction_zone_length_px, a.transition_zone_left_px, a.zone_symmetry) == pytest.approx((5.0, 5.0, 1.0))
+    assert (got[2].length_axis_px, got[2].area_proj_px2) == (0.0, None)

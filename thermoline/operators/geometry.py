@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoline.functions.scalar import clip, projection
-from thermoline.operators.qc import median, p90
+from thermoline.functions.scalar import clip, distance, projection
+from thermoline.operators.qc import median, p90, p95
 
 
 def trapezoid_area(df: DataFrame, key: list[str], position: str, width: str) -> DataFrame:
@@ -50,6 +50,29 @@ def zone_metrics(df: DataFrame, key: list[str], position: str, width: str, taper
     return got.select(*key, peak.alias("x_peak_norm"), c("landing_zone_left_px").alias("taper_left_px"), c("landing_zone_right_px").alias("taper_right_px"), "landing_zone_left_px", "landing_zone_right_px", "transition_zone_left_px", "transition_zone_right_px", "compaction_zone_length_px", symmetry.alias("zone_symmetry"))
 
 
+def profile_metrics(df: DataFrame, key: list[str], order: str, x: str = "x", y: str = "y", width: str = "width_px") -> DataFrame:
+    """Length along the path and along its axis, widths, area and zones of a braid's body, from points of its path in order.
+
+    The body is where the width is positive, or all points that have one where under two are.
+    Areas of under two points are NULL. All windows and groups share one shuffle by key.
+    """
+    whole = Window.partitionBy(*key)
+    w = whole.orderBy(order)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    step = F.coalesce(distance(F.lag(x).over(w), F.lag(y).over(w), F.col(x), F.col(y)), F.lit(0.0))
+    rows = rows.withColumn("step", step).withColumn("at", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where(F.col(width).isNotNull()).withColumn("positive", F.count(F.when(F.col(width) > 1e-9, 1)).over(whole)).where((F.col(width) > 1e-9) | (F.col("positive") < 2))
+    spread = F.var_pop(x).over(whole) - F.var_pop(y).over(whole)
+    rows = rows.withColumns({"angle": 0.5 * F.atan2(2.0 * F.covar_pop(x, y).over(whole), spread), "top": F.max(width).over(whole), "part": (F.col(width) + F.lag(width).over(w)) / 2 * (F.col("at") - F.lag("at").over(w))})
+    along, thick = F.col(x) * F.cos("angle") + F.col(y) * F.sin("angle"), F.when(F.col(width) >= 0.95 * F.col("top"), F.col("at"))
+    got = rows.groupBy(*key).agg(
+        (F.max("at") - F.min("at")).alias("length_axis_px"), (F.max(along) - F.min(along)).alias("length_axis_alt_px"), F.max("top").alias("diameter_px"), p95(F.col(width)).alias("diameter_p95_px"),
+        (F.max(thick) - F.min(thick)).alias("diameter_peak_span_px"), F.sum("part").alias("area_proj_px2"),
+    )
+    got = got.withColumn("length_axis_definition_gap_px", F.abs(F.col("length_axis_px") - F.col("length_axis_alt_px")))
+    return got.join(zone_metrics(rows.select(*key, "at", width), key, "at", width), key)
+
+
 def directional_span(df: DataFrame, key: list[str], x: str, y: str, angle_deg: float) -> DataFrame:
     """Extent of a point set along a direction."""
     p = projection(F.col(x), F.col(y), F.lit(float(angle_deg)))

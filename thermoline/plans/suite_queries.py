@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.functions import scalar
-from thermoline.operators import candidates, registry, suite
-from thermoline.plans.series_queries import R6, sql
+from thermoline.operators import candidates, geometry, registry, suite
+from thermoline.plans.series_queries import R6, single, single_sql, sql
 from thermoline.sources import synthetic
 
 TABLE: dict[str, tuple[object, str | None]] = {}
@@ -261,12 +261,35 @@ def synth_wire_truth(spark: SparkSession, d: str) -> DataFrame:
     return got.select("frame", F.round("kappa_true_px_inv", 8).alias("kappa_true_px_inv"), F.round("x_true_px", 5).alias("x_true_px"))
 
 
-@query("synth_braided_profile", "WITH sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 479) AS t FROM range(480) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 520.0 - s * 110.0 AS len, 120.0 + s * 100.0 AS dia, 14.0 - s * 6.0 AS bow, radians(-1.5 + s * 3.5) AS th, 640.0 + s * 10.0 AS cx, 260.0 - s * 6.0 AS cy FROM sh, range(240) q(i)) SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END, 5) AS width_px, round(cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
+_BRAID = "sc AS (SELECT f AS frame, 20.0 + f * (45.0 / 479) AS t FROM range(480) g(f)), sh AS (SELECT frame, 1.0 / (1.0 + exp(-(t - 47.0) / 2.0)) AS s FROM sc), pr AS (SELECT frame, i, i / 239.0 AS u, 520.0 - s * 110.0 AS len, 120.0 + s * 100.0 AS dia, 14.0 - s * 6.0 AS bow, radians(-1.5 + s * 3.5) AS th, 640.0 + s * 10.0 AS cx, 260.0 - s * 6.0 AS cy FROM sh, range(240) q(i))"
+
+
+@query("synth_braided_profile", "WITH " + _BRAID + " SELECT frame, i AS sample, round(dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END, 5) AS width_px, round(cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th), 5) AS x, round(cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th), 5) AS y FROM pr")
 def synth_braided_profile(spark: SparkSession, d: str) -> DataFrame:
     got = synthetic.braided_profile(synthetic.braided_truth(synthetic.schedule(spark, 20, 24.0, 20.0, 65.0)))
     return got.select("frame", F.col("sample").cast("long").alias("sample"), *(F.round(c, 5).alias(c) for c in ("width_px", "x", "y")))
 
 
+_ZONES = ("x_peak_norm", "landing_zone_left_px", "landing_zone_right_px", "transition_zone_left_px", "transition_zone_right_px", "compaction_zone_length_px", "zone_symmetry")
+_PROFILE = ("length_axis_px", "length_axis_alt_px", "length_axis_definition_gap_px", "diameter_px", "diameter_p95_px", "diameter_peak_span_px", "area_proj_px2", *_ZONES)
+
+
+@query("braided_truth_metrics", "WITH " + _BRAID + """,
+pt AS (SELECT frame, i, dia * CASE WHEN u <= 0.56 THEN sin(pi() / 2 * least(1.0, u / 0.56)) ** 0.88 ELSE sin(pi() / 2 * greatest(0.0, least(1.0, (1.0 - u) / (1.0 - 0.56)))) ** 1.06 END AS width, cx + (u - 0.5) * len * cos(th) - bow * sin(pi() * u) * sin(th) AS x, cy + (u - 0.5) * len * sin(th) + bow * sin(pi() * u) * cos(th) AS y FROM pr),
+ps AS (SELECT *, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM pt WINDOW w AS (PARTITION BY frame ORDER BY i)),
+pa AS (SELECT *, sum(coalesce(step, 0.0)) OVER (PARTITION BY frame ORDER BY i ROWS UNBOUNDED PRECEDING) AS pos FROM ps),
+pb AS (SELECT *, (width + lag(width) OVER w) / 2 * (pos - lag(pos) OVER w) AS part, max(width) OVER (PARTITION BY frame) AS top FROM pa WHERE width > 0.000000001 WINDOW w AS (PARTITION BY frame ORDER BY i)),
+ax AS (SELECT frame, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a FROM pb GROUP BY frame),
+pm AS (SELECT frame, max(pos) - min(pos) AS length_axis_px, max(x * cos(a) + y * sin(a)) - min(x * cos(a) + y * sin(a)) AS length_axis_alt_px, max(width) AS diameter_px, quantile_cont(width, 0.95) AS diameter_p95_px,
+  max(pos) FILTER (width >= 0.95 * top) - min(pos) FILTER (width >= 0.95 * top) AS diameter_peak_span_px, sum(part) AS area_proj_px2,
+  min(pos) AS a0, max(pos) AS a1, min(pos) FILTER (width = top) AS pk, min(pos) FILTER (width >= 0.35 * top) AS l, max(pos) FILTER (width >= 0.35 * top) AS r, min(pos) FILTER (width >= 0.9 * top) AS cl, max(pos) FILTER (width >= 0.9 * top) AS cr FROM pb JOIN ax USING (frame) GROUP BY frame),
+pz AS (SELECT *, abs(length_axis_px - length_axis_alt_px) AS length_axis_definition_gap_px, (pk - a0) / (a1 - a0) AS x_peak_norm, l - a0 AS landing_zone_left_px, a1 - r AS landing_zone_right_px, cl - l AS transition_zone_left_px, r - cr AS transition_zone_right_px, cr - cl AS compaction_zone_length_px, 1.0 - abs((cl - a0) - (a1 - cr)) / (a1 - a0) AS zone_symmetry FROM pm)
+SELECT frame, """ + ", ".join(f"{single_sql(c)} AS {c}" for c in _PROFILE) + " FROM pz")
+def braided_truth_metrics(spark: SparkSession, d: str) -> DataFrame:
+    points = synthetic.braided_profile(synthetic.braided_truth(synthetic.schedule(spark, 20, 24.0, 20.0, 65.0)))
+    return geometry.profile_metrics(points, ["frame"], "sample").select("frame", *(single(c).alias(c) for c in _PROFILE))
+
+
 @query("reported_value", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 END, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 2 END) AS reported FROM orders")
 def reported_value(spark: SparkSession, d: str) -> DataFrame:
     from thermoline.operators.routes import reported_value as first

@@ -71,3 +71,11 @@ def test_damage_is_found(table, tmp_path):
         file.write(b"\xff")
     with pytest.raises(Exception, match="damaged"):
         r.read_records(manifest).collect()
+
+
+def test_ids_go_by_bytes_where_polynomials_collide(table, tmp_path):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)]
+    check(table(rows), rows, f"file://{tmp_path}/a")

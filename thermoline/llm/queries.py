@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from thermoline.llm import decontam, ngram_join, pii, quality_model, quality_rules, records, secrets, segment_sampling, sharding, url_filter
+from thermoline.llm import alignment, decontam, ngram_join, pii, quality_model, quality_rules, records, secrets, segment_sampling, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,8 +58,12 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(manifest)
 
 
+def op13_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_forest_join, op2_glob_automaton, op3_gumbel_segments, op4_repetition_rules, op5_ftrl_quality, op6_weak_labels, op7_cgk_decontamination, op8_secret_ownership, op9_hash_tree, op10_token_records)}
+    return {f.__name__: f for f in (op1_forest_join, op2_glob_automaton, op3_gumbel_segments, op4_repetition_rules, op5_ftrl_quality, op6_weak_labels, op7_cgk_decontamination, op8_secret_ownership, op9_hash_tree, op10_token_records, op13_interval_alignment)}
 
 
 _URL_SQL = """

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thermoline.llm import chunks
 from thermoline.llm import textkit as tk
 from thermoline.llm.workspace import shared_folder, stored
 
@@ -39,8 +40,8 @@ INDEX = np.dtype([("offset", "<i8"), ("n_tokens", "<i8"), ("doc_id", "<i8")])
 MANIFEST = "part int, path string, n_records long, n_tokens long, n_bytes long"
 ROWS_PER_FILE = 20_000
 NO_ID = 0x80
-#: Known chunks of an encoder, about 40 bytes each.
-CHUNKS_KEPT = 1_500_000
+#: Known chunks of an encoder, about 150 bytes each.
+CHUNKS_KEPT = 500_000
 
 
 def masked(raw: bytes | memoryview) -> int:
@@ -70,94 +71,29 @@ def unframe(raw: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
 class ChunkEncoder:
     """Encodes texts by a byte-level BPE file of the tokenizers library, each distinct chunk once.
 
-    A text is cut before a space between two characters that can be no white space: there
-    the pre-tokenizer cuts as well, so the ids of the chunks are the ids of the text.
-    Distinct chunks of a slice are encoded together and their ids dealt back by byte lengths;
-    up to CHUNKS_KEPT chunks stay known for later slices.
+    Ids of a chunk are looked up by its bytes; CHUNKS_KEPT chunks, and those of one slice
+    more, stay known for later slices.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = {k for k, x in self.tokenizer.get_added_tokens_decoder().items() if x.special}
-        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.bytes_of[k] = len(token.encode()) if k in special else len(token)  # a character of a token is a byte of text
-        plain = np.zeros(256, bool)
-        plain[0x21:0x7F] = True
-        self.before, self.after = plain.copy(), plain.copy()
-        self.after[0xC3:] = True
-        self.after[[0xE1, 0xE2, 0xE3]] = False  # first bytes of some white space, as C2 is
-        self.width = np.dtype("<u2") if len(self.bytes_of) <= 1 << 16 else np.dtype("<u4")
-        self.known, self.first, self.size, self.ids, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.int32), 0
-
-    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First place, number and ids of each chunk."""
-        spaced = data[start] == 0x20
-        spaced &= end - start > 1
-        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
-        joined, alone = int(spaced.sum()), order[int(spaced.sum()) :]
-        size = np.zeros(len(start), np.int64)
-        parts = []
-        raw = data.tobytes()
-        for k in range(0, joined, 20_000):
-            some = order[k : min(k + 20_000, joined)]
-            text = b"".join([raw[s:e] for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)]).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(self.bytes_of[ids])
-            bounds = np.searchsorted(ends, np.cumsum(end[some] - start[some]), "left") + 1
-            if len(ends) == 0 or ends[-1] != np.sum(end[some] - start[some]):
-                raise ValueError("ids don't cover the text")
-            size[some] = np.diff(bounds, prepend=0)
-            parts.append(ids)
-        for k in range(0, len(alone), 1000):
-            some = alone[k : k + 1000]
-            for x, got in zip(some, self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(start[some].tolist(), end[some].tolist(), strict=True)], add_special_tokens=False), strict=True):
-                size[x] = len(got.ids)
-                parts.append(np.array(got.ids, np.int32))
-        first = np.empty(len(start), np.int64)
-        first[order] = np.cumsum(size[order]) - size[order]
-        return first, size, np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.pairs = chunks.BytePairs(path)
+        self.width = np.dtype("<u2") if len(self.pairs.bytes_of) <= 1 << 16 else np.dtype("<u4")
+        self.known, self.ids = chunks.Numbered(CHUNKS_KEPT), chunks.Lists()
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and the number of each text."""
         docs = len(off) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(docs, np.int64)
-        cut = np.zeros(len(data), bool)
-        inner = data[1:-1] == 0x20
-        inner &= self.after[data[2:]]
-        latin = np.zeros(len(data), bool)
-        latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80)  # a letter or sign of two bytes, no white space
-        inner &= self.before[data[:-2]] | latin[:-2]
-        cut[1:-1] = inner
+        if self.known.full():
+            self.known, self.ids = chunks.Numbered(CHUNKS_KEPT), chunks.Lists()
+        cut = chunks.cuts(data)
         cut[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(cut)
-        end = np.append(start[1:], len(data))
-        words = tk.Words(data, off, split=False)
-        h = words.span_hash(start, end)
-        distinct, where, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, distinct)
-        new = np.ones(len(distinct), bool)
-        new[at < len(self.known)] = self.known[at[at < len(self.known)]] != distinct[at < len(self.known)]
-        first, size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-        first[~new], size[~new] = self.first[at[~new]], self.size[at[~new]]
-        places, sizes, ids = self._new(data, start[where[new]], end[where[new]])
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used + 2 * len(ids), np.int32)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        first[new], size[new] = places + self.used, sizes
-        if len(self.known) < CHUNKS_KEPT:
-            self.known, self.first, self.size = (np.insert(x, at[new], y[new]) for x, y in ((self.known, distinct), (self.first, first), (self.size, size)))
-            self.used += len(ids)
-        ids, n = self.ids, size[back]
-        total = int(n.sum())
-        ends = np.cumsum(n)
-        take = np.arange(total) - np.repeat(ends - n, n) + np.repeat(first[back], n)
+        which, new = self.known.of(data, start, len(data))
+        self.ids.add(*self.pairs.encode(new))
         doc = np.searchsorted(off, start, "right") - 1
-        return ids[take], np.bincount(doc, n, minlength=docs).astype(np.int64)
+        return self.ids.take(which), np.bincount(doc, self.ids.size[which], minlength=docs).astype(np.int64)
 
 
 _encoders: dict[str, ChunkEncoder] = {}

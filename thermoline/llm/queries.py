@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from thermoline.llm import alignment, decontam, ngram_join, pii, quality_model, quality_rules, records, secrets, segment_sampling, sharding, url_filter
+from thermoline.llm import alignment, decontam, filter_audit, ngram_join, pii, quality_model, quality_rules, records, secrets, segment_sampling, sharding, url_filter, vector_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,12 +58,20 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(manifest)
 
 
+def op11_word_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op12_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op13_interval_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_forest_join, op2_glob_automaton, op3_gumbel_segments, op4_repetition_rules, op5_ftrl_quality, op6_weak_labels, op7_cgk_decontamination, op8_secret_ownership, op9_hash_tree, op10_token_records, op13_interval_alignment)}
+    return {f.__name__: f for f in (op1_forest_join, op2_glob_automaton, op3_gumbel_segments, op4_repetition_rules, op5_ftrl_quality, op6_weak_labels, op7_cgk_decontamination, op8_secret_ownership, op9_hash_tree, op10_token_records, op11_word_audit, op12_block_join, op13_interval_alignment)}
 
 
 _URL_SQL = """
@@ -139,4 +147,4 @@ SELECT *, NOT base_failed AND 100 * dup_line_chars <= {quality_rules.LINE_CHAR_P
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_glob_automaton": _url_sql(), "op4_repetition_rules": _rules_sql()}
+    return {"op2_glob_automaton": _url_sql(), "op4_repetition_rules": _rules_sql(), "op11_word_audit": filter_audit.oracle_sql(), "op12_block_join": vector_join.oracle_sql()}

@@ -66,7 +66,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     full = np.searchsorted(w.start, end) > np.searchsorted(w.start, start)
     start, end = start[full], end[full]
     line_doc, line_size = np.searchsorted(off, start, "right") - 1, cp[end] - cp[start]
-    _, again = _later(tk.per_doc(w.span_hash(start, end), line_doc))
+    _, again = _later(tk.per_doc(tk.digests(data, start, end), line_doc))
     out |= {"n_dup_lines": sums(line_doc[again]), "n_lines": sums(line_doc), "line_chars": sums(line_doc, line_size), "dup_line_chars": sums(line_doc[again], line_size[again])}
 
     h = w.hashes()

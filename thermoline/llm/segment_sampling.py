@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thermoline.llm import chunks
 from thermoline.llm import textkit as tk
 
 SAMPLES = 2
@@ -358,7 +359,7 @@ def sample_slice(model: Pieces, data: np.ndarray, off: np.ndarray, key: np.ndarr
     doc = np.searchsorted(off, start, "right") - 1
     nth = np.arange(len(start)) - np.searchsorted(doc, doc)
     if len(start):
-        _, where, back = np.unique(tk.Words(data, np.array([0, len(data)]), split=False).span_hash(start, end), return_index=True, return_inverse=True)
+        _, where, back = np.unique(chunks.distinct(data, start, len(data))[1], return_index=True, return_inverse=True)
         lattice = Lattices(model, data, start[where], end[where])
         begin = lattice.begin[back]
     else:

@@ -1,19 +1,24 @@
 """Numpy kernels over the UTF-8 bytes of an Arrow column of texts.
 
 A batch of texts is one byte array plus offsets, so splitting, hashing and counting
-run once over the whole batch instead of once a word. Every substring hash is a
-polynomial over bytes modulo 2**64 read off one running sum, then mixed; two different
-substrings of natural text meet with a chance of about 2**-64.
+run once over the whole batch instead of once a word. Words and lines are told apart by
+their bytes within a batch and by 64 bits of a cryptographic digest beyond it; windows of
+up to some ten words are polynomials over these digests. `span_hash` is a polynomial over
+bytes modulo 2**64 and serves hashed features alone: there are long strings that it can't
+tell apart.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from thermoline.llm import chunks
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -76,6 +81,38 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         at, done = to, int(end[to - 1])
 
 
+_digests: dict[bytes, int] = {}
+#: Digests that a worker keeps, about 100 bytes each.
+DIGESTS_KEPT = 500_000
+
+
+def _digest(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=b"thermoline").digest(), "little")
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the digest of each span; spans are in order and don't meet. Each different string is digested once."""
+    if not len(start):
+        return np.zeros(0, U64)
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] = 1
+    edge[end] -= 1  # a span may begin where another ends
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
+    ends = np.cumsum(end - start)
+    strings, which = chunks.distinct(data[inside], ends - (end - start), int(ends[-1]))
+    if len(_digests) > DIGESTS_KEPT:
+        _digests.clear()
+    out = np.empty(len(strings), U64)
+    for k, raw in enumerate(strings):
+        h = _digests.get(raw)
+        if h is None:
+            h = _digest(raw)
+            if len(raw) <= 64:
+                _digests[raw] = h
+        out[k] = h
+    return out[which]
+
+
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a batch of texts, in order."""
 
@@ -106,13 +143,13 @@ class Words:
         return self._sums
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hash of the bytes start to end."""
+        """Hash of the bytes start to end, for features."""
         s = self.sums()
         h = (s[end] - s[start]) * powers(len(self.data) + 1)[1][start]
         return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def hashes(self) -> np.ndarray:
-        return self.span_hash(self.start, self.end)
+        return digests(self.data, self.start, self.end)
 
 
 def window_hash(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,8 +26,8 @@ from thermoline.llm import chunks
 from thermoline.llm import textkit as tk
 from thermoline.llm.workspace import stored
 
-#: Known chunks of a worker, about 400 bytes each, and bytes of a text that are looked at together.
-CHUNKS_KEPT, PIECE_BYTES = 300_000, 4 << 20
+#: Known chunks of a worker, about 600 bytes each, and bytes of a text that are looked at together.
+CHUNKS_KEPT, PIECE_BYTES = 100_000, 4 << 20
 MARK = "▁"
 _TABLE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"

@@ -26,28 +26,6 @@ def test_log_file(spark, tmp_path):
         files.temperature_log(spark, str(tmp_path / "bad.csv"), 3)
 
 
-def test_fold_kernels():
-    y = np.array([1.0, np.nan, 3.0, 2.0, 10.0])
-    a = np.full(5, 0.5)
-    assert temporal.fill(y).tolist() == [1, 2, 3, 2, 10]
-    assert temporal.ema(np.array([1.0, 3.0]), np.array([0.1, 0.25])).tolist() == [1, 1.5]
-    assert temporal.monotone(np.array([1.0, 3.0, 2.0, 2.0, 5.0]), True).tolist() == pytest.approx([1, 7 / 3, 7 / 3, 7 / 3, 5])
-    assert temporal.monotone(np.array([1.0, 3.0, 2.0]), False).tolist() == [2, 2, 2]
-    got = temporal.regularize(y, a, True)
-    assert np.isnan(got[1]) and (np.diff(got[[0, 2, 3, 4]]) >= 0).all()
-    turned = temporal.regularize_angle(np.array([3.0, -3.0, np.nan, 3.1]), np.ones(4))
-    assert turned[[0, 1, 3]].tolist() == pytest.approx([3.0, 2 * np.pi - 3.0, 3.1])
-    assert np.isnan(temporal.regularize(np.full(3, np.nan), np.ones(3), None)).all()
-
-
-def test_monotone_matches_the_min_max_formula():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        y = rng.normal(size=rng.integers(1, 25))
-        want = [max(min(y[j : k + 1].mean() for k in range(i, len(y))) for j in range(i + 1)) for i in range(len(y))]
-        assert temporal.monotone(y, True) == pytest.approx(np.array(want))
-
-
 def test_route_c_without_noise_keeps_the_tip(spark):
     n = 30
     df = pd.DataFrame({"run_id": 1, "frame": range(n), "quality": 1.0, "kappa_fit_px_inv": 0.05, **{f"{r}{e}_{c}": v for r in ("", "route_a_") for e, c, v in (("anchor", "x", 10.0), ("anchor", "y", 5.0), ("tip", "x", 40.0), ("tip", "y", 5.0))}})

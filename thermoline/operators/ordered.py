@@ -6,6 +6,8 @@ step depends on the number of rows of a run, the run is one array: a run is one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -100,17 +102,19 @@ def filled(df: DataFrame, c: str, name: str, w: WindowSpec | None = None) -> Dat
     return df.withColumn("row_at", F.row_number().over(w)).withColumn(name, fill_linear(c, w)).drop("row_at")
 
 
+def turn_fix(turn: Column) -> Column:
+    """What makes a step between angles one of at most half a turn."""
+    tau = 2 * math.pi
+    wrapped = turn + math.pi - tau * F.floor((turn + math.pi) / tau) - math.pi
+    wrapped = F.when((wrapped == -math.pi) & (turn > 0), F.lit(math.pi)).otherwise(wrapped)
+    return F.when(F.abs(turn) < math.pi, F.lit(0.0)).otherwise(wrapped - turn)
+
+
 def unwrapped(df: DataFrame, c: str, name: str, w: WindowSpec | None = None) -> DataFrame:
     """An angle without jumps of more than half a turn; rows without an angle are passed over."""
-    import math
-
     w = w or in_frames()
-    tau = 2 * math.pi
     rows = df.where(F.col(c).isNotNull()).withColumn("turn", F.col(c) - F.lag(c).over(w))
-    wrapped = F.col("turn") + math.pi - tau * F.floor((F.col("turn") + math.pi) / tau) - math.pi
-    wrapped = F.when((wrapped == -math.pi) & (F.col("turn") > 0), F.lit(math.pi)).otherwise(wrapped)
-    fix = F.when(F.abs("turn") < math.pi, F.lit(0.0)).otherwise(wrapped - F.col("turn"))
-    total = F.sum(F.coalesce(fix, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum(F.coalesce(turn_fix(F.col("turn")), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn(name, F.col(c) + total).drop("turn")
 
 

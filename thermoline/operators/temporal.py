@@ -145,8 +145,8 @@ def _doubles(names: list[str], first: list[StructField]) -> StructType:
 def _entering(maps: DataFrame, lines: list[Line]) -> DataFrame:
     """The averages that enter each block, both ways."""
     n = range(len(lines))
-    ways = [maps.select(RUN, "block", F.lit(way).alias("way"), (F.col("block") * (1 - 2 * way)).alias("nth"), *(F.col(f"{name}_{x}_{k}").alias(f"{x}_{k}") for k in n for x in ("times", "plus"))) for way, name in enumerate(("ahead", "back"))]
-    got = blocks.states(ways[0].union(ways[1]), [str(k) for k in n])
+    ways = F.array(*(F.struct(F.lit(way).alias("way"), (F.col("block") * (1 - 2 * way)).alias("nth"), *(F.col(f"{name}_{x}_{k}").alias(f"{x}_{k}") for k in n for x in ("times", "plus"))) for way, name in enumerate(("ahead", "back"))))
+    got = blocks.states(maps.select(RUN, "block", F.inline(ways)), [str(k) for k in n])
     return got.groupBy(*KEY).agg(*(F.max(F.when(F.col("way") == way, F.col(f"in_{k}"))).alias(f"{name}_{k}") for k in n for way, name in enumerate(("ahead", "back"))))
 
 
@@ -162,10 +162,10 @@ def smoothed(df: DataFrame, lines: list[Line], alpha: str | None, finish: Callab
     n = range(len(lines))
     names = ["n", *(f"{x}_{k}" for k in n for x in ("first", "first_at", "last", "last_at", "turns"))]
     found = blocks.over_blocks(cut, lambda s: {c: x.astype(float) for c, x in _knots(lines)(s).items()}, _doubles(names, key))
-    table = blocks.with_carry(cut, stored(_knot_carries(stored(found, "knots"), lines), "carries"))
+    table = blocks.with_carry(cut, stored(_knot_carries(found, lines), "carries"))
     if alpha is not None:
         maps = blocks.over_blocks(table, _block_maps(lines, alpha), _doubles([f"{way}_{x}_{k}" for k in n for way in ("ahead", "back") for x in ("times", "plus")], key))
-        table = blocks.with_carry(table, stored(_entering(stored(maps, "maps"), lines), "averages"))
+        table = blocks.with_carry(table, _entering(maps, lines))
 
     def averaged(s: Segments) -> list[np.ndarray]:
         out = []
@@ -203,7 +203,7 @@ def smoothed(df: DataFrame, lines: list[Line], alpha: str | None, finish: Callab
     made = ", ".join([*(f"y_{k} array<double>" for k in n), *(f"{x}_{k} array<double>" for k, _ in slopes for x in ("total", "size"))])
     held = stored(blocks.over_blocks(table, pools, StructType([*key, cut.schema["rows"], *StructType.fromDDL(made).fields])), "pools")
     moved = blocks.settled(held, [str(k) for k, _ in slopes])
-    moved = stored(moved.groupBy(*KEY).agg(F.collect_list(F.struct("line", "pool", "mean")).alias("moved")), "means")
+    moved = moved.groupBy(*KEY).agg(F.collect_list(F.struct("line", "pool", "mean")).alias("moved"))
 
     def monotone(s: Segments) -> dict[str, np.ndarray]:
         ys = [s.batch.column(f"y_{k}").flatten().to_numpy(zero_copy_only=False) for k in n]

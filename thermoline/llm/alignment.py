@@ -27,9 +27,11 @@ from thermoline.llm import textkit as tk
 from thermoline.llm.workspace import stored
 
 #: Known chunks of a worker, about 600 bytes each, and bytes of a text that are looked at together.
-CHUNKS_KEPT, PIECE_BYTES = 100_000, 4 << 20
+CHUNKS_KEPT, PIECE_BYTES = 200_000, 4 << 20
+#: A writer of links holds so many bytes before they go to disk.
+ROW_GROUPS = {"parquet.block.size": str(16 << 20)}
 MARK = "▁"
-_TABLE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<int>"
+_TABLE = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -183,7 +185,7 @@ def aligner_of(a_path: str, b_path: str) -> Aligner:
 
 
 def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: numbers of tokens, groups and links, digest of the groups, and the places of its linked pairs in `Aligner.pairs`."""
+    """One row for each row of `docs`: numbers of tokens, groups and links, digest of the groups, and the places of its linked pairs in `Aligner.pairs`, 4 bytes each."""
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = aligner_of(a_path, b_path)
@@ -198,21 +200,26 @@ def linked(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                     for k, got in zip(np.flatnonzero(full).tolist(), known.align(*tk.utf8(spaced)), strict=True):
                         rows[k] = got
                 *plain, links = zip(*rows, strict=True)
-                ends = np.cumsum([0, *(len(x) for x in links)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(links), pa.int32()))
+                raw = pa.array([x.astype("<i4").tobytes() for x in links], pa.binary())
                 types = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(plain, types, strict=True)), lists], [x.split()[0] for x in _TABLE.split(", ")])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, t) for x, t in zip(plain, types, strict=True)), raw], [x.split()[0] for x in _TABLE.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(aligned, _TABLE)
 
 
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the linked pairs of all rows, one after another, and where each row's begin."""
+    raw, off = tk.utf8(batch.column("links"))
+    return raw.view("<i4"), off // 4
+
+
 def pair_counts(links: DataFrame, pairs: int) -> np.ndarray:
     """How many links of all rows hold each pair. Tasks count into an array of the pairs, of which only what isn't zero is shuffled."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(pairs, np.int64)
         for batch in batches:
-            n += np.bincount(batch.column("links").flatten().to_numpy(), minlength=pairs)
+            n += np.bincount(_places(batch)[0], minlength=pairs)
         place = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(n[place])], ["place", "n"])
 
@@ -237,7 +244,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     driver and the tasks share.
     """
     known = aligner_of(a_path, b_path)
-    table = stored(linked(docs, a_path, b_path, id_col, text_col), "links")
+    table = stored(linked(docs, a_path, b_path, id_col, text_col), "links", **ROW_GROUPS)
     counts = pair_counts(table, len(known.pairs))
     b_of = known.pairs % len(known.b_bytes)
     best = np.zeros(len(known.b_bytes), np.int64)
@@ -246,9 +253,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links = batch.column("links")
-            ends, flat = links.offsets.to_numpy(), links.values.to_numpy()
-            ends, flat = ends - ends[0], flat[ends[0] : ends[-1]]
+            flat, ends = _places(batch)
             sums = (np.concatenate([[0], np.cumsum(x)]) for x in (highest[flat].astype(np.int64), counts[flat]))
             n_best, count_sum = (pa.array(s[ends[1:]] - s[ends[:-1]], pa.int64()) for s in sums)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], n_best, count_sum, batch.column("groups_sha256")], [x.split()[0] for x in ALIGNED.split(", ")])

@@ -86,10 +86,11 @@ class Lists:
         return self.values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[which] - (ends - size), size)]
 
 
-def _between_cuts(chunk: bytes) -> bool:
-    """Whether a chunk begins and ends as one does that has a cut at both ends."""
-    ends = len(chunk) > 1 and (_BEFORE[chunk[-1]] or chunk[-2] == 0xC3)
-    return bool(ends and chunk[0] == 0x20 and _AFTER[chunk[1]])
+def _between_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which chunks begin and end as one does that has a cut at both ends."""
+    long = end - start > 1
+    first, second, tail, last = data[start], data[np.minimum(start + 1, len(data) - 1)], data[np.maximum(end - 2, 0)], data[end - 1]
+    return long & (first == 0x20) & _AFTER[second] & (_BEFORE[last] | (tail == 0xC3))
 
 
 class BytePairs:
@@ -110,22 +111,29 @@ class BytePairs:
 
     def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each chunk has, and all ids in order. Chunks that cuts can part are encoded together."""
-        size, ids = np.zeros(len(chunks), np.int64), [np.zeros(0, np.int32)] * len(chunks)
-        joined = [k for k, c in enumerate(chunks) if _between_cuts(c)]
-        alone = sorted(set(range(len(chunks))).difference(joined))
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
-            lengths = np.array([len(chunks[k]) for k in some], np.int64)
-            got = np.array(self.tokenizer.encode_batch_fast([b"".join([chunks[k] for k in some]).decode()], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum(self.bytes_of[got])
-            if len(ends) == 0 or ends[-1] != lengths.sum():
+        if not chunks:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        length = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ends = np.cumsum(length)
+        parted = _between_cuts(np.frombuffer(b"".join(chunks), np.uint8), ends - length, ends)
+        order = np.concatenate([np.flatnonzero(parted), np.flatnonzero(~parted)])
+        size, parts, joined = np.zeros(len(chunks), np.int64), [], int(parted.sum())
+        for at in range(0, joined, 20_000):
+            some = order[at : min(at + 20_000, joined)]
+            text = b"".join([chunks[k] for k in some.tolist()]).decode()
+            got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            covered, wanted = np.cumsum(self.bytes_of[got]), np.cumsum(length[some])
+            if len(covered) == 0 or covered[-1] != wanted[-1]:
                 raise ValueError("ids don't cover the text")
-            bounds = np.searchsorted(ends, np.cumsum(lengths), "left") + 1
-            for k, s, e in zip(some, [0, *bounds[:-1].tolist()], bounds.tolist(), strict=True):
-                ids[k] = got[s:e]
-        for at in range(0, len(alone), 1000):
-            some = alone[at : at + 1000]
+            size[some] = np.diff(np.searchsorted(covered, wanted, "left") + 1, prepend=0)
+            parts.append(got)
+        for at in range(joined, len(order), 1000):
+            some = order[at : at + 1000].tolist()
             for k, got in zip(some, self.tokenizer.encode_batch_fast([chunks[k].decode() for k in some], add_special_tokens=False), strict=True):
-                ids[k] = np.array(got.ids, np.int32)
-        size[:] = [len(x) for x in ids]
-        return size, np.concatenate(ids) if ids else np.zeros(0, np.int32)
+                size[k] = len(got.ids)
+                parts.append(np.array(got.ids, np.int32))
+        ids = np.concatenate(parts)
+        first = np.empty(len(chunks), np.int64)  # of each chunk's ids, which lie in the order of encoding
+        first[order] = np.cumsum(size[order]) - size[order]
+        done = np.cumsum(size)
+        return size, ids[np.arange(len(ids)) + np.repeat(first - (done - size), size)]

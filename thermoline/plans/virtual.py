@@ -69,6 +69,19 @@ def temperature_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", "frame", "time_sec", (20.0 + F.col("k") * 0.5).alias("temperature_c"))
 
 
+def centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points along a line for every event, by turns a parabola, a part of a circle and a bend with a straight end; none for an `error`."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("frame"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    rows = e.withColumn("place", F.explode(F.when(F.col("event_type") == "error", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(40)))))
+    t = F.col("place") / 40.0
+    v, s, radius = 80.0 * t, 0.6 * t, 60.0 + F.col("k") % 5 * 5.0
+    bend = 0.004 * F.least(90.0 * t, F.lit(40.0)) * F.least(90.0 * t, F.lit(40.0)) + 0.32 * F.greatest(90.0 * t - 40.0, F.lit(0.0))
+    shapes = [((0.002 + 0.0001 * (F.col("k") % 7)) * v * v, v), (radius * 2.0 * s * s / (1.0 + s * s), radius * 2.0 * s / (1.0 + s * s)), (bend, 90.0 * t)]
+    shape = F.col("k") % 3
+    u, v = (F.when(F.col("event_type") != "error", F.when(shape == 0, shapes[0][c]).when(shape == 1, shapes[1][c]).otherwise(shapes[2][c])) for c in (0, 1))
+    return rows.select("run_id", "frame", "place", u.alias("u"), v.alias("v"))
+
+
 #: Metrics of a wire and a braided series, whether they grow.
 WIRE_METRICS = {"x_route_a": ("x_route_a_px", True), "x_fit": ("x_fit_px", True), "kappa_fit": ("kappa_fit_px_inv", False), "kappa_route_c": ("kappa_route_c_px_inv", False)}
 BRAIDED_METRICS = {"length_axis": ("length_axis_formal_px", False), "diameter_max": ("diameter_max_px", True), "area_proj": ("area_proj_formal_px2", True)}

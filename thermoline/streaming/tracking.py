@@ -1,17 +1,18 @@
 """The region of interest that follows an object from frame to frame.
 
 The next region is the last frame's box, grown by a margin; a failed frame resets it to the
-whole picture. In batch a run is one group in frame order; in a stream the region is the
+whole picture. In batch the frame before is one row away; in a stream the region is the
 run's state. A fixed region never moves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "run_id long, frame long, roi_x0 int, roi_y0 int, roi_x1 int, roi_y1 int, is_reset boolean"
@@ -42,17 +43,20 @@ def _boxes(rows: list[dict]) -> Iterator[tuple[int, tuple | None]]:
 
 
 def tracked(boxes: DataFrame, width: int, height: int, margin: float = 0.25) -> DataFrame:
-    """The region that each frame of (run_id, frame, x0, y0, x1, y1) is read in; NULL boxes are failed frames."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out, _ = _walk(_boxes(rows), (0, 0, width, height), width, height, margin)
-        columns = list(zip(*out, strict=True))
-        kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_()]
-        names = [c.split()[0] for c in OUT.split(", ")]
-        return pa.table([pa.array([rows[0]["run_id"]] * len(out), pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
-    return boxes.select("run_id", "frame", *BOX).groupBy("run_id").applyInArrow(fold, OUT)
+    """The region that each frame of (run_id, frame, x0, y0, x1, y1) is read in; NULL boxes are failed frames.
+
+    A region depends on the frame before alone, so it is that row's box one row later.
+    """
+    at = {c: F.col(c).cast("long") for c in BOX}  # whole pixels
+    found = reduce(lambda x, y: x & y, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in BOX))
+    dx, dy = (at["x1"] - at["x0"]) * F.lit(margin), (at["y1"] - at["y0"]) * F.lit(margin)
+    grown = {"roi_x0": F.greatest(F.lit(0), (at["x0"] - dx).cast("long")), "roi_y0": F.greatest(F.lit(0), (at["y0"] - dy).cast("long")), "roi_x1": F.least(F.lit(width), F.ceil(at["x1"] + dx)), "roi_y1": F.least(F.lit(height), F.ceil(at["y1"] + dy))}
+    whole = dict(zip(grown, (0, 0, width, height), strict=True))
+    w = Window.partitionBy("run_id").orderBy("frame")
+    rows = boxes.withColumn("next", F.when(found, F.struct(*(x.cast("int").alias(c) for c, x in grown.items()))))
+    rows = rows.withColumn("roi", F.coalesce(F.lag("next").over(w), F.struct(*(F.lit(x).cast("int").alias(c) for c, x in whole.items()))))
+    rows = rows.select(F.col("run_id").cast("long").alias("run_id"), F.col("frame").cast("long").alias("frame"), "roi.*")
+    return rows.withColumn("is_reset", reduce(lambda x, y: x & y, (F.col(c) == x for c, x in whole.items())))
 
 
 def tracked_stream(boxes: DataFrame, width: int, height: int, margin: float = 0.25) -> DataFrame:

@@ -93,17 +93,6 @@ def test_json_sources(spark, tmp_path):
     assert [(r.output_dir_name, r.benchmark_name, r.v) for r in got] == [("a", "a", 1.5), ("b", None, None)]
 
 
-def test_registry_snapshots(spark, tmp_path):
-    path = f"file://{tmp_path}/registry"
-    with pytest.raises(ValueError, match="no registry table"):
-        files.registry_table(spark, path)
-    files.upsert_table(spark, spark.createDataFrame([(1, "a"), (2, "b")], "id long, status string"), path)
-    before = files.registry_table(spark, path)
-    files.upsert_table(spark, before.withColumn("status", F.upper("status")), path)  # from the table itself
-    assert sorted(map(tuple, before.collect())) == [(1, "a"), (2, "b")]
-    assert sorted(map(tuple, files.registry_table(spark, path).collect())) == [(1, "A"), (2, "B")]
-
-
 def test_sweeps_are_bounded(spark):
     series = spark.range(3)
     got = suite.sensitivity(series, spark.createDataFrame([(1, "a"), (2, None)], "threshold int, note string"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.functions.scalar import finite, number_or_null
@@ -90,28 +90,78 @@ def rounded_metrics(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, *(F.format_string("%.6f", c).alias(c) for c, kind in df.dtypes if kind == "double" and c != key))
 
 
-def upsert_table(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """A new snapshot of a registry table in a folder of its own, then a line that points to it: readers see the old or the new one.
+class Conflict(Exception):
+    """Another writer has made this version of a table."""
 
-    `rows` may come from the table itself. Old snapshots stay until somebody deletes them.
+
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, at, jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def put_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """A small file that readers see whole or not at all: written beside its place and renamed. Without `replace` a file that is there is an error."""
+    jvm, to, files = _files(spark, path)
+    fs = jvm.org.apache.hadoop.fs
+    beside = fs.Path(to.getParent(), f".{to.getName()}.{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(fs.CreateFlag.CREATE)
+    parents = spark.sparkContext._gateway.new_array(getattr(fs, "Options$CreateOpts"), 1)
+    parents[0] = getattr(fs, "Options$CreateOpts").createParent()
+    out = files.create(beside, flags, parents)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(getattr(fs, "Options$Rename"), "OVERWRITE" if replace else "NONE")
+    try:
+        files.rename(beside, to, how)
+    except Exception as error:
+        files.delete(beside, False)
+        if not replace and "FileAlreadyExists" in str(error):
+            raise Conflict(path) from error
+        raise
+
+
+def _version(spark: SparkSession, path: str) -> int:
+    """The newest version of a table, 0 if there is none."""
+    jvm, at, files = _files(spark, f"{path}/_versions")
+    if not files.util().exists(at):
+        return 0
+    return max((int(x.getPath().getName()) for x in files.util().listStatus(at) if x.getPath().getName().isdigit()), default=0)
+
+
+def write_table(spark: SparkSession, rows: DataFrame, path: str, after: int) -> int:
+    """A snapshot in a folder of its own, then the version behind `after`, which points to it; Conflict if another writer was first.
+
+    That holds where the file system renames a file in one step only if none has the name, as HDFS does.
+
+    `rows` may come from the table itself. Old snapshots, and those of writers that were late, stay
+    until somebody deletes them.
     """
     name = f"snapshot={uuid.uuid4().hex}"
     rows.write.parquet(f"{path}/{name}")
-    version = (_pointer(spark, path) or (0, ""))[0] + 1
-    spark.createDataFrame([(version, name)], "version long, snapshot string").coalesce(1).write.mode("append").json(f"{path}/_versions")
+    put_text(spark, f"{path}/_versions/{after + 1:012d}", name, replace=False)
+    return after + 1
 
 
-def _pointer(spark: SparkSession, path: str) -> tuple[int, str] | None:
-    try:
-        row = spark.read.schema("version long, snapshot string").json(f"{path}/_versions").orderBy(F.desc("version"), "snapshot").first()
-    except AnalysisException:
-        return None
-    return (row["version"], row["snapshot"]) if row else None
+def update_table(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> int:
+    """What `change` makes of the newest rows, None where there is no table yet; made anew from newer rows if another writer was first."""
+    for _ in range(tries):
+        version = _version(spark, path)
+        try:
+            return write_table(spark, change(registry_table(spark, path, version=version) if version else None), path, version)
+        except Conflict:
+            continue
+    raise Conflict(f"{path}: {tries} times another writer was first")
 
 
-def registry_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest snapshot of a registry table."""
-    at = _pointer(spark, path)
-    if at is None:
+def registry_table(spark: SparkSession, path: str, columns: dict[str, Column] | None = None, version: int | None = None) -> DataFrame:
+    """A version of a registry table, the newest if none is named; those of `columns` that it lacks have the value given there."""
+    version = version or _version(spark, path)
+    if not version:
         raise ValueError(f"no registry table at {path}")
-    return spark.read.parquet(f"{path}/{at[1]}")
+    snapshot = spark.read.text(f"{path}/_versions/{version:012d}").first()["value"]
+    rows = spark.read.parquet(f"{path}/{snapshot}")
+    return rows.withColumns({c: x for c, x in (columns or {}).items() if c not in rows.columns})

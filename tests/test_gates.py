@@ -28,6 +28,10 @@ def tables(spark, cases):
     return spark.createDataFrame(series), spark.createDataFrame(reports)
 
 
+def of(metric):
+    return lambda series, report: gates.wire_gate(series, report, metric)
+
+
 def reasons(gate, spark, cases, *args):
     s, r = tables(spark, cases)
     got = {x.run_id: x.gate_reason for x in gate(s, r, *args).collect()}
@@ -39,19 +43,19 @@ def test_wire_a(spark):
     jumped = wire()
     jumped["route_a_tip_x"] = jumped["route_a_tip_x"] + np.where(np.arange(N) >= 10, 18.0, 0.0)
     low = wire(x_route_a_recovery=np.linspace(0, 0.85, N))
-    reasons(gates.chord_gate, spark, [(wire(), good, None), (jumped, good, "x_route_a_endpoint_instability"), (wire(), [report("x_route_a", True, 4.9)], "x_route_a_dynamic_range_too_small"), (wire(), [report("x_route_a", True, 35.0, 0.3)], "x_route_a_not_monotonic_enough"), (low, good, "missing_high_temp_plateau"), (wire(), [report("other", True, 1.0)], "x_route_a_insufficient_points")])
+    reasons(of("x_route_a"), spark, [(wire(), good, None), (jumped, good, "x_route_a_endpoint_instability"), (wire(), [report("x_route_a", True, 4.9)], "x_route_a_dynamic_range_too_small"), (wire(), [report("x_route_a", True, 35.0, 0.3)], "x_route_a_not_monotonic_enough"), (low, good, "missing_high_temp_plateau"), (wire(), [report("other", True, 1.0)], "x_route_a_insufficient_points")])
 
 
 def test_wire_b(spark):
     good, shaky = [report("kappa_fit", False, 0.07)], [report("kappa_fit", False, 0.07, 0.4)]
     noisy = wire(kappa_fit_px_inv=np.linspace(0.08, 0.01, N) + 0.002 * np.where(np.arange(N) % 2, -1, 1))
-    reasons(gates.kappa_gate, spark, [(wire(), good, None), (wire(), [report("other", True, 1.0)], "insufficient_kappa_points"), (wire(kappa_fit_px_inv=SHAKY), shaky, "kappa_fit_not_monotonic_enough"), (noisy, shaky, None), (wire(quality=np.full(N, 0.05)), good, "unstable_kappa_extraction")])
+    reasons(of("kappa_fit"), spark, [(wire(), good, None), (wire(), [report("other", True, 1.0)], "insufficient_kappa_points"), (wire(kappa_fit_px_inv=SHAKY), shaky, "kappa_fit_not_monotonic_enough"), (noisy, shaky, None), (wire(quality=np.full(N, 0.05)), good, "unstable_kappa_extraction")])
 
 
 def test_wire_c(spark):
     both = lambda spread: [report("kappa_route_c", False, spread), report("kappa_fit", False, 0.07)]
     far = wire(kappa_route_c_px_inv=np.linspace(0.18, 0.11, N))
-    reasons(gates.smoothed_curvature_gate, spark, [(wire(), both(0.07), None), (far, both(0.07), "kappa_route_c_route_b_deviation_too_large"), (wire(), both(0.001), "kappa_route_c_dynamic_range_too_small")])
+    reasons(of("kappa_route_c"), spark, [(wire(), both(0.07), None), (far, both(0.07), "kappa_route_c_route_b_deviation_too_large"), (wire(), both(0.001), "kappa_route_c_dynamic_range_too_small")])
 
 
 def braided(**changes):

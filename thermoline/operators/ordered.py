@@ -31,13 +31,16 @@ def jump(x: str, y: str, w: WindowSpec) -> Column:
 
 
 def rolling_median(c: str, w: WindowSpec, window: int = 7, size: Column | None = None) -> Column:
-    """Centred rolling median, cut off at the edges. A run shorter than the window uses the largest odd window that fits; under three rows nothing changes."""
+    """Centred rolling median, cut off at the edges. A run shorter than the window uses the largest odd window that fits; under three rows nothing changes.
+
+    A row's neighbours are fetched by their distance and sorted: one window serves all of them.
+    """
     n = size if size is not None else F.count(F.lit(1)).over(Window.partitionBy(RUN))
-    half = window // 2
-    out = F.percentile(F.col(c), F.lit(0.5)).over(w.rowsBetween(-half, half))
-    for short in range(half - 1, 0, -1):
-        out = F.when(n < 2 * short + 3, F.percentile(F.col(c), F.lit(0.5)).over(w.rowsBetween(-short, short))).otherwise(out)
-    return F.when(n < 3, F.col(c)).otherwise(out)
+    half, x = window // 2, F.col(c).cast("double")
+    reach = F.when(n < 3, 0).otherwise(F.least(F.lit(half), F.floor((n - 1) / 2)))
+    near = [x, *(F.when(reach >= k, f(x, k).over(w)) for k in range(1, half + 1) for f in (F.lag, F.lead))]
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2
+    return F.get(F.transform(F.array(F.array_sort(F.array_compact(F.array(*near)))), middle), F.lit(0))
 
 
 def moving_average(c: str, w: WindowSpec, window: int) -> Column:

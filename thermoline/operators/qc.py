@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,23 +65,40 @@ def raw_violation(df: DataFrame, value: str, increasing: bool) -> DataFrame:
     return rows.groupBy(RUN).agg(F.coalesce(F.avg(F.when(F.col("step").isNotNull(), wrong.cast("double"))), F.lit(0.0)).alias("violation"))
 
 
-def trend_violation(df: DataFrame, value: str, increasing: Column, window: int, floor: float, part: float, least_range: float = 0.0) -> DataFrame:
+@dataclass(frozen=True)
+class Trend:
+    """A rolling median's window and the tolerance of its steps: `floor`, or a part of the smoothed range."""
+
+    window: int
+    floor: float
+    part: float
+    least_range: float = 0.0
+
+    def wrong(self) -> Column:
+        """Whether `step` goes against `up` by more than the tolerance."""
+        tolerance = F.greatest(F.lit(self.floor), self.part * F.greatest(F.col("range"), F.lit(self.least_range)))
+        return F.when(F.col("up"), F.col("step") < -tolerance).otherwise(F.col("step") > tolerance)
+
+
+# Trends of the two kinds of objects.
+WIRE_TREND, BRAIDED_TREND = Trend(7, 1e-4, 0.01, 1e-6), Trend(9, 0.5, 0.005)
+
+
+def trend_violation(df: DataFrame, value: str, increasing: Column, trend: Trend) -> DataFrame:
     """As raw_violation after a rolling median, with a tolerance; NULL for under four rows."""
     run, w = Window.partitionBy(RUN), by_temperature()
     rows = df.where(F.col(value).isNotNull() & F.col("temperature_c").isNotNull()).select(RUN, "frame", "temperature_c", F.col(value).alias("v"), increasing.alias("up"), F.count(F.lit(1)).over(run).alias("n"))
-    rows = rows.withColumn("smooth", rolling_median("v", w, window, F.col("n")))
+    rows = rows.withColumn("smooth", rolling_median("v", w, trend.window, F.col("n")))
     rows = rows.withColumn("step", F.col("smooth") - F.lag("smooth").over(w)).withColumn("range", F.max("smooth").over(run) - F.min("smooth").over(run))
-    tolerance = F.greatest(F.lit(floor), part * F.greatest(F.col("range"), F.lit(least_range)))
-    wrong = F.when(F.col("up"), F.col("step") < -tolerance).otherwise(F.col("step") > tolerance)
-    return rows.groupBy(RUN).agg(F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), wrong.cast("double")))).alias("violation"))
+    return rows.groupBy(RUN).agg(F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"))
 
 
 def wire_violation(df: DataFrame, value: str, increasing: Column) -> DataFrame:
-    return trend_violation(df, value, increasing, 7, 1e-4, 0.01, 1e-6)
+    return trend_violation(df, value, increasing, WIRE_TREND)
 
 
 def braided_violation(df: DataFrame, value: str, increasing: Column) -> DataFrame:
-    return trend_violation(df, value, increasing, 9, 0.5, 0.005)
+    return trend_violation(df, value, increasing, BRAIDED_TREND)
 
 
 def tail_median(df: DataFrame, value: str, order: list[str]) -> DataFrame:
@@ -123,32 +143,46 @@ ACCEPTANCE = {
 ACCEPTANCE["synthetic"] = ACCEPTANCE["real_video"] | {"frame_fraction": 0.12, "frame_px": 20.0}
 
 
+#: Columns that an acceptance looks at.
+ACCEPTANCE_COLUMNS = ("quality", "length_axis_formal_px", "centerline_disagreement", "endpoint_gap_alt_centerline_px", "endpoint_gap_alt_centerline_fraction", "endpoint_frame_jump_px", "endpoint_frame_jump_fraction", "branch_component_count_after_pruning", "axis_peak_position_stability", "body_mask_attachment_leak_fraction", "excluded_attachment_area_px2", "component_area_px2", "body_mask_area_px2", "attachment_border_touch_count")
+
+
+def acceptance_measures() -> dict[str, tuple[Callable[[Column], Column], Column]]:
+    """Aggregates of an acceptance by name: how, and of what."""
+    c = F.col
+    return {
+        "quality_median": (median, c("quality")),
+        "centerline_disagreement_median": (median, c("centerline_disagreement")),
+        "endpoint_gap_alt_centerline_p95_px": (p95, c("endpoint_gap_alt_centerline_px")),
+        "endpoint_gap_alt_centerline_fraction_p95": (p95, c("endpoint_gap_alt_centerline_fraction")),
+        "endpoint_frame_jump_p95_px": (p95, c("endpoint_frame_jump_px")),
+        "endpoint_frame_jump_fraction_p95": (p95, c("endpoint_frame_jump_fraction")),
+        "axis_median": (median, c("length_axis_formal_px")),
+        "branch_component_count_after_pruning_p95": (p95, c("branch_component_count_after_pruning")),
+        "axis_peak_position_stability_p95": (p95, c("axis_peak_position_stability")),
+        "body_mask_attachment_leak_fraction_p90": (p90, c("body_mask_attachment_leak_fraction")),
+        "excluded_attachment_area_fraction_median": (median, safe_fraction(c("excluded_attachment_area_px2"), c("component_area_px2"))),
+        "body_mask_area_fraction_median": (median, safe_fraction(c("body_mask_area_px2"), c("component_area_px2"))),
+        "attachment_border_touch_count_p90": (p90, c("attachment_border_touch_count")),
+    }
+
+
+def with_acceptance_limits(rows: DataFrame, limit: dict[str, float]) -> DataFrame:
+    """Limits in pixels, which follow the length."""
+    axis = F.col("axis_median")
+    both = {f"endpoint_{name}_limit_px": F.when(axis.isNotNull(), F.greatest(F.lit(limit[f"{key}_px"]), limit[f"{key}_fraction"] * axis)) for name, key in (("gap_alt_centerline", "gap"), ("frame_jump", "frame"))}
+    return rows.withColumns(both)
+
+
 def acceptance(series: DataFrame, profile: str = "real_video") -> DataFrame:
     """One row a run: the acceptance metrics, all reasons against it in order, and the verdict. One pass of aggregation besides the trend."""
     limit = ACCEPTANCE[profile]
     valid = series.where("length_axis_formal_px IS NOT NULL AND quality IS NOT NULL")
     c = F.col
-    got = valid.groupBy(RUN).agg(
-        F.count(F.lit(1)).alias("valid_frames"),
-        median(c("quality")).alias("quality_median"),
-        share(c("quality") < 0.5).alias("quality_lt_0_5_fraction"),
-        median(c("centerline_disagreement")).alias("centerline_disagreement_median"),
-        p95(c("endpoint_gap_alt_centerline_px")).alias("endpoint_gap_alt_centerline_p95_px"),
-        p95(c("endpoint_gap_alt_centerline_fraction")).alias("endpoint_gap_alt_centerline_fraction_p95"),
-        p95(c("endpoint_frame_jump_px")).alias("endpoint_frame_jump_p95_px"),
-        p95(c("endpoint_frame_jump_fraction")).alias("endpoint_frame_jump_fraction_p95"),
-        median(c("length_axis_formal_px")).alias("axis_median"),
-        p95(c("branch_component_count_after_pruning")).alias("branch_component_count_after_pruning_p95"),
-        p95(c("axis_peak_position_stability")).alias("axis_peak_position_stability_p95"),
-        p90(c("body_mask_attachment_leak_fraction")).alias("body_mask_attachment_leak_fraction_p90"),
-        median(safe_fraction(c("excluded_attachment_area_px2"), c("component_area_px2"))).alias("excluded_attachment_area_fraction_median"),
-        median(safe_fraction(c("body_mask_area_px2"), c("component_area_px2"))).alias("body_mask_area_fraction_median"),
-        p90(c("attachment_border_touch_count")).alias("attachment_border_touch_count_p90"),
-    )
+    got = valid.groupBy(RUN).agg(F.count(F.lit(1)).alias("valid_frames"), share(c("quality") < 0.5).alias("quality_lt_0_5_fraction"), *(f(x).alias(name) for name, (f, x) in acceptance_measures().items()))
     trend = braided_violation(valid, "length_axis_formal_px", F.lit(False)).withColumnRenamed("violation", "axis_monotonic_violation_fraction")
     got = series.select(RUN).distinct().join(got, RUN, "left").join(trend, RUN, "left").withColumn("valid_frames", F.coalesce("valid_frames", F.lit(0)))
-    got = got.withColumn("endpoint_gap_alt_centerline_limit_px", F.when(c("axis_median").isNotNull(), F.greatest(F.lit(limit["gap_px"]), limit["gap_fraction"] * c("axis_median"))))
-    got = got.withColumn("endpoint_frame_jump_limit_px", F.when(c("axis_median").isNotNull(), F.greatest(F.lit(limit["frame_px"]), limit["frame_fraction"] * c("axis_median"))))
+    got = with_acceptance_limits(got, limit)
     reasons = [
         (c("valid_frames") < limit["frames"], "insufficient_axis_points"),
         (c("quality_median") < limit["quality"], "unstable_axis_extraction"),

@@ -17,14 +17,12 @@ ROUTES = {"wire": WIRE_ROUTES, "braided": BRAIDED_ROUTES}
 _PREFERENCE = {"wire": {"kappa_fit": 0.0, "kappa_route_c": 1.0, "x_route_a": 2.0}, "braided": {"length_axis": 1.0, "diameter_max": 0.0}}
 
 
-def _gate(kind: str, series: DataFrame, report: DataFrame, metric: str, profile: str) -> DataFrame:
-    return gates.wire_gate(series, report, metric) if kind == "wire" else gates.braided_gate(series, report, metric, profile)
-
-
 def gate_table(kind: str, series: DataFrame, report: DataFrame, profile: str = "real_video") -> DataFrame:
     """Gate reason of each run and route."""
-    parts = [_gate(kind, series, report, m, profile).select(RUN, F.lit(a).alias("alias"), F.lit(m).alias("metric_key"), "gate_reason") for a, m in ROUTES[kind].items()]
-    return reduce(DataFrame.unionByName, parts)
+    metrics = list(ROUTES[kind].values())
+    got = gates.wire_gates(series, report, metrics) if kind == "wire" else gates.braided_gates(series, report, metrics, profile)
+    alias = F.create_map(*(F.lit(x) for a, m in ROUTES[kind].items() for x in (m, a)))
+    return got.select(RUN, alias[F.col("metric_key")].alias("alias"), "metric_key", "gate_reason")
 
 
 def scores(kind: str, series: DataFrame, report: DataFrame) -> DataFrame:

@@ -42,19 +42,19 @@ def dynamic_range(c: Column) -> Column:
     return F.max(c) - F.min(c)
 
 
-def direction(df: DataFrame, value: str, default: bool = True) -> DataFrame:
+def direction(df: DataFrame, value: str, default: bool = True, keys: tuple[str, ...] = (RUN,)) -> DataFrame:
     """Whether a metric grows over the run, in frame order: medians of the first and last tenth.
 
     Under four rows, or where the two differ by less than 2 % of the scale, the default holds.
     """
     rows = df.where(F.col(value).isNotNull())
-    w, run = in_frames(), Window.partitionBy(RUN)
-    rows = rows.select(RUN, F.col(value).alias("v"), F.row_number().over(w).alias("nth"), F.count(F.lit(1)).over(run).alias("n"))
+    run = Window.partitionBy(*keys)
+    rows = rows.select(*keys, F.col(value).alias("v"), F.row_number().over(run.orderBy("frame")).alias("nth"), F.count(F.lit(1)).over(run).alias("n"))
     edge = F.greatest(F.lit(2), F.ceil(F.col("n") * 0.1))
-    got = rows.groupBy(RUN).agg(F.max("n").alias("n"), median(F.when(F.col("nth") <= edge, F.col("v"))).alias("head"), median(F.when(F.col("nth") > F.col("n") - edge, F.col("v"))).alias("tail"), dynamic_range(F.col("v")).alias("range"))
+    got = rows.groupBy(*keys).agg(F.max("n").alias("n"), median(F.when(F.col("nth") <= edge, F.col("v"))).alias("head"), median(F.when(F.col("nth") > F.col("n") - edge, F.col("v"))).alias("tail"), dynamic_range(F.col("v")).alias("range"))
     scale = F.greatest("range", F.abs("head"), F.abs("tail"), F.lit(1e-9))
     told = (F.col("n") >= 4) & (F.abs(F.col("tail") - F.col("head")) >= 0.02 * scale)
-    return got.select(RUN, F.when(told, F.col("tail") > F.col("head")).otherwise(F.lit(default)).alias("increasing"))
+    return got.select(*keys, F.when(told, F.col("tail") > F.col("head")).otherwise(F.lit(default)).alias("increasing"))
 
 
 def raw_violation(df: DataFrame, value: str, increasing: bool) -> DataFrame:
@@ -93,6 +93,16 @@ def trend_violation(df: DataFrame, value: str, increasing: Column, trend: Trend)
     return rows.groupBy(RUN).agg(F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"))
 
 
+def trend_violations(long: DataFrame, trend: Trend) -> DataFrame:
+    """As trend_violation for rows (run, metric_key, frame, temperature_c, v, up) of many metrics, in one aggregate; with the number of rows."""
+    part = Window.partitionBy(RUN, "metric_key")
+    w = part.orderBy("temperature_c", "frame")
+    rows = long.where("v IS NOT NULL AND temperature_c IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(part))
+    rows = rows.withColumn("smooth", rolling_median("v", w, trend.window, F.col("n")))
+    rows = rows.withColumn("step", F.col("smooth") - F.lag("smooth").over(w)).withColumn("range", F.max("smooth").over(part) - F.min("smooth").over(part))
+    return rows.groupBy(RUN, "metric_key").agg(F.max("n").alias("n"), F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"))
+
+
 def wire_violation(df: DataFrame, value: str, increasing: Column) -> DataFrame:
     return trend_violation(df, value, increasing, WIRE_TREND)
 

@@ -27,16 +27,13 @@ def gate_table(kind: str, series: DataFrame, report: DataFrame, profile: str = "
 
 def scores(kind: str, series: DataFrame, report: DataFrame) -> DataFrame:
     """Scores by which metrics are ranked, for those with four valid rows: how monotone, how well fitted, and preference."""
-    parts = []
-    for metric, preference in _PREFERENCE[kind].items():
-        value = gates.COLUMNS[metric][0]
-        own = report.where(F.col("metric_key") == metric).select(RUN, F.col("increasing").alias("up"), "fit_rmse", "dynamic_range", "monotonic_violation_fraction")
-        valid = series.dropna(subset=["temperature_c", value])
-        trend = (qc.wire_violation if kind == "wire" else qc.braided_violation)(valid.join(own.select(RUN, "up"), RUN), value, F.col("up"))
-        count = valid.groupBy(RUN).agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-        rows = own.join(count, RUN).join(trend, RUN, "left")
-        parts.append(rows.select(RUN, F.lit(metric).alias("metric_key"), F.lit(preference).alias("preference"), F.coalesce("violation", "monotonic_violation_fraction").alias("monotonic_score"), (F.col("fit_rmse") / F.greatest("dynamic_range", F.lit(1e-9))).alias("fit_score")))
-    return reduce(DataFrame.unionByName, parts)
+    preference = _PREFERENCE[kind]
+    own = report.where(F.col("metric_key").isin(list(preference))).select(*gates.KEY, F.col("increasing").alias("up"), "fit_rmse", "dynamic_range", "monotonic_violation_fraction")
+    values = F.array(*(F.struct(F.lit(m).alias("metric_key"), F.col(gates.COLUMNS[m][0]).cast("double").alias("v")) for m in preference))
+    long = series.select(RUN, "frame", "temperature_c", F.inline(values)).join(own.select(*gates.KEY, "up"), gates.KEY)
+    rows = own.join(qc.trend_violations(long, qc.WIRE_TREND if kind == "wire" else qc.BRAIDED_TREND).where("n >= 4"), gates.KEY)
+    ranks = F.create_map(*(F.lit(x) for pair in preference.items() for x in pair))
+    return rows.select(*gates.KEY, ranks[F.col("metric_key")].alias("preference"), F.coalesce("violation", "monotonic_violation_fraction").alias("monotonic_score"), (F.col("fit_rmse") / F.greatest("dynamic_range", F.lit(1e-9))).alias("fit_score"))
 
 
 def _best(kind: str, rows: DataFrame, name: str) -> DataFrame:

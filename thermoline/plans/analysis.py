@@ -54,15 +54,15 @@ def with_temperature(series: DataFrame, log: DataFrame | None, by: str = "frame"
 def evaluated(series: DataFrame, metrics: dict) -> tuple[DataFrame, DataFrame]:
     """The series with recovery columns, and the reports of the metrics that it has columns for."""
     have = {m: v for m, v in metrics.items() if v[0] in series.columns}
-    parts = []
-    for metric, (value, _, up) in have.items():
-        rows = series.select(RUN, F.lit(metric).alias("metric_key"), "frame", "temperature_c", F.col(value).alias("value"))
-        if up is None:
-            rows = rows.join(qc.direction(series.where("temperature_c IS NOT NULL"), value), RUN, "left").withColumn("increasing", F.coalesce("increasing", F.lit(True)))
-        else:
-            rows = rows.withColumn("increasing", F.lit(up))
-        parts.append(rows)
-    reports = fit.reports(reduce(DataFrame.unionByName, parts)).where("x_m IS NOT NULL")
+    entries = F.array(*(F.struct(F.lit(m).alias("metric_key"), F.lit(up).cast("boolean").alias("known"), F.col(value).cast("double").alias("value")) for m, (value, _, up) in have.items()))
+    long = series.select(RUN, "frame", "temperature_c", F.inline(entries)).where("temperature_c IS NOT NULL AND value IS NOT NULL")
+    if any(up is None for _, _, up in have.values()):
+        told = qc.direction(long.where("known IS NULL"), "value", keys=(RUN, "metric_key"))
+        long = long.join(told, [RUN, "metric_key"], "left")
+    else:
+        long = long.withColumn("increasing", F.lit(None).cast("boolean"))
+    long = long.withColumn("increasing", F.coalesce("known", "increasing", F.lit(True)))
+    reports = fit.reports(long).where("x_m IS NOT NULL")
     reports = stored(reports, "reports")  # one row for each run and metric, used by every gate
     wide = reports.groupBy(RUN).agg(*(F.max(F.when(F.col("metric_key") == m, F.struct("increasing", "x_m", "x_a"))).alias(f"ref_{m}") for m in have))
     out = series.join(wide, RUN, "left")

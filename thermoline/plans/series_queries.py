@@ -299,9 +299,43 @@ def moving_average_5(spark: SparkSession, d: str) -> DataFrame:
     return virtual.progress(spark, d).select("run_id", "frame", R6(ordered.moving_average("k", in_frames(), 5)).alias("smooth"))
 
 
-@query("route_c")
+def _smoothed_sql(name: str, c: str, angle: bool = False, up: bool | None = None) -> str:
+    """CTEs that fill, unwrap, average and make monotone the column c of src (run_id, i, n, a); the last has (run_id, i, fitted)."""
+    turned = f"""
+{name}_d AS (SELECT run_id, i, {c} AS v, {c} - lag({c}) OVER (PARTITION BY run_id ORDER BY i) AS d FROM src WHERE {c} IS NOT NULL),
+{name}_u AS (SELECT run_id, i, v + sum(CASE WHEN d IS NULL OR abs(d) < {math.pi!r} THEN 0.0 ELSE CASE WHEN d + {math.pi!r} - {TAU} * floor((d + {math.pi!r}) / {TAU}) - {math.pi!r} = -{math.pi!r} AND d > 0 THEN {math.pi!r} ELSE d + {math.pi!r} - {TAU} * floor((d + {math.pi!r}) / {TAU}) - {math.pi!r} END - d END) OVER (PARTITION BY run_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS v FROM {name}_d),
+{name}_v AS (SELECT src.run_id, src.i, n, a, v FROM src LEFT JOIN {name}_u USING (run_id, i)),"""
+    plain = f"""
+{name}_v AS (SELECT run_id, i, n, a, {c} AS v FROM src),"""
+    sign = "-" if up is False else ""
+    monotone = f"""
+{name}_cs AS (SELECT *, sum(y) OVER (PARTITION BY run_id ORDER BY i) AS c FROM {name}_y),
+{name}_ms AS (SELECT p.run_id, p.i AS j, q.i AS m, (q.c - p.c + p.y) / (q.i - p.i + 1.0) AS mean FROM {name}_cs p JOIN {name}_cs q ON p.run_id = q.run_id AND p.i <= q.i),
+{name}_l AS (SELECT run_id, j, m, min(mean) OVER (PARTITION BY run_id, j ORDER BY m DESC ROWS UNBOUNDED PRECEDING) AS least_mean FROM {name}_ms),
+{name} AS (SELECT run_id, m AS i, {sign}max(least_mean) AS fitted FROM {name}_l GROUP BY run_id, m)"""
+    return (turned if angle else plain) + f"""
+{name}_n AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS b_at, last_value(v IGNORE NULLS) OVER b AS b_v, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER f AS f_at, first_value(v IGNORE NULLS) OVER f AS f_v FROM {name}_v
+  WINDOW b AS (PARTITION BY run_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY run_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+{name}_f AS (SELECT run_id, i, n, a, coalesce(v, b_v + (f_v - b_v) * (i - b_at) / nullif(f_at - b_at, 0), b_v, f_v) AS v FROM {name}_n),
+{name}_a AS (SELECT run_id, i, v AS e FROM {name}_f WHERE i = 0 UNION ALL SELECT s.run_id, s.i, s.a * s.v + (1.0 - s.a) * p.e FROM {name}_a p JOIN {name}_f s ON s.run_id = p.run_id AND s.i = p.i + 1),
+{name}_b AS (SELECT run_id, i, v AS e FROM {name}_f WHERE i = n - 1 UNION ALL SELECT s.run_id, s.i, s.a * s.v + (1.0 - s.a) * p.e FROM {name}_b p JOIN {name}_f s ON s.run_id = p.run_id AND s.i = p.i - 1),
+{name}_y AS (SELECT run_id, i, {sign}(p.e + q.e) / 2 AS y FROM {name}_a p JOIN {name}_b q USING (run_id, i)),""" + (f"""
+{name} AS (SELECT run_id, i, y AS fitted FROM {name}_y)""" if up is None else monotone)
+
+
+_MIX = ", ".join(f"0.8 * {e}_{x} + 0.2 * route_a_{e}_{x} AS m_{e}_{x}" for e in ("anchor", "tip") for x in "xy")
+ROUTE_C_SQL = "WITH RECURSIVE " + WIRE + f""",
+mix AS (SELECT run_id, frame, kappa_fit_px_inv AS kappa, 0.08 + (0.35 - 0.08) * greatest(0.0, least(1.0, coalesce(quality, 0.0))) AS a, {_MIX} FROM wire),
+src AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n, sqrt((m_tip_x - m_anchor_x) * (m_tip_x - m_anchor_x) + (m_tip_y - m_anchor_y) * (m_tip_y - m_anchor_y)) AS len, atan2(m_tip_y - m_anchor_y, m_tip_x - m_anchor_x) AS theta FROM mix),
+""" + ",".join((_smoothed_sql("x0", "m_anchor_x"), _smoothed_sql("y0", "m_anchor_y"), _smoothed_sql("far", "len", up=True), _smoothed_sql("turn", "theta", angle=True), _smoothed_sql("bent", "kappa", up=False))) + """,
+got AS (SELECT s.run_id, s.frame, s.len IS NULL AS gone, s.kappa IS NULL AS flat, x0.fitted AS ax, y0.fitted AS ay, far.fitted AS r, turn.fitted AS t, bent.fitted AS k FROM src s JOIN x0 USING (run_id, i) JOIN y0 USING (run_id, i) JOIN far USING (run_id, i) JOIN turn USING (run_id, i) JOIN bent USING (run_id, i))
+SELECT run_id, frame, """ + ", ".join(f"CASE WHEN NOT {gone} THEN {single_sql(x)} END AS {c}" for x, gone, c in zip(("ax", "ay", "ax + r * cos(t)", "ay + r * sin(t)", "t", "r", "k"), ("gone",) * 6 + ("flat",), temporal.ROUTE_C_COLUMNS, strict=True)) + " FROM got"
+
+
+@query("route_c", ROUTE_C_SQL)
 def route_c(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.route_c(virtual.wire_series(spark, d).drop("kappa_route_c_px_inv")).select("run_id", "frame", *temporal.ROUTE_C_COLUMNS)
+    got = temporal.route_c(virtual.wire_series(spark, d).drop("kappa_route_c_px_inv"))
+    return got.select("run_id", "frame", *(single(c).alias(c) for c in temporal.ROUTE_C_COLUMNS))
 
 
 @query("regularized_series", "WITH RECURSIVE " + WIRE + f""",

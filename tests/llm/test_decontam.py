@@ -1,3 +1,4 @@
+import hashlib
 import pickle
 import random
 import re
@@ -153,6 +154,18 @@ def test_short_items_with_edits_and_punctuation(spark, table):
     assert [got[k].item_ids for k, _ in rows] == want
     assert [got[k].edits for k in range(4)] == [[1], [2], [0], [1]]
     assert sorted(r.doc_id for r in d.clean(table(rows), items).collect()) == [4, 5, 6]
+    assert sorted(k for k, r in got.items() if r.n_items == 0) == [4, 5, 6]
+    assert (got[7].n_items, got[7].unnamed_items, got[7].unnamed_edits) == (1, [hashlib.sha256(texts[7].encode()).hexdigest()], [0]) and got[0].unnamed_items == []
+
+
+def test_items_without_an_id_in_blocks(spark, table):
+    items = [(None, f"the {n} thing that has no name at all, said the {n} of them") for n in ("first", "second", "third")] + [(4, "the fourth thing that has a name, said the fourth of them")]
+    rows = [(k, f"x {t} y") for k, (_, t) in enumerate(items)] + [(9, " and ".join(t for _, t in items)), (10, "nothing of it")]
+    frame = spark.createDataFrame(items + items[:1], "item_id long, text string")
+    whole, parts = (sorted(map(tuple, d.contamination(table(rows), frame, block_bytes=b).collect())) for b in (1 << 22, 60))
+    assert whole == parts
+    assert [(r[0], r[1], r[2]) for r in whole] == [(0, 1, []), (1, 1, []), (2, 1, []), (3, 1, [4]), (9, 4, [4]), (10, 0, [])]
+    assert [r.doc_id for r in d.clean(table(rows), frame, block_bytes=60).collect()] == [10]
 
 
 def test_items_that_walks_miss_are_found_by_pieces():

@@ -22,6 +22,7 @@ rule holds for all lengths, and short items must also stand between word bounds.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -402,50 +403,55 @@ class Index:
         return self._judged(data, off, candidates())
 
 
-def _indexes(benchmark: DataFrame, id_col: str, text_col: str, percent: int, target: float, block_bytes: int, named: bool = True) -> Iterator[Broadcast]:
-    """The items' indexes, at most `block_bytes` of items in each; those without an id only if not `named`; equal texts of one id once."""
+def _indexes(benchmark: DataFrame, id_col: str, text_col: str, percent: int, target: float, block_bytes: int) -> Iterator[Broadcast]:
+    """The items' indexes, at most `block_bytes` of items in each; equal texts of one id once. An item without an id goes by a digest of its text."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct().orderBy("id", "text")
-    rows = rows.where("id IS NOT NULL") if named else rows
     block, size = [], 0
     for r in rows.toLocalIterator():
         if size and size + len(r["text"]) > block_bytes:
             yield benchmark.sparkSession.sparkContext.broadcast(Index(block, percent, target))
             block, size = [], 0
-        block.append((r["id"], r["text"]))
+        block.append((r["id"] if r["id"] is not None else hashlib.sha256(r["text"].encode()).hexdigest(), r["text"]))
         size += len(r["text"])
     if block:
         yield benchmark.sparkSession.sparkContext.broadcast(Index(block, percent, target))
 
 
+#: What a pass over the documents carries: items with an id and those without, and their edits.
+_HELD = {"item_ids": pa.int64(), "edits": pa.int32(), "unnamed_items": pa.string(), "unnamed_edits": pa.int32()}
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = EDIT_PERCENT, target: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of `docs`: the items it holds, in order of id, and their edits.
 
     Case and the length of white space don't count. Null and empty texts hold nothing; null
-    and blank items and those without an id are held by nothing; items that share an id are
-    one, with the least of their edits; repeated rows are judged each; an empty table of
+    and blank items are held by nothing; items that share an id are one, with the least of
+    their edits; those without an id are told by the SHA-256 of their texts, in columns of their own; repeated rows are judged each; an empty table of
     documents gives no rows, of items no hits; other columns, whatever their names, aren't
     looked at. A text longer than a slice is a slice of its own, about 60 bytes of memory for
     each of its characters. The benchmark passes through the driver, `block_bytes` at a time:
     each block is one index, broadcast, and one step along the same pass over the documents.
     No shuffle: a document never meets another.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("item_ids"), F.array().cast("array<int>").alias("edits"))
+    kinds = {"item_ids": "array<long>", "edits": "array<int>", "unnamed_items": "array<string>", "unnamed_edits": "array<int>"}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.array().cast(kind).alias(c) for c, kind in kinds.items()))
     for index in _indexes(benchmark, item_col, "text", percent, target, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in tk.slices(batch, "text", 1 << 20):
-                    ids, edits = [], []
-                    for old, n, got in zip(part.column("item_ids").to_pylist(), part.column("edits").to_pylist(), index.value.matches(part.column("text")), strict=True):
-                        best = dict(zip(old, n, strict=True))
+                    held = {c: [] for c in _HELD}
+                    for *old, got in zip(*(part.column(c).to_pylist() for c in _HELD), index.value.matches(part.column("text")), strict=True):
+                        best = dict(zip(old[0] + old[2], old[1] + old[3], strict=True))
                         for k, x in got.items():
                             best[index.value.ids[k]] = min(x, best.get(index.value.ids[k], x))
-                        ids.append(sorted(best))
-                        edits.append([best[i] for i in ids[-1]])
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int64())), pa.array(edits, pa.list_(pa.int32()))], ["doc_id", "text", "item_ids", "edits"])
+                        for (names, edits), kind in ((("item_ids", "edits"), int), (("unnamed_items", "unnamed_edits"), str)):
+                            held[names].append(sorted(i for i in best if isinstance(i, kind)))
+                            held[edits].append([best[i] for i in held[names][-1]])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *(pa.array(held[c], pa.list_(kind)) for c, kind in _HELD.items())], ["doc_id", "text", *_HELD])
 
-        rows = rows.mapInArrow(scan, "doc_id long, text string, item_ids array<long>, edits array<int>")
-    return rows.select("doc_id", F.size("item_ids").cast("long").alias("n_items"), "item_ids", "edits")
+        rows = rows.mapInArrow(scan, "doc_id long, text string, " + ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
+    return rows.select("doc_id", (F.size("item_ids") + F.size("unnamed_items")).cast("long").alias("n_items"), "item_ids", "edits", "unnamed_items", "unnamed_edits")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", percent: int = EDIT_PERCENT, target: float = TARGET_RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -453,7 +459,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
 
     Null and empty texts stay; repeated rows stay or go alike; empty tables and long texts as above.
     """
-    for index in _indexes(benchmark, item_col, "text", percent, target, block_bytes, named=False):
+    for index in _indexes(benchmark, item_col, "text", percent, target, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -1,7 +1,7 @@
 """Operators over a run's rows in order.
 
 All windows are partitioned by run, so one shuffle by run serves any chain of them. Where a
-step depends on the number of rows of a run, the run is one array: a run is one recording.
+step depends on the number of rows of a run, that is a count over the same window.
 """
 
 from __future__ import annotations
@@ -149,40 +149,43 @@ def af_95(df: DataFrame, recovery: str, threshold: float = 0.95) -> DataFrame:
 TANGENT_ROWS = 7
 
 
-def _run_arrays(df: DataFrame, value: str) -> DataFrame:
-    rows = df.where(F.col(value).isNotNull() & F.col("temperature_c").isNotNull())
-    ordered = F.array_sort(F.collect_list(F.struct("temperature_c", "frame", F.col(value).alias("v"))))
-    return rows.groupBy(RUN).agg(ordered.alias("rows")).select(RUN, F.col("rows.temperature_c").alias("t"), F.col("rows.frame").alias("frames"), F.col("rows.v").alias("v")).withColumn("n", F.size("v"))
+#: Largest half of a smoothing window.
+SMOOTH_HALF = 5
 
 
-#: Quadratic least squares over 2m + 1 places -m to m, read at place `at`: from the sums of 1, j**2 and j**4.
-_SMOOTH = """
-transform(sequence(0, n - 1), i -> aggregate(sequence(-m, m), 0D, (s, j) -> s + v[least(greatest(i, m), n - 1 - m) + j] * (
-    (s4 - s2 * j * j + (k * j * j - s2) * pow(i - least(greatest(i, m), n - 1 - m), 2)) / (k * s4 - s2 * s2)
-    + j * (i - least(greatest(i, m), n - 1 - m)) / s2)))
-"""
-
+def _weight(j: Column, at: Column, m: Column) -> Column:
+    """Of the j-th of 2m + 1 places -m to m in quadratic least squares read at place `at`: from the sums of 1, j**2 and j**4."""
+    k, s2 = 2.0 * m + 1.0, m * (m + 1.0) * (2.0 * m + 1.0) / 3.0
+    s4 = m * (m + 1.0) * (2.0 * m + 1.0) * (3.0 * m * m + 3.0 * m - 1.0) / 15.0
+    return (s4 - s2 * j * j + (k * j * j - s2) * at * at) / (k * s4 - s2 * s2) + j * at / s2
 
-def smoothed_runs(df: DataFrame, value: str) -> DataFrame:
-    """Each run as arrays in order of temperature with its Savitzky-Golay smoothing: order 2, at most 11 rows, the edges read off the first and last window."""
-    runs = _run_arrays(df, value).where(f"n >= {TANGENT_ROWS}")
-    runs = runs.withColumn("m", F.expr("(least(n - 1 + n % 2, 11) - 1) DIV 2").cast("int"))
-    runs = runs.withColumns({"k": F.expr("2D * m + 1"), "s2": F.expr("m * (m + 1D) * (2 * m + 1) / 3"), "s4": F.expr("m * (m + 1D) * (2 * m + 1) * (3 * m * m + 3 * m - 1) / 15")})
-    return runs.withColumn("smooth", F.expr(_SMOOTH)).select(RUN, "t", "frames", "v", "n", "smooth")
 
+def smoothed(df: DataFrame, value: str) -> DataFrame:
+    """Valid rows of runs in order of temperature with their Savitzky-Golay smoothing: (run, frame, t, v, i, n, smooth).
 
-_SLOPE = """
-transform(sequence(0, n - 1), i -> CASE
-    WHEN i = 0 THEN try_divide(smooth[1] - smooth[0], t[1] - t[0])
-    WHEN i = n - 1 THEN try_divide(smooth[n - 1] - smooth[n - 2], t[n - 1] - t[n - 2])
-    ELSE try_divide(pow(t[i] - t[i - 1], 2) * smooth[i + 1] + (pow(t[i + 1] - t[i], 2) - pow(t[i] - t[i - 1], 2)) * smooth[i] - pow(t[i + 1] - t[i], 2) * smooth[i - 1],
-                    (t[i] - t[i - 1]) * (t[i + 1] - t[i]) * (t[i + 1] - t[i - 1])) END)
-"""
-
-
-def with_slope(runs: DataFrame) -> DataFrame:
-    """Second-order gradient on the run's own grid; NULL between equal temperatures."""
-    return runs.withColumn("slope", F.expr(_SLOPE))
+    Order 2, at most 11 rows; rows near an edge are read off the first and last window. A row takes its
+    neighbours by their distance, each with a weight by its place, so no run is held as a whole.
+    Runs of under seven rows are left out.
+    """
+    w, run = by_temperature(), Window.partitionBy(RUN)
+    rows = df.where(F.col(value).isNotNull() & F.col("temperature_c").isNotNull()).select(RUN, "frame", "temperature_c", F.col("temperature_c").alias("t"), F.col(value).cast("double").alias("v"), (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(run).alias("n"))
+    rows = rows.where(F.col("n") >= TANGENT_ROWS).withColumn("m", F.floor((F.least(F.col("n") - 1 + F.col("n") % 2, F.lit(2 * SMOOTH_HALF + 1)) - 1) / 2).cast("double"))
+    rows = rows.withColumn("at", F.col("i") - F.least(F.greatest(F.col("i").cast("double"), F.col("m")), F.col("n") - 1 - F.col("m")))
+    reach = 2 * SMOOTH_HALF
+    rows = rows.withColumn("near", F.array(*(F.lag("v", -k).over(w) if k < 0 else F.lead("v", k).over(w) if k else F.col("v") for k in range(-reach, reach + 1))))
+    term = lambda v, k: F.when(F.abs(k - reach + F.col("at")) <= F.col("m"), v * _weight(k - reach + F.col("at"), F.col("at"), F.col("m"))).otherwise(0.0)
+    return rows.withColumn("smooth", F.aggregate(F.transform("near", term), F.lit(0.0), lambda s, x: s + x)).drop("near", "at", "m")
+
+
+def with_slope(rows: DataFrame) -> DataFrame:
+    """Second-order gradient of `smooth` on the run's own grid `t`; NULL between equal temperatures."""
+    w = by_temperature()
+    back, ahead = F.col("t") - F.lag("t").over(w), F.lead("t").over(w) - F.col("t")
+    fall, rise = F.col("smooth") - F.lag("smooth").over(w), F.lead("smooth").over(w) - F.col("smooth")
+    rows = rows.withColumns({"back": back, "ahead": ahead, "fall": fall, "rise": rise})
+    inner = F.expr("try_divide(back * back * rise + ahead * ahead * fall, back * ahead * (back + ahead))")
+    slope = F.when(F.col("back").isNull(), F.expr("try_divide(rise, ahead)")).when(F.col("ahead").isNull(), F.expr("try_divide(fall, back)")).otherwise(inner)
+    return rows.withColumn("slope", slope).drop("back", "ahead", "fall", "rise")
 
 
 def af_tan(df: DataFrame, recovery: str) -> DataFrame:
@@ -190,12 +193,12 @@ def af_tan(df: DataFrame, recovery: str) -> DataFrame:
 
     Slopes equal in ten digits count as ties, and the first place wins.
     """
-    runs = with_slope(smoothed_runs(df, recovery))
-    steep = F.expr("array_max(transform(filter(sequence(0, n - 1), i -> slope[i] IS NOT NULL), i -> struct(round(slope[i], 10) AS s, -i AS place)))")
-    runs = runs.withColumn("best", steep).withColumn("i", -F.col("best.place")).withColumn("m", F.expr("slope[i]"))
-    tail = F.expr("array_sort(slice(smooth, CAST(floor(0.85D * n) AS INT) + 1, n))")
-    runs = runs.withColumn("tail", tail).withColumn("upper", F.expr("(tail[(size(tail) - 1) DIV 2] + tail[size(tail) DIV 2]) / 2"))
-    found = runs.select(RUN, F.when(F.col("m") > 1e-9, F.expr("t[i] + (upper - smooth[i]) / m")).alias("aftan_c"))
+    rows = with_slope(smoothed(df, recovery))
+    steep = F.max_by(F.struct("t", "smooth", "slope"), F.when(F.col("slope").isNotNull(), F.struct(F.round("slope", 10).alias("s"), (-F.col("i")).alias("place"))))
+    upper = F.percentile(F.when(F.col("i") >= F.floor(0.85 * F.col("n")), F.col("smooth")), F.lit(0.5))
+    found = rows.groupBy(RUN).agg(steep.alias("best"), upper.alias("upper"))
+    m = F.col("best.slope")
+    found = found.select(RUN, F.when(m > 1e-9, F.col("best.t") + (F.col("upper") - F.col("best.smooth")) / m).alias("aftan_c"))
     return df.select(RUN).distinct().join(found, RUN, "left")
 
 

@@ -13,7 +13,7 @@ from thermoline.operators import align, fit, gates, geometry, ordered, qc, route
 from thermoline.operators.ordered import in_frames
 from thermoline.plans import virtual
 from thermoline.sources import files
-from thermoline.sources.staging import stored
+from thermoline.sources.staging import shared_folder, stored
 
 R6 = lambda c: F.round(c, 6)
 
@@ -164,8 +164,8 @@ def af_tan_by_run(spark: SparkSession, d: str) -> DataFrame:
 
 @query("savgol_gradient", "WITH " + PROGRESS + ", rec AS (SELECT run_id, frame, temperature_c, p AS r FROM prog)," + TAN.format(name="tg", source="rec") + "SELECT run_id, i AS place, round(smooth, 6) AS smooth, round(slope, 6) AS slope FROM tg_g")
 def savgol_gradient(spark: SparkSession, d: str) -> DataFrame:
-    runs = ordered.with_slope(ordered.smoothed_runs(virtual.progress(spark, d), "p"))
-    return runs.select("run_id", F.posexplode(F.arrays_zip("smooth", "slope")).alias("place", "x")).select("run_id", F.col("place").cast("long").alias("place"), R6("x.smooth").alias("smooth"), R6("x.slope").alias("slope"))
+    rows = ordered.with_slope(ordered.smoothed(virtual.progress(spark, d), "p"))
+    return rows.select("run_id", F.col("i").cast("long").alias("place"), R6("smooth").alias("smooth"), R6("slope").alias("slope"))
 
 
 LOG = ", log AS (SELECT run_id, frame, time_sec, 20.0 + k * 0.5 AS temperature_c FROM prog WHERE event_type = 'signup')"
@@ -668,6 +668,16 @@ def frame_counts(spark: SparkSession, d: str) -> DataFrame:
     return files.frame_counts(virtual.progress(spark, d), 3)
 
 
+@query("bucketed_lookup", "WITH " + PROGRESS + ", st AS (SELECT run_id, frame, k, k - lag(k) OVER (PARTITION BY run_id ORDER BY frame) AS step FROM prog) SELECT run_id, frame, k, step FROM st WHERE frame = run_id % 50")
+def bucketed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a stored series and their steps: the table's buckets serve the window and the lookup."""
+    folder = shared_folder(spark)
+    table = files.store_series(virtual.progress(spark, d).select("run_id", "frame", "k"), f"series_{folder.rsplit('/', 1)[-1]}", f"{folder}/series", 16)
+    rows = table.withColumn("step", F.col("k") - F.lag("k").over(in_frames()))
+    wanted = table.select("run_id").distinct().select("run_id", (F.col("run_id") % 50).alias("frame"))
+    return files.frames_at(rows, wanted).select("run_id", "frame", "k", "step")
+
+
 @query("frame_lookup", "WITH " + PROGRESS + " SELECT run_id, frame, k FROM prog WHERE frame = run_id % 50")
 def frame_lookup(spark: SparkSession, d: str) -> DataFrame:
     p = virtual.progress(spark, d)

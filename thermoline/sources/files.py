@@ -33,9 +33,21 @@ def series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_series(df: DataFrame, path: str) -> None:
+    """A folder for each run, as other tools read it; for many runs see store_series."""
     df.write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
+def store_series(df: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A table in buckets of runs, sorted by run and frame, as an external table at `path`; returns it.
+
+    What is partitioned by run, such as windows, gates and joins with a table of as many buckets, needs no
+    shuffle of it, and a run's frames lie in one bucket.
+    """
+    dealt = df.repartition(buckets, "run_id")  # one file a bucket
+    dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "run_id").sortBy("run_id", "frame").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Flat columns; arrays are joined by `;`."""
     flat = [F.concat_ws(";", c).alias(c) if kind == "array<string>" else F.col(c) for c, kind in df.dtypes]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.functions import scalar
-from thermoline.operators import candidates, geometry, registry, suite
+from thermoline.operators import candidates, geometry, registry, settings, suite
 from thermoline.plans.series_queries import R6, single, single_sql, sql
 from thermoline.sources import synthetic
 
@@ -307,6 +307,26 @@ def merged_settings(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "part").select("p_partkey", text.alias("settings"))
 
 
+#: Settings of an event over its own, by turns: none, one set to null, deep ones, an object in place of a text, a damaged text, new ones.
+_OVERRIDES = ["'{}'", """'{"frame":{"stride":null}}'""", """'{"limits":{"high":{"b":{"c":true}}},"frame":5}'""", """concat('{"name":{"first":"', event_type, '"},"limits":{"high":{}}}')""", "'{broken'", """'{"new":{"list":[{"z":1}],"empty":{}}}'"""]
+_MERGED = [
+    """'{"frame":{"roi":[' || k || ',2],"stride":' || k % 7 || '},"limits":{"high":{"a":1,"b":"x"},"low":12},"name":"' || event_type || '"}'""",
+    """'{"frame":{"roi":[' || k || ',2],"stride":null},"limits":{"high":{"a":1,"b":"x"},"low":12},"name":"' || event_type || '"}'""",
+    """'{"frame":5,"limits":{"high":{"a":1,"b":{"c":true}},"low":12},"name":"' || event_type || '"}'""",
+    """'{"frame":{"roi":[' || k || ',2],"stride":' || k % 7 || '},"limits":{"high":{"a":1,"b":"x"},"low":12},"name":{"first":"' || event_type || '"}}'""",
+    """'{"frame":{"roi":[' || k || ',2],"stride":' || k % 7 || '},"limits":{"high":{"a":1,"b":"x"},"low":12},"name":"' || event_type || '"}'""",
+    """'{"frame":{"roi":[' || k || ',2],"stride":' || k % 7 || '},"limits":{"high":{"a":1,"b":"x"},"low":12},"name":"' || event_type || '","new":{"empty":{},"list":[{"z":1}]}}'""",
+]
+
+
+@query("nested_settings", "SELECT event_id, CASE k % 6 " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_MERGED)) + " END AS json FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)")
+def nested_settings(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    base = F.expr("""concat('{"name":"', event_type, '","limits":{"low":12,"high":{"b":"x","a":1}},"frame":{"stride":', k % 7, ',"roi":[', k, ',2]}}')""")
+    over = F.expr("CASE k % 6 " + " ".join(f"WHEN {n} THEN {t}" for n, t in enumerate(_OVERRIDES)) + " END")
+    return settings.merged_documents(rows.select("event_id", base.alias("base"), over.alias("over")), "event_id", "base", "over")
+
+
 @query("safe_filenames", "SELECT p_partkey, regexp_replace('run_' || p_name || '_' || p_brand || '.mp4', '[^A-Za-z0-9._-]', '_', 'g') AS filename FROM part")
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("up/../run_"), "p_name", F.lit("_"), "p_brand", F.lit(".mp4"))

@@ -61,24 +61,6 @@ def test_sweep(spark):
     assert got["other"].baseline_max_delta is None
 
 
-def test_tracked_stream_equals_batch(spark, tmp_path):
-    rng = np.random.default_rng(1)
-    rows = [(r, k, *((None,) * 4 if rng.random() < 0.2 else (10 + k, 12, 40 + k, 30))) for r in range(3) for k in range(20)]
-    schema = "run_id long, frame long, x0 int, y0 int, x1 int, y1 int"
-    whole = spark.createDataFrame(rows, schema)
-    for part in range(2):
-        whole.where(f"frame div 10 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        if part == 0:
-            import time
-
-            time.sleep(1.1)  # files are read in order of time
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = tracking.tracked_stream(stream, 100, 60).writeStream.outputMode("append").format("memory").queryName("regions").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("regions").collect())) == sorted(map(tuple, tracking.tracked(whole, 100, 60).collect()))
-
-
 def test_resample_reaches_the_end(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0), (1, 4.0, 8.0), (1, 11.0, 1.0)], "run_id long, s double, v double")
     got = [(r.s, r.v) for r in ordered.resample(df, ["v"], "s", 2.0).orderBy("s").collect()]

@@ -82,8 +82,8 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 _digests: dict[bytes, int] = {}
-#: Digests that a worker keeps, about 100 bytes each.
-DIGESTS_KEPT = 500_000
+#: Digests that a worker keeps, about 200 bytes each.
+DIGESTS_KEPT = 100_000
 
 
 def _digest(raw: bytes) -> int:

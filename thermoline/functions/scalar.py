@@ -17,6 +17,21 @@ def number_or_null(c: Column) -> Column:
     return finite(c.try_cast("double"))
 
 
+def whole_or_null(c: Column) -> Column:
+    """A whole number: text and fractions are cut towards zero, what is no number is NULL."""
+    number = number_or_null(c)
+    return F.when(F.abs(number) < 2.0**63, number.cast("long"))
+
+
+def warning_codes(value: Column) -> Column:
+    """A list of codes from JSON: a list without its NULLs and empty texts, or one value alone; none for NULL, an empty text and what can't be read."""
+    v = F.try_parse_json(value)
+    many = F.filter(F.try_variant_get(v, "$", "array<string>"), lambda x: x.isNotNull() & (x != ""))
+    one = F.try_variant_get(v, "$", "string")
+    alone = F.when(one.isNotNull() & (one != ""), F.array(one)).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.when(F.schema_of_variant(v).startswith("ARRAY"), many), alone)
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
@@ -141,11 +156,11 @@ def parse_roi(raw: Column) -> Column:
 
 
 def clip_roi(roi: Column, width: int, height: int) -> Column:
-    x0 = F.greatest(F.lit(0), F.least(roi["x0"], F.lit(width - 2)))
-    y0 = F.greatest(F.lit(0), F.least(roi["y0"], F.lit(height - 2)))
-    x1 = F.greatest(x0 + 2, F.least(roi["x1"], F.lit(width)))
-    y1 = F.greatest(y0 + 2, F.least(roi["y1"], F.lit(height)))
-    return F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    """The box cut to the frame as a struct of the box, or of the error: what is left must overlap the frame and be two pixels wide and high."""
+    box = {c: F.greatest(F.lit(0), F.least(roi[c], F.lit(most))) for c, most in (("x0", width), ("y0", height), ("x1", width), ("y1", height))}
+    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
+    error = F.when((wide <= 0) | (high <= 0), F.lit("outside_frame")).when((wide < 2) | (high < 2), F.lit("too_small"))
+    return F.struct(*(F.when(error.isNull(), x).alias(c) for c, x in box.items()), error.alias("error"))
 
 
 def expand_roi(roi: Column, margin: float, width: int, height: int) -> Column:

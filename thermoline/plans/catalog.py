@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from thermoline.plans import model_queries, series_queries, suite_queries, vision_queries
+from thermoline.plans import model_queries, region_queries, series_queries, suite_queries, vision_queries
 
-_TABLES = (series_queries.TABLE, suite_queries.TABLE, vision_queries.TABLE, model_queries.TABLE)
+_TABLES = (series_queries.TABLE, suite_queries.TABLE, vision_queries.TABLE, model_queries.TABLE, region_queries.TABLE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 PRIMARY = ("body_bins", "skeleton", "prior")
 SECONDARY = ("skeleton", "body_bins", "prior")
 LEAST_SPAN = 0.85
+# Weights of an extraction's score, the most attachments that count, and the disagreement that counts as a whole.
+SCORE = {"length": 0.22, "area": 0.08, "attachment": 0.05, "jump": 0.08, "disagreement": 0.05}
+MOST_ATTACHMENTS, WHOLE_DISAGREEMENT = 3.0, 0.20
 
 
 def _preference(names: tuple[str, ...]) -> Column:
@@ -47,11 +50,11 @@ def centerlines(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def extraction_score(longest: Column, largest: Column) -> Column:
     """Score of an extraction beside others of its frame, whose greatest length and area are given."""
-    c = F.col
-    return (
-        c("quality") + 0.22 * (c("length_axis_px") / F.greatest(longest, F.lit(1.0))) + 0.08 * (c("area_proj_px2") / F.greatest(largest, F.lit(1.0))) - 0.05 * F.least(c("attachment_count").cast("double"), F.lit(3.0))
-        - 0.08 * F.least(c("endpoint_jump_px") / F.greatest(c("length_axis_px"), F.lit(1.0)), F.lit(1.0)) - 0.05 * F.least(c("centerline_disagreement") / 0.20, F.lit(1.0))
-    )
+    c, one = F.col, F.lit(1.0)
+    length = F.greatest(c("length_axis_px"), one)
+    gains = SCORE["length"] * (c("length_axis_px") / F.greatest(longest, one)) + SCORE["area"] * (c("area_proj_px2") / F.greatest(largest, one))
+    losses = SCORE["attachment"] * F.least(c("attachment_count").cast("double"), F.lit(MOST_ATTACHMENTS)) + SCORE["jump"] * F.least(c("endpoint_jump_px") / length, one) + SCORE["disagreement"] * F.least(c("centerline_disagreement") / WHOLE_DISAGREEMENT, one)
+    return c("quality") + gains - losses
 
 
 def best_extraction(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -103,7 +103,7 @@ def test_chunks_are_forgotten(monkeypatch):
     for text in ("one two three four", "five one six", "one two", "seven"):
         (got,) = known.align(*tk.utf8(pa.array([" " + text])))
         assert (*got[:3], got[4]) == (*brute([(0, text)])[0][1:4], brute([(0, text)])[0][7])
-    assert len(known.known.number) < 5
+    assert known.known.count < 5
 
 
 def test_boundaries_by_intervals():
@@ -129,6 +129,27 @@ def test_chunks_are_told_apart_by_bytes():
     assert strings == [one.encode(), two.encode()] and which.tolist() == [0, 1, 0]
 
 
+def test_numbers_go_by_bytes():
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(4)
+    for first in (one, two):  # the colliding string is new in one slice and known in another
+        known, told = chunks.Numbered(1 << 20), {}
+        for k in range(6):
+            strings = [rng.choice(["x", "yy", "", "zzz", one, two, f"n{k}", f"m{k}"]) for _ in range(50)] if k else [first, "x"]
+            raw = [s.encode() for s in strings if s]
+            start = np.cumsum([0, *map(len, raw)])
+            number, new = known.of(np.frombuffer(b"".join(raw), np.uint8), start[:-1], int(start[-1]))
+            base = len(told)
+            for n, s in enumerate(new):
+                told[base + n] = s
+            assert [told[n] for n in number.tolist()] == raw
+            assert known.count == len(told)
+    assert chunks.equal(*(np.frombuffer(b"abcab", np.uint8), np.array([0, 0, 2, 5]), np.array([2, 3, 1, 0])), *(np.frombuffer(b"ababd", np.uint8), np.array([2, 0, 2, 1]), np.array([2, 3, 1, 0]))).tolist() == [True, False, False, True]
+
+
 def test_table(spark, real):
     rows = [(x.doc_id, x.text) for x in real.collect()]
     same(queries.op13_interval_alignment(spark, "/root/testdata/sf0.001"), rows)

@@ -41,26 +41,74 @@ def distinct(data: np.ndarray, start: np.ndarray, end: int) -> tuple[list[bytes]
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+def equal(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Which spans of `a` hold the same bytes as those of `b`."""
+    out = a_size == b_size
+    some = np.flatnonzero(out & (a_size > 0))
+    if len(some):
+        size = a_size[some]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum()))
+        out[some] = ~np.logical_or.reduceat(a[place + np.repeat(a_start[some] - first, size)] != b[place + np.repeat(b_start[some] - first, size)], first)
+    return out
+
+
 class Numbered:
-    """Numbers for byte strings, kept from slice to slice until there are `most`."""
+    """Numbers for byte strings, kept from slice to slice until there are `most`.
+
+    A hash finds a string that may be the same, and its bytes decide. A string whose hash another one has
+    gets a number that is not kept.
+    """
 
     def __init__(self, most: int):
-        self.most, self.number = most, dict[bytes, int]()
+        self.most, self.count, self.used = most, 0, 0
+        self.hash, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size, self.store = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint8)
 
     def full(self) -> bool:
-        return len(self.number) >= self.most
+        return self.count >= self.most
 
     def of(self, data: np.ndarray, start: np.ndarray, end: int) -> tuple[np.ndarray, list[bytes]]:
         """The number of each string, and the strings that are new, in order of their numbers."""
-        strings, which = distinct(data, start, end)
-        known, new, got = self.number, [], np.empty(len(strings), np.int64)
-        for k, s in enumerate(strings):
-            n = known.get(s)
-            if n is None:
-                n = known[s] = len(known)
-                new.append(s)
-            got[k] = n
-        return got[which], new
+        from thermoline.llm.textkit import Words
+
+        stop = np.append(start[1:], end)
+        size = stop - start
+        h = Words(data, np.array([0, len(data)]), split=False).span_hash(start, stop)
+        hashes, where, back = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, hashes)
+        hit = np.zeros(len(hashes), bool)
+        inside = place < len(self.hash)
+        hit[inside] = self.hash[place[inside]] == hashes[inside]
+        kept = self.number[place[hit]]
+        same = hit.copy()
+        same[hit] = equal(data, start[where[hit]], size[where[hit]], self.store, self.start[place[hit]], self.size[place[hit]])
+        number = np.empty(len(hashes), np.int64)
+        number[same] = kept[same[hit]]
+        fresh = np.flatnonzero(~same)
+        number[fresh] = self.count + np.arange(len(fresh))
+        raw = data.tobytes()
+        new = [raw[s:e] for s, e in zip(start[where[fresh]].tolist(), stop[where[fresh]].tolist(), strict=True)]
+        out = number[back]
+        # Strings of one hash in this slice that aren't the first of them.
+        others = np.flatnonzero(where[back] != np.arange(len(start)))
+        odd = others[~equal(data, start[others], size[others], data, start[where[back[others]]], size[where[back[others]]])]
+        told: dict[bytes, int] = {}
+        for k in odd.tolist():
+            out[k] = told.setdefault(raw[start[k] : stop[k]], self.count + len(new) + len(told))
+        new += list(told)
+        self.count += len(new)
+        self._keep(data, hashes[~hit], start[where[~hit]], size[where[~hit]], number[~hit])
+        return out, new
+
+    def _keep(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, size: np.ndarray, number: np.ndarray) -> None:
+        used, ends = self.used + int(size.sum()), np.cumsum(size)
+        if used > len(self.store):
+            self.store = np.concatenate([self.store[: self.used], np.zeros(2 * used - self.used, np.uint8)])
+        self.store[self.used : used] = data[np.arange(used - self.used) + np.repeat(start - (ends - size), size)]
+        at = np.searchsorted(self.hash, hashes)
+        self.hash, self.number, self.start, self.size = (np.insert(x, at, y) for x, y in ((self.hash, hashes), (self.number, number), (self.start, self.used + ends - size), (self.size, size)))
+        self.used = used
 
 
 class Lists:

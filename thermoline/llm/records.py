@@ -40,8 +40,8 @@ INDEX = np.dtype([("offset", "<i8"), ("n_tokens", "<i8"), ("doc_id", "<i8")])
 MANIFEST = "part int, path string, n_records long, n_tokens long, n_bytes long"
 ROWS_PER_FILE = 20_000
 NO_ID = 0x80
-#: Known chunks of an encoder, about 150 bytes each.
-CHUNKS_KEPT = 500_000
+#: Known chunks of an encoder, about 80 bytes each.
+CHUNKS_KEPT = 1_500_000
 
 
 def masked(raw: bytes | memoryview) -> int:

@@ -52,3 +52,47 @@ def test_every_frame_has_geometry(spark, name):
     d = "/root/testdata/sf0.001"
     got = catalog.queries()[name](spark, d).select("run_id", "frame").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, virtual.progress(spark, d).select("run_id", "frame").collect()))
+
+
+def test_drawn_pixels(spark):
+    """Polylines of different lengths, some beyond the edge, against every pixel's distance to every span."""
+    rng = np.random.default_rng(2)
+    rows = [(1, k, *(rng.uniform(-8, 48, n).tolist() for _ in range(2)), rng.integers(0, 12, n).astype(float).tolist()) for k, n in enumerate((2, 9, 1, 30, 5))]
+    rows.append((1, 9, [10.0, 20.0], [10.0, 10.0], [10.0, 10.0]))  # pixels lie on its border
+    got = {r.frame: np.frombuffer(r.pixels, np.uint8).reshape(40, 50) for r in vision.drawn(spark.createDataFrame(rows, "run_id long, frame long, xs array<double>, ys array<double>, thickness array<double>"), 50, 40).collect()}
+    gy, gx = np.mgrid[0:40, 0:50]
+    for _, frame, x, y, t in rows:
+        dark = np.zeros((40, 50), bool)
+        for k in range(len(x) - 1):
+            dx, dy, px, py = x[k + 1] - x[k], y[k + 1] - y[k], gx - x[k], gy - y[k]
+            s = np.clip((px * dx + py * dy) / max(dx * dx + dy * dy, 1e-9), 0, 1)
+            dark |= np.hypot(px - s * dx, py - s * dy) <= (t[k] + s * (t[k + 1] - t[k])) / 2
+        assert (got[frame] == np.where(dark, 35, 236)).all(), frame
+
+
+def test_frames_are_measured_where_they_are(spark):
+    """A frame's slices are a row's own: none is shuffled, whatever their number."""
+    frames = spark.createDataFrame([(1, 1, 2, 2, bytes(4))], "run_id long, frame long, height int, width int, pixels binary")
+    for geometry_of in (vision.wire_geometry, vision.braided_geometry):
+        plan = geometry_of(frames)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_profiles_as_arrays(spark):
+    """The same as the aggregates over rows."""
+    from thermoline.operators import geometry
+
+    rng = np.random.default_rng(3)
+    rows = [(k, [(float(s), float(w)) for s, w in zip(np.sort(rng.uniform(0, 50, n)), rng.integers(1, 9, n), strict=True)]) for k, n in enumerate((1, 2, 3, 7, 40, 41))]
+    df = spark.createDataFrame(rows, "id long, body array<struct<s:double,w:double>>")
+    got = {r.id: r for r in geometry.array_profile(df, "body", "s", "w").collect()}
+    flat = df.select("id", F.inline("body"))
+    for part in (geometry.trapezoid_area(flat, ["id"], "s", "w").withColumnRenamed("area", "area_proj_px2"), geometry.window_width_stats(flat, ["id"], "s", "w"), geometry.zone_metrics(flat, ["id"], "s", "w")):
+        for want in part.collect():
+            for c in part.columns:
+                assert got[want.id][c] == pytest.approx(want[c]), (want.id, c)
+
+
+def test_largest_components_of_stacked_frames():
+    y, x, of = (np.array(c) for c in ([0, 0, 1, 5, 8, 8, 9], [0, 1, 5, 9, 0, 4, 4], [0, 0, 0, 0, 1, 1, 1]))
+    assert vision._in_largest(y, x, of).tolist() == [True, True, False, False, False, True, True]

@@ -7,21 +7,22 @@ windows over slices, keyed by run and frame, so frames spread over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermoline.operators import geometry, qc
-from thermoline.sources.staging import stored
+from thermoline.operators import geometry
 
 FRAME = ["run_id", "frame"]
 #: Pixels that are at least this dark belong to the object.
 THRESHOLD = 128
 #: A component of fewer pixels is noise.
 LEAST_PIXELS = 30
+#: Pixels of frames, and of windows around spans, that are one array.
+PIXELS_AT_ONCE, WINDOW_PIXELS = 1 << 20, 1 << 14
 
 
 def blurred(gray: np.ndarray, sigma: float) -> np.ndarray:
@@ -34,43 +35,80 @@ def blurred(gray: np.ndarray, sigma: float) -> np.ndarray:
     return gray
 
 
+def _inside(xs: pa.ListArray, ys: pa.ListArray, thickness: pa.ListArray, height: int, width: int) -> np.ndarray:
+    """Of each polyline the pixels within half its thickness, which runs evenly between its points: (line, y, x). Windows around spans of like size are one array."""
+    size = np.diff(xs.offsets.to_numpy())
+    of = np.repeat(np.arange(len(size)), size)
+    x, y, t = (c.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (xs, ys, thickness))
+    a = np.flatnonzero(of[1:] == of[:-1])
+    of, b = of[a], a + 1
+    dx, dy, reach = x[b] - x[a], y[b] - y[a], np.maximum(t[a], t[b]) / 2 + 1
+    x0, x1, y0, y1 = (np.clip(v, 0, most) for v, most in ((np.minimum(x[a], x[b]) - reach, width), (np.maximum(x[a], x[b]) + reach + 1, width), (np.minimum(y[a], y[b]) - reach, height), (np.maximum(y[a], y[b]) + reach + 1, height)))
+    x0, x1, y0, y1 = (v.astype(np.int64) for v in (x0, x1, y0, y1))
+    dark = np.zeros((len(size), height, width), bool)
+    area = (x1 - x0) * (y1 - y0)
+    order = np.argsort(area, kind="stable")
+    order = order[area[order] > 0]
+    while len(order):
+        most = np.maximum.accumulate(x1[order] - x0[order]) * np.maximum.accumulate(y1[order] - y0[order])
+        k = order[: max(1, int(np.searchsorted(most * np.arange(1, len(most) + 1), WINDOW_PIXELS, "right")))]
+        order = order[len(k) :]
+        col = x0[k][:, None] + np.arange(int((x1[k] - x0[k]).max()))
+        row = y0[k][:, None] + np.arange(int((y1[k] - y0[k]).max()))
+        px, py = (col - x[a[k]][:, None])[:, None, :], (row - y[a[k]][:, None])[:, :, None]
+        ex, ey, t0, t1 = (v[:, None, None] for v in (dx[k], dy[k], t[a[k]], t[b[k]]))
+        s = px * ex + py * ey
+        s /= np.maximum(ex * ex + ey * ey, 1e-9)
+        np.minimum(np.maximum(s, 0, out=s), 1, out=s)
+        off_x, off_y, most = px - s * ex, py - s * ey, (t0 + s * (t1 - t0)) / 2
+        beyond = off_x * off_x
+        beyond += off_y * off_y
+        beyond -= most * np.abs(most)
+        hit = beyond <= 0
+        # Squares decide but for rounding; where they nearly agree, the distance itself does.
+        close = np.abs(beyond, out=beyond) <= 1e-9 * (1 + height * height + width * width)
+        hit[close] = np.hypot(off_x[close], off_y[close]) <= most[close]
+        for one, frame, left, right, up, down in zip(hit, *(v[k].tolist() for v in (of, x0, x1, y0, y1)), strict=True):
+            dark[frame, up:down, left:right] |= one[: down - up, : right - left]
+    return dark
+
+
 def drawn(points: DataFrame, width: int, height: int, thickness: str = "thickness", blur: float = 0.0, noise: float = 0.0) -> DataFrame:
     """Gray frames from polylines: rows of (run_id, frame, xs, ys, thickness), thickness one number a point.
 
     Noise is drawn from the frame's key, so a frame is the same whenever it is drawn.
     """
 
+    at_once = max(1, PIXELS_AT_ONCE // (height * width))
+    offsets = np.arange(at_once + 1, dtype=np.int64) * height * width
+
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gy, gx = np.mgrid[0:height, 0:width]
-        for batch in batches:
-            for row in batch.to_pylist():
-                dark = np.zeros((height, width), bool)
-                x, y, t = (np.array(row[c], float) for c in ("xs", "ys", thickness))
-                for k in range(len(x) - 1):
-                    dx, dy = x[k + 1] - x[k], y[k + 1] - y[k]
-                    reach = max(t[k], t[k + 1]) / 2 + 1
-                    x0, x1 = int(max(0, min(x[k], x[k + 1]) - reach)), int(min(width, max(x[k], x[k + 1]) + reach + 1))
-                    y0, y1 = int(max(0, min(y[k], y[k + 1]) - reach)), int(min(height, max(y[k], y[k + 1]) + reach + 1))
-                    px, py = gx[y0:y1, x0:x1] - x[k], gy[y0:y1, x0:x1] - y[k]
-                    s = np.clip((px * dx + py * dy) / max(dx * dx + dy * dy, 1e-9), 0, 1)
-                    dark[y0:y1, x0:x1] |= np.hypot(px - s * dx, py - s * dy) <= (t[k] + s * (t[k + 1] - t[k])) / 2
-                gray = np.where(dark, 35, 236)
-                if blur > 0:
-                    gray = blurred(gray.astype(float), blur)
-                if noise > 0:
-                    gray = np.clip(gray + np.random.default_rng([7, row["run_id"], row["frame"]]).normal(0.0, noise, gray.shape), 0, 255)
-                yield pa.RecordBatch.from_pydict({"run_id": pa.array([row["run_id"]], pa.int64()), "frame": pa.array([row["frame"]], pa.int64()), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "pixels": pa.array([gray.astype(np.uint8).tobytes()], pa.binary())})
+        for whole in batches:
+            for part in range(0, whole.num_rows, at_once):
+                batch = whole.slice(part, at_once)
+                n = batch.num_rows
+                gray = np.where(_inside(*(batch.column(c) for c in ("xs", "ys", thickness)), height, width), np.uint8(35), np.uint8(236))
+                gray = gray.astype(float) if blur > 0 or noise > 0 else gray
+                for k, (run, frame) in enumerate(zip(batch.column("run_id").to_pylist(), batch.column("frame").to_pylist(), strict=True) if blur > 0 or noise > 0 else ()):
+                    one = blurred(gray[k], blur) if blur > 0 else gray[k]
+                    gray[k] = np.clip(one + np.random.default_rng([7, run, frame]).normal(0.0, noise, one.shape), 0, 255) if noise > 0 else one
+                pixels = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets[: n + 1]), pa.py_buffer(gray.astype(np.uint8))]).cast(pa.binary())
+                sizes = [pa.array(np.full(n, x, np.int32)) for x in (height, width)]
+                yield pa.RecordBatch.from_arrays([batch.column("run_id").cast(pa.int64()), batch.column("frame").cast(pa.int64()), *sizes, pixels], ["run_id", "frame", "height", "width", "pixels"])
 
     return points.select("run_id", "frame", "xs", "ys", thickness).mapInArrow(draw, "run_id long, frame long, height int, width int, pixels binary")
 
 
-def _gray(row: dict) -> np.ndarray | None:
-    raw = np.frombuffer(row["pixels"] or b"", np.uint8)
-    return raw.reshape(row["height"], row["width"]) if len(raw) == (row["height"] or 0) * (row["width"] or 0) else None
+def _gray(height: int | None, width: int | None, pixels: bytes | None) -> np.ndarray | None:
+    raw = np.frombuffer(pixels or b"", np.uint8)
+    return raw.reshape(height or 0, width or 0) if len(raw) == (height or 0) * (width or 0) else None
 
 
-def _in_largest(y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which pixels, in order of line and place, are of the largest 8-connected component; of equal ones the first."""
+def _in_largest(y: np.ndarray, x: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Which pixels, in order of line and place, are of the largest 8-connected component; of equal ones the first.
+
+    With `of`, which rises, of each frame's own; lines of different frames don't touch.
+    """
     if not len(y):
         return np.zeros(0, bool)
     begins = np.flatnonzero((np.diff(y, prepend=y[0] - 1) != 0) | (np.diff(x, prepend=x[0]) != 1))
@@ -92,23 +130,43 @@ def _in_largest(y: np.ndarray, x: np.ndarray) -> np.ndarray:
         if (new == name).all():
             break
         name = new
-    return np.repeat(name == np.argmax(np.bincount(name, length, minlength=len(name))), length)
+    size, of = np.bincount(name, length, minlength=len(name)), np.zeros(len(name), np.int64) if of is None else of[begins]
+    first = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+    frame = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(of))))
+    most = np.flatnonzero(size == np.maximum.reduceat(size, first)[frame])
+    best = most[np.flatnonzero(np.diff(frame[most], prepend=-1))]
+    return np.repeat(name == best[frame], length)
 
 
 OBJECT = "run_id long, frame long, area_px2 long, direction_span_px double, slices array<struct<bin:long,x:double,y:double,s:double,t:double,width_px:double,n:long>>"
-_SLICES = pa.list_(pa.struct([("bin", pa.int64()), *((c, pa.float64()) for c in ("x", "y", "s", "t", "width_px")), ("n", pa.int64())]))
-
-
-def _slices(x: np.ndarray, y: np.ndarray, step: float) -> list[dict]:
-    """Mean point and width of each slice across the axis of largest variance, which points to the right."""
-    dx, dy = x - x.mean(), y - y.mean()
-    theta = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
-    s, t = dx * np.cos(theta) + dy * np.sin(theta), dy * np.cos(theta) - dx * np.sin(theta)
-    order = np.lexsort((t, np.floor(s / step)))
-    bins, first, n = np.unique(np.floor(s / step)[order], return_index=True, return_counts=True)
-    mean = [np.add.reduceat(c[order], first) / n for c in (x, y, s, t)]
-    width = t[order][first + n - 1] - t[order][first] + 1
-    return [dict(zip(("bin", "x", "y", "s", "t", "width_px", "n"), row, strict=True)) for row in zip(bins.astype(int).tolist(), *(m.tolist() for m in mean), width.tolist(), n.tolist(), strict=True)]
+_SLICE = {"bin": pa.int64(), **dict.fromkeys(("x", "y", "s", "t", "width_px"), pa.float64()), "n": pa.int64()}
+_SLICES = pa.list_(pa.struct(list(_SLICE.items())))
+
+
+def _slices(x: np.ndarray, y: np.ndarray, first: np.ndarray, step: float) -> pa.ListArray:
+    """Of each frame, whose pixels begin at `first`: mean point and width of each slice across the axis of largest variance, which points to the right."""
+    ends = np.append(first, len(x))
+    n = np.diff(ends)
+    of = np.repeat(np.arange(len(n)), n)
+    dx, dy = (c - (np.add.reduceat(c, first) / n)[of] for c in (x, y))
+    cov, vx, vy = (np.array([c[s:e].mean() for s, e in zip(ends[:-1], ends[1:], strict=True)]) for c in (dx * dy, dx * dx, dy * dy))
+    theta = 0.5 * np.arctan2(2 * cov, vx - vy)
+    cos, sin = np.cos(theta)[of], np.sin(theta)[of]
+    s, t = dx * cos + dy * sin, dy * cos - dx * sin
+    bins = np.floor(s / step)
+    short = bins - np.minimum.reduceat(bins, first)[of]
+    short = short.astype(np.uint16 if short.max() < 1 << 16 else np.int64)
+    order = np.empty(len(x), np.int64)
+    for a, e in zip(ends[:-1], ends[1:], strict=True):
+        across = np.argsort(t[a:e], kind="stable")
+        order[a:e] = a + across[np.argsort(short[a:e][across], kind="stable")]
+    bins, t = bins[order], t[order]
+    cut = np.flatnonzero((np.diff(bins, prepend=np.nan) != 0) | (np.diff(of, prepend=-1) != 0))
+    many = np.diff(np.append(cut, len(x)))
+    mean = [np.add.reduceat(c, cut) / many for c in (x[order], y[order], s[order], t)]
+    made = [bins[cut].astype(np.int64), *mean, t[cut + many - 1] - t[cut] + 1, many]
+    slices = pa.StructArray.from_arrays([pa.array(c, kind) for c, kind in zip(made, _SLICE.values(), strict=True)], list(_SLICE))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(cut, ends), pa.int32()), slices)
 
 
 def objects(frames: DataFrame, threshold: int = THRESHOLD, step: float = 2.0, direction_deg: float = 0.0) -> DataFrame:
@@ -120,19 +178,35 @@ def objects(frames: DataFrame, threshold: int = THRESHOLD, step: float = 2.0, di
     """
     cos, sin = np.cos(np.radians(direction_deg)), np.sin(np.radians(direction_deg))
 
+    def of_frames(run: tuple[int, ...], frame: tuple[int, ...], grays: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        places = [np.flatnonzero(gray < threshold) for gray in grays]
+        of = np.repeat(np.arange(len(grays)), [len(p) for p in places])
+        y, x = np.divmod(np.concatenate(places), np.array([max(1, gray.shape[1]) for gray in grays])[of])
+        good = _in_largest(y + of * (max(gray.shape[0] for gray in grays) + 1), x, of)
+        y, x, of = y[good].astype(float), x[good].astype(float), of[good]
+        area = np.bincount(of, minlength=len(grays))
+        some = np.flatnonzero(area)
+        first = np.searchsorted(of, some)
+        along, span = x * cos + y * sin, np.full(len(grays), np.nan)
+        slices, many = _slices(x, y, first, step) if len(x) else pa.array([], _SLICES), np.zeros(len(grays) + 1, np.int64)
+        if len(x):
+            span[some] = np.maximum.reduceat(along, first) - np.minimum.reduceat(along, first)
+            many[some + 1] = slices.value_lengths().to_numpy()
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many), pa.int32()), slices.flatten())
+        return pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(frame, pa.int64()), pa.array(area, pa.int64()), pa.array(span, from_pandas=True), lists], ["run_id", "frame", "area_px2", "direction_span_px", "slices"])
+
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                gray = _gray(row)
-                if gray is None:
-                    continue
-                y, x = np.nonzero(gray < threshold)
-                good = _in_largest(y, x)
-                y, x = y[good].astype(float), x[good].astype(float)
-                out.append((row["run_id"], row["frame"], len(x), float(np.ptp(x * cos + y * sin)) if len(x) else None, _slices(x, y, step) if len(x) else []))
-            run, frame, area, span, slices = zip(*out, strict=True) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(frame, pa.int64()), pa.array(area, pa.int64()), pa.array(span, pa.float64()), pa.array(slices, _SLICES)], ["run_id", "frame", "area_px2", "direction_span_px", "slices"])
+            part, pixels = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("run_id", "frame")), map(_gray, *(batch.column(c).to_pylist() for c in ("height", "width", "pixels"))), strict=True):
+                if row[2] is not None:
+                    part.append(row)
+                    pixels += row[2].size
+                if pixels >= PIXELS_AT_ONCE:
+                    yield of_frames(*zip(*part, strict=True))
+                    part, pixels = [], 0
+            if part:
+                yield of_frames(*zip(*part, strict=True))
 
     return frames.select("run_id", "frame", "height", "width", "pixels").mapInArrow(measured, OBJECT)
 
@@ -152,25 +226,37 @@ def wire_geometry(frames: DataFrame, direction_deg: float = 0.0, threshold: int
 
     A frame without an object has NULLs, quality 0 and model `failed`.
     """
-    return wire_measures(stored(objects(frames, threshold, direction_deg=direction_deg), "objects"))
+    return wire_measures(objects(frames, threshold, direction_deg=direction_deg))
+
+
+def _sum(of: Callable[[Column], Column]) -> Column:
+    """The sum of an expression over a frame's slices."""
+    return F.aggregate("slices", F.lit(0.0), lambda total, x: total + of(x))
 
 
 def wire_measures(found: DataFrame) -> DataFrame:
-    """As wire_geometry, from the rows of `objects`."""
-    line = found.select(*FRAME, F.inline("slices"))
-    w = Window.partitionBy(*FRAME)
-    line = line.withColumn("u", F.col("s") - F.avg("s").over(w))
+    """As wire_geometry, from the rows of `objects`. Slices lie along the axis in order, so all is sums over a row's own slices."""
+    ends = {name: F.get("slices", at) for name, at in (("first", F.lit(0)), ("end", F.size("slices") - 1))}
+    points = F.size("slices").cast("long")
+    m = found.withColumns({"points": F.when(points > 0, points), "mean": _sum(lambda x: x["s"]) / F.when(points > 0, points)})
     # Parabola t = a + b u + c u**2 by its normal equations; sums of u vanish.
-    m = line.groupBy(*FRAME).agg(F.count(F.lit(1)).alias("points"), F.sum(F.pow("u", F.lit(2))).alias("u2"), F.sum(F.pow("u", F.lit(3))).alias("u3"), F.sum(F.pow("u", F.lit(4))).alias("u4"), F.sum("t").alias("t0"), F.sum(F.col("t") * F.col("u")).alias("t1"), F.sum(F.col("t") * F.col("u") * F.col("u")).alias("t2"), F.min_by(F.struct("x", "y"), "s").alias("anchor"), F.max_by(F.struct("x", "y"), "s").alias("tip"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.min("u").alias("from_u"), F.max("u").alias("to_u"), F.median("width_px").alias("width"))
+    u = lambda x: x["s"] - F.col("mean")
+    names = ("u2", "u3", "u4", "t0", "t1", "t2")
+
+    def moments(x: Column) -> tuple[Column, ...]:
+        return u(x) * u(x), u(x) * u(x) * u(x), u(x) * u(x) * u(x) * u(x), x["t"], x["t"] * u(x), x["t"] * u(x) * u(x)
+
+    sums = F.aggregate("slices", F.struct(*(F.lit(0.0).alias(n) for n in names)), lambda total, x: F.struct(*((total[n] + v).alias(n) for n, v in zip(names, moments(x), strict=True))))
+    m = m.withColumn("sums", F.when(F.col("points") > 0, sums)).select("*", "sums.*", *(F.struct(e["x"].alias("x"), e["y"].alias("y")).alias(name) for name, e in zip(("anchor", "tip"), ends.values(), strict=True)), (ends["first"]["s"] - F.col("mean")).alias("from_u"), (ends["end"]["s"] - F.col("mean")).alias("to_u"))
     c = F.col
     det = c("points") * (c("u2") * c("u4") - c("u3") * c("u3")) - F.pow(c("u2"), F.lit(3))
     bend = (c("points") * (c("u2") * c("t2") - c("u3") * c("t1")) - c("u2") * c("u2") * c("t0")) / F.when(F.abs(det) > 1e-9, det)
-    slope = (c("t1") - bend * c("u3")) / c("u2")
+    slope = (c("t1") - bend * c("u3")) / F.when(c("u2") > 0, c("u2"))
     level = (c("t0") - bend * c("u2")) / c("points")
     along = c("to_u") - c("from_u")
-    fits = m.select(*FRAME, "points", "anchor", "tip", "s0", "s1", "width", F.sqrt(F.pow(along, F.lit(2)) + F.pow(along * (slope + bend * (c("from_u") + c("to_u"))), F.lit(2))).alias("x_fit_px"), bend.alias("bend"), slope.alias("slope"), level.alias("level"))
-    error = line.join(fits.select(*FRAME, "bend", "slope", "level"), FRAME).groupBy(*FRAME).agg(qc.rmse(c("t"), c("level") + c("slope") * c("u") + c("bend") * c("u") * c("u")).alias("quadratic_rmse_px"))
-    rows = found.drop("slices").join(fits, FRAME, "left").join(error, FRAME, "left")
+    rows = m.withColumns({"bend": bend, "slope": slope, "level": level}).withColumn("x_fit_px", F.sqrt(F.pow(along, F.lit(2)) + F.pow(along * (c("slope") + c("bend") * (c("from_u") + c("to_u"))), F.lit(2))))
+    off = lambda x: x["t"] - (c("level") + c("slope") * u(x) + c("bend") * u(x) * u(x))
+    rows = rows.withColumn("quadratic_rmse_px", F.sqrt(_sum(lambda x: off(x) * off(x)) / c("points")))
     ok = F.coalesce(c("area_px2") >= LEAST_PIXELS, F.lit(False)) & c("bend").isNotNull()
     kappa = F.abs(2 * c("bend")) / F.pow(1 + c("slope") * c("slope"), F.lit(1.5))
     shown = {"anchor_x": c("anchor.x"), "anchor_y": c("anchor.y"), "tip_x": c("tip.x"), "tip_y": c("tip.y"), "x_px": F.sqrt(F.pow(c("tip.x") - c("anchor.x"), 2) + F.pow(c("tip.y") - c("anchor.y"), 2)), "x_fit_px": c("x_fit_px"), "kappa_fit_px_inv": kappa, "centerline_points": c("points").cast("double"), "quadratic_rmse_px": c("quadratic_rmse_px"), "direction_mask_span_px": c("direction_span_px"), "area_px2": c("area_px2").cast("double")}
@@ -183,15 +269,11 @@ def braided_geometry(frames: DataFrame, step: float = 2.0, threshold: int = THRE
 
     The body is where the profile is wider than 22 % of its largest width, eight pixels at least.
     """
-    found = stored(objects(frames, threshold, step), "objects")
-    line = found.select(*FRAME, F.inline("slices"))
-    top = F.max("width_px").over(Window.partitionBy(*FRAME))
-    body = line.withColumn("top", top).where(F.col("width_px") >= F.greatest(0.22 * F.col("top"), F.lit(8.0)))
-    size = body.groupBy(*FRAME).agg((F.max("s") - F.min("s")).alias("length_axis_px"), F.max("width_px").alias("diameter_max_px"), F.max_by("s", "width_px").alias("peak_s"), F.min("s").alias("s0"))
-    area = geometry.trapezoid_area(body, FRAME, "s", "width_px").withColumnRenamed("area", "area_proj_px2")
-    stats = geometry.window_width_stats(body, FRAME, "s", "width_px")
-    zones = geometry.zone_metrics(body, FRAME, "s", "width_px")
-    rows = found.select(*FRAME, F.when(F.col("area_px2") > 0, F.col("area_px2")).cast("double").alias("component_area_px2"))
-    for part in (size, area, stats, zones):
-        rows = rows.join(part, FRAME, "left")
-    return rows.withColumn("diameter_peak_pos_norm", (F.col("peak_s") - F.col("s0")) / F.when(F.col("length_axis_px") > 0, F.col("length_axis_px"))).drop("peak_s", "s0")
+    found = objects(frames, threshold, step)
+    top = F.array_max(F.transform("slices", lambda x: x["width_px"]))
+    body = F.filter("slices", lambda x: x["width_px"] >= F.greatest(0.22 * F.col("top"), F.lit(8.0)))
+    rows = found.withColumn("top", top).withColumn("body", body)
+    # Slices lie along the axis in order, so first and last are least and greatest.
+    span = geometry.array_profile(rows, "body", "s", "width_px")
+    size = F.when(F.col("area_px2") > 0, F.col("area_px2")).cast("double").alias("component_area_px2")
+    return span.select(*FRAME, size, "length_axis_px", "diameter_max_px", "area_proj_px2", *geometry.WIDTHS, *geometry.ZONES, ((F.col("peak_s") - F.col("first")) / F.when(F.col("length_axis_px") > 0, F.col("length_axis_px"))).alias("diameter_peak_pos_norm"))

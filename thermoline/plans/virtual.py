@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from thermoline.operators.dealing import dealt
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -17,7 +19,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, frame, n, time_sec, temperature_c, k, event_type and p, the share of the run's total value so far."""
-    e = events(spark, sf_dir).select(F.col("user_id").alias("run_id"), "ts", "event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("v"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = events(spark, sf_dir)
+    e = dealt(e.select(F.col("user_id").alias("run_id"), "ts", "event_id", "event_type", F.col("value").cast("decimal(18,4)").alias("v"), F.get_json_object("props", "$.k").cast("int").alias("k")), "run_id", rows=e.count())
     run = Window.partitionBy("run_id")
     w = run.orderBy("ts", "event_id")
     e = e.select("run_id", "event_type", "k", (F.row_number().over(w) - 1).cast("long").alias("frame"), F.count(F.lit(1)).over(run).alias("n"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("cum"), F.sum("v").over(run).cast("double").alias("total"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.operators import vision
+from thermoline.operators.dealing import dealt
 from thermoline.plans import virtual
 from thermoline.plans.series_queries import PROGRESS, R6, WIRE, sql
 from thermoline.streaming import monitor, tracking
@@ -22,17 +23,23 @@ def query(name: str, oracle: str | None = None):  # noqa: ANN201
     return add
 
 
+def _spread(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """Frames take a task's time long before they fill its memory."""
+    return dealt(rows, *vision.FRAME, rows=virtual.events(spark, d).count(), width=10)
+
+
 def wire_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a needle that straightens as the run goes on, all of them."""
-    rows = virtual.wire_series(spark, d).withColumn("bend", 0.02 * (1.0 - F.col("q")))
+    rows = _spread(virtual.wire_series(spark, d).select("run_id", "frame", "q"), spark, d).withColumn("bend", 0.02 * (1.0 - F.col("q")))
     at = F.sequence(F.lit(0), F.lit(30))
-    walk = lambda trig, start: F.transform(at, lambda i: F.lit(start) + F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + 3.0 * trig(F.lit(0.1) + F.col("bend") * 3.0 * j)))
+    sums = lambda trig: F.aggregate(at, F.array(F.lit(0.0)), lambda s, j: F.concat(s, F.array(F.element_at(s, -1) + 3.0 * trig(F.lit(0.1) + F.col("bend") * 3.0 * j))))
+    walk = lambda trig, start: F.transform(F.slice(sums(trig), 2, 31), lambda s: F.lit(start) + s)
     return vision.drawn(rows.select("run_id", "frame", walk(F.cos, 12.0).alias("xs"), walk(F.sin, 10.0).alias("ys"), F.array_repeat(F.lit(4.0), 31).alias("thickness")), WIDTH, HEIGHT)
 
 
 def braided_frames(spark: SparkSession, d: str) -> DataFrame:
     """Frames of a braid that shortens and widens, all of them."""
-    rows = virtual.braided_series(spark, d)
+    rows = _spread(virtual.braided_series(spark, d).select("run_id", "frame", "q"), spark, d)
     length, top = 100.0 - 30.0 * F.col("q"), 14.0 + 22.0 * F.col("q")
     at = F.sequence(F.lit(0), F.lit(24))
     xs = F.transform(at, lambda i: 64.0 + (i / 24.0 - 0.5) * F.col("len"))

@@ -129,3 +129,19 @@ def test_a_long_run_is_many_blocks_and_few_pools_meet(spark, monkeypatch):
     got = temporal.isotonic(df, "v", "fitted").orderBy("frame").toPandas()["fitted"].to_numpy()
     assert got == pytest.approx(monotone(y))
     assert 0 < sent[0].count() < 600
+
+
+def test_kernels_see_parts_of_a_batch():
+    """Many short runs in one batch are many parts; a block is never cut."""
+    import pyarrow as pa
+
+    sizes = [3, 0, 5, 90, 1, 1, 60, 40]
+    rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(range(sum(sizes))))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), rows], ["run_id", "rows"]).slice(1)
+    most, blocks.ROWS_AT_ONCE = blocks.ROWS_AT_ONCE, 60
+    try:
+        got = list(blocks.parts(batch))
+    finally:
+        blocks.ROWS_AT_ONCE = most
+    assert [p.column("run_id").to_pylist() for p in got] == [[1, 2], [3], [4, 5], [6], [7]]
+    assert sum((p.column("rows").to_pylist() for p in got), []) == batch.column("rows").to_pylist()

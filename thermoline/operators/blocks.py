@@ -16,21 +16,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from thermoline.operators.dealing import dealt
 from thermoline.operators.ordered import RUN
 from thermoline.sources.staging import stored
 
 #: Frames of a block.
 FRAMES = 4096
+#: Rows of blocks that a kernel has at once.
+ROWS_AT_ONCE = 65_536
 #: Rounds in which pools of all segments are merged at once; what isn't done then is merged segment by segment.
 ROUNDS = 32
 KEY = [RUN, "block"]
 
 
 def blocked(df: DataFrame, frames: int = FRAMES) -> DataFrame:
-    """Rows of (run, block, rows), the rows in order of their frames."""
+    """Rows of (run, block, rows), the rows in order of their frames. What is made of a stored block later is by key again."""
     rest = [c for c in df.columns if c not in (RUN, "frame")]
     rows = F.array_sort(F.collect_list(F.struct("frame", *rest))).alias("rows")
-    return stored(df.groupBy(RUN, F.floor(F.col("frame") / frames).alias("block")).agg(rows), "blocks")
+    cut = stored(df.groupBy(RUN, F.floor(F.col("frame") / frames).alias("block")).agg(rows), "blocks")
+    return dealt(cut, *KEY, rows=cut.select(F.sum(F.size("rows"))).first()[0] or 0)
 
 
 def with_carry(blocks: DataFrame, carry: DataFrame) -> DataFrame:
@@ -133,13 +137,23 @@ def _joined(total: np.ndarray, size: np.ndarray, of: np.ndarray, into: np.ndarra
     return np.add.reduceat(total, first), np.add.reduceat(size, first), of[first], number[into]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ROWS_AT_ONCE rows of blocks, a block at least: a kernel has many arrays of a part's length."""
+    ends, at = batch.column("rows").offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + ROWS_AT_ONCE, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def over_blocks(blocks: DataFrame, kernel: Callable[[Segments], dict[str, pa.Array | np.ndarray]], schema: str | StructType, keep: list[str] = KEY) -> DataFrame:
     """One row for each block: its columns `keep`, and those that the kernel makes of a batch of blocks."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = kernel(Segments(batch))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in made.values())], [*keep, *made])
+            for part in parts(batch):
+                made = kernel(Segments(part))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(x if isinstance(x, pa.Array) else pa.array(x, from_pandas=True) for x in made.values())], [*keep, *made])
 
     return blocks.mapInArrow(apply, schema)
 
@@ -149,11 +163,12 @@ def to_rows(blocks: DataFrame, kernel: Callable[[Segments], dict[str, np.ndarray
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = Segments(batch)
-            made = {c: pa.array(x, pa.float64(), from_pandas=True) for c, x in kernel(s).items()}
-            own = {f.name: x for f, x in zip(s.rows.type, s.rows.flatten(), strict=True)}
-            table = {RUN: batch.column(RUN).take(pa.array(s.of)), **own, **made}
-            yield pa.RecordBatch.from_arrays([table[f.name] for f in schema], schema.names)
+            for part in parts(batch):
+                s = Segments(part)
+                made = {c: pa.array(x, pa.float64(), from_pandas=True) for c, x in kernel(s).items()}
+                own = {f.name: x for f, x in zip(s.rows.type, s.rows.flatten(), strict=True)}
+                table = {RUN: part.column(RUN).take(pa.array(s.of)), **own, **made}
+                yield pa.RecordBatch.from_arrays([table[f.name] for f in schema], schema.names)
 
     return blocks.mapInArrow(apply, schema)
 

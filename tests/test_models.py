@@ -82,3 +82,11 @@ def test_points_are_dealt_once(spark):
     df = spark.range(100).selectExpr("id % 5 AS run_id", "id % 7 AS frame", "id AS place", "id * 1.0D AS u", "id * 2.0D AS v")
     plan = models.chosen_models(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange SinglePartition" not in plan
+
+
+def test_points_stay_with_their_event(spark):
+    """Events are dealt before each becomes a path; windows and joins of its points need no other shuffle."""
+    from thermoline.plans import virtual
+
+    plan = models.chosen_models(virtual.centerlines(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan

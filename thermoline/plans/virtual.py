@@ -74,7 +74,9 @@ def temperature_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centerlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points along a line for every event, by turns a parabola, a part of a circle and a bend with a straight end; none for an `error`."""
-    e = events(spark, sf_dir).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("frame"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    e = events(spark, sf_dir)
+    # Dealt before each becomes forty rows.
+    e = dealt(e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("frame"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k")), "run_id", "frame", rows=e.count(), width=10)
     rows = e.withColumn("place", F.explode(F.when(F.col("event_type") == "error", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(40)))))
     t = F.col("place") / 40.0
     v, s, radius = 80.0 * t, 0.6 * t, 60.0 + F.col("k") % 5 * 5.0

@@ -47,3 +47,10 @@ def test_damaged_documents(spark):
 def test_unset_and_null_differ(spark):
     df = spark.createDataFrame([(1, '{"a": null, "b": {}}')], "id long, t string")
     assert sorted((tuple(r.path), r.value) for r in settings.leaves(df, "id", "t").collect()) == [(("a",), "null"), (("b",), "{}")]
+
+
+def test_leaves_stay_with_their_document(spark):
+    """Documents are dealt once; no join, group or window of their leaves needs another shuffle."""
+    df = spark.createDataFrame([(1, '{"a": 1}', '{"a": 2}')], "id long, base string, over string")
+    plan = settings.merged_documents(df, "id", "base", "over")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan

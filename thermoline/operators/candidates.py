@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermoline.operators.dealing import dealt
+
 # Which path is preferred as a frame's centerline, and as the one beside it; the share of the widest span that one must have.
 PRIMARY = ("body_bins", "skeleton", "prior")
 SECONDARY = ("skeleton", "body_bins", "prior")
@@ -34,6 +36,7 @@ def centerlines(rows: DataFrame, keys: list[str]) -> DataFrame:
     median length that decides between equals. Names break the last ties, and lengths where a
     name comes twice. One shuffle by key.
     """
+    rows = dealt(rows, *keys)
     whole = Window.partitionBy(*keys)
     usable = F.col("length_px") > 1e-9
     rows = rows.where(F.col("candidate").isNotNull()).withColumn("usable", F.coalesce(usable & ~F.isnan("length_px") & (F.col("length_px") != float("inf")), F.lit(False)))

@@ -22,3 +22,19 @@ def test_runs_are_dealt_by_their_number_of_rows(spark, tmp_path):
         assert tasks(virtual.progress(spark, str(tmp_path))) == 40
     finally:
         dealing.TASK_ROWS = least
+
+
+def test_stored_series_and_candidates_are_dealt(spark):
+    from thermoline.operators import candidates
+    from thermoline.plans import series_queries
+
+    paths = spark.range(4000).selectExpr("id DIV 4 AS frame", "concat('c', id) AS candidate", "id * 1.0D AS length_px", "id * 1.0D AS axis_span_px", "0.5D AS support")
+    least, dealing.TASK_ROWS = dealing.TASK_ROWS, 100
+    try:
+        assert tasks(candidates.centerlines(paths, ["frame"])) == 40
+        d = "/root/testdata/sf0.001"
+        n = virtual.events(spark, d).count()
+        assert tasks(series_queries._wire(spark, d)[0]) == -(-4 * n // 100)
+        assert tasks(series_queries._braided(spark, d)[0]) == -(-3 * n // 100)
+    finally:
+        dealing.TASK_ROWS = least

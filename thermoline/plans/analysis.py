@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from thermoline.functions.scalar import recovery_from_fit
 from thermoline.operators import align, fit, qc, routes, suite, temporal, vision
+from thermoline.operators.dealing import dealt
 from thermoline.operators.ordered import RUN
 from thermoline.sources import synthetic
 from thermoline.sources.staging import stored
@@ -73,7 +74,7 @@ def evaluated(series: DataFrame, metrics: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def _finish(kind: str, series: DataFrame, reports: DataFrame, profile: str, preset: str) -> Analysis:
-    series = stored(series, "series")  # every gate and summary reads it
+    series = dealt(stored(series, "series"), RUN, width=3)  # every gate and summary reads it
     gate = stored(routes.gate_table(kind, series, reports, profile), "gates")
     chosen = stored(routes.select(kind, series, reports, gate), "chosen")
     results = routes.route_results(kind, series, reports, gate, chosen)
@@ -83,13 +84,13 @@ def _finish(kind: str, series: DataFrame, reports: DataFrame, profile: str, pres
 
 def analyze_wire(series: DataFrame, log: DataFrame | None, by: str = "frame", offset_sec: float = 0.0, smoothing: temporal.RouteC = temporal.RouteC()) -> Analysis:
     rows = with_temperature(temporal.route_c(series.drop(*temporal.ROUTE_C_COLUMNS), smoothing), log, by, offset_sec)
-    rows, reports = evaluated(stored(rows, "series"), WIRE)
+    rows, reports = evaluated(dealt(stored(rows, "series"), RUN, width=len(WIRE)), WIRE)
     return _finish("wire", rows, reports, "real_video", "wire_like")
 
 
 def analyze_braided(series: DataFrame, log: DataFrame | None, by: str = "frame", offset_sec: float = 0.0, profile: str = "real_video") -> Analysis:
     rows = with_temperature(qc.braided_columns(series), log, by, offset_sec)
-    rows, reports = evaluated(stored(rows, "series"), BRAIDED)
+    rows, reports = evaluated(dealt(stored(rows, "series"), RUN, width=len(BRAIDED)), BRAIDED)
     return _finish("braided", rows, reports, profile, "braided_like")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from thermoline.functions import scalar
 from thermoline.operators import align, fit, gates, geometry, ordered, qc, routes, temporal
+from thermoline.operators.dealing import dealt
 from thermoline.operators.ordered import in_frames
 from thermoline.plans import virtual
 from thermoline.sources import files
@@ -527,7 +528,7 @@ gate AS (SELECT * FROM gate_a UNION ALL SELECT * FROM gate_b UNION ALL SELECT *
 
 
 def _wire(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = stored(virtual.wire_series(spark, d), "series")
+    s = dealt(stored(virtual.wire_series(spark, d), "series"), "run_id", width=len(virtual.WIRE_METRICS))
     return s, stored(virtual.reference_report(s, virtual.WIRE_METRICS), "report")
 
 
@@ -565,7 +566,7 @@ def braided_gates_sql() -> str:
 
 
 def _braided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = stored(qc.braided_columns(virtual.braided_series(spark, d)), "series")
+    s = dealt(stored(qc.braided_columns(virtual.braided_series(spark, d)), "series"), "run_id", width=len(virtual.BRAIDED_METRICS))
     return s, stored(virtual.reference_report(s, virtual.BRAIDED_METRICS), "report")
 
 

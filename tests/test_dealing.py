@@ -38,3 +38,36 @@ def test_stored_series_and_candidates_are_dealt(spark):
         assert tasks(series_queries._braided(spark, d)[0]) == -(-3 * n // 100)
     finally:
         dealing.TASK_ROWS = least
+
+
+def reshuffled(df):
+    """Shuffles of the rows that each row of a series becomes, before they are summed up."""
+    lines = [x.strip(" :+-*()0123456789") for x in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    passed = ("Project", "Filter", "Sort ", "Window")
+    below = [next(y for y in lines[i + 1 :] if not y.startswith(passed)) for i, x in enumerate(lines) if x.startswith("Exchange")]
+    return [x for x in below if x.startswith("Generate inline")]
+
+
+def without_broadcast(spark, check):
+    """Reports of many runs are too large to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_metrics_stay_where_their_runs_were_dealt(spark):
+    from thermoline.operators import routes
+    from thermoline.plans import series_queries
+
+    d = "/root/testdata/sf0.001"
+
+    def check():
+        for kind, source in (("wire", series_queries._wire), ("braided", series_queries._braided)):
+            series, report = source(spark, d)
+            assert reshuffled(routes.gate_table(kind, series, report)) == []
+            assert reshuffled(routes.scores(kind, series, report)) == []
+
+    without_broadcast(spark, check)

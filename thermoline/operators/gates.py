@@ -61,16 +61,19 @@ def _long(series: DataFrame, metrics: list[str], needs: dict[str, tuple[str, ...
     return rows.where("valid").drop("valid")
 
 
-def _measured(rows: DataFrame, up: Column, trend: qc.Trend, stats: dict[str, Column]) -> DataFrame:
-    """One row for each run and metric: points, violation, tail_median and `stats`. All windows are over the rows of a run and metric, in two orders."""
+def _measured(rows: DataFrame, trend: qc.Trend, stats: dict[str, Column]) -> DataFrame:
+    """One row for each run and metric: points, violations both ways, tail_median and `stats`. All windows are over the rows of a run and metric, in two orders.
+
+    Nothing is joined to the rows, so they stay in the tasks that their runs were dealt to.
+    """
     part = Window.partitionBy(*KEY)
     warm, frames = part.orderBy("temperature_c", "frame"), part.orderBy("frame")
     n = F.count(F.lit(1)).over(part)
-    rows = rows.withColumns({"up": up, "n": n})
+    rows = rows.withColumn("n", n)
     rows = rows.withColumns({"smooth": rolling_median("value", warm, trend.window, F.col("n")), "back": F.col("n") + 1 - F.when(F.col("by_temperature"), F.row_number().over(warm)).otherwise(F.row_number().over(frames))})
     rows = rows.withColumns({"step": F.col("smooth") - F.lag("smooth").over(warm), "range": F.max("smooth").over(part) - F.min("smooth").over(part)})
     last = F.col("back") <= F.greatest(F.lit(5), F.ceil(F.col("n") * 0.1))
-    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("points"), F.when(F.count(F.lit(1)) >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"), qc.median(F.when(last, F.col("recovery"))).alias("tail_median"), *(x.alias(c) for c, x in stats.items()))
+    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("points"), *trend.both_violations(), qc.median(F.when(last, F.col("recovery"))).alias("tail_median"), *(x.alias(c) for c, x in stats.items()))
 
 
 def _judged(series: DataFrame, report: DataFrame, metrics: list[str], measured: DataFrame) -> DataFrame:
@@ -108,7 +111,7 @@ def wire_gates(series: DataFrame, report: DataFrame, metrics: list[str]) -> Data
         rows = rows.withColumns({"anchor_step": jump(*ENDPOINTS[:2], frames), "tip_step": jump(*ENDPOINTS[2:], frames)})
         stats |= {"jump": F.greatest(F.max("anchor_step"), F.max("tip_step"))}
     b = report.where("metric_key = 'kappa_fit'").select(RUN, F.greatest("dynamic_range", F.lit(1e-6)).alias("b_range"))
-    rows = _judged(series, report, metrics, _measured(rows, F.lit(False), qc.WIRE_TREND, stats)).join(b, RUN, "left")
+    rows = _judged(series, report, metrics, _measured(rows, qc.WIRE_TREND, stats)).join(b, RUN, "left").withColumn("violation", F.col("violation_down"))
     c, tail = F.col, (F.col("tail_median") < LEAST_TAIL, PLATEAU)
 
     def plain(metric: str) -> list[tuple[Column, str]]:
@@ -147,12 +150,10 @@ def braided_gates(series: DataFrame, report: DataFrame, metrics: list[str], prof
     extra = {"area_proj": safe_fraction(F.abs("area_proj_definition_gap_px2"), F.abs(COLUMNS["area_proj"][0]))} if area else {}
     columns = ["quality", *(c for c in qc.ACCEPTANCE_COLUMNS if c != "quality")]
     rows = _long(series, metrics, {}, columns, extra)
-    up = report.where(F.col("metric_key").isin(metrics)).select(*KEY, F.col("increasing").alias("grows"))
     stats = {c: f(F.when(F.col("length_axis_formal_px").isNotNull(), x)) for c, (f, x) in measures.items() if c != "quality_median"}
     stats |= {"quality_median": qc.median(F.col("quality")), "area_gap": qc.p95(F.col("extra"))}
-    measured = _measured(rows.join(up, KEY), F.col("grows"), qc.BRAIDED_TREND, stats)
-    # Without a report nothing is measured, and too few points is the reason.
-    got = qc.with_acceptance_limits(_judged(series, report, metrics, measured), limit)
+    # Without a report too few points is the reason, whatever was measured.
+    got = qc.with_acceptance_limits(_judged(series, report, metrics, _measured(rows, qc.BRAIDED_TREND, stats)), limit).withColumn("violation", qc.violation(F.col("increasing")))
     frame_jump = qc.frame_jump_fails(limit) if profile == "real_video" else F.lit(False)
     c = F.col
 

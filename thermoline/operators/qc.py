@@ -74,33 +74,44 @@ class Trend:
     part: float
     least_range: float = 0.0
 
-    def wrong(self) -> Column:
-        """Whether `step` goes against `up` by more than the tolerance."""
+    def violation(self, up: Column) -> Column:
+        """Share of a group's `step`s that go against `up` by more than the tolerance; NULL for under four rows."""
         tolerance = F.greatest(F.lit(self.floor), self.part * F.greatest(F.col("range"), F.lit(self.least_range)))
-        return F.when(F.col("up"), F.col("step") < -tolerance).otherwise(F.col("step") > tolerance)
+        wrong = F.when(up, F.col("step") < -tolerance).otherwise(F.col("step") > tolerance)
+        return F.when(F.count(F.lit(1)) >= 4, F.avg(F.when(F.col("step").isNotNull(), wrong.cast("double"))))
+
+    def both_violations(self) -> list[Column]:
+        """`violation_up` and `violation_down` of a group. Which of them holds is told by its report, which meets one row a group so, and not all rows of a series."""
+        return [self.violation(F.lit(up)).alias(name) for up, name in ((True, "violation_up"), (False, "violation_down"))]
+
+
+def violation(up: Column) -> Column:
+    """That of the two which a metric growing or not is judged by."""
+    return F.when(up, F.col("violation_up")).otherwise(F.col("violation_down"))
 
 
 # Trends of the two kinds of objects.
 WIRE_TREND, BRAIDED_TREND = Trend(7, 1e-4, 0.01, 1e-6), Trend(9, 0.5, 0.005)
 
 
+def trend_steps(rows: DataFrame, trend: Trend, keys: tuple[str, ...] = (RUN,)) -> DataFrame:
+    """Rows (keys, frame, temperature_c, v) with the `step` and `range` of their rolling median."""
+    part = Window.partitionBy(*keys)
+    w = part.orderBy("temperature_c", "frame")
+    rows = rows.where("v IS NOT NULL AND temperature_c IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(part))
+    rows = rows.withColumn("smooth", rolling_median("v", w, trend.window, F.col("n")))
+    return rows.withColumn("step", F.col("smooth") - F.lag("smooth").over(w)).withColumn("range", F.max("smooth").over(part) - F.min("smooth").over(part))
+
+
 def trend_violation(df: DataFrame, value: str, increasing: Column, trend: Trend) -> DataFrame:
     """As raw_violation after a rolling median, with a tolerance; NULL for under four rows."""
-    run, w = Window.partitionBy(RUN), by_temperature()
-    rows = df.where(F.col(value).isNotNull() & F.col("temperature_c").isNotNull()).select(RUN, "frame", "temperature_c", F.col(value).alias("v"), increasing.alias("up"), F.count(F.lit(1)).over(run).alias("n"))
-    rows = rows.withColumn("smooth", rolling_median("v", w, trend.window, F.col("n")))
-    rows = rows.withColumn("step", F.col("smooth") - F.lag("smooth").over(w)).withColumn("range", F.max("smooth").over(run) - F.min("smooth").over(run))
-    return rows.groupBy(RUN).agg(F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"))
+    rows = df.select(RUN, "frame", "temperature_c", F.col(value).alias("v"), increasing.alias("up"))
+    return trend_steps(rows, trend).groupBy(RUN).agg(trend.violation(F.col("up")).alias("violation"))
 
 
-def trend_violations(long: DataFrame, trend: Trend) -> DataFrame:
-    """As trend_violation for rows (run, metric_key, frame, temperature_c, v, up) of many metrics, in one aggregate; with the number of rows."""
-    part = Window.partitionBy(RUN, "metric_key")
-    w = part.orderBy("temperature_c", "frame")
-    rows = long.where("v IS NOT NULL AND temperature_c IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(part))
-    rows = rows.withColumn("smooth", rolling_median("v", w, trend.window, F.col("n")))
-    rows = rows.withColumn("step", F.col("smooth") - F.lag("smooth").over(w)).withColumn("range", F.max("smooth").over(part) - F.min("smooth").over(part))
-    return rows.groupBy(RUN, "metric_key").agg(F.max("n").alias("n"), F.when(F.max("n") >= 4, F.avg(F.when(F.col("step").isNotNull(), trend.wrong().cast("double")))).alias("violation"))
+def trend_violations(long: DataFrame, trend: Trend, keys: tuple[str, ...] = (RUN, "metric_key")) -> DataFrame:
+    """As trend_violation for rows (keys, frame, temperature_c, v) of many metrics, in one aggregate and both ways; with the number of rows."""
+    return trend_steps(long, trend, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *trend.both_violations())
 
 
 def wire_violation(df: DataFrame, value: str, increasing: Column) -> DataFrame:

@@ -30,10 +30,10 @@ def scores(kind: str, series: DataFrame, report: DataFrame) -> DataFrame:
     preference = _PREFERENCE[kind]
     own = report.where(F.col("metric_key").isin(list(preference))).select(*gates.KEY, F.col("increasing").alias("up"), "fit_rmse", "dynamic_range", "monotonic_violation_fraction")
     values = F.array(*(F.struct(F.lit(m).alias("metric_key"), F.col(gates.COLUMNS[m][0]).cast("double").alias("v")) for m in preference))
-    long = series.select(RUN, "frame", "temperature_c", F.inline(values)).join(own.select(*gates.KEY, "up"), gates.KEY)
+    long = series.select(RUN, "frame", "temperature_c", F.inline(values))
     rows = own.join(qc.trend_violations(long, qc.WIRE_TREND if kind == "wire" else qc.BRAIDED_TREND).where("n >= 4"), gates.KEY)
     ranks = F.create_map(*(F.lit(x) for pair in preference.items() for x in pair))
-    return rows.select(*gates.KEY, ranks[F.col("metric_key")].alias("preference"), F.coalesce("violation", "monotonic_violation_fraction").alias("monotonic_score"), (F.col("fit_rmse") / F.greatest("dynamic_range", F.lit(1e-9))).alias("fit_score"))
+    return rows.select(*gates.KEY, ranks[F.col("metric_key")].alias("preference"), F.coalesce(qc.violation(F.col("up")), "monotonic_violation_fraction").alias("monotonic_score"), (F.col("fit_rmse") / F.greatest("dynamic_range", F.lit(1e-9))).alias("fit_score"))
 
 
 def _best(kind: str, rows: DataFrame, name: str) -> DataFrame:
@@ -87,7 +87,7 @@ def qc_summary(kind: str, series: DataFrame, report: DataFrame, profile: str = "
     accepted = qc.acceptance(series, profile).select(RUN, F.col("quality_median").alias("accepted_quality"), "centerline_disagreement_median", "axis_peak_position_stability_p95") if kind == "braided" else None
     for metric in ROUTES[kind].values():
         value, recovery = gates.COLUMNS[metric]
-        own = report.where(F.col("metric_key") == metric).select(RUN, "increasing", "fit_rmse", F.col("monotonic_violation_fraction").alias("violation_raw"))
+        own = report.where(F.col("metric_key") == metric).select(RUN, "increasing", "fit_rmse", F.col("monotonic_violation_fraction").alias("violation_raw"), F.lit(True).alias("reported"))
         valid = series.dropna(subset=["temperature_c", value])
         got = series.groupBy(RUN).agg(F.count(F.when(F.col("temperature_c").isNotNull() & F.col(value).isNotNull(), 1)).alias("valid_points"), qc.median(F.when(F.col(value).isNotNull(), F.col("quality"))).alias("quality_median"))
         got = got.join(own, RUN, "left").join(qc.tail_median(series, recovery, ["frame"]), RUN, "left")
@@ -109,9 +109,10 @@ def qc_summary(kind: str, series: DataFrame, report: DataFrame, profile: str = "
                 key, number = F.lit("axis_peak_position_stability_p95"), F.col("axis_peak_position_stability_p95")
             else:
                 gap = series.dropna(subset=[value, "area_proj_definition_gap_px2"]).groupBy(RUN).agg(qc.p95(F.abs("area_proj_definition_gap_px2") / F.greatest(F.abs(value), F.lit(1e-9))).alias("area_gap"))
-                trend = qc.braided_violation(valid.join(own.select(RUN, F.col("increasing").alias("up")), RUN), value, F.col("up"))
+                trend = qc.trend_violations(valid.select(RUN, "frame", "temperature_c", F.col(value).alias("v")), qc.BRAIDED_TREND, (RUN,)).drop("n")
                 got = got.join(gap, RUN, "left").join(trend, RUN, "left")
-                violation, key, number = F.col("violation"), F.lit("area_definition_gap_fraction_p95"), F.col("area_gap")
+                # A run without a report has none.
+                violation, key, number = F.when(F.col("reported"), qc.violation(F.col("increasing"))), F.lit("area_definition_gap_fraction_p95"), F.col("area_gap")
         stability = F.struct(key.alias("key"), number.alias("value"))
         parts.append(got.select(RUN, F.lit(metric).alias("metric_key"), F.struct("valid_points", "quality_median", violation.alias("monotonic_violation_fraction"), F.col("tail_median").alias("tail_recovery_median"), stability.alias("stability_metric")).alias("route_qc_summary")))
     return reduce(DataFrame.unionByName, parts)

@@ -71,3 +71,15 @@ def test_rows_of_metrics_stay_where_their_runs_were_dealt(spark):
             assert reshuffled(routes.scores(kind, series, report)) == []
 
     without_broadcast(spark, check)
+
+
+def test_a_direction_that_is_told_by_the_run_moves_no_rows(spark, monkeypatch):
+    from thermoline.operators import fit, qc
+    from thermoline.plans import analysis
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 50)
+    series = dealing.dealt(qc.braided_columns(virtual.braided_series(spark, "/root/testdata/sf0.001")), "run_id")
+    found = []
+    monkeypatch.setattr(fit, "reports", lambda long: found.append(reshuffled(long)) or spark.createDataFrame([], fit.REPORT))
+    without_broadcast(spark, lambda: analysis.evaluated(series, analysis.BRAIDED))
+    assert found == [[]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline.functions.scalar import recovery_from_fit
@@ -55,15 +55,21 @@ def with_temperature(series: DataFrame, log: DataFrame | None, by: str = "frame"
 def evaluated(series: DataFrame, metrics: dict) -> tuple[DataFrame, DataFrame]:
     """The series with recovery columns, and the reports of the metrics that it has columns for."""
     have = {m: v for m, v in metrics.items() if v[0] in series.columns}
-    entries = F.array(*(F.struct(F.lit(m).alias("metric_key"), F.lit(up).cast("boolean").alias("known"), F.col(value).cast("double").alias("value")) for m, (value, _, up) in have.items()))
-    long = series.select(RUN, "frame", "temperature_c", F.inline(entries)).where("temperature_c IS NOT NULL AND value IS NOT NULL")
-    if any(up is None for _, _, up in have.values()):
-        told = qc.direction(long.where("known IS NULL"), "value", keys=(RUN, "metric_key"))
-        long = long.join(told, [RUN, "metric_key"], "left")
-    else:
-        long = long.withColumn("increasing", F.lit(None).cast("boolean"))
-    long = long.withColumn("increasing", F.coalesce("known", "increasing", F.lit(True)))
-    reports = fit.reports(long).where("x_m IS NOT NULL")
+
+    def long(rows: DataFrame, ups: dict[str, Column]) -> DataFrame:
+        """One row for each run, frame and metric of `ups` that has a value."""
+        entries = F.array(*(F.struct(F.lit(m).alias("metric_key"), up.cast("boolean").alias("increasing"), F.col(have[m][0]).cast("double").alias("value")) for m, up in ups.items()))
+        return rows.select(RUN, "frame", "temperature_c", F.inline(entries)).where("temperature_c IS NOT NULL AND value IS NOT NULL")
+
+    rows, ups = series, {m: F.lit(up) for m, (_, _, up) in have.items()}
+    unknown = [m for m, (_, _, up) in have.items() if up is None]
+    if unknown:
+        told = qc.direction(long(series, {m: ups[m] for m in unknown}), "value", keys=(RUN, "metric_key"))
+        # One row a run, joined before each row becomes many: both sides lie as the series was dealt.
+        told = told.groupBy(RUN).agg(*(F.max(F.when(F.col("metric_key") == m, F.col("increasing"))).alias(f"told_{m}") for m in unknown))
+        rows = series.select(RUN, "frame", "temperature_c", *dict.fromkeys(value for value, _, _ in have.values())).join(told, RUN, "left")
+        ups |= {m: F.coalesce(f"told_{m}", F.lit(True)) for m in unknown}
+    reports = fit.reports(long(rows, ups)).where("x_m IS NOT NULL")
     reports = stored(reports, "reports")  # one row for each run and metric, used by every gate
     wide = reports.groupBy(RUN).agg(*(F.max(F.when(F.col("metric_key") == m, F.struct("increasing", "x_m", "x_a"))).alias(f"ref_{m}") for m in have))
     out = series.join(wide, RUN, "left")

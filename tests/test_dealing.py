@@ -83,3 +83,28 @@ def test_a_direction_that_is_told_by_the_run_moves_no_rows(spark, monkeypatch):
     monkeypatch.setattr(fit, "reports", lambda long: found.append(reshuffled(long)) or spark.createDataFrame([], fit.REPORT))
     without_broadcast(spark, lambda: analysis.evaluated(series, analysis.BRAIDED))
     assert found == [[]]
+
+
+def test_both_choices_of_a_run_share_their_scores(spark):
+    """A stage that makes them twice, side by side, holds twice the sorts and aggregates."""
+    from thermoline.operators import routes
+    from thermoline.plans import series_queries
+
+    d = "/root/testdata/sf0.001"
+
+    def check():
+        for kind, source in (("wire", series_queries._wire), ("braided", series_queries._braided)):
+            series, report = source(spark, d)
+            plan = routes.select(kind, series, report, routes.gate_table(kind, series, report))._jdf.queryExecution().executedPlan().toString()
+            made = [x for x in plan.splitlines() if "Generate inline" in x and "by_temperature" not in x]
+            assert len(made) == 1
+
+    without_broadcast(spark, check)
+
+
+def test_choices_of_stored_gates_meet_no_rows_of_a_series(spark):
+    from thermoline.plans import series_queries
+
+    for kind in ("wire", "braided"):
+        chosen = series_queries._selected(kind, spark, "/root/testdata/sf0.001")[3]
+        assert "Generate" not in chosen._jdf.queryExecution().executedPlan().toString()

@@ -36,21 +36,19 @@ def scores(kind: str, series: DataFrame, report: DataFrame) -> DataFrame:
     return rows.select(*gates.KEY, ranks[F.col("metric_key")].alias("preference"), F.coalesce(qc.violation(F.col("up")), "monotonic_violation_fraction").alias("monotonic_score"), (F.col("fit_rmse") / F.greatest("dynamic_range", F.lit(1e-9))).alias("fit_score"))
 
 
-def _best(kind: str, rows: DataFrame, name: str) -> DataFrame:
-    """A wire object prefers routes in a fixed order; a braided one the most monotone."""
-    order = ("preference", "monotonic_score", "fit_score") if kind == "wire" else ("monotonic_score", "fit_score", "preference")
-    return rows.groupBy(RUN).agg(F.min_by("metric_key", F.struct(*order)).alias(name))
-
-
 def select(kind: str, series: DataFrame, report: DataFrame, gate: DataFrame) -> DataFrame:
-    """One row a run: primary and formal metric, status, mode and the reason against a formal one."""
-    ranked = scores(kind, series, report)
-    candidates = [m for m in CANDIDATES[kind]]
-    passed = gate.where(F.col("gate_reason").isNull() & F.col("metric_key").isin(candidates)).select(RUN, "metric_key")
-    formal = _best(kind, ranked.join(passed, [RUN, "metric_key"]), "formal_metric_key")
-    primary = _best(kind, ranked.where(F.col("metric_key").isin(candidates)) if kind == "braided" else ranked, "primary_metric_key")
-    fallback = gate.where(F.col("metric_key") == candidates[0]).select(RUN, F.col("gate_reason").alias("fallback_reason"))
-    rows = series.select(RUN).distinct().join(formal, RUN, "left").join(primary, RUN, "left").join(fallback, RUN, "left")
+    """One row a run: primary and formal metric, status, mode and the reason against a formal one.
+
+    A wire object prefers routes in a fixed order; a braided one the most monotone. Scores are made once for both
+    choices: a run's few metrics are an array, best first.
+    """
+    order = ("preference", "monotonic_score", "fit_score") if kind == "wire" else ("monotonic_score", "fit_score", "preference")
+    candidates, metric, reason = CANDIDATES[kind], F.col("metric_key"), F.col("gate_reason")
+    ranked = scores(kind, series, report).groupBy(RUN).agg(F.sort_array(F.collect_list(F.struct(*order, "metric_key")))["metric_key"].alias("ranked"))
+    judged = gate.groupBy(RUN).agg(F.collect_set(F.when(reason.isNull() & metric.isin(list(candidates)), metric)).alias("passed"), F.max(F.when(metric == candidates[0], reason)).alias("fallback_reason"))
+    rows = series.select(RUN).distinct().join(ranked, RUN, "left").join(judged, RUN, "left")
+    primary = F.filter("ranked", lambda m: m.isin(list(candidates))) if kind == "braided" else F.col("ranked")
+    rows = rows.withColumns({"primary_metric_key": F.get(primary, 0), "formal_metric_key": F.get(F.filter("ranked", lambda m: F.array_contains("passed", m)), 0)})
     is_formal = F.col("formal_metric_key").isNotNull()
     status = F.when(is_formal, "formal").when(F.col("primary_metric_key").isNotNull(), "reportable_with_warning").otherwise("quicklook_only")
     return rows.select(RUN, "primary_metric_key", "formal_metric_key", F.when(~is_formal, F.col("fallback_reason")).alias("formal_gate_reason"), status.alias("reportability_status"), F.when(is_formal, "formal_af").otherwise("quicklook").alias("mode"))

@@ -594,7 +594,7 @@ chosen AS (SELECT r.run_id, primary_metric_key, formal_metric_key, CASE WHEN for
 def _selected(kind: str, spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     s, report = (_wire if kind == "wire" else _braided)(spark, d)
     gate = stored(routes.gate_table(kind, s, report), "gates")
-    return s, report, gate, routes.select(kind, s, report, gate)
+    return s, report, gate, stored(routes.select(kind, s, report, gate), "chosen")
 
 
 @query("object_decision_wire", "WITH " + WIRE + "," + wire_gates_sql() + selection_sql("wire") + " SELECT * FROM chosen")

@@ -96,3 +96,75 @@ def test_profiles_as_arrays(spark):
 def test_largest_components_of_stacked_frames():
     y, x, of = (np.array(c) for c in ([0, 0, 1, 5, 8, 8, 9], [0, 1, 5, 9, 0, 4, 4], [0, 0, 0, 0, 1, 1, 1]))
     assert vision._in_largest(y, x, of).tolist() == [True, True, False, False, False, True, True]
+
+
+POINTS, PIXELS = "run_id long, frame long, xs array<double>, ys array<double>, thickness array<double>", "run_id long, frame long, height int, width int, pixels binary"
+
+
+def odd_lines():
+    """Upright and level spans, cones, points that coincide, and joints that are wider than both neighbours; many pixels lie on borders."""
+    rng = np.random.default_rng(4)
+    lines = []
+    for k in range(60):
+        n = int(rng.integers(1, 12))
+        whole, half = lambda least, most: rng.integers(least, most, n).astype(float), lambda most: rng.integers(0, most, n) / 2
+        lines.append([(np.full(n, 7.0 + k % 20), whole(0, 40), whole(0, 9)), (half(90), np.full(n, 20.0), half(30)), (whole(-8, 60), whole(-8, 60), whole(-3, 20)), (20 + 1e-3 * whole(0, 3), 20 + 1e-5 * whole(0, 3), whole(0, 30)), (half(90), half(70), np.full(n, 5.0)), (np.arange(n) * 4.0, np.full(n, 20.0), 2 + 9 * np.sin(np.arange(n)))][k % 6])
+    return [(1, k, *(v.tolist() for v in line)) for k, line in enumerate(lines)]
+
+
+def test_odd_lines_are_drawn_by_their_distances(spark):
+    rows = odd_lines()
+    got = {r.frame: np.frombuffer(r.pixels, np.uint8).reshape(40, 50) for r in vision.drawn(spark.createDataFrame(rows, POINTS), 50, 40).collect()}
+    gy, gx = np.mgrid[0:40, 0:50]
+    for _, frame, x, y, t in rows:
+        dark = np.zeros((40, 50), bool)
+        for k in range(len(x) - 1):
+            dx, dy, px, py = x[k + 1] - x[k], y[k + 1] - y[k], gx - x[k], gy - y[k]
+            s = np.clip((px * dx + py * dy) / max(dx * dx + dy * dy, 1e-9), 0, 1)
+            dark |= np.hypot(px - s * dx, py - s * dy) <= (t[k] + s * (t[k + 1] - t[k])) / 2
+        assert (got[frame] == np.where(dark, 35, 236)).all(), frame
+
+
+def test_frames_are_measured_by_the_worker_that_draws_them(spark):
+    """As frames that were drawn before; no pixel leaves a worker and no row's slices are walked one by one outside of it."""
+    points = spark.createDataFrame(odd_lines(), POINTS)
+    for sums, measures in ((None, None), (vision.LINE, vision.wire_measures), (vision.BODY, vision.braided_measures)):
+        at_once = vision.drawn_objects(points, 50, 40, sums=sums)
+        assert sorted(map(str, at_once.collect())) == sorted(map(str, vision.objects(vision.drawn(points, 50, 40), sums=sums).collect()))
+        if measures:
+            plan = measures(at_once)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("MapInArrow") == 1 and "pixels" not in plan and "lambda" not in plan
+
+
+def test_braided_frames_need_one_worker_step(spark):
+    from thermoline.plans import catalog
+
+    plan = catalog.queries()["frame_geometry_braided"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "pixels" not in plan
+
+
+def test_slices_against_pixels(spark):
+    """Means, widths and counts of each slice from all of its pixels, of a tilted and an upright object."""
+    gy, gx = np.mgrid[0:60, 0:70]
+    shapes = [np.abs((gx - 30) * 0.4 - (gy - 25)) + np.abs(gx - 30) * 0.1 < 6, (np.abs(gx - 20) < 4) & (gy > 5) & (gy < 55), (gx + gy) % 7 < 3]
+    frames = [(1, k, 60, 70, bytes(np.where(dark, 35, 236).astype(np.uint8).tobytes())) for k, dark in enumerate(shapes)]
+    for row in vision.objects(spark.createDataFrame(frames, PIXELS), step=1.5).collect():
+        y, x = (c.astype(float) for c in np.nonzero(shapes[row.frame]))
+        inside = vision._in_largest(y.astype(int), x.astype(int))
+        y, x = y[inside], x[inside]
+        dx, dy = x - x.mean(), y - y.mean()
+        theta = 0.5 * np.arctan2(2 * (dx * dy).mean(), (dx * dx).mean() - (dy * dy).mean())
+        s, t = dx * np.cos(theta) + dy * np.sin(theta), dy * np.cos(theta) - dx * np.sin(theta)
+        bins = np.floor(s / 1.5)
+        assert row.area_px2 == len(x) and [p.bin for p in row.slices] == sorted(set(bins))
+        for p in row.slices:
+            own = bins == p.bin
+            assert (p.x, p.y, p.s, p.t, p.width_px, p.n) == pytest.approx((x[own].mean(), y[own].mean(), s[own].mean(), t[own].mean(), np.ptp(t[own]) + 1, own.sum()), abs=1e-9)
+
+
+def test_first_of_equal_components_is_by_line(spark):
+    gray = np.full((30, 30), 236, np.uint8)
+    gray[20:27, 2:8], gray[4:10, 15:22] = 35, 35
+    frame = spark.createDataFrame([(1, 1, 30, 30, gray.tobytes())], PIXELS)
+    found = vision.objects(frame).first()
+    assert found.area_px2 == 42 and {p.y for p in found.slices} == {6.5}

@@ -133,8 +133,8 @@ def wire_recording(spark: SparkSession, run_id: int, scenario: WireScenario) ->
     reach = lambda i: step * F.sin((i + 1) * turn / 2) / F.sin(turn / 2)
     walk = lambda trig, start: F.transform(F.sequence(F.lit(0), F.lit(m.samples - 1)), lambda i: F.when(i == 0, start).otherwise(start + reach(i) * trig(angle + i * turn / 2)))
     lines = truth.select(RUN, "frame", walk(F.cos, F.lit(m.anchor_x - x0)).alias("xs"), walk(F.sin, F.lit(m.anchor_y - y0)).alias("ys"), F.array_repeat(F.lit(scenario.thickness), m.samples).alias("thickness"))
-    frames = vision.drawn(lines, x1 - x0, y1 - y0, blur=scenario.blur, noise=scenario.noise)
-    got = vision.wire_measures(stored(vision.objects(frames, scenario.threshold), "objects"))
+    found = vision.drawn_objects(lines, x1 - x0, y1 - y0, blur=scenario.blur, noise=scenario.noise, threshold=scenario.threshold, sums=vision.LINE)
+    got = vision.wire_measures(stored(found, "objects"))
     # The axis points to the right; the end nearer to the anchor's place is the anchor.
     far = lambda e: F.pow(F.col(f"{e}_x") + x0 - WIRE_ANCHOR[0], 2) + F.pow(F.col(f"{e}_y") + y0 - WIRE_ANCHOR[1], 2)
     turned = far("tip") < far("anchor")

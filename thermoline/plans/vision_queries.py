@@ -37,15 +37,14 @@ def wire_frames(spark: SparkSession, d: str) -> DataFrame:
     return vision.drawn(rows.select("run_id", "frame", walk(F.cos, 12.0).alias("xs"), walk(F.sin, 10.0).alias("ys"), F.array_repeat(F.lit(4.0), 31).alias("thickness")), WIDTH, HEIGHT)
 
 
-def braided_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a braid that shortens and widens, all of them."""
+def braided_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A braid that shortens and widens as the run goes on, for each of its frames."""
     rows = _spread(virtual.braided_series(spark, d).select("run_id", "frame", "q"), spark, d)
     length, top = 100.0 - 30.0 * F.col("q"), 14.0 + 22.0 * F.col("q")
     at = F.sequence(F.lit(0), F.lit(24))
     xs = F.transform(at, lambda i: 64.0 + (i / 24.0 - 0.5) * F.col("len"))
     rows = rows.select("run_id", "frame", length.alias("len"), top.alias("top"))
-    rows = rows.select("run_id", "frame", xs.alias("xs"), F.array_repeat(F.lit(48.0), 25).alias("ys"), F.transform(at, lambda i: 4.0 + F.col("top") * F.sin(3.141592653589793 * i / 24.0)).alias("thickness"))
-    return vision.drawn(rows, WIDTH, HEIGHT)
+    return rows.select("run_id", "frame", xs.alias("xs"), F.array_repeat(F.lit(48.0), 25).alias("ys"), F.transform(at, lambda i: 4.0 + F.col("top") * F.sin(3.141592653589793 * i / 24.0)).alias("thickness"))
 
 
 @query("frame_geometry_wire")
@@ -55,7 +54,7 @@ def frame_geometry_wire(spark: SparkSession, d: str) -> DataFrame:
 
 @query("frame_geometry_braided")
 def frame_geometry_braided(spark: SparkSession, d: str) -> DataFrame:
-    return vision.braided_geometry(braided_frames(spark, d))
+    return vision.braided_measures(vision.drawn_objects(braided_lines(spark, d), WIDTH, HEIGHT, sums=vision.BODY))
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:

@@ -168,3 +168,21 @@ def test_first_of_equal_components_is_by_line(spark):
     frame = spark.createDataFrame([(1, 1, 30, 30, gray.tobytes())], PIXELS)
     found = vision.objects(frame).first()
     assert found.area_px2 == 42 and {p.y for p in found.slices} == {6.5}
+
+
+def test_wire_frames_need_one_worker_step(spark):
+    """Nor are a needle's points made of ever longer arrays."""
+    from thermoline.plans import catalog
+
+    plan = catalog.queries()["frame_geometry_wire"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "pixels" not in plan and "aggregate(" not in plan
+
+
+def test_lines_by_steps(spark):
+    steps = [[3.0, 2.0, -1.0], [0.5], [], [4.0] * 9]
+    frames = {}
+    for start in (None, (12.0, 10.0)):
+        walk = lambda v, at: v if start else [at + sum(v[: k + 1]) for k in range(len(v))]  # noqa: B023, E731
+        rows = [(1, k, walk(v, 12.0), walk([c / 2 for c in v], 10.0), [3.0] * len(v)) for k, v in enumerate(steps)]
+        frames[start] = sorted(map(str, vision.drawn(spark.createDataFrame(rows, POINTS), 50, 40, start=start).collect()))
+    assert frames[None] == frames[12.0, 10.0] and len(frames[None]) == 4

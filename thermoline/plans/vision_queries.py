@@ -13,6 +13,7 @@ from thermoline.streaming import monitor, tracking
 
 TABLE: dict[str, tuple[object, str | None]] = {}
 WIDTH, HEIGHT = 128, 96
+WIRE_START = (12.0, 10.0)
 
 
 def query(name: str, oracle: str | None = None):  # noqa: ANN201
@@ -28,13 +29,11 @@ def _spread(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
     return dealt(rows, *vision.FRAME, rows=virtual.events(spark, d).count(), width=10)
 
 
-def wire_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Frames of a needle that straightens as the run goes on, all of them."""
+def wire_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A needle that straightens as the run goes on, for each of its frames, as steps from WIRE_START."""
     rows = _spread(virtual.wire_series(spark, d).select("run_id", "frame", "q"), spark, d).withColumn("bend", 0.02 * (1.0 - F.col("q")))
-    at = F.sequence(F.lit(0), F.lit(30))
-    sums = lambda trig: F.aggregate(at, F.array(F.lit(0.0)), lambda s, j: F.concat(s, F.array(F.element_at(s, -1) + 3.0 * trig(F.lit(0.1) + F.col("bend") * 3.0 * j))))
-    walk = lambda trig, start: F.transform(F.slice(sums(trig), 2, 31), lambda s: F.lit(start) + s)
-    return vision.drawn(rows.select("run_id", "frame", walk(F.cos, 12.0).alias("xs"), walk(F.sin, 10.0).alias("ys"), F.array_repeat(F.lit(4.0), 31).alias("thickness")), WIDTH, HEIGHT)
+    steps = lambda trig: F.transform(F.sequence(F.lit(0), F.lit(30)), lambda j: 3.0 * trig(F.lit(0.1) + F.col("bend") * 3.0 * j))
+    return rows.select("run_id", "frame", steps(F.cos).alias("xs"), steps(F.sin).alias("ys"), F.array_repeat(F.lit(4.0), 31).alias("thickness"))
 
 
 def braided_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -49,7 +48,7 @@ def braided_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("frame_geometry_wire")
 def frame_geometry_wire(spark: SparkSession, d: str) -> DataFrame:
-    return vision.wire_geometry(wire_frames(spark, d)).drop("x_fit_px")
+    return vision.wire_measures(vision.drawn_objects(wire_lines(spark, d), WIDTH, HEIGHT, start=WIRE_START, sums=vision.LINE)).drop("x_fit_px")
 
 
 @query("frame_geometry_braided")

@@ -1,8 +1,9 @@
-"""Geometry of frames: an object becomes slices across its axis, stored once, and everything after that is grouping.
+"""Geometry of frames: an object becomes slices across its axis, and everything after that is sums over a frame's slices.
 
-A frame is a row with its gray pixels. Small Arrow helpers draw synthetic frames and cut a
-frame's object into slices; end points, curvature and width profiles are aggregates and
-windows over slices, keyed by run and frame, so frames spread over the cluster.
+A frame is a row with its gray pixels. Small Arrow helpers draw synthetic frames, cut a frame's
+object into slices and sum them up, a few frames at once as arrays; what follows from the sums
+are column expressions. A frame is drawn and measured by one worker, so frames spread over the
+cluster and no pixel leaves it.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def _inside(x: np.ndarray, y: np.ndarray, t: np.ndarray, size: np.ndarray, heigh
     # By row, line and column; a row more, for intervals that end at the edge.
     most = 2 * int(size.max(initial=0))
     ends = np.zeros(len(size) * (height + 1) * width, np.int8 if most < 1 << 7 else np.int32)
-    told = []
+    told, open_ = [], []
 
     def tell(k: np.ndarray, col: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
         for piece in _pieces(n, COLUMNS_AT_ONCE):
@@ -139,12 +140,9 @@ def _inside(x: np.ndarray, y: np.ndarray, t: np.ndarray, size: np.ndarray, heigh
                 np.add.at(ends, at[k] + (v[k].astype(np.int64) + more) * (len(size) * width), ends.dtype.type(sign))
             k = np.flatnonzero((least <= greatest) & ~(sure & (least == first) & (greatest == last)))
             if len(k):
-                begin = np.concatenate([least[k], np.where(sure[k], last[k] + 1, 0)]).astype(np.int64)
-                end = np.concatenate([np.where(sure[k], first[k], greatest[k] + 1), np.where(sure[k], greatest[k] + 1, 0)]).astype(np.int64)
-                part, col = np.tile(parts[j[k]], 2), np.tile(col[k], 2)
-                for by in spans:
-                    own = np.flatnonzero((end > begin) & (part + by >= 0) & joined[part + by])
-                    tell(part[own] + by, col[own], begin[own], (end - begin)[own])
+                begin = np.concatenate([least[k], np.where(sure[k], last[k] + 1, 0)])
+                end = np.concatenate([np.where(sure[k], first[k], greatest[k] + 1), np.where(sure[k], greatest[k] + 1, 0)])
+                open_.extend((np.tile(parts[j[k]], 2) + by, np.tile(col[k], 2), begin.astype(np.int64), (end - begin).astype(np.int64)) for by in spans)
 
     with np.errstate(all="ignore"):
         k = np.flatnonzero(whole & (t >= 0))
@@ -181,6 +179,10 @@ def _inside(x: np.ndarray, y: np.ndarray, t: np.ndarray, size: np.ndarray, heigh
         j, col = _each(x0[piece], (x1 - x0 + 1)[piece])
         j += piece.start
         tell(k[j], col, y0[j], (y1 - y0 + 1)[j])
+    if open_:
+        k, col, begin, n = (np.concatenate(c) for c in zip(*open_, strict=True))
+        own = np.flatnonzero((n > 0) & (k >= 0) & joined[k])
+        tell(k[own], col[own], begin[own], n[own])
     ends = ends.reshape(height + 1, len(size), width)
     for row in range(1, height):
         ends[row] += ends[row - 1]
